@@ -35,6 +35,10 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
     i, n, in_class = 0, len(pattern), False
     while i < n:
         c = pattern[i]
+        if c == "\\" and i + 1 < n and pattern[i + 1] == "b" and not in_class:
+            out.append(_boundary(pattern, i))
+            i += 2
+            continue
         if c == "\\" and i + 1 < n:
             e = pattern[i + 1]
             if e == "u":
@@ -73,6 +77,47 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
     return f"(?iu:{body})" if ignore_case else body
 
 
+def _word_lit(ch: str) -> bool:
+    return ch.isalnum() or ch == "_"
+
+
+def _alternatives(pattern: str, open_i: int) -> list[str]:
+    inner = pattern[open_i + 1:_group_end(pattern, open_i)]
+    if inner.startswith("?:"):
+        inner = inner[2:]
+    return _split_top(inner)
+
+
+def _boundary(pattern: str, i: int) -> str:
+    """Python ``\\b`` at ``pattern[i]``, one-sided when a neighbour is fixed.
+
+    Next to a literal word character only the other side needs a test, and
+    a one-sided look-around is several times cheaper per position.
+    """
+    nxt = pattern[i + 2] if i + 2 < len(pattern) else ""
+    if _word_lit(nxt):
+        return f"(?<!{W})"
+    if nxt == "(" and all(a and _word_lit(a[0]) for a in _alternatives(pattern, i + 2)):
+        return f"(?<!{W})"
+    prev = pattern[i - 1] if i >= 1 else ""
+    escaped = i >= 2 and pattern[i - 2] == "\\"
+    if _word_lit(prev) and not escaped:
+        return f"(?!{W})"
+    if prev == ")":
+        depth, j = 0, i - 1
+        while j >= 0:
+            if pattern[j] == ")":
+                depth += 1
+            elif pattern[j] == "(":
+                depth -= 1
+                if depth == 0:
+                    break
+            j -= 1
+        if all(a and _word_lit(a[-1]) for a in _alternatives(pattern, j)):
+            return f"(?!{W})"
+    return BOUNDARY
+
+
 def any_of(patterns: list[str]) -> str:
     """One alternation matching when any of the patterns matches."""
     return "|".join(f"(?:{p})" for p in patterns)
@@ -90,12 +135,12 @@ def count_matches(col: Column, pattern: str, ignore_case: bool = False) -> Colum
 
 def count_char(col: Column, ch: str) -> Column:
     """Python ``s.count(ch)`` for a single character."""
-    return F.length(col) - F.length(F.translate(col, ch, ""))
+    return F.length(col) - F.length(F.replace(col, F.lit(ch), F.lit("")))
 
 
 def tokens(col: Column) -> Column:
     """Python ``s.split()``: runs of non-whitespace, no empty tokens."""
-    return F.regexp_extract_all(col, F.lit(f"{NOT_WS}+"), 0)
+    return F.array_remove(F.split(col, f"{WS}+"), "")
 
 
 def word_runs(col: Column, min_len: int = 2) -> Column:
@@ -117,3 +162,183 @@ def nz(col: Column | str, default=0) -> Column:
 def safe_div(num: Column, den: Column) -> Column:
     """num / max(den, 1) as double (ANSI-safe)."""
     return num.cast("double") / F.greatest(den.cast("double"), F.lit(1.0))
+
+
+# ---------------------------------------------------------------------------
+# Literal prefilter
+#
+# A regex pass over whole documents costs far more than a byte search, and
+# most posts contain none of a pattern's words. ``required_literals`` finds
+# literals of which every match must contain at least one; the regex then
+# only runs on posts containing one of them. Spark evaluates ``a AND b``
+# lazily in generated code, so the regex is skipped when the gate is false.
+# ---------------------------------------------------------------------------
+
+_QUANT_OPTIONAL = "?*{"
+# Characters whose case-insensitive match is not found by lower() + contains:
+# long s, dotless i, and the combining dot that lower('İ') leaves behind.
+_EXOTIC_FOLDS = ["ſ", "ı", "̇"]
+
+
+def _split_top(p: str) -> list[str]:
+    """Split at top-level ``|`` (outside groups and classes)."""
+    out, depth, cur, i, in_class = [], 0, [], 0, False
+    while i < len(p):
+        c = p[i]
+        if c == "\\":
+            cur.append(p[i:i + 2])
+            i += 2
+            continue
+        if in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "|" and depth == 0:
+            out.append("".join(cur))
+            cur = []
+            i += 1
+            continue
+        cur.append(c)
+        i += 1
+    out.append("".join(cur))
+    return out
+
+
+def _group_end(p: str, i: int) -> int:
+    depth, in_class = 0, False
+    while i < len(p):
+        c = p[i]
+        if c == "\\":
+            i += 2
+            continue
+        if in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if depth == 0:
+                return i
+        i += 1
+    raise ValueError(f"unbalanced group in {p!r}")
+
+
+def required_literals(p: str) -> list[str] | None:
+    """Literals one of which every match of ``p`` contains, or None."""
+    alts = _split_top(p)
+    if len(alts) > 1:
+        out: list[str] = []
+        for a in alts:
+            k = required_literals(a)
+            if not k:
+                return None
+            out += k
+        return out
+    cands: list[list[str]] = []
+    run: list[str] = []
+
+    def flush():
+        if run:
+            cands.append(["".join(run)])
+            run.clear()
+
+    i = 0
+    while i < len(p):
+        c = p[i]
+        nxt = p[i + 1] if i + 1 < len(p) else ""
+        if c == "\\":
+            e = p[i + 1]
+            if e in "bBAzZswdSWD" or e in "uUx":
+                flush()
+                if e in "uU":
+                    i += 6 if e == "u" else 10
+                    continue
+            else:
+                run.append(e)
+            i += 2
+            continue
+        if c == "[":
+            flush()
+            j = i + 1
+            while p[j] != "]" or j == i + 1:
+                j += 2 if p[j] == "\\" else 1
+            i = j + 1
+            continue
+        if c == "(":
+            j = _group_end(p, i)
+            inner = p[i + 1:j]
+            if inner.startswith("?:"):
+                inner = inner[2:]
+            flush()
+            after = p[j + 1] if j + 1 < len(p) else ""
+            if after == "" or after not in _QUANT_OPTIONAL:
+                sub = required_literals(inner)
+                if sub:
+                    cands.append(sub)
+            i = j + 1
+            continue
+        if c in _QUANT_OPTIONAL:
+            if run:
+                run.pop()
+            flush()
+            if c == "{":
+                i = p.index("}", i)
+            i += 1
+            continue
+        if c in "+.^$)":
+            flush()
+            i += 1
+            continue
+        if nxt and nxt in _QUANT_OPTIONAL:
+            flush()
+            i += 1
+            continue
+        run.append(c)
+        i += 1
+    flush()
+    if not cands:
+        return None
+    return max(cands, key=lambda ks: (min(len(k) for k in ks), -len(ks)))
+
+
+def lowered(col: Column) -> Column:
+    return F.lower(col)
+
+
+def gated_rlike(text: Column, low: Column, pattern: str,
+                ignore_case: bool = False) -> Column:
+    """Exact ``re.search`` test, run only when a required literal is present.
+
+    ``low`` must be ``lower(text)`` when ``ignore_case`` (keys are
+    lower-cased), else ``text`` itself.
+    """
+    rx = text.rlike(java_regex(pattern, ignore_case))
+    keys = required_literals(pattern)
+    if not keys:
+        return rx
+    if ignore_case:
+        keys = sorted({k.lower() for k in keys})
+    gate = None
+    for k in keys:
+        g = low.contains(k)
+        gate = g if gate is None else (gate | g)
+    if ignore_case:
+        for ch in _EXOTIC_FOLDS:
+            gate = gate | low.contains(ch)
+    return gate & rx
+
+
+def gated_any(text: Column, low: Column, patterns: list[str],
+              ignore_case: bool = False) -> Column:
+    """``any(re.search(p, s) for p in patterns)`` with per-pattern gates."""
+    out = None
+    for p in patterns:
+        g = gated_rlike(text, low, p, ignore_case)
+        out = g if out is None else (out | g)
+    return out

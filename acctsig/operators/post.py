@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acctsig.functions import patterns as P
-from acctsig.functions.text import (any_of, count_char, count_matches, java_regex,
+from acctsig.functions.text import (count_char, count_matches, gated_any, java_regex,
                                     safe_div, tokens)
 
 # Numeric per-post signals, in the order the account rollup aggregates them.
@@ -20,16 +20,30 @@ POST_NUMERIC = [
 
 def bait_flag(text: Column, lang: Column,
               en_patterns: list[str] = P.EN_BAIT_PATTERNS,
-              other_patterns: list[str] = P.FR_BAIT_PATTERNS) -> Column:
+              other_patterns: list[str] = P.FR_BAIT_PATTERNS,
+              low: Column | None = None) -> Column:
     """1 when any bait pattern of the post's language matches (re.I)."""
-    en = text.rlike(java_regex(any_of(en_patterns), ignore_case=True))
-    other = text.rlike(java_regex(any_of(other_patterns), ignore_case=True))
+    low = F.lower(text) if low is None else low
+    en = gated_any(text, low, en_patterns, ignore_case=True)
+    other = gated_any(text, low, other_patterns, ignore_case=True)
     return F.when(lang == F.lit("en"), en).otherwise(other).cast("int")
 
 
 def generic_hashtag_flag(text: Column,
-                         patterns: list[str] = P.GENERIC_HASHTAG_PATTERNS) -> Column:
-    return text.rlike(java_regex(any_of(patterns), ignore_case=True)).cast("int")
+                         patterns: list[str] = P.GENERIC_HASHTAG_PATTERNS,
+                         low: Column | None = None) -> Column:
+    low = F.lower(text) if low is None else low
+    return F.when(text.contains("#"), gated_any(text, low, patterns, ignore_case=True)) \
+        .otherwise(F.lit(False)).cast("int")
+
+
+def _gated_count(text: Column, pattern: str, *keys: str) -> Column:
+    """``len(re.findall(pattern, s))``, skipped when no key literal occurs."""
+    gate = None
+    for k in keys:
+        g = text.contains(k)
+        gate = g if gate is None else (gate | g)
+    return F.when(gate, count_matches(text, pattern)).otherwise(F.lit(0))
 
 
 def post_features(posts: DataFrame, text: str = "text", lang: str = "lang",
@@ -41,15 +55,22 @@ def post_features(posts: DataFrame, text: str = "text", lang: str = "lang",
     NULL text is treated as ''. All columns are JVM expressions inside one
     whole-stage-codegen projection.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    tags = F.regexp_extract_all(t, F.lit(java_regex(P.HASHTAG_PATTERN)), 0)
-    alpha = count_matches(t, r"\p{L}")
-    upper = count_matches(t, r"\p{IsUppercase}")
-    df = posts.select(
-        "*",
-        count_matches(t, P.URL_PATTERN).alias("url_count"),
+    # Shared inputs first: CollapseProject keeps a non-cheap alias that is
+    # referenced more than once, so lower() and the hashtag list are computed
+    # once per post instead of once per pattern.
+    base = posts.select("*", F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    base = base.select(
+        "*", F.lower("_t").alias("_low"),
+        F.regexp_extract_all("_t", F.lit(java_regex(P.HASHTAG_PATTERN)), 0).alias("_tags"))
+    t, low, tags = F.col("_t"), F.col("_low"), F.col("_tags")
+    # Python str.isalpha / str.isupper per character.
+    alpha = F.length(F.regexp_replace(t, r"\P{L}+", ""))
+    upper = F.length(F.regexp_replace(t, r"\P{IsUppercase}+", ""))
+    df = base.select(
+        *[F.col(f"`{c}`") for c in posts.columns],
+        _gated_count(t, P.URL_PATTERN, "http", "t.co/").alias("url_count"),
         F.size(tags).alias("hashtag_count"),
-        count_matches(t, P.MENTION_PATTERN).alias("mention_count"),
+        _gated_count(t, P.MENTION_PATTERN, "@").alias("mention_count"),
         count_matches(t, P.EMOJI_PATTERN).alias("emoji_count"),
         F.length(t).alias("char_len"),
         F.size(tokens(t)).alias("word_count"),
@@ -57,8 +78,8 @@ def post_features(posts: DataFrame, text: str = "text", lang: str = "lang",
         count_char(t, "!").alias("excl_count"),
         count_char(t, "?").alias("quest_count"),
         count_matches(t, r"\.\.\.").alias("ellipsis_count"),
-        bait_flag(t, F.col(lang), en_bait, other_bait).alias("has_bait"),
-        generic_hashtag_flag(t, generic_hashtags).alias("has_generic_hashtag"),
+        bait_flag(t, F.col(lang), en_bait, other_bait, low).alias("has_bait"),
+        generic_hashtag_flag(t, generic_hashtags, low).alias("has_generic_hashtag"),
         count_char(t, "\n").alias("newline_count"),
         F.transform(tags, lambda x: F.lower(x)).alias("hashtags"),
     )

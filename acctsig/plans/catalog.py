@@ -34,6 +34,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# Exact in both engines (a median of integer microseconds is a multiple of
+# 0.5 us): rounding would split ties differently, so these stay unrounded.
+UNROUNDED = {"inter_tweet_median"}
+
+
 def shape(df: DataFrame, digits: int = 6) -> DataFrame:
     """Integral -> BIGINT, fractional -> DOUBLE rounded, for comparison."""
     cols = []
@@ -42,6 +47,8 @@ def shape(df: DataFrame, digits: int = 6) -> DataFrame:
         if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
                                    T.BooleanType)):
             c = c.cast("long")
+        elif f.name in UNROUNDED:
+            c = c.cast("double")
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
             c = F.round(c.cast("double"), digits)
         cols.append(c.alias(f.name))
@@ -136,3 +143,327 @@ def q_author_len_dispersion(spark, sf):
     for k in rollup_ops.DISPERSION:
         aggs += [F.stddev_pop(k).alias(f"{k}_std"), F.max(k).alias(f"{k}_max")]
     return shape(pf.groupBy(*KEYS).agg(*aggs))
+
+
+# ---------------------------------------------------------------------------
+# Eligible posts (S6) and the operators over them
+# ---------------------------------------------------------------------------
+
+from acctsig.operators import lexical as lex_ops  # noqa: E402
+from acctsig.operators import profile as prof_ops  # noqa: E402
+from acctsig.operators import rules as rule_ops  # noqa: E402
+from acctsig.operators import similarity as sim_ops  # noqa: E402
+from acctsig.operators import temporal as temp_ops  # noqa: E402
+from acctsig.sources import tables as src  # noqa: E402
+
+
+def fixture_eposts(spark: SparkSession, sf: str) -> DataFrame:
+    return src.eligible_posts(fx.posts(spark, sf), fx.accounts(spark, sf))
+
+
+_EP = O.EPOSTS
+_TEMP_COLS = temp_ops.TEMPORAL_COLUMNS
+
+
+@register("eligible_accounts", O.with_fixture(_EP) + """
+SELECT a.dataset_id, a.id, count(*) AS n_posts
+FROM accounts a JOIN eposts p ON a.dataset_id = p.dataset_id AND a.id = p.author_id
+GROUP BY ALL""")
+def q_eligible_accounts(spark, sf):
+    acc = fx.accounts(spark, sf)
+    ea = src.eligible_accounts(acc, fx.posts(spark, sf))
+    return shape(ea.select("dataset_id", "id", "n_posts"))
+
+
+@register("temporal_intervals", O.with_fixture(_EP, O.TEMPORAL) + """
+SELECT dataset_id, author_id,
+  round(inter_tweet_mean, 6) AS inter_tweet_mean, round(inter_tweet_std, 6) AS inter_tweet_std,
+  round(inter_tweet_cv, 6) AS inter_tweet_cv, round(inter_tweet_min, 6) AS inter_tweet_min,
+  round(inter_tweet_max, 6) AS inter_tweet_max, inter_tweet_median,
+  round(posts_per_hour, 6) AS posts_per_hour, round(posting_span_hours, 6) AS posting_span_hours,
+  round(max_gap_ratio, 6) AS max_gap_ratio
+FROM temporal""")
+def q_temporal_intervals(spark, sf):
+    t = temp_ops.temporal_features(fixture_eposts(spark, sf))
+    return shape(t.select(*KEYS, "inter_tweet_mean", "inter_tweet_std", "inter_tweet_cv",
+                          "inter_tweet_min", "inter_tweet_max", "inter_tweet_median",
+                          "posts_per_hour", "posting_span_hours", "max_gap_ratio"))
+
+
+@register("temporal_hours", O.with_fixture(_EP, O.TEMPORAL) + """
+SELECT dataset_id, author_id, round(hour_entropy, 6) AS hour_entropy,
+  round(night_ratio, 6) AS night_ratio, CAST(active_hours AS BIGINT) AS active_hours
+FROM temporal""")
+def q_temporal_hours(spark, sf):
+    t = temp_ops.temporal_features(fixture_eposts(spark, sf))
+    return shape(t.select(*KEYS, "hour_entropy", "night_ratio", "active_hours"))
+
+
+@register("temporal_regularity", O.with_fixture(_EP, O.TEMPORAL) + """
+SELECT dataset_id, author_id, round(rapid_fire_ratio, 6) AS rapid_fire_ratio,
+  round(regular_interval_ratio, 6) AS regular_interval_ratio,
+  round(temporal_burstiness, 6) AS temporal_burstiness
+FROM temporal""")
+def q_temporal_regularity(spark, sf):
+    t = temp_ops.temporal_features(fixture_eposts(spark, sf))
+    return shape(t.select(*KEYS, "rapid_fire_ratio", "regular_interval_ratio",
+                          "temporal_burstiness"))
+
+
+_STY = O.style_cte()
+_TOK = O.tokens_cte()
+
+
+@register("style_ratios", O.with_fixture(_EP, _STY) + """
+SELECT dataset_id, author_id, round(formality_score, 6) AS formality_score,
+  round(slang_ratio, 6) AS slang_ratio, round(just_starter_ratio, 6) AS just_starter_ratio,
+  round(avg_sentence_completeness, 6) AS avg_sentence_completeness,
+  round(url_consistency, 6) AS url_consistency, round(ai_phrase_ratio, 6) AS ai_phrase_ratio,
+  round(generic_life_ratio, 6) AS generic_life_ratio,
+  round(short_generic_ratio, 6) AS short_generic_ratio, round(char_len_cv, 6) AS char_len_cv
+FROM sratio""")
+def q_style_ratios(spark, sf):
+    sr = lex_ops.style_ratios(lex_ops.post_style_flags(fixture_eposts(spark, sf)))
+    return shape(sr.select(*KEYS, "formality_score", "slang_ratio", "just_starter_ratio",
+                           "avg_sentence_completeness", "url_consistency", "ai_phrase_ratio",
+                           "generic_life_ratio", "short_generic_ratio", "char_len_cv"))
+
+
+@register("mid_caps", O.with_fixture(_EP, _STY) + """
+SELECT dataset_id, author_id, round(artificial_caps_ratio, 6) AS artificial_caps_ratio
+FROM sratio""")
+def q_mid_caps(spark, sf):
+    sr = lex_ops.style_ratios(lex_ops.post_style_flags(fixture_eposts(spark, sf)))
+    return shape(sr.select(*KEYS, "artificial_caps_ratio"))
+
+
+@register("punctuation_diversity", O.with_fixture(_EP, _STY) + """
+SELECT dataset_id, author_id, CAST(punctuation_diversity AS BIGINT) AS punctuation_diversity
+FROM sratio""")
+def q_punctuation_diversity(spark, sf):
+    sr = lex_ops.style_ratios(lex_ops.post_style_flags(fixture_eposts(spark, sf)))
+    return shape(sr.select(*KEYS, "punctuation_diversity"))
+
+
+@register("length_uniformity", O.with_fixture(_EP, _STY) + """
+SELECT dataset_id, author_id, round(tweet_len_uniformity, 6) AS tweet_len_uniformity
+FROM suni""")
+def q_length_uniformity(spark, sf):
+    fl = lex_ops.post_style_flags(fixture_eposts(spark, sf))
+    return shape(lex_ops.length_uniformity(fl, lex_ops.style_ratios(fl)))
+
+
+@register("first_word_diversity", O.with_fixture(_EP, _STY) + """
+SELECT dataset_id, author_id, round(unique_first_words, 6) AS unique_first_words FROM sfirst""")
+def q_first_word_diversity(spark, sf):
+    fl = lex_ops.post_style_flags(fixture_eposts(spark, sf))
+    return shape(lex_ops.first_word_diversity(fl))
+
+
+@register("lexical_richness", O.with_fixture(_EP, _TOK) + """
+SELECT dataset_id, author_id,
+  round(vocab / greatest(total, 1), 6) AS ttr,
+  round(hapax / greatest(vocab, 1), 6) AS hapax_ratio,
+  round(10000.0 * (m2 - greatest(total, 1)) / greatest(greatest(total, 1) * greatest(total, 1), 1), 6)
+    AS vocab_richness
+FROM rich""")
+def q_lexical_richness(spark, sf):
+    r = lex_ops.richness(lex_ops.token_counts(fixture_eposts(spark, sf)))
+    return shape(r.select(*KEYS, "ttr", "hapax_ratio", "vocab_richness"))
+
+
+@register("lexical_words", O.with_fixture(_EP, _TOK) + """
+SELECT dataset_id, author_id,
+  round(CASE WHEN n_alpha > 0 THEN len_alpha / n_alpha ELSE 0 END, 6) AS avg_word_len,
+  round(n_long / greatest(n_alpha, 1), 6) AS long_word_ratio
+FROM rich""")
+def q_lexical_words(spark, sf):
+    r = lex_ops.richness(lex_ops.token_counts(fixture_eposts(spark, sf)))
+    return shape(r.select(*KEYS, "avg_word_len", "long_word_ratio"))
+
+
+@register("topic_coverage", O.with_fixture(_EP, _TOK, O.topics_cte()) + """
+SELECT a.dataset_id, a.author_id,
+  round(coalesce(h.nt, 0) / 7.0, 6) AS topic_diversity
+FROM (SELECT DISTINCT dataset_id, author_id FROM tcnt) a
+LEFT JOIN (SELECT dataset_id, author_id, count(DISTINCT topic) AS nt
+           FROM tcnt JOIN topics USING (token) GROUP BY ALL) h USING (dataset_id, author_id)""")
+def q_topic_coverage(spark, sf):
+    return shape(lex_ops.topic_coverage(lex_ops.token_counts(fixture_eposts(spark, sf)), spark))
+
+
+_RN = """
+rn AS (SELECT dataset_id, author_id, text,
+              row_number() OVER (PARTITION BY dataset_id, author_id ORDER BY post_seq) AS rn
+       FROM eposts)
+"""
+
+
+@register("consecutive_jaccard", O.with_fixture(_EP, _RN, f"""
+ts AS (SELECT dataset_id, author_id, rn,
+              list_distinct({O.toks("lower(coalesce(text, ''))")}) AS ws FROM rn WHERE rn <= 41),
+jp AS (SELECT a.dataset_id, a.author_id,
+              len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) AS j
+       FROM ts a JOIN ts b ON a.dataset_id = b.dataset_id AND a.author_id = b.author_id
+            AND b.rn = a.rn + 1
+       WHERE a.rn <= 40 AND len(list_distinct(list_concat(a.ws, b.ws))) > 0)
+""") + """
+SELECT a.dataset_id, a.author_id,
+  round(coalesce(avg(j), 0), 6) AS content_jaccard_mean,
+  round(coalesce(stddev_pop(j), 0), 6) AS content_jaccard_std
+FROM (SELECT DISTINCT dataset_id, author_id FROM eposts) a
+LEFT JOIN jp USING (dataset_id, author_id) GROUP BY ALL""")
+def q_consecutive_jaccard(spark, sf):
+    return shape(lex_ops.consecutive_jaccard(fixture_eposts(spark, sf)))
+
+
+@register("repeated_bigrams", O.with_fixture(_EP, _RN, f"""
+tk AS (SELECT dataset_id, author_id, rn, {O.toks("lower(coalesce(text, ''))")} AS w
+       FROM rn WHERE rn <= 34),
+bg AS (SELECT dataset_id, author_id, rn,
+              list_distinct(list_transform(range(1, len(w)),
+                                           lambda i: w[i] || ' ' || w[i + 1])) AS b
+       FROM tk),
+cmp AS (SELECT a.dataset_id, a.author_id, len(list_intersect(a.b, c.b)) AS ov
+        FROM bg a JOIN bg c ON a.dataset_id = c.dataset_id AND a.author_id = c.author_id
+             AND c.rn BETWEEN a.rn + 1 AND a.rn + 4
+        WHERE a.rn <= 30 AND len(a.b) > 0 AND len(c.b) > 0)
+""") + """
+SELECT a.dataset_id, a.author_id,
+  round(coalesce(sum(ov), 0) / greatest(count(ov), 1), 6) AS repeated_phrase_ratio
+FROM (SELECT DISTINCT dataset_id, author_id FROM eposts) a
+LEFT JOIN cmp USING (dataset_id, author_id) GROUP BY ALL""")
+def q_repeated_bigrams(spark, sf):
+    return shape(lex_ops.repeated_bigrams(fixture_eposts(spark, sf)))
+
+
+_PFE = O.post_features_cte("pf").replace("FROM posts p)", "FROM eposts p)")
+
+
+@register("hashtag_stats", O.with_fixture(_EP, _PFE) + """
+SELECT b.dataset_id, b.author_id, CAST(b.total AS BIGINT) AS total_hashtags,
+  CAST(coalesce(u.uq, 0) AS BIGINT) AS unique_hashtags,
+  round(coalesce(u.uq, 0) / greatest(b.total, 1), 6) AS hashtag_diversity,
+  round(b.total / b.n, 6) AS hashtag_per_post,
+  CAST(b.mx AS BIGINT) AS max_hashtags_per_tweet,
+  round(b.w / b.n, 6) AS hashtag_post_ratio
+FROM (SELECT dataset_id, author_id, count(*) AS n, sum(hashtag_count) AS total,
+             max(hashtag_count) AS mx, sum(has_hashtag) AS w FROM pf GROUP BY ALL) b
+LEFT JOIN (SELECT dataset_id, author_id, count(DISTINCT tag) AS uq
+           FROM (SELECT dataset_id, author_id, unnest(hashtags) AS tag FROM pf) GROUP BY ALL) u
+USING (dataset_id, author_id)""")
+def q_hashtag_stats(spark, sf):
+    pf = post_ops.post_features(fixture_eposts(spark, sf))
+    return shape(rollup_ops.hashtag_stats(pf))
+
+
+_PROFILE_SQL = """
+prof AS (
+  SELECT a.dataset_id, a.id,
+    coalesce(a.tweet_count, e.n_posts) AS tweet_count,
+    coalesce(a.z_score, 0) AS z_score,
+    CAST(regexp_matches(coalesce(a.description, ''), '{NWS}') AS BIGINT) AS has_description,
+    CAST(regexp_matches(coalesce(a.location, ''), '{NWS}') AS BIGINT) AS has_location,
+    length(coalesce(a.description, '')) AS desc_len,
+    len({DTOK}) AS desc_word_count,
+    length(coalesce(a.name, '')) AS name_len,
+    length(coalesce(a.username, '')) AS username_len,
+    len(regexp_extract_all(coalesce(a.username, ''), '\\p{{Nd}}'))
+      / greatest(length(coalesce(a.username, '')), 1) AS username_digit_ratio,
+    CAST(contains(coalesce(a.username, ''), '_') AS BIGINT) AS username_has_underscore,
+    CAST(contains(coalesce(a.description, ''), '|') OR contains(coalesce(a.name, ''), '|') AS BIGINT)
+      AS profile_has_pipe,
+    CAST(contains(coalesce(a.description, ''), '#') AS BIGINT) AS profile_has_hashtag,
+    CAST(regexp_matches(coalesce(a.description, '') || coalesce(a.name, ''), '{EMO}') AS BIGINT)
+      AS profile_has_emoji,
+    CAST(regexp_matches(coalesce(a.description, ''), 'http|\\.com|\\.org|\\.net') AS BIGINT)
+      AS profile_has_url,
+    CAST(regexp_matches(coalesce(a.name, ''), '[^{WB}{WSB}.,!?''\\-]') AS BIGINT)
+      AS name_has_special_chars,
+    CAST(contains(coalesce(a.description, ''), chr(10)) AS BIGINT) AS desc_has_newline,
+    length(coalesce(a.description, '')) - length(replace(coalesce(a.description, ''), '|', ''))
+      AS desc_pipe_count,
+    CAST(length(coalesce(a.description, '')) - length(replace(coalesce(a.description, ''), '|', ''))
+         >= 2 AS BIGINT) AS desc_formulaic,
+    CAST(regexp_full_match(coalesce(a.username, ''), '[a-z]+_[a-z]+\\p{{Nd}}*\\n?') AS BIGINT)
+      AS username_bot_pattern,
+    CAST(regexp_full_match(coalesce(a.name, ''), '{WS}*[A-Z][a-z]+ [A-Z][a-z]+{WS}*') AS BIGINT)
+      AS name_generic_pattern
+  FROM accounts a JOIN (SELECT dataset_id, author_id, count(*) AS n_posts FROM eposts GROUP BY ALL) e
+    ON a.dataset_id = e.dataset_id AND a.id = e.author_id)
+""".format(NWS=O.NWS, WS=O.WS, WB=O.W_BODY, WSB=O.WS_BODY,
+           DTOK=O.toks("coalesce(a.description, '')"),
+           EMO=O.re2(P.PROFILE_EMOJI_PATTERN))
+
+
+@register("profile_features", O.with_fixture(_EP, _PROFILE_SQL) + """
+SELECT dataset_id, id, CAST(tweet_count AS BIGINT) AS tweet_count, round(z_score, 6) AS z_score,
+  has_description, has_location, CAST(desc_len AS BIGINT) AS desc_len,
+  CAST(desc_word_count AS BIGINT) AS desc_word_count, CAST(name_len AS BIGINT) AS name_len,
+  CAST(username_len AS BIGINT) AS username_len,
+  round(username_digit_ratio, 6) AS username_digit_ratio, username_has_underscore,
+  profile_has_pipe, profile_has_hashtag, profile_has_emoji, profile_has_url,
+  name_has_special_chars, desc_has_newline, CAST(desc_pipe_count AS BIGINT) AS desc_pipe_count,
+  desc_formulaic, username_bot_pattern, name_generic_pattern
+FROM prof""")
+def q_profile_features(spark, sf):
+    ea = src.eligible_accounts(fx.accounts(spark, sf), fx.posts(spark, sf))
+    pf = prof_ops.profile_features(ea, F.col("n_posts"))
+    return shape(pf.select("dataset_id", "id", *prof_ops.PROFILE_COLUMNS))
+
+
+@register("interaction", O.with_fixture(_EP, O.TEMPORAL, _PROFILE_SQL) + """
+SELECT p.dataset_id, p.id,
+  round(t.hour_entropy * p.tweet_count, 6) AS entropy_volume_interaction
+FROM prof p JOIN temporal t ON p.dataset_id = t.dataset_id AND p.id = t.author_id""")
+def q_interaction(spark, sf):
+    eposts = fixture_eposts(spark, sf)
+    ea = src.eligible_accounts(fx.accounts(spark, sf), fx.posts(spark, sf))
+    pf = prof_ops.profile_features(ea, F.col("n_posts")).select("dataset_id", "id", "tweet_count")
+    t = temp_ops.temporal_features(eposts).select("dataset_id", F.col("author_id").alias("id"),
+                                                  "hour_entropy")
+    j = pf.join(t, ["dataset_id", "id"])
+    return shape(j.select("dataset_id", "id",
+                          prof_ops.interaction(F.col("hour_entropy"), F.col("tweet_count"))))
+
+
+_RULES_SQL = """
+rflags AS (
+  SELECT dataset_id, author_id,
+    max(CASE WHEN regexp_matches(lower(coalesce(text, '')), {LEAK}) THEN 1 ELSE 0 END) AS any_leak,
+    max(CASE WHEN contains(coalesce(text, ''), 'htts://') OR contains(coalesce(text, ''), 'htt://')
+             THEN 1 ELSE 0 END) AS any_typo
+  FROM posts GROUP BY ALL),
+rules AS (
+  SELECT a.dataset_id, a.id AS author_id,
+    regexp_matches(coalesce(a.name, ''), '[\\x{{00}}-\\x{{1F}}]') AS garbled_name,
+    f.any_leak = 1 AS llm_leak,
+    f.any_typo = 1 AS url_typo,
+    contains(coalesce(a.location, ''), ':null:') OR contains(coalesce(a.location, ''), 'O:')
+      OR contains(coalesce(a.location, ''), '.:') AS weird_location
+  FROM accounts a JOIN rflags f ON a.dataset_id = f.dataset_id AND a.id = f.author_id),
+rreason AS (
+  SELECT *, CASE WHEN garbled_name THEN 'garbled_name' WHEN llm_leak THEN 'llm_leak'
+                 WHEN url_typo THEN 'url_typo' WHEN weird_location THEN 'weird_location'
+            END AS reason
+  FROM rules)
+""".format(LEAK=O.q(O.re2_any(P.LLM_LEAK_PATTERNS)))
+
+
+@register("rule_hits", O.with_fixture(_RULES_SQL) + """
+SELECT dataset_id, author_id, CAST(garbled_name AS BIGINT) AS garbled_name,
+  CAST(llm_leak AS BIGINT) AS llm_leak, CAST(url_typo AS BIGINT) AS url_typo,
+  CAST(weird_location AS BIGINT) AS weird_location
+FROM rreason""")
+def q_rule_hits(spark, sf):
+    r = rule_ops.rule_hits(fx.accounts(spark, sf), fx.posts(spark, sf))
+    return shape(r.select(*KEYS, *P.RULE_REASONS))
+
+
+@register("rule_priority", O.with_fixture(_RULES_SQL) + """
+SELECT dataset_id, coalesce(reason, 'none') AS reason, count(*) AS n_accounts
+FROM rreason GROUP BY ALL""")
+def q_rule_priority(spark, sf):
+    r = rule_ops.rule_hits(fx.accounts(spark, sf), fx.posts(spark, sf))
+    return shape(r.groupBy("dataset_id", F.coalesce("reason", F.lit("none")).alias("reason"))
+                 .agg(F.count(F.lit(1)).alias("n_accounts")))

@@ -192,3 +192,129 @@ def post_features_cte(name: str = "pf") -> str:
          CAST(mention_count > 0 AS BIGINT) AS has_mention
   FROM {name}_0)
 """
+
+
+# ---------------------------------------------------------------------------
+# Shared oracle CTEs over eligible posts
+# ---------------------------------------------------------------------------
+
+EPOSTS = """
+eposts AS (
+  SELECT p.* FROM posts p
+  SEMI JOIN accounts a ON a.dataset_id = p.dataset_id AND a.id = p.author_id)
+"""
+
+TEMPORAL = """
+tt AS (SELECT dataset_id, author_id, epoch_us(created_at) AS us, hour(created_at) AS hr
+       FROM eposts),
+td AS (SELECT dataset_id, author_id,
+              us - lag(us) OVER (PARTITION BY dataset_id, author_id ORDER BY us) AS d
+       FROM tt),
+thc AS (SELECT dataset_id, author_id, hr, count(*) AS c FROM tt GROUP BY ALL),
+thp AS (SELECT dataset_id, author_id, count(*) AS n, min(us) AS first_us, max(us) AS last_us,
+               count_if(hr <= 6) AS night
+        FROM tt GROUP BY ALL),
+tent AS (SELECT h.dataset_id, h.author_id,
+                -sum((h.c / p.n) * log2(h.c / p.n)) AS hour_entropy,
+                count(*) AS active_hours
+         FROM thc h JOIN thp p USING (dataset_id, author_id) GROUP BY ALL),
+tds AS (SELECT d.dataset_id, d.author_id,
+               avg(d) / 1e6 AS mean_s, stddev_pop(d) / 1e6 AS std_s,
+               min(d) / 1e6 AS min_s, max(d) / 1e6 AS max_s, median(d) / 1e6 AS med_s,
+               avg(CASE WHEN d < 60000000 THEN 1 ELSE 0 END) AS rapid,
+               avg(CASE WHEN m > 0 AND abs(d - m) < 0.1 * m THEN 1 ELSE 0 END) AS regular
+        FROM (SELECT td.*, (p.last_us - p.first_us) / (p.n - 1) AS m
+              FROM td JOIN thp p USING (dataset_id, author_id)
+              WHERE td.d IS NOT NULL) d
+        GROUP BY ALL),
+temporal AS (
+  SELECT p.dataset_id, p.author_id, p.n,
+    CASE WHEN p.n >= 2 THEN s.mean_s ELSE 0 END AS inter_tweet_mean,
+    CASE WHEN p.n >= 2 THEN s.std_s ELSE 0 END AS inter_tweet_std,
+    CASE WHEN p.n >= 2 THEN s.std_s / greatest(s.mean_s, 1) ELSE 0 END AS inter_tweet_cv,
+    CASE WHEN p.n >= 2 THEN s.min_s ELSE 0 END AS inter_tweet_min,
+    CASE WHEN p.n >= 2 THEN s.max_s ELSE 0 END AS inter_tweet_max,
+    CASE WHEN p.n >= 2 THEN s.med_s ELSE 0 END AS inter_tweet_median,
+    CASE WHEN p.n >= 2 THEN p.n / (greatest((p.last_us - p.first_us) / 1e6, 1) / 3600.0)
+         ELSE 0 END AS posts_per_hour,
+    CASE WHEN p.n >= 2 THEN e.hour_entropy + 0.0 ELSE 0 END AS hour_entropy,
+    CASE WHEN p.n >= 2 THEN p.night / p.n ELSE 0 END AS night_ratio,
+    CASE WHEN p.n >= 2 THEN s.rapid ELSE 0 END AS rapid_fire_ratio,
+    CASE WHEN p.n >= 2 THEN s.regular ELSE 0 END AS regular_interval_ratio,
+    CASE WHEN p.n >= 2 THEN (s.std_s - s.mean_s) / greatest(s.std_s + s.mean_s, 1)
+         ELSE 0 END AS temporal_burstiness,
+    CASE WHEN p.n >= 2 THEN e.active_hours ELSE 1 END AS active_hours,
+    CASE WHEN p.n >= 2 THEN s.max_s / greatest((p.last_us - p.first_us) / 1e6, 1)
+         ELSE 0 END AS max_gap_ratio,
+    CASE WHEN p.n >= 2 THEN greatest((p.last_us - p.first_us) / 1e6, 1) / 3600.0
+         ELSE 0 END AS posting_span_hours
+  FROM thp p LEFT JOIN tds s USING (dataset_id, author_id)
+  LEFT JOIN tent e USING (dataset_id, author_id))
+"""
+
+_PUNCT_SQL = " + ".join(
+    f"max(CASE WHEN contains(t, {q(ch)}) THEN 1 ELSE 0 END)" for ch in P.PUNCTUATION_CHARS)
+
+
+def style_cte() -> str:
+    t = "coalesce(text, '')"
+    mid = r"\p{Ll}\p{Lu}.|.\p{Lu}\p{Ll}"
+    return f"""
+sflags AS (
+  SELECT dataset_id, author_id, post_seq, {t} AS t, length({t}) AS char_len,
+    CAST({has(t, P.FORMAL_PATTERN, True)} AS INT) AS formal,
+    CAST({has(t, P.SLANG_PATTERN, True)} AS INT) AS slang,
+    CAST(regexp_matches({t}, {q('^' + WS + '*(?:just|Just)' + WS + '+' + NWS)}) AS INT) AS just_start,
+    CAST(regexp_matches({t}, {q('[.!?]' + WS + '*$')}) AS INT) AS complete,
+    CAST(contains({t}, 'http') OR contains({t}, 't.co') AS INT) AS has_url_text,
+    CAST({has(t, P.AI_PHRASE_PATTERN, True)} AS INT) AS ai_phrase,
+    CAST(len(list_filter({toks(t)}, lambda w: regexp_matches(w, {q(mid)}))) >= 2 AS INT) AS mid_caps,
+    CAST({has(t, P.GENERIC_LIFE_PATTERN, True)} AS INT) AS generic_life,
+    CAST(length({t}) < 60 AND NOT (contains({t}, 'http') OR contains({t}, '@')
+         OR contains({t}, '#')) AS INT) AS short_generic,
+    nullif(lower(regexp_extract({t}, {q('^' + WS + '*(' + NWS + '+)')}, 1)), '') AS first_word
+  FROM eposts),
+sratio AS (
+  SELECT dataset_id, author_id, count(*) AS n_posts,
+    avg(formal) AS formality_score, avg(slang) AS slang_ratio,
+    avg(just_start) AS just_starter_ratio, avg(complete) AS avg_sentence_completeness,
+    avg(has_url_text) AS url_consistency, avg(ai_phrase) AS ai_phrase_ratio,
+    avg(mid_caps) AS artificial_caps_ratio, avg(generic_life) AS generic_life_ratio,
+    avg(short_generic) AS short_generic_ratio,
+    {_PUNCT_SQL} AS punctuation_diversity,
+    CASE WHEN count(*) >= 2 THEN stddev_pop(char_len) / greatest(avg(char_len), 1) ELSE 0 END
+      AS char_len_cv,
+    avg(char_len) AS len_mean
+  FROM sflags GROUP BY ALL),
+suni AS (
+  SELECT f.dataset_id, f.author_id,
+    CASE WHEN any_value(s.n_posts) >= 2
+         THEN sum(CASE WHEN abs(f.char_len - s.len_mean) < 0.5 * s.len_mean THEN 1 ELSE 0 END)
+              / any_value(s.n_posts)
+         ELSE 1.0 END AS tweet_len_uniformity
+  FROM sflags f JOIN sratio s USING (dataset_id, author_id) GROUP BY ALL),
+sfirst AS (
+  SELECT dataset_id, author_id, count(DISTINCT first_word) / count(*) AS unique_first_words
+  FROM sflags GROUP BY ALL)
+"""
+
+
+def tokens_cte() -> str:
+    return f"""
+tok AS (SELECT dataset_id, author_id, unnest({toks("lower(coalesce(text, ''))")}) AS token
+        FROM eposts),
+tcnt AS (SELECT dataset_id, author_id, token, count(*) AS c FROM tok GROUP BY ALL),
+rich AS (
+  SELECT dataset_id, author_id, count(*) AS vocab, sum(c) AS total,
+    count_if(c = 1) AS hapax, sum(c * c) AS m2,
+    sum(CASE WHEN regexp_full_match(token, '\\p{{L}}+') THEN c ELSE 0 END) AS n_alpha,
+    sum(CASE WHEN regexp_full_match(token, '\\p{{L}}+') THEN c * length(token) ELSE 0 END) AS len_alpha,
+    sum(CASE WHEN regexp_full_match(token, '\\p{{L}}+') AND length(token) > 8 THEN c ELSE 0 END)
+      AS n_long
+  FROM tcnt GROUP BY ALL)
+"""
+
+
+def topics_cte() -> str:
+    rows = ", ".join(f"({q(t)}, {q(w)})" for t, ws in P.TOPIC_KEYWORDS.items() for w in ws)
+    return f"topics(topic, token) AS (VALUES {rows})"
