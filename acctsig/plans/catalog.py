@@ -467,3 +467,60 @@ def q_rule_priority(spark, sf):
     r = rule_ops.rule_hits(fx.accounts(spark, sf), fx.posts(spark, sf))
     return shape(r.groupBy("dataset_id", F.coalesce("reason", F.lit("none")).alias("reason"))
                  .agg(F.count(F.lit(1)).alias("n_accounts")))
+
+
+# ---------------------------------------------------------------------------
+# X: cross-account TF-IDF similarity
+# ---------------------------------------------------------------------------
+
+_TFIDF = O.tfidf_cte()
+
+
+def _tfidf_parts(spark, sf):
+    ep = fixture_eposts(spark, sf)
+    sizes = sim_ops.corpus_sizes(ep)
+    tc = sim_ops.term_counts(ep)
+    vocab = sim_ops.vocabulary(tc, sizes)
+    return ep, sizes, tc, vocab
+
+
+@register("tfidf_vocabulary", O.with_fixture(_EP, _TFIDF) + """
+SELECT dataset_id, term, CAST(idx AS BIGINT) AS idx, CAST(df AS BIGINT) AS df,
+  round(idf, 6) AS idf
+FROM xvocab""")
+def q_tfidf_vocabulary(spark, sf):
+    _, _, _, vocab = _tfidf_parts(spark, sf)
+    return shape(vocab.select("dataset_id", "term", "idx", "df", "idf"))
+
+
+@register("tfidf_weights", O.with_fixture(_EP, _TFIDF) + """
+SELECT dataset_id, author_id, count(*) AS n_terms, round(sum(u), 6) AS sum_weight,
+  round(max(u), 6) AS max_weight, round(sum(u * u), 6) AS sq_norm
+FROM xu GROUP BY ALL""")
+def q_tfidf_weights(spark, sf):
+    _, _, tc, vocab = _tfidf_parts(spark, sf)
+    u = sim_ops.unit_vectors(tc, vocab)
+    return shape(u.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_terms"),
+                                      F.sum("u").alias("sum_weight"),
+                                      F.max("u").alias("max_weight"),
+                                      F.sum(F.col("u") * F.col("u")).alias("sq_norm")))
+
+
+@register("cross_sim_mean", O.with_fixture(_EP, _TFIDF) + """
+SELECT dataset_id, author_id, round(cross_user_sim_mean, 6) AS cross_user_sim_mean FROM xsim""")
+def q_cross_sim_mean(spark, sf):
+    ep, sizes, tc, vocab = _tfidf_parts(spark, sf)
+    units = sim_ops.unit_vectors(tc, vocab)
+    m = sim_ops.similarity_mean(units, sizes)
+    return shape(ep.select(*KEYS).distinct().join(m, KEYS, "left").select(
+        *KEYS, F.coalesce("cross_user_sim_mean", F.lit(0.0)).alias("cross_user_sim_mean")))
+
+
+@register("cross_sim_max", O.with_fixture(_EP, _TFIDF) + """
+SELECT dataset_id, author_id, round(cross_user_sim_max, 6) AS cross_user_sim_max FROM xsim""")
+def q_cross_sim_max(spark, sf):
+    ep, sizes, tc, vocab = _tfidf_parts(spark, sf)
+    units = sim_ops.unit_vectors(tc, vocab)
+    m = sim_ops.similarity_max(units, sizes)
+    return shape(ep.select(*KEYS).distinct().join(m, KEYS, "left").select(
+        *KEYS, F.coalesce("cross_user_sim_max", F.lit(0.0)).alias("cross_user_sim_max")))

@@ -318,3 +318,36 @@ rich AS (
 def topics_cte() -> str:
     rows = ", ".join(f"({q(t)}, {q(w)})" for t, ws in P.TOPIC_KEYWORDS.items() for w in ws)
     return f"topics(topic, token) AS (VALUES {rows})"
+
+
+def tfidf_cte() -> str:
+    return f"""
+xterms AS (SELECT dataset_id, author_id,
+                  unnest(regexp_extract_all(lower(coalesce(text, '')), {q(W + '{2,}')})) AS term
+           FROM eposts),
+xtc AS (SELECT dataset_id, author_id, term, count(*) AS tf FROM xterms GROUP BY ALL),
+xsizes AS (SELECT dataset_id, count(DISTINCT author_id) AS n FROM eposts GROUP BY ALL),
+xst AS (SELECT dataset_id, term, count(*) AS df, sum(tf) AS ctf FROM xtc GROUP BY ALL),
+xkept AS (SELECT xst.*, s.n FROM xst JOIN xsizes s USING (dataset_id)
+          WHERE df >= 2 AND df <= 0.95 * n AND 0.95 * n >= 2),
+xvocab AS (SELECT dataset_id, term, df, rnk - 1 AS idx, ln((1.0 + n) / (1.0 + df)) + 1 AS idf
+           FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id
+                                              ORDER BY ctf DESC, term ASC) AS rnk FROM xkept)
+           WHERE rnk <= 3000),
+xw AS (SELECT t.dataset_id, t.author_id, v.idx, t.tf * v.idf AS w
+       FROM xtc t JOIN xvocab v USING (dataset_id, term)),
+xnrm AS (SELECT dataset_id, author_id, sqrt(sum(w * w)) AS nrm FROM xw GROUP BY ALL),
+xu AS (SELECT w.dataset_id, w.author_id, w.idx, w.w / n.nrm AS u
+       FROM xw w JOIN xnrm n USING (dataset_id, author_id)),
+xpairs AS (SELECT a.dataset_id, a.author_id, b.author_id AS other, sum(a.u * b.u) AS sim
+           FROM xu a JOIN xu b ON a.dataset_id = b.dataset_id AND a.idx = b.idx
+                AND a.author_id <> b.author_id
+           GROUP BY ALL),
+xsim AS (SELECT e.dataset_id, e.author_id,
+                coalesce(sum(p.sim), 0) / any_value(s.n) AS cross_user_sim_mean,
+                coalesce(max(p.sim), 0) AS cross_user_sim_max
+         FROM (SELECT DISTINCT dataset_id, author_id FROM eposts) e
+         JOIN xsizes s USING (dataset_id)
+         LEFT JOIN xpairs p USING (dataset_id, author_id)
+         GROUP BY ALL)
+"""
