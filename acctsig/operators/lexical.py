@@ -36,19 +36,15 @@ MID_CAPS = r"\p{IsLowercase}\p{IsUppercase}.|.\p{IsUppercase}\p{IsLowercase}"
 FIRST_TOKEN = f"^{WS}*({NOT_WS}+)"
 
 
-def post_style_flags(posts: DataFrame, text: str = "text", keys=KEYS,
-                     seq: str = "post_seq") -> DataFrame:
-    """One row per post: the per-post style flags and the first token."""
-    base = posts.select(*keys, F.col(seq).alias("seq"),
-                        F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    base = base.select("*", F.lower("_t").alias("_low"))
-    t, low = F.col("_t"), F.col("_low")
+def style_flag_columns(t: Column, low: Column) -> list[Column]:
+    """Per-post style flags, the first token and 18 punctuation flags.
+
+    ``t`` is the post text ('' for NULL), ``low`` its lower-case form.
+    """
     punct = [F.when(t.contains(ch), F.lit(1)).otherwise(F.lit(0)).alias(f"_p{i}")
              for i, ch in enumerate(P.PUNCTUATION_CHARS)]
     first = F.regexp_extract(t, FIRST_TOKEN, 1)
-    return base.select(
-        *keys, "seq",
-        F.length(t).alias("char_len"),
+    return [
         gated_rlike(t, low, P.FORMAL_PATTERN, True).cast("int").alias("formal"),
         gated_rlike(t, low, P.SLANG_PATTERN, True).cast("int").alias("slang"),
         t.rlike(f"^{WS}*(?:just|Just){WS}+{NOT_WS}").cast("int").alias("just_start"),
@@ -63,7 +59,18 @@ def post_style_flags(posts: DataFrame, text: str = "text", keys=KEYS,
         .alias("short_generic"),
         F.when(first == "", F.lit(None)).otherwise(F.lower(first)).alias("first_word"),
         *punct,
-    )
+    ]
+
+
+def post_style_flags(posts: DataFrame, text: str = "text", keys=KEYS,
+                     seq: str = "post_seq") -> DataFrame:
+    """One row per post: the per-post style flags and the first token."""
+    base = posts.select(*keys, F.col(seq).alias("seq"),
+                        F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    base = base.select("*", F.lower("_t").alias("_low"))
+    t, low = F.col("_t"), F.col("_low")
+    return base.select(*keys, "seq", F.length(t).alias("char_len"),
+                       *style_flag_columns(t, low))
 
 
 def style_ratios(flags: DataFrame, keys=KEYS) -> DataFrame:

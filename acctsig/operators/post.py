@@ -49,11 +49,13 @@ def _gated_count(text: Column, pattern: str, *keys: str) -> Column:
 def post_features(posts: DataFrame, text: str = "text", lang: str = "lang",
                   en_bait: list[str] = P.EN_BAIT_PATTERNS,
                   other_bait: list[str] = P.FR_BAIT_PATTERNS,
-                  generic_hashtags: list[str] = P.GENERIC_HASHTAG_PATTERNS) -> DataFrame:
+                  generic_hashtags: list[str] = P.GENERIC_HASHTAG_PATTERNS,
+                  extra=None) -> DataFrame:
     """Append the 16 numeric post signals and the lower-cased ``hashtags``.
 
     NULL text is treated as ''. All columns are JVM expressions inside one
-    whole-stage-codegen projection.
+    whole-stage-codegen projection. ``extra(text, lower_text)`` may return
+    more per-post columns to compute in the same projection.
     """
     # Shared inputs first: CollapseProject keeps a non-cheap alias that is
     # referenced more than once, so lower() and the hashtag list are computed
@@ -82,6 +84,7 @@ def post_features(posts: DataFrame, text: str = "text", lang: str = "lang",
         generic_hashtag_flag(t, generic_hashtags, low).alias("has_generic_hashtag"),
         count_char(t, "\n").alias("newline_count"),
         F.transform(tags, lambda x: F.lower(x)).alias("hashtags"),
+        *(extra(t, low) if extra is not None else []),
     )
     return df.select(
         "*",

@@ -524,3 +524,89 @@ def q_cross_sim_max(spark, sf):
     m = sim_ops.similarity_max(units, sizes)
     return shape(ep.select(*KEYS).distinct().join(m, KEYS, "left").select(
         *KEYS, F.coalesce("cross_user_sim_max", F.lit(0.0)).alias("cross_user_sim_max")))
+
+
+# ---------------------------------------------------------------------------
+# F: assembly, labels
+# ---------------------------------------------------------------------------
+
+from acctsig.operators import assemble as asm  # noqa: E402
+
+_PFE_ALL = O.post_features_cte("pf").replace("FROM posts p)", "FROM eposts p)")
+_FM_CTES = [_EP, _PFE_ALL, O.rollup_cte(post_ops.POST_NUMERIC, rollup_ops.DISPERSION),
+            O.HASHTAGS, O.TEMPORAL, O.style_cte(), O.tokens_cte(), O.RICH, O.topics_cte(),
+            O.TOPICF, O.RN, O.jaccard_cte(), O.bigram_cte(), _PROFILE_SQL, O.tfidf_cte()]
+
+
+def _fm_source(c: str) -> str:
+    if c in asm.ROLLUP_COLUMNS:
+        return f"r.{c}"
+    if c in prof_ops.PROFILE_COLUMNS:
+        return f"p.{c}"
+    if c in temp_ops.TEMPORAL_COLUMNS:
+        return f"t.{c}"
+    if c in asm.HASHTAG_COLUMNS:
+        return f"h.{c}"
+    if c in asm.CROSS_COLUMNS:
+        return f"x.{c}"
+    if c == "entropy_volume_interaction":
+        return "t.hour_entropy * p.tweet_count"
+    return {"ttr": "rc.ttr", "hapax_ratio": "rc.hapax_ratio",
+            "vocab_richness": "rc.vocab_richness", "avg_word_len": "rc.avg_word_len",
+            "long_word_ratio": "rc.long_word_ratio",
+            "content_jaccard_mean": "jc.content_jaccard_mean",
+            "content_jaccard_std": "jc.content_jaccard_std",
+            "unique_first_words": "f.unique_first_words",
+            "repeated_phrase_ratio": "bg.repeated_phrase_ratio",
+            "topic_diversity": "tp.topic_diversity",
+            "tweet_len_uniformity": "u.tweet_len_uniformity"}.get(c, f"s.{c}")
+
+
+def _fm_select() -> str:
+    out = []
+    for c in asm.FEATURE_COLUMNS:
+        d = "-10000.0" if c == "vocab_richness" else "0"
+        e = f"CAST(coalesce({_fm_source(c)}, {d}) AS DOUBLE)"
+        out.append(f"{e} AS {c}" if c in UNROUNDED else f"round({e}, 6) AS {c}")
+    return ",\n  ".join(out)
+
+
+def _on(a: str) -> str:
+    return f"{a}.dataset_id = p.dataset_id AND {a}.author_id = p.id"
+
+
+FEATURE_MATRIX_SQL = O.with_fixture(*_FM_CTES) + f"""
+SELECT p.dataset_id, p.id AS author_id,
+  {_fm_select()},
+  CAST(CASE WHEN l.author_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS label
+FROM prof p
+LEFT JOIN rollf r ON {_on('r')} LEFT JOIN temporal t ON {_on('t')}
+LEFT JOIN sratio s ON {_on('s')} LEFT JOIN suni u ON {_on('u')}
+LEFT JOIN sfirst f ON {_on('f')} LEFT JOIN richf rc ON {_on('rc')}
+LEFT JOIN topicf tp ON {_on('tp')} LEFT JOIN jacf jc ON {_on('jc')}
+LEFT JOIN bigf bg ON {_on('bg')} LEFT JOIN htagf h ON {_on('h')}
+LEFT JOIN xsim x ON {_on('x')} LEFT JOIN labels_fx l ON {_on('l')}
+"""
+
+
+def fixture_feature_matrix(spark: SparkSession, sf: str, reuse_mode: str | None = "persist",
+                           with_rules: bool = False) -> DataFrame:
+    return asm.feature_matrix(spark, fx.accounts(spark, sf), fx.posts(spark, sf),
+                              fx.labels(spark, sf), reuse_mode=reuse_mode,
+                              with_rules=with_rules)
+
+
+@register("feature_matrix", FEATURE_MATRIX_SQL)
+def q_feature_matrix(spark, sf):
+    fm = fixture_feature_matrix(spark, sf)
+    return shape(fm.select(*KEYS, *asm.FEATURE_COLUMNS, "label"))
+
+
+@register("label_join", O.with_fixture(_EP) + """
+SELECT e.dataset_id, e.author_id,
+  CAST(CASE WHEN l.author_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS label
+FROM (SELECT DISTINCT dataset_id, author_id FROM eposts) e
+LEFT JOIN labels_fx l USING (dataset_id, author_id)""")
+def q_label_join(spark, sf):
+    e = fixture_eposts(spark, sf).select(*KEYS).distinct()
+    return shape(asm.attach_labels(e, fx.labels(spark, sf)))

@@ -351,3 +351,91 @@ xsim AS (SELECT e.dataset_id, e.author_id,
          LEFT JOIN xpairs p USING (dataset_id, author_id)
          GROUP BY ALL)
 """
+
+
+RN = """
+rn AS (SELECT dataset_id, author_id, text,
+              row_number() OVER (PARTITION BY dataset_id, author_id ORDER BY post_seq) AS rn
+       FROM eposts)
+"""
+
+
+def jaccard_cte() -> str:
+    return f"""
+ts AS (SELECT dataset_id, author_id, rn,
+              list_distinct({toks("lower(coalesce(text, ''))")}) AS ws FROM rn WHERE rn <= 41),
+jp AS (SELECT a.dataset_id, a.author_id,
+              len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) AS j
+       FROM ts a JOIN ts b ON a.dataset_id = b.dataset_id AND a.author_id = b.author_id
+            AND b.rn = a.rn + 1
+       WHERE a.rn <= 40 AND len(list_distinct(list_concat(a.ws, b.ws))) > 0),
+jacf AS (SELECT a.dataset_id, a.author_id,
+                coalesce(avg(j), 0) AS content_jaccard_mean,
+                coalesce(stddev_pop(j), 0) AS content_jaccard_std
+         FROM (SELECT DISTINCT dataset_id, author_id FROM eposts) a
+         LEFT JOIN jp USING (dataset_id, author_id) GROUP BY ALL)
+"""
+
+
+def bigram_cte() -> str:
+    return f"""
+tk AS (SELECT dataset_id, author_id, rn, {toks("lower(coalesce(text, ''))")} AS w
+       FROM rn WHERE rn <= 34),
+bg AS (SELECT dataset_id, author_id, rn,
+              list_distinct(list_transform(range(1, len(w)),
+                                           lambda i: w[i] || ' ' || w[i + 1])) AS b
+       FROM tk),
+cmp AS (SELECT a.dataset_id, a.author_id, len(list_intersect(a.b, c.b)) AS ov
+        FROM bg a JOIN bg c ON a.dataset_id = c.dataset_id AND a.author_id = c.author_id
+             AND c.rn BETWEEN a.rn + 1 AND a.rn + 4
+        WHERE a.rn <= 30 AND len(a.b) > 0 AND len(c.b) > 0),
+bigf AS (SELECT a.dataset_id, a.author_id,
+                coalesce(sum(ov), 0) / greatest(count(ov), 1) AS repeated_phrase_ratio
+         FROM (SELECT DISTINCT dataset_id, author_id FROM eposts) a
+         LEFT JOIN cmp USING (dataset_id, author_id) GROUP BY ALL)
+"""
+
+
+HASHTAGS = """
+htagf AS (
+  SELECT b.dataset_id, b.author_id, b.total AS total_hashtags,
+    coalesce(u.uq, 0) AS unique_hashtags,
+    coalesce(u.uq, 0) / greatest(b.total, 1) AS hashtag_diversity,
+    b.total / b.n AS hashtag_per_post, b.mx AS max_hashtags_per_tweet,
+    b.w / b.n AS hashtag_post_ratio
+  FROM (SELECT dataset_id, author_id, count(*) AS n, sum(hashtag_count) AS total,
+               max(hashtag_count) AS mx, sum(has_hashtag) AS w FROM pf GROUP BY ALL) b
+  LEFT JOIN (SELECT dataset_id, author_id, count(DISTINCT tag) AS uq
+             FROM (SELECT dataset_id, author_id, unnest(hashtags) AS tag FROM pf) GROUP BY ALL) u
+  USING (dataset_id, author_id))
+"""
+
+RICH = """
+richf AS (
+  SELECT dataset_id, author_id,
+    vocab / greatest(total, 1) AS ttr,
+    hapax / greatest(vocab, 1) AS hapax_ratio,
+    10000.0 * (m2 - greatest(total, 1)) / greatest(greatest(total, 1) * greatest(total, 1), 1)
+      AS vocab_richness,
+    CASE WHEN n_alpha > 0 THEN len_alpha / n_alpha ELSE 0 END AS avg_word_len,
+    n_long / greatest(n_alpha, 1) AS long_word_ratio
+  FROM rich)
+"""
+
+TOPICF = """
+topicf AS (
+  SELECT a.dataset_id, a.author_id, coalesce(h.nt, 0) / 7.0 AS topic_diversity
+  FROM (SELECT DISTINCT dataset_id, author_id FROM tcnt) a
+  LEFT JOIN (SELECT dataset_id, author_id, count(DISTINCT topic) AS nt
+             FROM tcnt JOIN topics USING (token) GROUP BY ALL) h USING (dataset_id, author_id))
+"""
+
+
+def rollup_cte(numeric: list[str], dispersion: tuple[str, ...]) -> str:
+    cols = []
+    for k in numeric:
+        cols += [f"avg({k}) AS {k}_mean", f"sum({k}) AS {k}_sum"]
+        if k in dispersion:
+            cols += [f"stddev_pop({k}) AS {k}_std", f"max({k}) AS {k}_max"]
+    return ("rollf AS (SELECT dataset_id, author_id, count(*) AS n_posts, "
+            + ", ".join(cols) + " FROM pf GROUP BY ALL)")
