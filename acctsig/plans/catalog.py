@@ -610,3 +610,198 @@ LEFT JOIN labels_fx l USING (dataset_id, author_id)""")
 def q_label_join(spark, sf):
     e = fixture_eposts(spark, sf).select(*KEYS).distinct()
     return shape(asm.attach_labels(e, fx.labels(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# Deterministic scoring chain
+#
+# A deterministic three-component score per account (shares of posts with a
+# link, a '#', an '@') stands in for the three learners' probabilities, so
+# the blend, sweep, threshold, confusion, histogram and detection operators
+# are compared with SQL exactly. The learners themselves are below.
+# ---------------------------------------------------------------------------
+
+from acctsig.operators import evaluate as ev_ops  # noqa: E402
+from acctsig.operators import learn as ml_ops  # noqa: E402
+
+_THR = ev_ops.sweep_thresholds()
+_THR_SQL = ", ".join(f"({i}, CAST('{t!r}' AS DOUBLE))" for i, t in enumerate(_THR))
+_WA, _WB, _WC = P.BLEND_WEIGHTS
+
+_SCORE_SQL = f"""
+hcomp AS (
+  SELECT dataset_id, author_id, max(lang) AS lang,
+    avg(CASE WHEN contains(coalesce(text, ''), 'http') OR contains(coalesce(text, ''), 't.co')
+             THEN 1 ELSE 0 END) AS p_a,
+    avg(CASE WHEN contains(coalesce(text, ''), '#') THEN 1 ELSE 0 END) AS p_b,
+    avg(CASE WHEN contains(coalesce(text, ''), '@') THEN 1 ELSE 0 END) AS p_c
+  FROM eposts GROUP BY ALL),
+hscore AS (
+  SELECT h.*, CASE WHEN l.author_id IS NULL THEN 0 ELSE 1 END AS label,
+    {_WA!r} * p_a + {_WB!r} * p_b + {_WC!r} * p_c AS probability
+  FROM hcomp h LEFT JOIN labels_fx l USING (dataset_id, author_id)),
+thr(idx, threshold) AS (VALUES {_THR_SQL}),
+sweep AS (
+  SELECT h.lang, t.idx, t.threshold,
+    CAST(count_if(h.probability >= t.threshold AND h.label = 1) AS BIGINT) AS tp,
+    CAST(count_if(h.probability < t.threshold AND h.label = 1) AS BIGINT) AS fn,
+    CAST(count_if(h.probability >= t.threshold AND h.label = 0) AS BIGINT) AS fp,
+    CAST(count_if(h.probability < t.threshold AND h.label = 0) AS BIGINT) AS tn
+  FROM hscore h JOIN thr t ON TRUE GROUP BY ALL),
+best AS (
+  SELECT * FROM (SELECT *, 4 * tp - fn - 2 * fp AS score,
+                        row_number() OVER (PARTITION BY lang ORDER BY 4 * tp - fn - 2 * fp DESC,
+                                           idx ASC) AS r FROM sweep) WHERE r = 1),
+hpred AS (
+  SELECT h.*, CASE WHEN h.probability >= b.threshold THEN 1 ELSE 0 END AS prediction
+  FROM hscore h JOIN best b USING (lang))
+"""
+
+
+def fixture_scores(spark: SparkSession, sf: str) -> DataFrame:
+    ep = fixture_eposts(spark, sf)
+    t = F.coalesce(F.col("text"), F.lit(""))
+    comp = ep.groupBy(*KEYS).agg(
+        F.max("lang").alias("lang"),
+        F.avg((t.contains("http") | t.contains("t.co")).cast("int")).alias("p_a"),
+        F.avg(t.contains("#").cast("int")).alias("p_b"),
+        F.avg(t.contains("@").cast("int")).alias("p_c"))
+    lab = asm.attach_labels(comp, fx.labels(spark, sf))
+    return lab.withColumn("probability",
+                          ml_ops.blend_columns([F.col("p_a"), F.col("p_b"), F.col("p_c")]))
+
+
+def fixture_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    s = fixture_scores(spark, sf)
+    best = ev_ops.best_threshold(ev_ops.threshold_sweep(s, by=["lang"]), by=["lang"])
+    return (s.join(best.select("lang", "threshold"), "lang")
+            .withColumn("prediction", (F.col("probability") >= F.col("threshold")).cast("int")))
+
+
+_EVAL = O.with_fixture(_EP, _SCORE_SQL)
+
+
+@register("stratified_folds", O.with_fixture(_EP, _SCORE_SQL) + """
+SELECT dataset_id, author_id, lang, CAST(label AS BIGINT) AS label,
+  CAST((row_number() OVER (PARTITION BY lang, label
+        ORDER BY md5(concat_ws('|', '42', CAST(dataset_id AS VARCHAR), CAST(author_id AS VARCHAR))),
+                 dataset_id, author_id) - 1) % 5 AS BIGINT) AS fold
+FROM hscore""")
+def q_stratified_folds(spark, sf):
+    s = fixture_scores(spark, sf)
+    f = ml_ops.stratified_folds(s, 5, 42, by=["lang"])
+    return shape(f.select(*KEYS, "lang", "label", "fold"))
+
+
+@register("class_weight", _EVAL + """
+SELECT lang, CAST(count_if(label = 1) AS BIGINT) AS positives, CAST(count_if(label = 0) AS BIGINT) AS negatives,
+  round(CAST(count_if(label = 0) AS BIGINT) / greatest(CAST(count_if(label = 1) AS BIGINT), 1), 6) AS pos_weight
+FROM hscore GROUP BY ALL""")
+def q_class_weight(spark, sf):
+    s = fixture_scores(spark, sf)
+    return shape(s.groupBy("lang").agg(
+        F.count_if(F.col("label") == 1).alias("positives"),
+        F.count_if(F.col("label") == 0).alias("negatives")).select(
+        "*", (F.col("negatives") / F.greatest(F.col("positives"), F.lit(1))).alias("pos_weight")))
+
+
+@register("blend", _EVAL + """
+SELECT dataset_id, author_id, round(probability, 6) AS probability FROM hscore""")
+def q_blend(spark, sf):
+    return shape(fixture_scores(spark, sf).select(*KEYS, "probability"))
+
+
+@register("threshold_sweep", _EVAL + """
+SELECT lang, CAST(idx AS BIGINT) AS idx, round(threshold, 6) AS threshold,
+  CAST(4 * tp - fn - 2 * fp AS BIGINT) AS score, tp, fn, fp, tn
+FROM sweep""")
+def q_threshold_sweep(spark, sf):
+    return shape(ev_ops.threshold_sweep(fixture_scores(spark, sf), by=["lang"]))
+
+
+@register("best_threshold", _EVAL + """
+SELECT lang, CAST(idx AS BIGINT) AS idx, round(threshold, 6) AS threshold,
+  CAST(score AS BIGINT) AS score FROM best""")
+def q_best_threshold(spark, sf):
+    b = ev_ops.best_threshold(ev_ops.threshold_sweep(fixture_scores(spark, sf), by=["lang"]),
+                              by=["lang"])
+    return shape(b.select("lang", "idx", "threshold", "score"))
+
+
+@register("confusion_score", _EVAL + """
+SELECT lang, CAST(count_if(prediction = 1 AND label = 1) AS BIGINT) AS tp,
+  CAST(count_if(prediction = 0 AND label = 1) AS BIGINT) AS fn, CAST(count_if(prediction = 1 AND label = 0) AS BIGINT) AS fp,
+  CAST(count_if(prediction = 0 AND label = 0) AS BIGINT) AS tn,
+  CAST(4 * CAST(count_if(prediction = 1 AND label = 1) AS BIGINT) - CAST(count_if(prediction = 0 AND label = 1) AS BIGINT)
+       - 2 * CAST(count_if(prediction = 1 AND label = 0) AS BIGINT) AS BIGINT) AS score,
+  round(CAST(count_if(prediction = 1 AND label = 1) AS BIGINT)
+        / greatest(CAST(count_if(prediction = 1) AS BIGINT), 1), 6) AS precision,
+  round(CAST(count_if(prediction = 1 AND label = 1) AS BIGINT) / greatest(CAST(count_if(label = 1) AS BIGINT), 1), 6) AS recall,
+  round(CAST(count_if(prediction = label) AS BIGINT) / greatest(count(*), 1), 6) AS accuracy,
+  CAST(4 * CAST(count_if(label = 1) AS BIGINT) AS BIGINT) AS max_score,
+  round((4 * CAST(count_if(prediction = 1 AND label = 1) AS BIGINT) - CAST(count_if(prediction = 0 AND label = 1) AS BIGINT)
+        - 2 * CAST(count_if(prediction = 1 AND label = 0) AS BIGINT)) / (4 * greatest(CAST(count_if(label = 1) AS BIGINT), 1)), 6)
+    AS share_of_max
+FROM hpred GROUP BY ALL""")
+def q_confusion_score(spark, sf):
+    c = ev_ops.confusion(fixture_predictions(spark, sf), by=["lang"])
+    return shape(c.withColumn("share_of_max",
+                              ev_ops.share_of_max(F.col("score"), F.col("tp") + F.col("fn"))))
+
+
+@register("score_histogram", _EVAL.rstrip() + """
+, st AS (SELECT lang, label, count(*) AS n,
+               CASE WHEN min(probability) = max(probability) THEN min(probability) - 0.5
+                    ELSE min(probability) END AS lo,
+               CASE WHEN min(probability) = max(probability) THEN max(probability) + 0.5
+                    ELSE max(probability) END AS hi
+        FROM hscore GROUP BY ALL),
+hb AS (SELECT h.lang, h.label, s.n, s.lo, s.hi,
+              CAST(least(floor((h.probability - s.lo) * 30 / (s.hi - s.lo)), 29) AS INT) AS bin
+       FROM hscore h JOIN st s USING (lang, label))
+SELECT lang, CAST(label AS BIGINT) AS label, CAST(bin AS BIGINT) AS bin, count(*) AS count,
+  round(any_value(lo) + bin * (any_value(hi) - any_value(lo)) / 30, 6) AS bin_lo,
+  round(count(*) / (any_value(n) * (any_value(hi) - any_value(lo)) / 30), 6) AS density
+FROM hb GROUP BY lang, label, bin""")
+def q_score_histogram(spark, sf):
+    h = ev_ops.score_histogram(fixture_scores(spark, sf), by=["lang"])
+    return shape(h)
+
+
+@register("detection_union", O.with_fixture(_EP, _SCORE_SQL, _RULES_SQL) + """
+SELECT coalesce(r.dataset_id, m.dataset_id) AS dataset_id,
+  coalesce(r.author_id, m.author_id) AS author_id,
+  CAST(r.author_id IS NOT NULL AS BIGINT) AS rule_hit,
+  CAST(m.author_id IS NOT NULL AS BIGINT) AS model_hit
+FROM (SELECT dataset_id, author_id FROM rreason WHERE reason IS NOT NULL) r
+FULL OUTER JOIN (SELECT dataset_id, author_id FROM hpred WHERE prediction = 1) m
+  ON r.dataset_id = m.dataset_id AND r.author_id = m.author_id""")
+def q_detection_union(spark, sf):
+    rules = rule_ops.rule_hits(fx.accounts(spark, sf), fx.posts(spark, sf))
+    return shape(rule_ops.detection_union(rules, fixture_predictions(spark, sf)))
+
+
+@register("detection_summary", O.with_fixture(_EP, _SCORE_SQL, _RULES_SQL).rstrip() + """
+, det AS (
+  SELECT coalesce(r.dataset_id, m.dataset_id) AS dataset_id,
+         coalesce(r.author_id, m.author_id) AS author_id,
+         r.author_id IS NOT NULL AS rule_hit, m.author_id IS NOT NULL AS model_hit
+  FROM (SELECT dataset_id, author_id FROM rreason WHERE reason IS NOT NULL) r
+  FULL OUTER JOIN (SELECT dataset_id, author_id FROM hpred WHERE prediction = 1) m
+    ON r.dataset_id = m.dataset_id AND r.author_id = m.author_id)
+SELECT a.dataset_id, a.users AS accounts, coalesce(d.automated, 0) AS automated,
+  a.users - coalesce(d.automated, 0) AS human,
+  coalesce(d.model_hits, 0) AS model_hits, coalesce(d.rule_hits, 0) AS rule_hits,
+  coalesce(d.rule_only, 0) AS rule_only
+FROM (SELECT dataset_id, count(*) AS users FROM accounts GROUP BY ALL) a
+LEFT JOIN (SELECT dataset_id, count(*) AS automated, CAST(count_if(model_hit) AS BIGINT) AS model_hits,
+                  CAST(count_if(rule_hit) AS BIGINT) AS rule_hits, CAST(count_if(rule_hit AND NOT model_hit) AS BIGINT) AS rule_only
+           FROM det GROUP BY ALL) d USING (dataset_id)""")
+def q_detection_summary(spark, sf):
+    acc = fx.accounts(spark, sf)
+    rules = rule_ops.rule_hits(acc, fx.posts(spark, sf))
+    det = rule_ops.detection_union(rules, fixture_predictions(spark, sf))
+    summ = ev_ops.detection_summary(det, acc)
+    rs = src.run_summary(acc, det)
+    return shape(summ.join(rs.select("dataset_id", "model_hits", "rule_hits", "rule_only"),
+                           "dataset_id", "left").na.fill(0))
