@@ -36,6 +36,14 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
     while i < n:
         c = pattern[i]
         if c == "\\" and i + 1 < n and pattern[i + 1] == "b" and not in_class:
+            nxt = pattern[i + 2] if i + 2 < n else ""
+            after = pattern[i + 3] if i + 3 < n else ""
+            if _word_lit(nxt) and after not in "?*+{":
+                # literal first, then look back past it: most positions fail
+                # on one character compare instead of a class look-behind
+                out.append(nxt + f"(?<!{W}[\\s\\S])")
+                i += 3
+                continue
             out.append(_boundary(pattern, i))
             i += 2
             continue
@@ -334,11 +342,35 @@ def gated_rlike(text: Column, low: Column, pattern: str,
     return gate & rx
 
 
+def alternatives(p: str) -> list[str]:
+    """Split a search pattern into alternatives with the same meaning for
+    ``re.search``: top-level ``|``, a group spanning the whole pattern, and
+    ``\\b(a|b)\\b`` (boundaries distributed over the words)."""
+    top = _split_top(p)
+    if len(top) > 1:
+        return [a for t in top for a in alternatives(t)]
+    pre, post, body = "", "", p
+    if body.startswith(r"\b("):
+        pre, body = r"\b", body[2:]
+    if body.endswith(r")\b"):
+        post, body = r"\b", body[:-2]
+    if body.startswith("(") and _group_end(body, 0) == len(body) - 1:
+        inner = body[1:-1]
+        if inner.startswith("?:"):
+            inner = inner[2:]
+        alts = _split_top(inner)
+        if len(alts) > 1:
+            return [a for x in alts for a in alternatives(pre + x + post)]
+    return [p]
+
+
 def gated_any(text: Column, low: Column, patterns: list[str],
               ignore_case: bool = False) -> Column:
-    """``any(re.search(p, s) for p in patterns)`` with per-pattern gates."""
+    """``any(re.search(p, s) for p in patterns)``: every alternative of
+    every pattern is its own small regex behind its own literal gate."""
     out = None
     for p in patterns:
-        g = gated_rlike(text, low, p, ignore_case)
-        out = g if out is None else (out | g)
+        for a in alternatives(p):
+            g = gated_rlike(text, low, a, ignore_case)
+            out = g if out is None else (out | g)
     return out

@@ -66,8 +66,8 @@ def post_signals(eposts: DataFrame, text: str = "text", lang: str = "lang",
     return pf.drop(text, lang)
 
 
-def _extra_flags(t, low):
-    return lex.style_flag_columns(t, low) + rule_ops.rule_flag_columns(t, low)
+def _extra_flags(t, low, tok):
+    return lex.style_flag_columns(t, low, tok) + rule_ops.rule_flag_columns(t, low)
 
 
 def account_aggregates(sig: DataFrame, keys=KEYS) -> DataFrame:

@@ -14,6 +14,8 @@ Default boosting length is short (``FAST``); ``REFERENCE`` is the original
 
 from __future__ import annotations
 
+import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -91,11 +93,31 @@ def _learners(weight: float, preset: dict):
     return out
 
 
+# Concurrent fits: independent MLlib fits are submitted from driver threads
+# (as CrossValidator's ``parallelism`` does), so small fits share the cluster.
+PARALLELISM = 8
+ROWS_PER_PARTITION = 50_000
+
+
+def _pmap(fn, items):
+    items = list(items)
+    with ThreadPoolExecutor(max_workers=max(1, min(PARALLELISM, len(items)))) as ex:
+        return list(ex.map(fn, items))
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Training input with partitions sized to the rows (few for small data)."""
+    n = df.count()
+    sc = df.sparkSession.sparkContext
+    parts = max(1, min(sc.defaultParallelism, math.ceil(n / ROWS_PER_PARTITION)))
+    return df.repartition(parts).cache() if parts != df.rdd.getNumPartitions() else df
+
+
 def fit(train: DataFrame, preset: dict = FAST, lang: str = "en") -> Ensemble:
     """M1–M3, M8: fit the three learners on a vectorised training frame."""
     wt = class_weight(train)
     data = train.withColumn("w", F.when(F.col("label") == 1, F.lit(wt)).otherwise(F.lit(1.0)))
-    return Ensemble([m.fit(data) for m in _learners(wt, preset)], lang=lang)
+    return Ensemble(_pmap(lambda m: m.fit(data), _learners(wt, preset)), lang=lang)
 
 
 def blend(ens: Ensemble, df: DataFrame, out: str = "probability") -> DataFrame:
@@ -132,10 +154,10 @@ def out_of_fold(df: DataFrame, preset: dict = FAST, k: int = 5, seed: int = 42,
                 lang: str = "en") -> DataFrame:
     """M6: every row scored by learners fitted without its fold."""
     folded = stratified_folds(df, k, seed).cache()
-    parts = []
-    for f in range(k):
-        ens = fit(folded.where(F.col("fold") != f), preset, lang)
-        parts.append(blend(ens, folded.where(F.col("fold") == f)))
+    fold_data = [(folded.where(F.col("fold") != f).cache(), folded.where(F.col("fold") == f))
+                 for f in range(k)]
+    models = _pmap(lambda fd: fit(fd[0], preset, lang), fold_data)
+    parts = [blend(ens, fd[1]) for ens, fd in zip(models, fold_data)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -148,9 +170,10 @@ def train(spark: SparkSession, features: DataFrame, preset: dict = FAST,
 
     Returns the ensemble and the out-of-fold scores.
     """
-    data = vectorize(features).select("dataset_id", "author_id", "label", "features").cache()
-    ens = fit(data, preset, lang)
-    oof = out_of_fold(data, preset, lang=lang).cache()
+    data = sized(vectorize(features).select("dataset_id", "author_id", "label", "features")
+                 .cache())
+    ens, oof = _pmap(lambda job: job(), [lambda: fit(data, preset, lang),
+                                         lambda: out_of_fold(data, preset, lang=lang).cache()])
     best = ev.best_threshold(ev.threshold_sweep(oof)).first()
     ens.threshold = float(best["threshold"])
     return ens, oof

@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acctsig.functions import patterns as P
-from acctsig.functions.text import (NOT_WS, WS, gated_rlike, java_regex, safe_div,
-                                    tokens)
+from acctsig.functions.text import NOT_WS, WS, gated_any, safe_div, tokens
 
 KEYS = ("dataset_id", "author_id")
 LEXICAL_COLUMNS = [
@@ -36,24 +35,30 @@ MID_CAPS = r"\p{IsLowercase}\p{IsUppercase}.|.\p{IsUppercase}\p{IsLowercase}"
 FIRST_TOKEN = f"^{WS}*({NOT_WS}+)"
 
 
-def style_flag_columns(t: Column, low: Column) -> list[Column]:
+def mid_caps_flag(tok: Column) -> Column:
+    """1 when >= 2 whitespace tokens have an interior capital next to a
+    lower-case letter; ``tok`` must be a token-array column."""
+    return (F.size(F.filter(tok, lambda w: w.rlike(MID_CAPS))) >= 2).cast("int")
+
+
+def style_flag_columns(t: Column, low: Column, tok: Column) -> list[Column]:
     """Per-post style flags, the first token and 18 punctuation flags.
 
-    ``t`` is the post text ('' for NULL), ``low`` its lower-case form.
+    ``t`` is the post text ('' for NULL), ``low`` its lower-case form and
+    ``tok`` its whitespace tokens (all three as columns, computed once).
     """
     punct = [F.when(t.contains(ch), F.lit(1)).otherwise(F.lit(0)).alias(f"_p{i}")
              for i, ch in enumerate(P.PUNCTUATION_CHARS)]
     first = F.regexp_extract(t, FIRST_TOKEN, 1)
     return [
-        gated_rlike(t, low, P.FORMAL_PATTERN, True).cast("int").alias("formal"),
-        gated_rlike(t, low, P.SLANG_PATTERN, True).cast("int").alias("slang"),
+        gated_any(t, low, [P.FORMAL_PATTERN], True).cast("int").alias("formal"),
+        gated_any(t, low, [P.SLANG_PATTERN], True).cast("int").alias("slang"),
         t.rlike(f"^{WS}*(?:just|Just){WS}+{NOT_WS}").cast("int").alias("just_start"),
         t.rlike(f"[.!?]{WS}*\\z").cast("int").alias("complete"),
         (t.contains("http") | t.contains("t.co")).cast("int").alias("has_url_text"),
-        gated_rlike(t, low, P.AI_PHRASE_PATTERN, True).cast("int").alias("ai_phrase"),
-        (F.size(F.filter(tokens(t), lambda w: w.rlike(MID_CAPS))) >= 2).cast("int")
-        .alias("mid_caps"),
-        gated_rlike(t, low, P.GENERIC_LIFE_PATTERN, True).cast("int").alias("generic_life"),
+        gated_any(t, low, [P.AI_PHRASE_PATTERN], True).cast("int").alias("ai_phrase"),
+        mid_caps_flag(tok).alias("mid_caps"),
+        gated_any(t, low, [P.GENERIC_LIFE_PATTERN], True).cast("int").alias("generic_life"),
         ((F.length(t) < P.SHORT_POST_LEN) &
          ~(t.contains("http") | t.contains("@") | t.contains("#"))).cast("int")
         .alias("short_generic"),
@@ -67,10 +72,10 @@ def post_style_flags(posts: DataFrame, text: str = "text", keys=KEYS,
     """One row per post: the per-post style flags and the first token."""
     base = posts.select(*keys, F.col(seq).alias("seq"),
                         F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    base = base.select("*", F.lower("_t").alias("_low"))
+    base = base.select("*", F.lower("_t").alias("_low"), tokens(F.col("_t")).alias("_tok"))
     t, low = F.col("_t"), F.col("_low")
     return base.select(*keys, "seq", F.length(t).alias("char_len"),
-                       *style_flag_columns(t, low))
+                       *style_flag_columns(t, low, F.col("_tok")))
 
 
 def style_ratios(flags: DataFrame, keys=KEYS) -> DataFrame:

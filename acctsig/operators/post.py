@@ -54,7 +54,7 @@ def post_features(posts: DataFrame, text: str = "text", lang: str = "lang",
     """Append the 16 numeric post signals and the lower-cased ``hashtags``.
 
     NULL text is treated as ''. All columns are JVM expressions inside one
-    whole-stage-codegen projection. ``extra(text, lower_text)`` may return
+    whole-stage-codegen projection. ``extra(text, lower_text, tokens)`` may return
     more per-post columns to compute in the same projection.
     """
     # Shared inputs first: CollapseProject keeps a non-cheap alias that is
@@ -63,8 +63,9 @@ def post_features(posts: DataFrame, text: str = "text", lang: str = "lang",
     base = posts.select("*", F.coalesce(F.col(text), F.lit("")).alias("_t"))
     base = base.select(
         "*", F.lower("_t").alias("_low"),
-        F.regexp_extract_all("_t", F.lit(java_regex(P.HASHTAG_PATTERN)), 0).alias("_tags"))
-    t, low, tags = F.col("_t"), F.col("_low"), F.col("_tags")
+        F.regexp_extract_all("_t", F.lit(java_regex(P.HASHTAG_PATTERN)), 0).alias("_tags"),
+        tokens(F.col("_t")).alias("_tok"))
+    t, low, tags, tok = F.col("_t"), F.col("_low"), F.col("_tags"), F.col("_tok")
     # Python str.isalpha / str.isupper per character.
     alpha = F.length(F.regexp_replace(t, r"\P{L}+", ""))
     upper = F.length(F.regexp_replace(t, r"\P{IsUppercase}+", ""))
@@ -75,7 +76,7 @@ def post_features(posts: DataFrame, text: str = "text", lang: str = "lang",
         _gated_count(t, P.MENTION_PATTERN, "@").alias("mention_count"),
         count_matches(t, P.EMOJI_PATTERN).alias("emoji_count"),
         F.length(t).alias("char_len"),
-        F.size(tokens(t)).alias("word_count"),
+        F.size(tok).alias("word_count"),
         safe_div(upper, alpha).alias("caps_ratio"),
         count_char(t, "!").alias("excl_count"),
         count_char(t, "?").alias("quest_count"),
@@ -84,7 +85,7 @@ def post_features(posts: DataFrame, text: str = "text", lang: str = "lang",
         generic_hashtag_flag(t, generic_hashtags, low).alias("has_generic_hashtag"),
         count_char(t, "\n").alias("newline_count"),
         F.transform(tags, lambda x: F.lower(x)).alias("hashtags"),
-        *(extra(t, low) if extra is not None else []),
+        *(extra(t, low, tok) if extra is not None else []),
     )
     return df.select(
         "*",

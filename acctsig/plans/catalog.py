@@ -805,3 +805,55 @@ def q_detection_summary(spark, sf):
     rs = src.run_summary(acc, det)
     return shape(summ.join(rs.select("dataset_id", "model_hits", "rule_hits", "rule_only"),
                            "dataset_id", "left").na.fill(0))
+
+
+# ---------------------------------------------------------------------------
+# M: the learned ensemble (rows-only: MLlib training is not SQL)
+# ---------------------------------------------------------------------------
+
+from acctsig.plans import job as job_ops  # noqa: E402
+
+# Short boosting for the registered queries; the original lengths are the
+# ``learn.REFERENCE`` preset.
+QUERY_PRESET = {"iters": (10, 10, 8), "step": 0.1}
+
+
+def _fixture_fm(spark, sf, with_rules=False):
+    acc, posts = fx.accounts(spark, sf), fx.posts(spark, sf)
+    fm = job_ops.features_with_lang(spark, acc, posts, fx.labels(spark, sf),
+                                    with_rules=with_rules)
+    return fm.persist()
+
+
+@register("ensemble_oof")
+def q_ensemble_oof(spark, sf):
+    fm = _fixture_fm(spark, sf)
+    out = None
+    for lg, (_, oof) in job_ops.train_by_language(spark, fm, QUERY_PRESET).items():
+        part = oof.select(*KEYS, F.lit(lg).alias("lang"), "fold", "label", "probability")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("ensemble_predict")
+def q_ensemble_predict(spark, sf):
+    fm = _fixture_fm(spark, sf, with_rules=True)
+    models = {lg: e for lg, (e, _) in job_ops.train_by_language(spark, fm, QUERY_PRESET).items()}
+    return job_ops.detect(spark, fm, models)
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    fm = _fixture_fm(spark, sf)
+    out = None
+    for lg, (ens, _) in job_ops.train_by_language(spark, fm, QUERY_PRESET).items():
+        part = ml_ops.feature_importance(spark, ens, P.TOP_FEATURES_PRINT)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("cross_dataset_report")
+def q_cross_dataset_report(spark, sf):
+    fm = _fixture_fm(spark, sf)
+    pairs = [(30, 32, "en"), (32, 30, "en"), (31, 33, "fr"), (33, 31, "fr")]
+    return job_ops.cross_dataset_report(spark, fm, pairs, QUERY_PRESET)
