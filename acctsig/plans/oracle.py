@@ -176,8 +176,8 @@ def post_features_cte(name: str = "pf") -> str:
     {cnt(t, P.EMOJI_PATTERN)} AS emoji_count,
     CAST(length({t}) AS BIGINT) AS char_len,
     CAST(len({toks(t)}) AS BIGINT) AS word_count,
-    CAST(len(regexp_extract_all({t}, '\\p{{Lu}}')) AS DOUBLE)
-      / greatest(len(regexp_extract_all({t}, '\\p{{L}}')), 1) AS caps_ratio,
+    CAST(length(regexp_replace({t}, '\\P{{Lu}}+', '', 'g')) AS DOUBLE)
+      / greatest(length(regexp_replace({t}, '\\P{{L}}+', '', 'g')), 1) AS caps_ratio,
     {cnt_char(t, '!')} AS excl_count,
     {cnt_char(t, '?')} AS quest_count,
     {cnt(t, r'\.\.\.')} AS ellipsis_count,
