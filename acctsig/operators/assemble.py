@@ -103,7 +103,7 @@ def feature_matrix(spark: SparkSession, accounts: DataFrame, posts: DataFrame,
                    labels: DataFrame | None = None, text: str = "text", lang: str = "lang",
                    seq: str = "post_seq", ts: str = "created_at", hour: str | None = None,
                    id_col: str = "id", keys=KEYS, reuse_mode: str | None = "persist",
-                   exact_median: bool = True, block: int = 2048,
+                   median: str = "radix", block: int = 2048,
                    with_rules: bool = False) -> DataFrame:
     """dataset_id, author_id, 106 features (+ label, + rule columns)."""
     k = list(keys)
@@ -118,7 +118,7 @@ def feature_matrix(spark: SparkSession, accounts: DataFrame, posts: DataFrame,
     topic = lex.topic_coverage(tc, spark, keys)
     jac = lex.consecutive_jaccard(eposts, text, keys, seq)
     rep = lex.repeated_bigrams(eposts, text, keys, seq)
-    tmp = temp.temporal_features(eposts, ts, hour, keys, exact_median)
+    tmp = temp.temporal_features(eposts, ts, hour, keys, median)
     cross = sim.cross_user_similarity(eposts, text, keys, block)
     acc = accounts.select(F.col(keys[0]), F.col(id_col).alias(keys[1]), "name", "username",
                           "description", "location", "tweet_count", "z_score")

@@ -83,39 +83,82 @@ def hour_profile(times: DataFrame, keys=KEYS,
                     active.alias("active_hours"))
 
 
-def delta_stats(d: DataFrame, hp: DataFrame, keys=KEYS, exact_median: bool = True,
+def radix_median(d: DataFrame, keys=KEYS, value: str = "d") -> DataFrame:
+    """Exact per-group median of non-negative longs, without gathering a
+    group in one task.
+
+    Radix selection on 16-bit digits, most significant first: each round
+    counts values per (group, prefix, digit) with partial aggregation, and
+    a running sum over at most 65,536 digit rows per (group, target) finds
+    the digit holding the target rank. Two targets (ranks floor((m-1)/2) and
+    floor(m/2)) give the median (v1 + v2) / 2, the same double as a sorted
+    median of integers.
+    """
+    k = list(keys)
+    m = d.groupBy(*k).agg(F.count(F.lit(1)).alias("_m"))
+    ranks = F.array(F.floor((F.col("_m") - 1) / 2), F.floor(F.col("_m") / 2))
+    state = m.select(*k, F.posexplode(ranks).alias("t", "rank")) \
+        .withColumn("hi", F.lit(0).cast("long"))
+    for shift in (48, 32, 16, 0):
+        hi = (F.shiftrightunsigned(F.col(value), shift + 16) if shift < 48
+              else F.lit(0).cast("long"))
+        digit = F.shiftright(F.col(value), shift).bitwiseAND(F.lit(0xFFFF))
+        g = d.groupBy(*k, hi.alias("hi"), digit.alias("digit")).agg(F.count(F.lit(1)).alias("c"))
+        j = g.join(state, k + ["hi"])
+        w = Window.partitionBy(*k, "t").orderBy("digit")
+        cum = j.withColumn("cum", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        pick = (cum.where(F.col("cum") > F.col("rank"))
+                .withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1))
+        state = pick.select(*k, "t", (F.col("rank") - (F.col("cum") - F.col("c"))).alias("rank"),
+                            F.shiftleft(F.col("hi"), 16).bitwiseOR(F.col("digit")).alias("hi"))
+    return state.groupBy(*k).agg(F.avg(F.col("hi").cast("double")).alias("median"))
+
+
+def delta_stats(d: DataFrame, hp: DataFrame, keys=KEYS, median: str = "radix",
                 rapid_fire_seconds: float = P.RAPID_FIRE_SECONDS,
                 tolerance: float = P.REGULAR_TOLERANCE) -> DataFrame:
     """Aggregates over the delta multiset of each author.
 
     The mean is known before the pass (span / (n - 1)), so the regularity
-    count is in the same aggregation as everything else.
+    count is in the same aggregation as everything else. ``median``:
+    ``"radix"`` exact and skew-safe (default), ``"aggregate"`` Spark's exact
+    ``median`` (buffers one author's values in one task), ``"approx"`` the
+    bounded ``percentile_approx`` sketch.
     """
     mean_us = ((F.col("last_us") - F.col("first_us")) / (F.col("n") - 1))
     j = d.join(hp.where(F.col("n") >= 2).select(*keys, mean_us.alias("m")), list(keys))
-    med = (F.median("d") if exact_median else
-           F.percentile_approx("d", 0.5, 10000).cast("double"))
     dd = F.col("d").cast("double")
-    return j.groupBy(*keys).agg(
+    extra = []
+    if median == "aggregate":
+        extra = [(F.median("d") / 1e6).alias("inter_tweet_median")]
+    elif median == "approx":
+        extra = [(F.percentile_approx("d", 0.5, 10000).cast("double") / 1e6)
+                 .alias("inter_tweet_median")]
+    a = j.groupBy(*keys).agg(
         (F.avg(dd) / 1e6).alias("inter_tweet_mean"),
         (F.stddev_pop(dd) / 1e6).alias("inter_tweet_std"),
         (F.min("d") / 1e6).alias("inter_tweet_min"),
         (F.max("d") / 1e6).alias("inter_tweet_max"),
-        (med / 1e6).alias("inter_tweet_median"),
+        *extra,
         F.avg((F.col("d") < F.lit(int(rapid_fire_seconds * 1_000_000))).cast("int"))
         .alias("rapid_fire_ratio"),
         F.avg(((F.col("m") > 0) & (F.abs(dd - F.col("m")) < tolerance * F.col("m")))
               .cast("int")).alias("regular_interval_ratio"))
+    if median == "radix":
+        med = radix_median(d, keys).select(*keys, (F.col("median") / 1e6)
+                                           .alias("inter_tweet_median"))
+        a = a.join(med, list(keys), "left")
+    return a
 
 
 def temporal_features(posts: DataFrame, ts: str = "created_at", hour: str | None = None,
-                      keys=KEYS, exact_median: bool = True,
+                      keys=KEYS, median: str = "radix",
                       bucket_micros: int = DAY_MICROS) -> DataFrame:
     """W0–W15, one row per author with posts (fewer than 2 posts -> zeros,
     ``active_hours`` = 1)."""
     times = post_times(posts, ts, hour, keys)
     hp = hour_profile(times, keys)
-    ds = delta_stats(deltas(times, keys, bucket_micros), hp, keys, exact_median)
+    ds = delta_stats(deltas(times, keys, bucket_micros), hp, keys, median)
     j = hp.join(ds, list(keys), "left")
     two = F.col("n") >= 2
     span_s = F.greatest((F.col("last_us") - F.col("first_us")) / 1e6, F.lit(1.0))

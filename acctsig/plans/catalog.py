@@ -844,10 +844,15 @@ def q_ensemble_predict(spark, sf):
 
 @register("feature_importance")
 def q_feature_importance(spark, sf):
+    # importances come from the full-data fit alone (no out-of-fold pass)
     fm = _fixture_fm(spark, sf)
+    langs = sorted(r["lang"] for r in fm.select("lang").distinct().collect())
+    ens = ml_ops._pmap(lambda lg: ml_ops.fit(ml_ops.sized(
+        asm.vectorize(fm.where(F.col("lang") == lg)).select("label", "features").cache()),
+        QUERY_PRESET, lg), langs)
     out = None
-    for lg, (ens, _) in job_ops.train_by_language(spark, fm, QUERY_PRESET).items():
-        part = ml_ops.feature_importance(spark, ens, P.TOP_FEATURES_PRINT)
+    for e in ens:
+        part = ml_ops.feature_importance(spark, e, P.TOP_FEATURES_PRINT)
         out = part if out is None else out.unionByName(part)
     return out
 

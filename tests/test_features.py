@@ -65,10 +65,12 @@ def test_post_features(data):
                 assert g[k] == pytest.approx(v), (k, r[5])
 
 
-@pytest.mark.parametrize("bucket", [temp.DAY_MICROS, 7_000_000])
-def test_temporal(data, bucket):
+@pytest.mark.parametrize("bucket,median", [(temp.DAY_MICROS, "radix"), (7_000_000, "radix"),
+                                           (temp.DAY_MICROS, "aggregate")])
+def test_temporal(data, bucket, median):
     rows, df = data
-    got = {r["author_id"]: r for r in temp.temporal_features(df, bucket_micros=bucket).collect()}
+    got = {r["author_id"]: r for r in
+           temp.temporal_features(df, bucket_micros=bucket, median=median).collect()}
     for a, rs in _by_author(rows).items():
         exp = pymodel.temporal([r[3] for r in rs])
         for k, v in exp.items():
@@ -116,3 +118,20 @@ def test_first_posts_uses_group_limit(spark):
     plan = lex.first_posts(df, 41)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert lex.first_posts(df, 41).count() == 41
+
+
+def test_radix_median_exact(spark):
+    import random
+    import statistics
+    rnd = random.Random(11)
+    rows = []
+    for g in range(5):
+        n = rnd.randint(1, 300)
+        scale = rnd.choice([1, 1000, 10 ** 9, 2 ** 50])
+        rows += [(0, g, rnd.randint(0, scale)) for _ in range(n)]
+    rows += [(0, 9, 7)] * 40 + [(0, 9, 2 ** 62)]            # heavy duplicates, huge value
+    df = spark.createDataFrame(rows, "dataset_id long, author_id long, d long")
+    got = {r["author_id"]: r["median"] for r in temp.radix_median(df).collect()}
+    for g in {r[1] for r in rows}:
+        vals = sorted(r[2] for r in rows if r[1] == g)
+        assert got[g] == statistics.median(vals) or got[g] == (vals[(len(vals) - 1) // 2] + vals[len(vals) // 2]) / 2
