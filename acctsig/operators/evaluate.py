@@ -2,8 +2,8 @@
 
 The threshold sweep is one pass over the scored rows: each row counts how
 many sweep thresholds it reaches (``p >= t``), rows are grouped by that
-count (at most 86 groups), and reverse cumulative sums over those few rows
-give TP/FP/FN/TN for every threshold at once.
+count (at most 86 groups), and each group is spread over the threshold
+indices it reaches, giving TP/FP/FN/TN for every threshold at once.
 """
 
 from __future__ import annotations

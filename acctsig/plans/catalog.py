@@ -59,10 +59,6 @@ def shape(df: DataFrame, digits: int = 6) -> DataFrame:
 # Fixture access
 # ---------------------------------------------------------------------------
 
-def fixture_posts(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.posts(spark, sf)
-
-
 def fixture_post_features(spark: SparkSession, sf: str) -> DataFrame:
     return post_ops.post_features(fx.posts(spark, sf))
 
@@ -162,7 +158,6 @@ def fixture_eposts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _EP = O.EPOSTS
-_TEMP_COLS = temp_ops.TEMPORAL_COLUMNS
 
 
 @register("eligible_accounts", O.with_fixture(_EP) + """

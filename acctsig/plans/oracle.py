@@ -130,10 +130,6 @@ def cnt(text: str, pattern: str, ignore_case: bool = False) -> str:
     return f"CAST(len(regexp_extract_all({text}, {q(re2(pattern, ignore_case))})) AS BIGINT)"
 
 
-def cnt_raw(text: str, re2_pattern: str) -> str:
-    return f"CAST(len(regexp_extract_all({text}, {q(re2_pattern)})) AS BIGINT)"
-
-
 def cnt_char(text: str, ch: str) -> str:
     return f"CAST(length({text}) - length(replace({text}, {q(ch)}, '')) AS BIGINT)"
 
