@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 W_BODY = r"\p{L}\p{N}_"
 WS_BODY = (r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+# The same whitespace set as literal characters (for trim functions).
+WS_CHARS = "".join(chr(c) for a, b in ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0),
+                                       (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029),
+                                       (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+                   for c in range(a, b + 1))
 W = f"[{W_BODY}]"
 NOT_W = f"[^{W_BODY}]"
 WS = f"[{WS_BODY}]"

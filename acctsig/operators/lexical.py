@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acctsig.functions import patterns as P
-from acctsig.functions.text import NOT_WS, WS, gated_any, safe_div, tokens
+from acctsig.functions.charstats import char_stats
+from acctsig.functions.text import NOT_WS, WS, WS_CHARS, gated_any, safe_div, tokens
 
 KEYS = ("dataset_id", "author_id")
 LEXICAL_COLUMNS = [
@@ -35,17 +36,31 @@ MID_CAPS = r"\p{IsLowercase}\p{IsUppercase}.|.\p{IsUppercase}\p{IsLowercase}"
 FIRST_TOKEN = f"^{WS}*({NOT_WS}+)"
 
 
-def mid_caps_flag(tok: Column) -> Column:
+def mid_caps_flag(cs: Column) -> Column:
     """1 when >= 2 whitespace tokens have an interior capital next to a
-    lower-case letter; ``tok`` must be a token-array column."""
-    return (F.size(F.filter(tok, lambda w: w.rlike(MID_CAPS))) >= 2).cast("int")
+    lower-case letter (``cs`` is the per-character statistics struct)."""
+    return (cs["mid_caps_tokens"] >= 2).cast("int")
 
 
-def style_flag_columns(t: Column, low: Column, tok: Column) -> list[Column]:
+def just_start_flag(t: Column) -> Column:
+    """``re.match(r'^(just|Just)\\s', t.strip())`` without a regex pass."""
+    s = F.ltrim(t, F.lit(WS_CHARS))
+    nxt = F.substring(s, 5, 1)
+    return (F.substring(s, 1, 4).isin("just", "Just") & (F.length(nxt) == 1)
+            & (F.length(F.trim(nxt, F.lit(WS_CHARS))) == 0)
+            & (F.length(F.rtrim(s, F.lit(WS_CHARS))) > 5)).cast("int")
+
+
+def complete_flag(t: Column) -> Column:
+    """Stripped post non-empty and ending in . ! or ?"""
+    return F.substring(F.rtrim(t, F.lit(WS_CHARS)), -1, 1).isin(".", "!", "?").cast("int")
+
+
+def style_flag_columns(t: Column, low: Column, cs: Column) -> list[Column]:
     """Per-post style flags, the first token and 18 punctuation flags.
 
     ``t`` is the post text ('' for NULL), ``low`` its lower-case form and
-    ``tok`` its whitespace tokens (all three as columns, computed once).
+    ``cs`` its per-character statistics (all three columns, computed once).
     """
     punct = [F.when(t.contains(ch), F.lit(1)).otherwise(F.lit(0)).alias(f"_p{i}")
              for i, ch in enumerate(P.PUNCTUATION_CHARS)]
@@ -53,11 +68,11 @@ def style_flag_columns(t: Column, low: Column, tok: Column) -> list[Column]:
     return [
         gated_any(t, low, [P.FORMAL_PATTERN], True).cast("int").alias("formal"),
         gated_any(t, low, [P.SLANG_PATTERN], True).cast("int").alias("slang"),
-        t.rlike(f"^{WS}*(?:just|Just){WS}+{NOT_WS}").cast("int").alias("just_start"),
-        t.rlike(f"[.!?]{WS}*\\z").cast("int").alias("complete"),
+        just_start_flag(t).alias("just_start"),
+        complete_flag(t).alias("complete"),
         (t.contains("http") | t.contains("t.co")).cast("int").alias("has_url_text"),
         gated_any(t, low, [P.AI_PHRASE_PATTERN], True).cast("int").alias("ai_phrase"),
-        mid_caps_flag(tok).alias("mid_caps"),
+        mid_caps_flag(cs).alias("mid_caps"),
         gated_any(t, low, [P.GENERIC_LIFE_PATTERN], True).cast("int").alias("generic_life"),
         ((F.length(t) < P.SHORT_POST_LEN) &
          ~(t.contains("http") | t.contains("@") | t.contains("#"))).cast("int")
@@ -72,10 +87,10 @@ def post_style_flags(posts: DataFrame, text: str = "text", keys=KEYS,
     """One row per post: the per-post style flags and the first token."""
     base = posts.select(*keys, F.col(seq).alias("seq"),
                         F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    base = base.select("*", F.lower("_t").alias("_low"), tokens(F.col("_t")).alias("_tok"))
+    base = base.select("*", F.lower("_t").alias("_low"), char_stats(F.col("_t")).alias("_cs"))
     t, low = F.col("_t"), F.col("_low")
     return base.select(*keys, "seq", F.length(t).alias("char_len"),
-                       *style_flag_columns(t, low, F.col("_tok")))
+                       *style_flag_columns(t, low, F.col("_cs")))
 
 
 def style_ratios(flags: DataFrame, keys=KEYS) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acctsig.functions import patterns as P
-from acctsig.functions.text import (count_char, count_matches, gated_any, java_regex,
-                                    safe_div, tokens)
+from acctsig.functions.charstats import char_stats
+from acctsig.functions.text import count_matches, gated_any, java_regex, safe_div
 
 # Numeric per-post signals, in the order the account rollup aggregates them.
 POST_NUMERIC = [
@@ -53,39 +53,40 @@ def post_features(posts: DataFrame, text: str = "text", lang: str = "lang",
                   extra=None) -> DataFrame:
     """Append the 16 numeric post signals and the lower-cased ``hashtags``.
 
-    NULL text is treated as ''. All columns are JVM expressions inside one
-    whole-stage-codegen projection. ``extra(text, lower_text, tokens)`` may return
+    NULL text is treated as ''. All columns are computed in one per-post
+    projection; the per-character counts come from one vectorised pass
+    (``acctsig.functions.charstats``). ``extra(text, lower_text, stats)`` may return
     more per-post columns to compute in the same projection.
     """
     # Shared inputs first: CollapseProject keeps a non-cheap alias that is
-    # referenced more than once, so lower() and the hashtag list are computed
-    # once per post instead of once per pattern.
+    # referenced more than once, so lower(), the hashtag list and the
+    # per-character statistics are computed once per post.
     base = posts.select("*", F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    t0 = F.col("_t")
     base = base.select(
-        "*", F.lower("_t").alias("_low"),
-        F.regexp_extract_all("_t", F.lit(java_regex(P.HASHTAG_PATTERN)), 0).alias("_tags"),
-        tokens(F.col("_t")).alias("_tok"))
-    t, low, tags, tok = F.col("_t"), F.col("_low"), F.col("_tags"), F.col("_tok")
-    # Python str.isalpha / str.isupper per character.
-    alpha = F.length(F.regexp_replace(t, r"\P{L}+", ""))
-    upper = F.length(F.regexp_replace(t, r"\P{IsUppercase}+", ""))
+        "*", F.lower(t0).alias("_low"),
+        F.when(t0.contains("#"), F.regexp_extract_all(t0, F.lit(java_regex(P.HASHTAG_PATTERN)), 0))
+        .otherwise(F.array().cast("array<string>")).alias("_tags"),
+        char_stats(t0).alias("_cs"))
+    t, low, tags, cs = F.col("_t"), F.col("_low"), F.col("_tags"), F.col("_cs")
     df = base.select(
         *[F.col(f"`{c}`") for c in posts.columns],
         _gated_count(t, P.URL_PATTERN, "http", "t.co/").alias("url_count"),
         F.size(tags).alias("hashtag_count"),
         _gated_count(t, P.MENTION_PATTERN, "@").alias("mention_count"),
-        count_matches(t, P.EMOJI_PATTERN).alias("emoji_count"),
-        F.length(t).alias("char_len"),
-        F.size(tok).alias("word_count"),
-        safe_div(upper, alpha).alias("caps_ratio"),
-        count_char(t, "!").alias("excl_count"),
-        count_char(t, "?").alias("quest_count"),
-        count_matches(t, r"\.\.\.").alias("ellipsis_count"),
+        cs["emoji"].alias("emoji_count"),
+        cs["char_len"].alias("char_len"),
+        cs["words"].alias("word_count"),
+        safe_div(cs["upper"], cs["alpha"]).alias("caps_ratio"),
+        cs["excl"].alias("excl_count"),
+        cs["quest"].alias("quest_count"),
+        F.when(t.contains("..."), count_matches(t, r"\.\.\.")).otherwise(F.lit(0))
+        .alias("ellipsis_count"),
         bait_flag(t, F.col(lang), en_bait, other_bait, low).alias("has_bait"),
         generic_hashtag_flag(t, generic_hashtags, low).alias("has_generic_hashtag"),
-        count_char(t, "\n").alias("newline_count"),
+        cs["newline"].alias("newline_count"),
         F.transform(tags, lambda x: F.lower(x)).alias("hashtags"),
-        *(extra(t, low, tok) if extra is not None else []),
+        *(extra(t, low, cs) if extra is not None else []),
     )
     return df.select(
         "*",
