@@ -121,4 +121,6 @@ def _char_stats(texts: pd.Series) -> pd.DataFrame:
 
 def char_stats(text: Column) -> Column:
     """Struct column of the per-character statistics of ``text``."""
+    from acctsig.session import ship_package
+    ship_package()
     return _char_stats(text)
