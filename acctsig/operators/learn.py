@@ -60,18 +60,19 @@ def class_weight(df: DataFrame, label: str = "label") -> float:
 def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42, label: str = "label",
                      by: list[str] | None = None,
                      id_cols: tuple[str, ...] = ("dataset_id", "author_id"),
-                     buckets: int = 256) -> DataFrame:
+                     prefix_digits: int = 3) -> DataFrame:
     """M5: fold = (rank within class by md5(seed|id) - 1) % k.
 
     The rank is computed without one window per class: rows are split on
-    the first two hex digits of the hash (a prefix, so order is kept), ranked
-    inside each (class, prefix) window, and shifted by the number of rows
-    in earlier prefixes (a table of at most 256 rows per class).
+    the first hex digits of the hash (a prefix, so order is kept; 3 digits
+    = 4096 windows per class), ranked inside each (class, prefix) window,
+    and shifted by the number of rows in earlier prefixes (a table of at
+    most 16**digits rows per class).
     """
     by = by or []
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_cols]))
     part = by + [label]
-    d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 2))
+    d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, prefix_digits))
     w = Window.partitionBy(*part, "_b").orderBy("_h", *id_cols)
     d = d.withColumn("_r", F.row_number().over(w))
     cnt = d.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_c"))
