@@ -60,3 +60,10 @@ def test_profile_edges(spark):
     assert out[3]["profile_has_url"] == 1 and out[3]["desc_has_newline"] == 1
     assert out[4]["profile_has_emoji"] == 1 and out[4]["profile_has_hashtag"] == 1
     assert out[2]["username_digit_ratio"] == 2 / 8
+
+
+def test_language_routing(spark):
+    df = spark.createDataFrame([("en",), ("fr",), ("de",), (None,)], "lang string")
+    got = [r["m"] for r in df.select(src.route_language(F.col("lang"), ["en", "fr"]).alias("m"))
+           .collect()]
+    assert got == ["en", "fr", "en", "en"]
