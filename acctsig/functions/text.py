@@ -379,3 +379,33 @@ def gated_any(text: Column, low: Column, patterns: list[str],
             g = gated_rlike(text, low, a, ignore_case)
             out = g if out is None else (out | g)
     return out
+
+
+def word_set_any(text: Column, low: Column, pattern: str) -> Column:
+    """Case-insensitive ``re.search`` for a pattern ``\\b(w1|w2|...)\\b``.
+
+    For alternatives made only of word characters, a match exists exactly
+    when some maximal word-character run of the lower-cased text equals the
+    word, which is one extraction and a hash-set overlap instead of one
+    regex per word. Other alternatives keep their gated regex, and a post
+    with a case fold ``lower()`` cannot see (long s, dotless i, a combining
+    dot) uses the gated regexes for every alternative.
+    """
+    import re as _re
+    alts = alternatives(pattern)
+    pure, other = [], []
+    for a in alts:
+        w = a[2:-2] if a.startswith(r"\b") and a.endswith(r"\b") else None
+        (pure if w is not None and _re.fullmatch(r"\w+", w) else other).append(a)
+    if not pure:
+        return gated_any(text, low, [pattern], True)
+    words = F.array(*[F.lit(a[2:-2].lower()) for a in pure])
+    runs = F.regexp_extract_all(low, F.lit(f"{W}+"), 0)
+    fast = F.arrays_overlap(runs, words)
+    if other:
+        fast = fast | gated_any(text, low, other, True)
+    exotic = None
+    for ch in _EXOTIC_FOLDS:
+        g = low.contains(ch)
+        exotic = g if exotic is None else exotic | g
+    return F.when(exotic, gated_any(text, low, [pattern], True)).otherwise(fast)

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from acctsig.functions import patterns as P
 from acctsig.functions.charstats import char_stats
-from acctsig.functions.text import NOT_WS, WS, WS_CHARS, gated_any, safe_div, tokens
+from acctsig.functions.text import (NOT_WS, WS, WS_CHARS, gated_any, safe_div, tokens,
+                                    word_set_any)
 
 KEYS = ("dataset_id", "author_id")
 LEXICAL_COLUMNS = [
@@ -67,7 +68,7 @@ def style_flag_columns(t: Column, low: Column, cs: Column) -> list[Column]:
     first = F.regexp_extract(t, FIRST_TOKEN, 1)
     return [
         gated_any(t, low, [P.FORMAL_PATTERN], True).cast("int").alias("formal"),
-        gated_any(t, low, [P.SLANG_PATTERN], True).cast("int").alias("slang"),
+        word_set_any(t, low, P.SLANG_PATTERN).cast("int").alias("slang"),
         just_start_flag(t).alias("just_start"),
         complete_flag(t).alias("complete"),
         (t.contains("http") | t.contains("t.co")).cast("int").alias("has_url_text"),

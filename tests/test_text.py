@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from acctsig.functions import patterns as P
 from acctsig.functions.text import (alternatives, count_matches, gated_any, java_regex,
-                                    required_literals, tokens)
+                                    required_literals, tokens, word_set_any)
 
 EDGE = [
     "", "free access", "free-content", "freecontent", "free\naccess", "éfree access",
@@ -89,3 +89,11 @@ def test_boundary_forms():
     assert java_regex(r"\bDM\b").startswith("D(?<!")
     assert "(?<=" in java_regex(r"\babonne[zr]?\b")
     assert java_regex(r"a$") == r"a(?=\n?\z)"
+
+
+def test_word_set_any_matches_python(edge_df):
+    rows = edge_df.select("i", word_set_any(F.col("t"), F.col("low"), P.SLANG_PATTERN)
+                          .alias("s")).orderBy("i").collect()
+    for r in rows:
+        s = EDGE[r["i"]]
+        assert r["s"] == bool(re.search(P.SLANG_PATTERN, s, re.I)), s
