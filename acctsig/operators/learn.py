@@ -94,9 +94,11 @@ def _learners(weight: float, preset: dict):
     return out
 
 
-# Concurrent fits: independent MLlib fits are submitted from driver threads
-# (as CrossValidator's ``parallelism`` does), so small fits share the cluster.
-PARALLELISM = 8
+# Independent MLlib fits can be submitted from driver threads (as
+# CrossValidator's ``parallelism`` does). Default 1 (sequential): on small
+# data the driver's scheduler, not the executors, is the bottleneck, and 30+
+# concurrent fits only add driver memory pressure.
+PARALLELISM = 1
 ROWS_PER_PARTITION = 50_000
 
 

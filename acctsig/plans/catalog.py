@@ -814,10 +814,14 @@ QUERY_PRESET = {"iters": (10, 10, 8), "step": 0.1}
 
 
 def _fixture_fm(spark, sf, with_rules=False):
+    """The labelled feature matrix, checkpointed: every fit then reads a
+    short lineage from the shared checkpoint folder."""
+    from acctsig.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     acc, posts = fx.accounts(spark, sf), fx.posts(spark, sf)
     fm = job_ops.features_with_lang(spark, acc, posts, fx.labels(spark, sf),
                                     with_rules=with_rules)
-    return fm.persist()
+    return fm.checkpoint(eager=True)
 
 
 @register("ensemble_oof")
