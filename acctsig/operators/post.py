@@ -1,4 +1,5 @@
-"""Per-post text signals (one narrow projection, no shuffle, no UDF)."""
+"""Per-post text signals: one narrow projection, no shuffle (per-character
+counts come from one Arrow-batched vectorised pass, see functions.charstats)."""
 
 from __future__ import annotations
 
