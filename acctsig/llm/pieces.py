@@ -1,25 +1,34 @@
 """Tokenizing by pieces that the tokenizers split alike.
 
-A tokenizer works on the parts that its pre-tokenizer makes, and both public
-byte-pair tokenizers split before each run of blanks and line feeds that
-follows another character. Cut there, a text's pieces can be encoded one by
-one with the same ids, so a worker encodes a piece once and remembers it. The
-argument needs every other white space, and characters on which the
-libraries' notions of white space differ, to be absent; a text that has one
-is encoded as a whole, and the tests compare both ways.
+A tokenizer encodes the parts that its pre-tokenizer makes one by one. Both
+public byte-pair tokenizers split before a run of blanks and line feeds that
+follows another character, between an ASCII letter and ASCII punctuation, and
+after a line feed that stands before a word. Cut there, a text's pieces can be
+encoded by themselves with the same ids, so a worker encodes each part
+once and remembers it. What a tokenizer drops (blanks) or folds (case) before
+it looks at a word is folded for ASCII parts here, too, so that more of them
+are alike.
+
+The argument needs every other white space and all control and format
+characters, on which libraries differ, to be absent; a text that has one is
+encoded as a whole. Strings of special tokens are never cut. The tests
+compare both ways.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Callable
 
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-UNSAFE = re.compile("[^\\S \\n]|[\\x00-\\x09\\x0b-\\x1f\\x7f-\\xa0\u180e\u200b\ufeff]")
-# Remembered pieces of one worker; beyond that it starts anew (results don't change).
-MEMO = 400_000
+# Between a letter and punctuation other than an apostrophe; after a single line feed.
+PART = re.compile(r"(?<=[A-Za-z])(?=[!-&(-/:-@\[-`{-~])|(?<=^\n)(?=[^ \n])")
+SPECIAL = "<|"
+# Remembered pieces and parts of one worker; beyond that it starts anew (results don't change).
+PIECES, PARTS = 500_000, 1_000_000
 _BATCH = 8_192
 
 
@@ -50,37 +59,68 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     return lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _steps(config: dict | None, inner: str) -> list[dict]:
+    return config.get(inner, [config]) if config else []
+
+
+def folding(path: str) -> tuple[bool, bool]:
+    """Whether the tokenizer lower-cases, and whether it drops what lies between words."""
+    config = json.loads(load(path).to_str())
+    lower = any(s["type"] == "Lowercase" for s in _steps(config["normalizer"], "normalizers"))
+    drops = any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]
+                for s in _steps(config["pre_tokenizer"], "pretokenizers"))
+    return lower, drops
+
+
 class Pieces:
-    """Per-worker memo of a function of a piece's ids; ``of(texts)`` gives each text's values."""
+    """Per-worker memo of a function of a part's ids; ``of(texts)`` gives each text's values.
 
-    def __init__(self, path: str, value: Callable[[list[int]], object]):
-        self.encode, self.value, self.memo = encoder(path), value, {}
+    ``value`` maps a part's ids to what is kept, ``join`` a list of those to
+    that of the whole.
+    """
+
+    def __init__(self, path: str, value: Callable[[list[int]], object], join: Callable[[list], object]):
+        self.encode, self.value, self.join = encoder(path), value, join
         self.whole_only = path.endswith(".model")
+        self.lower, self.drops = (False, False) if self.whole_only else folding(path)
+        self.pieces: dict[str, object] = {}
+        self.parts: dict[str, object] = {}
+
+    def _cut(self, text: str) -> list[str] | None:
+        if not text.replace("\n", " ").isprintable():
+            return None
+        return text.split() if self.drops else PIECE.findall(text)
+
+    def _folded(self, piece: str) -> list[str]:
+        if SPECIAL in piece:
+            return [piece]
+        return [p.lower() if self.lower and p.isascii() else p for p in PART.split(piece)]
 
     def of(self, texts: list[str]) -> list[list[object]]:
         if self.whole_only:
             return [[self.value(ids)] for ids in self.encode(texts)]
-        cut = [PIECE.findall(t) if not UNSAFE.search(t) else [t] for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        missing = list({p for row in cut for p in row if p not in memo})
-        for i in range(0, len(missing), _BATCH):
-            part = missing[i:i + _BATCH]
-            memo.update(zip(part, map(self.value, self.encode(part))))
-        get = memo.__getitem__
-        out = [list(map(get, row)) for row in cut]
-        for row in cut:  # a text taken whole is not worth remembering
-            if len(row) == 1 and len(row[0]) > 200:
-                memo.pop(row[0], None)
-        return out
+        cut = [self._cut(t) for t in texts]
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        if len(self.parts) > PARTS:
+            self.parts.clear()
+        known, parts, join = self.pieces, self.parts, self.join
+        missing = {p: self._folded(p) for p in set().union(*filter(None, cut)).difference(known)}
+        fresh = list(set().union(*missing.values()).difference(parts))
+        for i in range(0, len(fresh), _BATCH):
+            part = fresh[i:i + _BATCH]
+            parts.update(zip(part, map(self.value, self.encode(part))))
+        for p, split in missing.items():
+            known[p] = parts[split[0]] if len(split) == 1 else join([parts[x] for x in split])
+        get = known.__getitem__
+        return [[self.value(self.encode([t])[0])] if row is None else list(map(get, row)) for t, row in zip(texts, cut)]
 
 
 _WORKERS: dict[tuple[str, str], Pieces] = {}
 
 
-def worker(path: str, kind: str, value: Callable[[list[int]], object]) -> Pieces:
+def worker(path: str, kind: str, value: Callable[[list[int]], object], join: Callable[[list], object]) -> Pieces:
     """The memo of this Python worker for a vocabulary file and kind of value."""
     if (path, kind) not in _WORKERS:
-        _WORKERS[path, kind] = Pieces(path, value)
+        _WORKERS[path, kind] = Pieces(path, value, join)
     return _WORKERS[path, kind]

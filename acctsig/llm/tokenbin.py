@@ -37,7 +37,7 @@ from acctsig.llm.common import prepare, saved, slices
 
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4sIIIQIIQ")
-BLOCK = 512
+BLOCK = 1024
 PERCENTILE = 0.95
 SEGMENT_IDS = 262_144
 END_ID = 1
@@ -51,8 +51,10 @@ def _bit_lengths(values: np.ndarray) -> np.ndarray:
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of integers as rows of bytes, ``width`` low bits each."""
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    size = 2 if width <= 16 else 4
+    octets = values.astype(f"<u{size}").view(np.uint8).reshape(*values.shape, size)
+    bits = np.unpackbits(octets, axis=2, bitorder="little")[:, :, :width]
+    return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
@@ -87,9 +89,11 @@ def unpack_block(buf: bytes, size: int) -> np.ndarray:
     least, width, n_over = struct.unpack_from("<IBH", buf)
     at = 7
     used = -(-size * width // 8)
-    bits = np.unpackbits(np.frombuffer(buf, np.uint8, used, at), bitorder="little", count=size * width)
-    ids = (bits.reshape(size, width).astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(
-        axis=1, dtype=np.uint32) + np.uint32(least)
+    bits = np.zeros((size, 16 if width <= 16 else 32), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(buf, np.uint8, used, at), bitorder="little",
+                                    count=size * width).reshape(size, width)
+    ids = np.packbits(bits, axis=1, bitorder="little").view(f"<u{bits.shape[1] // 8}").ravel().astype(np.uint32)
+    ids += np.uint32(least)
     at += used
     ids[np.frombuffer(buf, "<u2", n_over, at)] = np.frombuffer(buf, "<u4", n_over, at + 2 * n_over)
     return ids
@@ -171,7 +175,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     prepare(docs)
 
     def run(batches):
-        memo = pieces.worker(tokenizer, "ids", lambda ids: np.asarray(ids, "<u4").tobytes())
+        memo = pieces.worker(tokenizer, "ids", lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join)
         end = np.uint32(end_id).tobytes()
         shard, number = TaskContext.get().partitionId(), 0
         doc_ids, ids, held = [], [], 0

@@ -36,7 +36,7 @@ def encoded(texts: DataFrame, tokenizer: str) -> DataFrame:
     prepare(texts)
 
     def run(batches):
-        memo = pieces.worker(tokenizer, "count", len)
+        memo = pieces.worker(tokenizer, "count", len, sum)
         for batch in batches:
             for a, b in slices(batch, "text"):
                 part = batch.slice(a, b - a)
