@@ -11,13 +11,15 @@ writers, so that any store that Spark knows will do:
 
 - an ARC record ends with a newline and a WARC record with CR LF CR LF, which
   are the text writer's line separators, so each row is one record;
-- a file is read as a whole (``binaryFile``). The rows are rebalanced before
-  writing, which keeps files near the advisory partition size.
+- a file is read as a whole (``binaryFile``), gzip or not. Pages are
+  rebalanced before ARC files are written, which keeps those near the advisory
+  partition size, and so the WARC files that are made of them.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acctsig.llm.common import prepare, slices
+from acctsig.llm.common import prepare, saved, slices
 
 # Fixed values of the two format versions.
 ARC_FIELDS = {
@@ -37,9 +39,12 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename "
        "Archive-length",
 }
+GZIP = b"\x1f\x8b"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 1000
 DEFAULT_DATE = "20240101000000"
+# Repeated payloads (a digest and an original of each) up to this number are broadcast.
+BROADCAST_ROWS = 200_000
 _OUT_BYTES = 4_000_000
 
 CONVERTED = T.StructType([
@@ -112,7 +117,8 @@ def write_arc(pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2)) -
 
     (pages.select(F.col("page_id").cast("long"), "url", "html").hint("rebalance")
      .mapInArrow(run, "value binary")
-     .select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path))
+     .select(F.col("value").cast("string"))
+     .write.option("lineSep", "\n").option("compression", "gzip").text(path))
 
 
 def parse_arc(buf: bytes) -> Iterator[tuple[dict[str, str], int, bytes, bool]]:
@@ -194,7 +200,10 @@ def _parsed(files: DataFrame, rows_of, schema: T.StructType) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 path, rows, held = batch.column(0)[i].as_py(), [], 0
-                for row in rows_of(path, batch.column(1)[i].as_py()):
+                buf = batch.column(1)[i].as_py()
+                if buf.startswith(GZIP):
+                    buf = gzip.decompress(buf)
+                for row in rows_of(path, buf):
                     rows.append(row)
                     held += len(row.get("payload", b"")) + 500
                     if held > _OUT_BYTES:
@@ -225,12 +234,17 @@ def marked_revisits(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> D
     Of responses with equal payloads of at least ``min_bytes`` that with the
     largest page id (nulls lowest, then the largest record id) is the
     original. Only (digest, record id) rows are aggregated, with map-side
-    partials; the join on the digest is one that AQE splits.
+    partials, and only payloads that occur twice are joined back: by a
+    broadcast if their number is within ``BROADCAST_ROWS``, so that no
+    payload is shuffled, else by a join on the digest that AQE splits.
     """
     own = F.struct("page_id", "record_id", "target_uri", "warc_date")
     first = (records.filter((F.col("warc_type") == "response") & (F.col("payload_bytes") >= min_bytes))
              .groupBy("payload_digest", "payload_bytes").agg(F.count("*").alias("n"), F.max(own).alias("of"))
              .filter("n > 1").drop("n"))
+    first = saved(first)
+    if first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        first = F.broadcast(first)
     again = F.col("of.record_id").isNotNull() & (F.col("of.record_id") != F.col("record_id")) \
         & (F.col("warc_type") == "response")
     return (records.join(first, ["payload_digest", "payload_bytes"], "left")
@@ -267,8 +281,8 @@ def write_warc(records: DataFrame, path: str) -> None:
         _header("WARC-Truncated", F.when(F.col("truncated"), F.lit("length"))),
         _header("Content-Type", F.col("content_type")),
         F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    (records.select(F.concat(head, body).alias("value")).hint("rebalance")
-     .write.option("lineSep", "\r\n\r\n").text(path))
+    (records.select(F.concat(head, body).alias("value"))
+     .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path))
 
 
 def parse_warc(buf: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
