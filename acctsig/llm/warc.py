@@ -11,9 +11,10 @@ writers, so that any store that Spark knows will do:
 
 - an ARC record ends with a newline and a WARC record with CR LF CR LF, which
   are the text writer's line separators, so each row is one record;
-- a file is read as a whole (``binaryFile``), gzip or not. Pages are
-  rebalanced before ARC files are written, which keeps those near the advisory
-  partition size, and so the WARC files that are made of them.
+- a file is read as a whole (``binaryFile``), gzip or not. Each partition of
+  the pages becomes one ARC file, and that one WARC file, without a shuffle:
+  the size of scan partitions (``spark.sql.files.maxPartitionBytes``) bounds
+  the files. Repartition pages that come in larger partitions.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def write_arc(pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2)) -
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
-    (pages.select(F.col("page_id").cast("long"), "url", "html").hint("rebalance")
+    (pages.select(F.col("page_id").cast("long"), "url", "html")
      .mapInArrow(run, "value binary")
      .select(F.col("value").cast("string"))
      .write.option("lineSep", "\n").option("compression", "gzip").text(path))
