@@ -1,14 +1,14 @@
 """Nearest neighbours by a permutation index.
 
-``PIVOTS`` vectors, the first by a digest of their ids (a sample of fixed
-size, all that the index is fitted on), order every vector: its permutation
+``PIVOTS`` distinct vectors, the first by a digest of their ids (a sample of
+fixed size, all that the index is fitted on), order every vector: its permutation
 lists its ``PREFIX`` nearest pivots. Vectors are dealt to shards of about
 ``SHARD`` rows. In a shard each pivot's inverted file posts the vectors that
 list it, with the place where they do. A query reads the files of its own
 nearest pivots and so accumulates its footrule distance to the shard's
 vectors (a pivot that one of the two does not list counts as place
-``PREFIX``). The ``share`` of the shard's vectors that lie nearest, but at
-least ``least``, are reranked by their exact distances. Each shard passes on
+``PREFIX``). The ``share`` of the shard's distinct vectors that lie nearest,
+but at least ``least``, are reranked by their exact distances. Each shard passes on
 its best k, of which the best k overall are kept.
 
 Queries are joined to the shards in blocks: a task holds one shard and one
@@ -26,11 +26,11 @@ from pyspark.sql import types as T
 from acctsig.llm.common import prepare, saved
 
 PIVOTS = 128
-PREFIX = 64
+PREFIX = 128
 SHARD = 16_384
 QUERY_BLOCK = 2_048
-SHARE = 0.12
-LEAST = 1_000
+SHARE = 0.25
+LEAST = 2_000
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -61,11 +61,19 @@ def permutations(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.nda
 
 
 class Shard:
-    """The pivots' inverted files over the vectors of one shard."""
+    """The pivots' inverted files over the distinct vectors of one shard.
+
+    Copies of a vector are posted once, with their ids in order, so that a
+    vector with very many of them does not use up the candidates of a query.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, prefix: int):
-        self.ids, self.vectors, self.prefix = ids, vectors, min(prefix, len(pivots))
-        order = permutations(vectors, pivots, self.prefix)
+        as_bytes = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel()
+        _, first, copy_of = np.unique(as_bytes, return_index=True, return_inverse=True)
+        by_vector = np.lexsort((ids, copy_of))
+        self.ids, self.vectors, self.prefix = ids[by_vector], vectors[first], min(prefix, len(pivots))
+        self.first_id = np.searchsorted(copy_of[by_vector], np.arange(len(first) + 1))
+        order = permutations(self.vectors, pivots, self.prefix)
         flat = order.ravel()
         by_pivot = np.argsort(flat, kind="stable")
         self.members = (by_pivot // self.prefix).astype(np.int32)
@@ -73,14 +81,14 @@ class Shard:
         self.starts = np.searchsorted(flat[by_pivot], np.arange(len(pivots) + 1))
 
     def footrule(self, permutation: np.ndarray) -> np.ndarray:
-        """Footrule distance of a query's permutation to every vector of the shard.
+        """Footrule distance of a query's permutation to every distinct vector of the shard.
 
         Without a common pivot it is twice the sum of (prefix - place). Each
         posting of one of the query's pivots puts |place - place'| for the
         two terms that stand for the pivot being unlisted on either side.
         """
         l = self.prefix
-        gain = np.zeros(len(self.ids), np.int64)
+        gain = np.zeros(len(self.vectors), np.int64)
         for place, pivot in enumerate(permutation.tolist()):
             a, b = self.starts[pivot], self.starts[pivot + 1]
             there = self.places[a:b]
@@ -88,16 +96,22 @@ class Shard:
         return l * (l + 1) - gain
 
     def nearest(self, query_id, query: np.ndarray, permutation: np.ndarray, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the best ``k`` of the ``n`` vectors that lie nearest by footrule."""
+        """Ids and distances of the best ``k`` among the ``n`` distinct vectors that lie nearest by footrule."""
         far = self.footrule(permutation)
-        n = min(n + 1, len(far))  # the query itself may be among them
-        cut = np.partition(far, n - 1)[n - 1]
+        n = min(n + 1, len(far))  # the query's own vector may be among them
         # vectors as near as the last one all take part
-        chosen = np.flatnonzero(far <= cut)
-        chosen = chosen[self.ids[chosen] != query_id]
+        chosen = np.flatnonzero(far <= np.partition(far, n - 1)[n - 1])
         d = np.sqrt(((self.vectors[chosen] - query) ** 2).sum(axis=1))
-        best = np.lexsort((self.ids[chosen], d))[:k]
-        return self.ids[chosen][best], d[best]
+        if len(d) > k:  # each gives an id at least, but for the query's own
+            near = d <= np.partition(d, k)[k]
+            chosen, d = chosen[near], d[near]
+        ids = [self.ids[self.first_id[c]:min(self.first_id[c + 1], self.first_id[c] + k + 1)] for c in chosen.tolist()]
+        d = np.repeat(d, [len(i) for i in ids])
+        ids = np.concatenate(ids)
+        other = ids != query_id
+        ids, d = ids[other], d[other]
+        best = np.lexsort((ids, d))[:k]
+        return ids[best], d[best]
 
 
 def searched(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -123,7 +137,8 @@ def searched(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
             "query_id", F.lit(1).alias("rank"), F.col("vec_id").alias(id_col), "score")
     dim, total = of_length
     data = all_rows.filter(F.size("v") == dim)
-    table = (data.orderBy(F.xxhash64(F.col("id")), "id").limit(pivots).toArrow())
+    distinct = data.groupBy("v").agg(F.min("id").alias("id"))
+    table = distinct.orderBy(F.xxhash64(F.col("id")), "id").limit(pivots).toArrow()
     sent = spark.sparkContext.broadcast(_matrix(table.column("v"), dim))
 
     queries = data.filter(is_query) if id_col == "id" else (
@@ -142,7 +157,7 @@ def searched(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
             ids = left.column("id").to_numpy()
             own = Shard(ids, _matrix(left.column("v"), dim), sent.value, prefix)
             q = _matrix(right.column("v"), dim)
-            n = max(least, k, int(np.ceil(share * len(ids))))
+            n = max(least, k, int(np.ceil(share * len(own.vectors))))
             for query_id, query, perm in zip(right.column("id").to_numpy(), q, permutations(q, sent.value, own.prefix)):
                 found, d = own.nearest(query_id, query, perm, k, n)
                 out[0] += [query_id] * len(found)

@@ -54,10 +54,25 @@ def test_exact_where_all_are_reranked(spark, shard, block):
     assert got == brute(ids, x, [int(i) for i in ids if i % 10 == 0], 7)
 
 
+def test_recall_beside_a_very_common_vector(spark):
+    """A third of the rows are one vector; a shard's candidates are few."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 16))
+    x = centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 16))
+    x[::3] = x[0]
+    ids = np.arange(3000)
+    df = spark.createDataFrame([(i, v) for i, v in zip(ids.tolist(), x.tolist())], "vec_id long, embedding array<double>")
+    got = found(permindex.searched(df, F.col("vec_id") % 100 == 0, share=0.15, least=100))
+    want = brute(ids, x, [i for i in ids.tolist() if i % 100 == 0], 10)
+    assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
 def test_footrule():
     rng = np.random.default_rng(7)
     pivots, x = rng.normal(size=(20, 5)), rng.normal(size=(40, 5))
     s = permindex.Shard(np.arange(40), x, pivots, 6)
+    x = s.vectors
     order = permindex.permutations(x, pivots, 6)
     place = np.full((40, 20), 6)
     np.put_along_axis(place, order, np.arange(6)[None].repeat(40, 0), 1)
