@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acctsig.functions import patterns as P
+from acctsig.functions.sizes import small
 
 
 def sweep_thresholds(start: float = P.SWEEP_START, step: float = P.SWEEP_STEP,
@@ -84,24 +85,37 @@ def score_histogram(df: DataFrame, prob: str = "probability", label: str = "labe
                     bins: int = P.HISTOGRAM_BINS, by: list[str] | None = None) -> DataFrame:
     """E5: per class, ``bins`` equal bins over the class's own min..max,
     density-normalised (count / (n * width)); a constant class gets the
-    range (v - 0.5, v + 0.5) as numpy does."""
+    range (v - 0.5, v + 0.5) as numpy does.
+
+    The bin edges are lo + i * ((hi - lo) / bins), the last one hi, and a
+    score belongs to the last edge that it reaches (the top edge to the last
+    bin). Every bin has a row. Scores are first counted per group and value
+    of the estimated bin, put right against the edges themselves.
+    """
     by = by or []
     keys = by + [label]
     st = df.groupBy(*keys).agg(F.min(prob).alias("lo"), F.max(prob).alias("hi"),
                                F.count(F.lit(1)).alias("n"))
+    flat = F.col("lo") == F.col("hi")
     st = st.select(*keys, "n",
-                   F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo"))
-                   .alias("lo"),
-                   F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi"))
-                   .alias("hi"))
+                   F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+                   F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
-    b = F.least(F.floor((F.col(prob) - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))),
-                F.lit(bins - 1)).cast("int")
-    h = df.join(st, keys).groupBy(*keys, b.alias("bin"), "n", "lo", "hi") \
-        .agg(F.count(F.lit(1)).alias("count"))
-    return h.select(*keys, "bin", "count",
-                    (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
-                    (F.col("count") / (F.col("n") * width)).alias("density"))
+
+    def edge(i: Column) -> Column:
+        return F.when(i >= bins, F.col("hi")).otherwise(F.col("lo") + i * width)
+
+    x, top = F.col(prob), F.lit(bins - 1)
+    guess = F.least(F.floor((x - F.col("lo")) / width), top).cast("int")
+    put_right = (F.when(x < edge(guess), guess - 1)
+                 .when((x >= edge(guess + 1)) & (guess < top), guess + 1).otherwise(guess))
+    h = (df.join(small(st), keys).select(*keys, put_right.alias("bin"))
+         .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count")))
+    grid = st.withColumn("bin", F.explode(F.sequence(F.lit(0), top)))
+    count = F.coalesce(F.col("count"), F.lit(0).cast("long"))
+    return grid.join(h, keys + ["bin"], "left").select(
+        *keys, "bin", count.alias("count"), edge(F.col("bin")).alias("bin_lo"),
+        (count / (F.col("n") * width)).alias("density"))
 
 
 def detection_summary(detections: DataFrame, accounts: DataFrame,

@@ -14,10 +14,9 @@ second grouping.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from acctsig.functions import patterns as P
 
@@ -28,24 +27,40 @@ TEMPORAL_COLUMNS = [
     "night_ratio", "rapid_fire_ratio", "regular_interval_ratio",
     "temporal_burstiness", "active_hours", "max_gap_ratio", "posting_span_hours",
 ]
-DAY_MICROS = 86_400_000_000
+HOUR_MICROS = 3_600_000_000
+DAY_MICROS = 24 * HOUR_MICROS
 
 
-def epoch_micros(ts: Column) -> Column:
-    """Microseconds since the epoch for TIMESTAMP or TIMESTAMP_NTZ input.
+def epoch_micros(posts: DataFrame, ts: str) -> Column:
+    """Microseconds since the epoch of a TIMESTAMP or TIMESTAMP_NTZ column.
 
-    For TIMESTAMP_NTZ the wall clock is taken as UTC, which keeps deltas
-    exact whatever the session time zone.
+    A TIMESTAMP is an instant and keeps its own microseconds. The wall clock
+    of a TIMESTAMP_NTZ is taken as UTC. Neither depends on the session's
+    time zone.
     """
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                            ts.cast("timestamp_ntz"))
+    if not isinstance(posts.schema[ts].dataType, T.TimestampNTZType):
+        return F.unix_micros(ts)
+    # Field by field: a difference of wall clocks would go through the session's zone.
+    wall = F.col(ts)
+    second = (F.extract(F.lit("SECOND"), wall) * 1_000_000).cast("long")
+    return (F.unix_date(wall.cast("date")).cast("long") * DAY_MICROS + F.hour(wall).cast("long") * HOUR_MICROS
+            + F.minute(wall).cast("long") * 60_000_000 + second)
+
+
+def utc_hour(posts: DataFrame, ts: str) -> Column:
+    """Hour of day in UTC (TIMESTAMP) or of the wall clock (TIMESTAMP_NTZ)."""
+    return F.pmod(F.floor(epoch_micros(posts, ts) / F.lit(HOUR_MICROS)), F.lit(24)).cast("int")
 
 
 def post_times(posts: DataFrame, ts: str = "created_at", hour: str | None = None,
                keys=KEYS) -> DataFrame:
-    """(keys, us, hour): the instant in micros and the local hour of day."""
-    h = F.hour(F.col(ts)) if hour is None else F.col(hour)
-    return posts.select(*keys, epoch_micros(F.col(ts)).alias("us"), h.alias("hour"))
+    """(keys, us, hour): the instant in micros and the hour of day.
+
+    ``hour`` names a column with the hour in the post's own offset; without
+    it the hour is that of ``utc_hour``.
+    """
+    h = utc_hour(posts, ts) if hour is None else F.col(hour)
+    return posts.select(*keys, epoch_micros(posts, ts).alias("us"), h.alias("hour"))
 
 
 def deltas(times: DataFrame, keys=KEYS, bucket_micros: int = DAY_MICROS) -> DataFrame:
@@ -83,34 +98,44 @@ def hour_profile(times: DataFrame, keys=KEYS,
                     active.alias("active_hours"))
 
 
-def radix_median(d: DataFrame, keys=KEYS, value: str = "d") -> DataFrame:
+def radix_median(d: DataFrame, keys=KEYS, value: str = "d", bits: int = 18) -> DataFrame:
     """Exact per-group median of non-negative longs, without gathering a
     group in one task.
 
-    Radix selection on 16-bit digits, most significant first: each round
-    counts values per (group, prefix, digit) with partial aggregation, and
-    a running sum over at most 65,536 digit rows per (group, target) finds
-    the digit holding the target rank. Two targets (ranks floor((m-1)/2) and
-    floor(m/2)) give the median (v1 + v2) / 2, the same double as a sorted
-    median of integers.
+    Radix selection from the most significant digit: each round counts
+    values per (group, prefix, digit) with partial aggregation, and a running
+    sum over the digit rows of each (group, target) finds the digit that holds
+    the target rank. From the second round on only values under a prefix
+    that still holds a target are counted. Two targets (ranks
+    floor((m-1)/2) and floor(m/2)) give the median (v1 + v2) / 2, the same
+    double as a sorted median of integers.
+
+    The second and third digits are ``bits`` wide and the first holds all that
+    is above them, so a window has at most 2 ** bits rows for gaps under
+    2 ** 54 microseconds (570 years), and longer gaps stay exact.
     """
     k = list(keys)
-    m = d.groupBy(*k).agg(F.count(F.lit(1)).alias("_m"))
-    ranks = F.array(F.floor((F.col("_m") - 1) / 2), F.floor(F.col("_m") / 2))
-    state = m.select(*k, F.posexplode(ranks).alias("t", "rank")) \
-        .withColumn("hi", F.lit(0).cast("long"))
-    for shift in (48, 32, 16, 0):
-        hi = (F.shiftrightunsigned(F.col(value), shift + 16) if shift < 48
-              else F.lit(0).cast("long"))
-        digit = F.shiftright(F.col(value), shift).bitwiseAND(F.lit(0xFFFF))
-        g = d.groupBy(*k, hi.alias("hi"), digit.alias("digit")).agg(F.count(F.lit(1)).alias("c"))
-        j = g.join(state, k + ["hi"])
+    v = F.col(value)
+    state = None
+    for shift in (2 * bits, bits, 0):
+        digit = F.shiftrightunsigned(v, shift).bitwiseAND(F.lit((1 << bits) - 1))
+        if state is None:
+            g = d.groupBy(*k, F.shiftrightunsigned(v, shift).alias("digit")).agg(F.count(F.lit(1)).alias("c"))
+            m = d.groupBy(*k).agg(F.count(F.lit(1)).alias("_m"))
+            ranks = F.array(F.floor((F.col("_m") - 1) / 2), F.floor(F.col("_m") / 2))
+            j = g.join(m.select(*k, F.posexplode(ranks).alias("t", "rank")), k).withColumn("hi", F.lit(0).cast("long"))
+        else:
+            live = state.select(*k, "hi").distinct()
+            under = d.select(*k, F.shiftrightunsigned(v, shift + bits).alias("hi"), digit.alias("digit"))
+            g = (under.join(live, k + ["hi"], "left_semi").groupBy(*k, "hi", "digit")
+                 .agg(F.count(F.lit(1)).alias("c")))
+            j = g.join(state, k + ["hi"])
         w = Window.partitionBy(*k, "t").orderBy("digit")
         cum = j.withColumn("cum", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         pick = (cum.where(F.col("cum") > F.col("rank"))
                 .withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1))
         state = pick.select(*k, "t", (F.col("rank") - (F.col("cum") - F.col("c"))).alias("rank"),
-                            F.shiftleft(F.col("hi"), 16).bitwiseOR(F.col("digit")).alias("hi"))
+                            F.shiftleft(F.col("hi"), bits).bitwiseOR(F.col("digit")).alias("hi"))
     return state.groupBy(*k).agg(F.avg(F.col("hi").cast("double")).alias("median"))
 
 
@@ -185,6 +210,3 @@ def temporal_features(posts: DataFrame, ts: str = "created_at", hour: str | None
         z(F.col("inter_tweet_max") / span_s).alias("max_gap_ratio"),
         z(span_s / 3600.0).alias("posting_span_hours"),
     )
-
-
-MAX_ENTROPY = math.log2(24)

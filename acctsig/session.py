@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The per-character pass holds some 40 bytes a character of its batch.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -37,8 +39,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is set by the deployment (a shared filesystem).
-    Only when it is unset (local tests) a private scratch folder is made.
+    On a cluster the folder is set by the deployment (a shared filesystem),
+    and jobs insist on it (``require_checkpoint_dir``). Only when it is unset
+    (local tests) a private scratch folder is made.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
@@ -51,6 +54,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def require_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder of a cluster job; an error if the deployment names none."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return ensure_checkpoint_dir(spark)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acctsig.functions import patterns as P
+from acctsig.functions.text import WS_CHARS
 
 KEYS = ("dataset_id", "author_id")
 
@@ -47,13 +48,17 @@ DOCUMENT_SCHEMA = T.StructType([
 def parse_created_at(col: F.Column) -> tuple[F.Column, F.Column]:
     """ISO-8601 string -> (instant, hour of the local wall clock).
 
-    'Z' means +00:00. The hour is read from the string itself, so it is the
-    hour in the timestamp's own offset, whatever the session time zone.
+    'Z' means +00:00. Date and time may be set apart by 'T' or a blank, and
+    a date alone is its midnight. A string without an offset is in UTC. The
+    hour is read from the string itself, so it is the hour in the timestamp's
+    own offset; neither depends on the session's time zone.
     """
     s = F.regexp_replace(col, "Z$", "+00:00")
-    ts = F.to_timestamp(s)
-    hour = F.regexp_extract(s, r"T(\d{2}):", 1).cast("int")
-    return ts, hour
+    own = F.regexp_extract(s, r"[T ](\d{2})(?::|$)", 1)
+    hour = F.when(s.isNotNull(), F.coalesce(F.nullif(own, F.lit("")).cast("int"), F.lit(0)))
+    s = F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
+    s = F.when(s.rlike(r"[+-]\d{2}:?\d{2}(:?\d{2})?$") & s.rlike("[T ]"), s).otherwise(F.concat(s, F.lit("+00:00")))
+    return F.to_timestamp(s), hour
 
 
 def read_dataset_json(spark: SparkSession, path: str, dataset_id: int | None = None,
@@ -82,9 +87,20 @@ def read_dataset_json(spark: SparkSession, path: str, dataset_id: int | None = N
 
 def read_flat(spark: SparkSession, accounts_path: str, posts_path: str,
               fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
-    """Scale layout: flat account and post tables."""
+    """Scale layout: flat account and post tables; repeated account ids are reduced to one row."""
     r = spark.read.format(fmt)
-    return r.load(accounts_path), r.load(posts_path)
+    return unique_accounts(r.load(accounts_path)), r.load(posts_path)
+
+
+def unique_accounts(accounts: DataFrame, id_col: str = "id", keys=KEYS) -> DataFrame:
+    """One row per account of a flat table: of repeated ids the row that is largest, column by column.
+
+    A flat table has no order, so there is no later row to prefer.
+    """
+    rest = sorted(set(accounts.columns) - {keys[0], id_col})
+    w = Window.partitionBy(keys[0], id_col).orderBy(*([F.col(f"`{c}`").desc_nulls_last() for c in rest] or [F.lit(1)]))
+    return (accounts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
+            .drop("_r"))
 
 
 def convert_json_to_parquet(spark: SparkSession, json_path: str, out_dir: str,
@@ -101,7 +117,7 @@ def read_labels(spark: SparkSession, path: str, dataset_id: int | None = None) -
     t = spark.read.text(path).withColumn("_file", F.input_file_name())
     ds = F.lit(dataset_id).cast("long") if dataset_id is not None else \
         F.regexp_extract("_file", r"\.(\d+)\.txt$", 1).cast("long")
-    v = F.regexp_replace("value", r"^\s+|\s+$", "")
+    v = F.trim("value", F.lit(WS_CHARS))
     return (t.select(ds.alias("dataset_id"), v.alias("author_id"))
             .where(F.length("author_id") > 0).distinct())
 
@@ -113,12 +129,11 @@ def practice_corpus(spark: SparkSession, base_dir: str,
     Returns (accounts, posts, labels) unioned over the datasets found, with
     the fixed dataset -> language map applied.
     """
-    import os
     accs, posts, labels = [], [], []
     for ds, lang in ids_to_lang.items():
-        data = os.path.join(base_dir, f"dataset.posts&users.{ds}.json")
-        bots = os.path.join(base_dir, f"dataset.bots.{ds}.txt")
-        if not (os.path.exists(data) and os.path.exists(bots)):
+        data = f"{base_dir}/dataset.posts&users.{ds}.json"
+        bots = f"{base_dir}/dataset.bots.{ds}.txt"
+        if not (exists(spark, data) and exists(spark, bots)):
             continue
         a, p = read_dataset_json(spark, data, ds)
         accs.append(a.withColumn("lang", F.lit(lang)))
@@ -129,6 +144,12 @@ def practice_corpus(spark: SparkSession, base_dir: str,
     return union_all(accs), union_all(posts), union_all(labels)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the store that its scheme names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def union_all(dfs: list[DataFrame]) -> DataFrame:
     """Stack per-dataset tables."""
     out = dfs[0]

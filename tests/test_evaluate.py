@@ -25,43 +25,36 @@ def test_golden_confusion(spark, tp, fn, fp, score):
     assert c["recall"] == pytest.approx(tp / (tp + fn))
 
 
-def naive_sweep(labels, probs):
-    out = []
-    best_t, best_s = 0.5, -float("inf")
-    for t in np.arange(0.10, 0.95, 0.01):
-        pred = probs >= t
-        tp = int(np.sum(pred & (labels == 1)))
-        fn = int(np.sum(~pred & (labels == 1)))
-        fp = int(np.sum(pred & (labels == 0)))
-        s = 4 * tp - fn - 2 * fp
-        out.append(s)
-        if s > best_s:
-            best_s, best_t = s, t
-    return out, best_t, best_s
-
-
-@pytest.mark.parametrize("seed", [0, 1, 2])
-def test_sweep_matches_naive(spark, seed):
-    rnd = random.Random(seed)
-    probs = [rnd.choice([0.1, 0.11, 0.5, 0.95, 0.0, 1.0]) if rnd.random() < 0.3 else rnd.random()
-             for _ in range(300)]
-    probs += list(np.arange(0.10, 0.95, 0.01)[:10])        # exactly on thresholds
-    labels = [int(rnd.random() < 0.3) for _ in probs]
-    df = spark.createDataFrame(list(zip(labels, [float(p) for p in probs])),
-                               "label int, probability double")
-    sw = ev.threshold_sweep(df).orderBy("idx").collect()
-    exp, best_t, best_s = naive_sweep(np.array(labels), np.array(probs))
-    assert [r["score"] for r in sw] == exp
+# Five positives and five negatives, at and between the sweep's values.
+POSITIVE = [0.05, 0.30, 0.50, 0.505, 0.94]
+NEGATIVE = [0.00, 0.10, 0.29, 0.505, 1.00]
+# Threshold index: positives and negatives that reach it, counted by hand.
+REACHED = {0: (4, 4), 1: (4, 3), 19: (4, 3), 20: (4, 2), 21: (3, 2), 40: (3, 2), 41: (1, 1), 84: (1, 1)}
+
+
+def test_sweep_counts(spark):
+    df = spark.createDataFrame([(1, p) for p in POSITIVE] + [(0, p) for p in NEGATIVE], "label int, probability double")
+    sw = {r["idx"]: r for r in ev.threshold_sweep(df).collect()}
+    assert sorted(sw) == list(range(85))
+    # 0.10 + 20 steps is 0.30000000000000004 and 0.10 + 40 steps 0.5 exactly, as numpy has them
+    exact = ev.sweep_thresholds()
+    for i, (tp, fp) in REACHED.items():
+        tp -= sum(p < exact[i] <= p + 1e-9 for p in POSITIVE)
+        assert (sw[i]["tp"], sw[i]["fp"], sw[i]["fn"], sw[i]["tn"]) == (tp, fp, 5 - tp, 5 - fp), i
+        assert sw[i]["score"] == 4 * tp - (5 - tp) - 2 * fp
+
+
+@pytest.mark.parametrize("rows,idx,score", [
+    ([(1, 0.2), (1, 0.3), (0, 0.1), (0, 0.15)], 6, 8),     # the first value above 0.15 already has the best score
+    ([(0, 0.5)] * 10, 41, 0),                              # no positives: the first value that none reaches
+    ([(1, 0.05)], 0, -1),                                  # never reached: all values tie, the first is taken
+    ([(1, 1.0), (0, 1.0), (0, 1.0)], 0, 0),                # always reached
+])
+def test_best_threshold_is_the_first(spark, rows, idx, score):
+    df = spark.createDataFrame(rows, "label int, probability double")
     b = ev.best_threshold(ev.threshold_sweep(df)).first()
-    assert b["threshold"] == best_t and b["score"] == best_s
-
-
-def test_all_tied_and_no_positives(spark):
-    df = spark.createDataFrame([(0, 0.5)] * 10, "label int, probability double")
-    sw = ev.threshold_sweep(df).orderBy("idx").collect()
-    exp, best_t, _ = naive_sweep(np.zeros(10, int), np.full(10, 0.5))
-    assert [r["score"] for r in sw] == exp
-    assert ev.best_threshold(ev.threshold_sweep(df)).first()["threshold"] == best_t
+    assert (b["idx"], b["score"]) == (idx, score)
+    assert b["threshold"] == ev.sweep_thresholds()[idx]
 
 
 def test_folds_stratified_and_equal_to_global_rank(spark):
@@ -83,17 +76,18 @@ def test_folds_stratified_and_equal_to_global_rank(spark):
     assert all(g[r["author_id"]] == r["fold"] for r in f)
 
 
-def test_histogram_density_integrates_to_one(spark):
-    rnd = random.Random(3)
-    rows = [(int(rnd.random() < 0.4), rnd.random()) for _ in range(500)] + [(2, 0.7)] * 3
+@pytest.mark.parametrize("seed", range(6))
+def test_histogram_counts_are_numpy_s(spark, seed):
+    """Scores with two decimals often lie on an edge; empty bins have rows."""
+    rnd = random.Random(seed)
+    rows = [(int(rnd.random() < 0.4), rnd.randint(0, 100) / 100) for _ in range(300)] + [(2, 0.7)] * 3
     df = spark.createDataFrame(rows, "label int, probability double")
     h = ev.score_histogram(df).collect()
+    assert len(h) == 3 * 30
     for lab in (0, 1, 2):
-        hs = [r for r in h if r["label"] == lab]
-        lo = min(p for l, p in rows if l == lab)
-        hi = max(p for l, p in rows if l == lab)
-        width = ((hi - lo) if hi > lo else 1.0) / 30
-        assert sum(r["density"] * width for r in hs) == pytest.approx(1.0)
-        counts, _ = np.histogram([p for l, p in rows if l == lab], bins=30)
-        assert sorted((r["bin"], r["count"]) for r in hs) == \
-            [(i, int(c)) for i, c in enumerate(counts) if c]
+        hs = sorted((r for r in h if r["label"] == lab), key=lambda r: r["bin"])
+        density, edges = np.histogram([p for y, p in rows if y == lab], bins=30, density=True)
+        counts, _ = np.histogram([p for y, p in rows if y == lab], bins=30)
+        assert [r["count"] for r in hs] == counts.tolist()
+        assert [r["bin_lo"] for r in hs] == pytest.approx(edges[:-1].tolist())
+        assert [r["density"] for r in hs] == pytest.approx(density.tolist())

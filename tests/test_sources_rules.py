@@ -42,6 +42,15 @@ def test_json_document_and_labels(spark, tmp_path):
         == [(77, "u1"), (77, "u2")]
 
 
+def test_created_at_forms(spark):
+    rows = [("2024-01-01T23:05:00+02:00", 23, 1704143100), ("2024-01-01 23:05:00Z", 23, 1704150300),
+            ("2024-01-01T23:05:00", 23, 1704150300), ("2024-01-01", 0, 1704067200), (None, None, None)]
+    df = spark.createDataFrame([(s,) for s, *_ in rows], "s string")
+    ts, hour = src.parse_created_at(F.col("s"))
+    got = {r["s"]: (r["h"], r["u"]) for r in df.select("s", hour.alias("h"), F.unix_seconds(ts).alias("u")).collect()}
+    assert got == {s: (h, u) for s, h, u in rows}
+
+
 def test_profile_edges(spark):
     rows = [(1, None, None, None, None, None, None),
             (2, "Ada Byron", "ab_cd12\n", "a | b | c", "Paris", 5, 1.5),
