@@ -2,31 +2,37 @@
 
 Physical shape:
 
-1. one per-post projection computes every text signal (T, the style flags
-   of D, the rule flags of R) — the only full regex pass over the posts;
+1. one per-post projection reads each text once and computes every text
+   signal (T, the style flags of D, the rule flags of R) and the lower-cased
+   tokens; ``reuse`` keeps this table, and nothing later reads a text;
 2. one hash aggregation per (dataset_id, author_id), with partial
    aggregation, produces A, H (additive part), D11–D22, the length moments
-   and the rule flags;
+   and the rule flags; its rows are the authors;
 3. small two-level aggregations for distinct hashtags, distinct first
    tokens and the length histogram (D17) read the same per-post table;
-4. the token table (D1–D5, D10), the first-k-posts windows (D6, D7, D9),
-   the temporal deltas (W) and TF-IDF (X) each have their own shuffle;
-5. the groups are joined on the account key; profile features (P) are
-   row-local on the accounts.
-
-``reuse`` controls how the per-post table of step 1 is shared by the
-branches of step 2–3: ``"checkpoint"`` writes it to the shared checkpoint
-folder (lineage cut, survives executor loss), ``"persist"`` keeps it in
-executor memory/disk, ``None`` lets each branch recompute it.
+4. counts per (author, token), kept too, give D1–D5, D10 and, as a TF-IDF
+   term never crosses white space, the terms of X; the first-k-posts windows
+   (D6, D7, D9) share one set of token lists; W has its own shuffles;
+5. the groups are joined on the account key with the accounts, where
+   authors without an account drop out (S6): no post is shuffled for that.
+   Only X counts accounts, so its terms are semi-joined before. Profile
+   features (P) are row-local on the accounts.
+
+``reuse`` modes: ``"checkpoint"`` writes Parquet to the shared checkpoint
+folder (lineage cut, survives executor loss, columns are pruned on reading),
+``"persist"`` keeps it in executor memory/disk, ``None`` recomputes it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acctsig.functions import patterns as P
+from acctsig.functions.text import tokens
 from acctsig.operators import lexical as lex
 from acctsig.operators import post as post_ops
 from acctsig.operators import profile as prof
@@ -34,7 +40,7 @@ from acctsig.operators import rollup as roll
 from acctsig.operators import rules as rule_ops
 from acctsig.operators import similarity as sim
 from acctsig.operators import temporal as temp
-from acctsig.sources import tables as src
+from acctsig.session import ensure_checkpoint_dir
 
 KEYS = ("dataset_id", "author_id")
 ROLLUP_COLUMNS = [
@@ -52,109 +58,91 @@ assert len(FEATURE_COLUMNS) == 106, len(FEATURE_COLUMNS)
 
 def reuse(df: DataFrame, mode: str | None) -> DataFrame:
     if mode == "checkpoint":
-        return df.checkpoint(eager=True)
+        spark = df.sparkSession
+        path = f"{ensure_checkpoint_dir(spark)}/reuse-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     if mode == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df
 
 
-def post_signals(eposts: DataFrame, text: str = "text", lang: str = "lang",
-                 seq: str = "post_seq", keys=KEYS) -> DataFrame:
-    """Step 1: every per-post signal in one projection (text dropped)."""
-    pf = post_ops.post_features(eposts.select(*keys, seq, lang, text), text=text, lang=lang,
+def post_signals(posts: DataFrame, text: str = "text", lang: str = "lang", seq: str = "post_seq",
+                 keep: tuple[str, ...] = (), keys=KEYS) -> DataFrame:
+    """Step 1: every per-post signal and the tokens in one projection (text dropped)."""
+    pf = post_ops.post_features(posts.select(*keys, seq, *keep, lang, text), text=text, lang=lang,
                                 extra=_extra_flags)
     return pf.drop(text, lang)
 
 
 def _extra_flags(t, low, cs):
-    return lex.style_flag_columns(t, low, cs) + rule_ops.rule_flag_columns(t, low)
+    return (lex.style_flag_columns(t, low, cs) + rule_ops.rule_flag_columns(t, low)
+            + [tokens(low).alias("tokens")])
 
 
 def account_aggregates(sig: DataFrame, keys=KEYS) -> DataFrame:
     """Step 2: the single per-account aggregation."""
-    npunct = len(P.PUNCTUATION_CHARS)
     a = sig.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_posts"),
         *roll.rollup_columns(),
-        F.avg("formal").alias("formality_score"),
-        F.avg("slang").alias("slang_ratio"),
-        F.avg("just_start").alias("just_starter_ratio"),
-        F.avg("complete").alias("avg_sentence_completeness"),
-        F.avg("has_url_text").alias("url_consistency"),
-        F.avg("ai_phrase").alias("ai_phrase_ratio"),
-        F.avg("mid_caps").alias("artificial_caps_ratio"),
-        F.avg("generic_life").alias("generic_life_ratio"),
-        F.avg("short_generic").alias("short_generic_ratio"),
-        *[F.max(f"_p{i}").alias(f"_p{i}") for i in range(npunct)],
+        *lex.style_aggregates(),
         F.max("leak").alias("any_leak"),
         F.max("typo").alias("any_typo"))
-    pdiv = sum((F.col(f"_p{i}") for i in range(npunct)), F.lit(0))
-    n = F.col("n_posts")
-    return a.select(
-        "*",
-        pdiv.cast("long").alias("punctuation_diversity"),
-        F.when(n >= 2, F.col("char_len_std") / F.greatest(F.col("char_len_mean"), F.lit(1.0)))
-        .otherwise(F.lit(0.0)).alias("char_len_cv"),
-        F.col("char_len_mean").alias("len_mean"),
-    ).drop(*[f"_p{i}" for i in range(npunct)])
+    return (a.select("*", *lex.style_results(F.col("char_len_mean"), F.col("char_len_std")))
+            .drop(*lex.PUNCT_FLAGS))
 
 
 def feature_matrix(spark: SparkSession, accounts: DataFrame, posts: DataFrame,
                    labels: DataFrame | None = None, text: str = "text", lang: str = "lang",
                    seq: str = "post_seq", ts: str = "created_at", hour: str | None = None,
                    id_col: str = "id", keys=KEYS, reuse_mode: str | None = "persist",
-                   median: str = "radix", block: int = 2048,
+                   median: str = "radix", block: int = 1024,
                    with_rules: bool = False) -> DataFrame:
-    """dataset_id, author_id, 106 features (+ label, + rule columns)."""
+    """dataset_id, author_id, 106 features (+ label, + rule columns).
+
+    ``hour`` names a column with the hour of day in the post's own offset.
+    """
     k = list(keys)
-    eposts = src.eligible_posts(posts, accounts, id_col, keys)
-    sig = reuse(post_signals(eposts, text, lang, seq, keys), reuse_mode)
+    keep = (ts,) if hour is None else (ts, hour)
+    sig = reuse(post_signals(posts, text, lang, seq, keep, keys), reuse_mode)
     agg = account_aggregates(sig, keys)
-    hashtag = _hashtag_block(sig, agg, keys)
-    uni = lex.length_uniformity(sig, agg, keys)
-    first = lex.first_word_diversity(sig, keys)
-    tc = lex.token_counts(eposts, text, keys)
-    rich = lex.richness(tc, keys)
-    topic = lex.topic_coverage(tc, spark, keys)
-    jac = lex.consecutive_jaccard(eposts, text, keys, seq)
-    rep = lex.repeated_bigrams(eposts, text, keys, seq)
-    tmp = temp.temporal_features(eposts, ts, hour, keys, median)
-    cross = sim.cross_user_similarity(eposts, text, keys, block)
     acc = accounts.select(F.col(keys[0]), F.col(id_col).alias(keys[1]), "name", "username",
                           "description", "location", "tweet_count", "z_score")
-    j = (agg.join(acc, k).join(hashtag, k, "left").join(uni, k, "left")
-         .join(first, k, "left").join(rich, k, "left").join(topic, k, "left")
-         .join(jac, k, "left").join(rep, k, "left").join(tmp, k, "left")
-         .join(cross, k, "left"))
+    known = acc.select(*keys)
+    tc = reuse(lex.count_tokens(sig, keys), reuse_mode)
+    lists = lex.first_posts(sig, max(P.JACCARD_PAIRS + 1, P.BIGRAM_ANCHORS + P.BIGRAM_LOOKAHEAD),
+                            "tokens", keys, seq)
+    lists = reuse(lists.join(known, k, "left_semi"), reuse_mode)
+    authors = reuse(agg.select(*keys).join(known, k, "left_semi"), reuse_mode)
+    terms = sim.term_counts_of_tokens(tc, keys).join(authors, k, "left_semi")
+    cross = sim.similarity_of_terms(reuse(terms, reuse_mode), authors, keys, block,
+                                    reuse=lambda df: reuse(df, reuse_mode))
+    parts = [
+        roll.hashtag_ratios(agg, sig, keys),
+        lex.length_uniformity(sig, agg, keys),
+        lex.first_word_diversity(sig, keys),
+        lex.richness(tc, keys),
+        lex.topic_coverage(tc, spark, keys),
+        lex.jaccard_of_lists(lists, keys),
+        lex.bigrams_of_lists(lists, keys),
+        temp.temporal_features(sig, ts, hour, keys, median),
+        cross,
+    ]
+    j = agg.join(acc, k)
+    for p in parts:
+        j = j.join(p, k, "left")
     pf = prof.profile_features(j, F.col("n_posts"))
     out = pf.select("*", prof.interaction(F.col("hour_entropy"), F.col("tweet_count")))
-    fill = {c: 0.0 for c in FEATURE_COLUMNS}
-    fill["vocab_richness"] = -10000.0
-    cols = [F.coalesce(F.col(c), F.lit(fill[c])).alias(c) for c in FEATURE_COLUMNS]
     extra = []
     if with_rules:
         extra = rule_ops.reason_columns(F.col("name"), F.col("location"),
                                         F.col("any_leak"), F.col("any_typo"))
-    res = out.select(*k, *cols, *extra)
+    res = out.select(*k, *[lex.filled(c).cast("double").alias(c) for c in FEATURE_COLUMNS], *extra)
     if labels is not None:
         res = attach_labels(res, labels, keys)
     return res
 
 
-def _hashtag_block(sig: DataFrame, agg: DataFrame, keys=KEYS) -> DataFrame:
-    u = roll.distinct_hashtags(sig, keys)
-    j = agg.select(*keys, "n_posts", F.col("hashtag_count_sum").alias("total"),
-                   F.col("hashtag_count_max").alias("mx"),
-                   F.col("has_hashtag_sum").alias("w")).join(u, list(keys), "left")
-    uq = F.coalesce(F.col("unique_hashtags"), F.lit(0)).cast("long")
-    return j.select(*keys, F.col("total").cast("long").alias("total_hashtags"),
-                    uq.alias("unique_hashtags"),
-                    (uq / F.greatest(F.col("total"), F.lit(1))).alias("hashtag_diversity"),
-                    (F.col("total") / F.col("n_posts")).alias("hashtag_per_post"),
-                    F.col("mx").cast("long").alias("max_hashtags_per_tweet"),
-                    (F.col("w") / F.col("n_posts")).alias("hashtag_post_ratio"))
-
-
 def attach_labels(df: DataFrame, labels: DataFrame, keys=KEYS) -> DataFrame:
     """label = 1 when the account id is in the label set."""
     lab = labels.select(*keys).distinct().withColumn("_lab", F.lit(1))

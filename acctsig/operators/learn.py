@@ -8,14 +8,19 @@ MLlib setting. The blend weights, the class weight (negatives / positives
 of the current training split), the stratified 5-fold out-of-fold scores
 and the threshold search follow the original.
 
-Default boosting length is short (``FAST``); ``REFERENCE`` is the original
-800/800/500 trees at learning rate 0.03 — hours of MLlib jobs.
+The boosting length is the original one, ``REFERENCE``: 800/800/500 trees at
+learning rate 0.03, which takes hours of MLlib jobs. A caller who wants
+another length passes it as ``preset``; nothing here shortens it.
+
+MLlib draws each tree's row sample per partition, so the training rows are
+dealt to ``TRAIN_PARTITIONS`` partitions by a hash of the account: the same
+rows give the same trees on any cluster.
 """
 
 from __future__ import annotations
 
-import math
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -24,8 +29,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acctsig.functions import patterns as P
+from acctsig.functions.sizes import small
 from acctsig.operators import evaluate as ev
 from acctsig.operators.assemble import FEATURE_COLUMNS, vectorize
+from acctsig.session import ensure_checkpoint_dir
 
 # (name, GBT params, class-weighted) per learner; iterations/step per preset.
 LEARNERS = [
@@ -36,7 +43,6 @@ LEARNERS = [
     ("c", dict(maxDepth=3, minInstancesPerNode=10, minInfoGain=0.0, subsamplingRate=0.7,
                featureSubsetStrategy="all", seed=44), False),
 ]
-FAST = {"iters": (20, 20, 15), "step": 0.1}
 REFERENCE = {"iters": (800, 800, 500), "step": 0.03}
 
 
@@ -50,11 +56,16 @@ class Ensemble:
     lang: str = "en"
 
 
+def class_weights(df: DataFrame, label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """M4: positives, negatives and negatives / max(positives, 1), per group."""
+    c = df.groupBy(*(by or [])).agg(F.count_if(F.col(label) == 1).alias("positives"),
+                                    F.count_if(F.col(label) != 1).alias("negatives"))
+    return c.withColumn("pos_weight", F.col("negatives") / F.greatest(F.col("positives"), F.lit(1)))
+
+
 def class_weight(df: DataFrame, label: str = "label") -> float:
-    """M4: negatives / max(positives, 1) of this training split."""
-    r = df.agg(F.count_if(F.col(label) == 1).alias("p"),
-               F.count_if(F.col(label) != 1).alias("n")).first()
-    return float(r["n"]) / max(int(r["p"]), 1)
+    """M4 of this training split."""
+    return float(class_weights(df, label).first()["pos_weight"])
 
 
 def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42, label: str = "label",
@@ -78,7 +89,7 @@ def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42, label: str = "la
     cnt = d.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wo = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.select(*part, "_b", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_o"))
-    return (d.join(off, part + ["_b"])
+    return (d.join(small(off), part + ["_b"])
             .withColumn("fold", ((F.col("_o") + F.col("_r") - 1) % k).cast("int"))
             .drop("_h", "_b", "_r", "_o"))
 
@@ -99,7 +110,8 @@ def _learners(weight: float, preset: dict):
 # data the driver's scheduler, not the executors, is the bottleneck, and 30+
 # concurrent fits only add driver memory pressure.
 PARALLELISM = 1
-ROWS_PER_PARTITION = 50_000
+# Partitions of the training rows; part of the model's definition (see above).
+TRAIN_PARTITIONS = 32
 
 
 def _pmap(fn, items):
@@ -108,19 +120,29 @@ def _pmap(fn, items):
         return list(ex.map(fn, items))
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """Training input with partitions sized to the rows (few for small data)."""
-    n = df.count()
-    sc = df.sparkSession.sparkContext
-    parts = max(1, min(sc.defaultParallelism, math.ceil(n / ROWS_PER_PARTITION)))
-    return df.repartition(parts).cache() if parts != df.rdd.getNumPartitions() else df
+def dealt(df: DataFrame, partitions: int = TRAIN_PARTITIONS,
+          id_cols: tuple[str, ...] = ("dataset_id", "author_id")) -> DataFrame:
+    """Training rows in a fixed layout: by a hash of the account, in order of the account."""
+    return df.repartition(partitions, *id_cols).sortWithinPartitions(*id_cols)
 
 
-def fit(train: DataFrame, preset: dict = FAST, lang: str = "en") -> Ensemble:
+@contextmanager
+def held(df: DataFrame):
+    """``df`` cached for the block and released after it."""
+    kept = df.persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
+def fit(train: DataFrame, preset: dict = REFERENCE, lang: str = "en",
+        partitions: int = TRAIN_PARTITIONS) -> Ensemble:
     """M1–M3, M8: fit the three learners on a vectorised training frame."""
     wt = class_weight(train)
     data = train.withColumn("w", F.when(F.col("label") == 1, F.lit(wt)).otherwise(F.lit(1.0)))
-    return Ensemble(_pmap(lambda m: m.fit(data), _learners(wt, preset)), lang=lang)
+    with held(dealt(data, partitions)) as rows:
+        return Ensemble(_pmap(lambda m: m.fit(rows), _learners(wt, preset)), lang=lang)
 
 
 def blend(ens: Ensemble, df: DataFrame, out: str = "probability") -> DataFrame:
@@ -153,35 +175,44 @@ def predict(ens: Ensemble, df: DataFrame) -> DataFrame:
     return b.withColumn("prediction", (F.col("probability") >= F.lit(ens.threshold)).cast("int"))
 
 
-def out_of_fold(df: DataFrame, preset: dict = FAST, k: int = 5, seed: int = 42,
-                lang: str = "en") -> DataFrame:
-    """M6: every row scored by learners fitted without its fold."""
-    folded = stratified_folds(df, k, seed).cache()
-    fold_data = [(folded.where(F.col("fold") != f).cache(), folded.where(F.col("fold") == f))
-                 for f in range(k)]
-    models = _pmap(lambda fd: fit(fd[0], preset, lang), fold_data)
-    parts = [blend(ens, fd[1]) for ens, fd in zip(models, fold_data)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
+def out_of_fold(df: DataFrame, preset: dict = REFERENCE, k: int = 5, seed: int = 42,
+                lang: str = "en", partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+    """M6: every row scored by learners fitted without its fold.
 
-def train(spark: SparkSession, features: DataFrame, preset: dict = FAST,
-          lang: str = "en") -> tuple[Ensemble, DataFrame]:
+    The scores (ids, label, fold, probability) are written to the checkpoint
+    folder, so that nothing stays cached.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    with held(stratified_folds(df, k, seed)) as folded:
+        fold_data = [(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)) for f in range(k)]
+        models = _pmap(lambda fd: fit(fd[0], preset, lang, partitions), fold_data)
+        out = None
+        for ens, (_, rest) in zip(models, fold_data):
+            part = blend(ens, rest).drop("features")
+            out = part if out is None else out.unionByName(part)
+        return out.checkpoint(eager=True)
+
+
+def train(spark: SparkSession, features: DataFrame, preset: dict = REFERENCE, lang: str = "en",
+          partitions: int = TRAIN_PARTITIONS) -> tuple[Ensemble, DataFrame]:
     """Full training: models on all rows, threshold from out-of-fold scores.
 
     Returns the ensemble and the out-of-fold scores.
     """
-    data = sized(vectorize(features).select("dataset_id", "author_id", "label", "features")
-                 .cache())
-    ens, oof = _pmap(lambda job: job(), [lambda: fit(data, preset, lang),
-                                         lambda: out_of_fold(data, preset, lang=lang).cache()])
+    with held(vectorize(features).select("dataset_id", "author_id", "label", "features")) as data:
+        ens, oof = _pmap(lambda job: job(), [lambda: fit(data, preset, lang, partitions),
+                                             lambda: out_of_fold(data, preset, lang=lang, partitions=partitions)])
     best = ev.best_threshold(ev.threshold_sweep(oof)).first()
     ens.threshold = float(best["threshold"])
     return ens, oof
 
 
+def training_report(ens: Ensemble, oof: DataFrame) -> DataFrame:
+    """E1, E3 of the out-of-fold scores at the ensemble's threshold, one row."""
+    pred = oof.withColumn("prediction", (F.col("probability") >= F.lit(ens.threshold)).cast("int"))
+    return ev.confusion(pred).select(F.lit(ens.lang).alias("lang"), F.lit(ens.threshold).alias("threshold"), "*")
+
+
 def feature_importance(spark: SparkSession, ens: Ensemble, k: int = P.TOP_FEATURES_PRINT,
                        learner: int = 0) -> DataFrame:
     """Top-k features of learner A (MLlib importances are gain-based)."""
@@ -193,17 +224,21 @@ def feature_importance(spark: SparkSession, ens: Ensemble, k: int = P.TOP_FEATUR
 
 
 def cross_dataset(spark: SparkSession, features: DataFrame, train_ds: int, test_ds: int,
-                  preset: dict = FAST, lang: str = "en") -> DataFrame:
+                  preset: dict = REFERENCE, lang: str = "en", partitions: int = TRAIN_PARTITIONS) -> DataFrame:
     """Train on one dataset, score another; report both the threshold
     re-optimised on the test labels (as originally reported) and the one
     learned from the training split's out-of-fold scores."""
-    tr = features.where(F.col("dataset_id") == train_ds)
-    te = vectorize(features.where(F.col("dataset_id") == test_ds))
-    ens, _ = train(spark, tr, preset, lang)
-    scored = blend(ens, te).cache()
-    oracle = ev.best_threshold(ev.threshold_sweep(scored)).first()
+    ens, _ = train(spark, features.where(F.col("dataset_id") == train_ds), preset, lang, partitions)
+    with held(blend(ens, vectorize(features.where(F.col("dataset_id") == test_ds)))) as scored:
+        return cross_report(spark, scored, ens.threshold, train_ds, test_ds, lang)
+
+
+def cross_report(spark: SparkSession, scored: DataFrame, threshold: float, train_ds: int, test_ds: int,
+                 lang: str) -> DataFrame:
+    """E4 from scored test rows: a row for the threshold tuned on them and one for the given threshold."""
+    tuned = ev.best_threshold(ev.threshold_sweep(scored)).first()
     rows = []
-    for kind, t in (("test_tuned", float(oracle["threshold"])), ("train_oof", ens.threshold)):
+    for kind, t in (("test_tuned", float(tuned["threshold"])), ("train_oof", threshold)):
         c = ev.confusion(scored.withColumn("prediction",
                                            (F.col("probability") >= F.lit(t)).cast("int"))).first()
         rows.append((int(train_ds), int(test_ds), lang, kind, t, int(c["score"]),

@@ -32,8 +32,6 @@ LEXICAL_COLUMNS = [
     "char_len_cv", "tweet_len_uniformity", "url_consistency", "ai_phrase_ratio",
     "artificial_caps_ratio", "generic_life_ratio", "short_generic_ratio",
 ]
-# A token with an interior capital next to a lower-case letter.
-MID_CAPS = r"\p{IsLowercase}\p{IsUppercase}.|.\p{IsUppercase}\p{IsLowercase}"
 FIRST_TOKEN = f"^{WS}*({NOT_WS}+)"
 
 
@@ -94,12 +92,12 @@ def post_style_flags(posts: DataFrame, text: str = "text", keys=KEYS,
                        *style_flag_columns(t, low, F.col("_cs")))
 
 
-def style_ratios(flags: DataFrame, keys=KEYS) -> DataFrame:
-    """D11–D15, D18–D22 and the length moments, one aggregation."""
-    n = F.count(F.lit(1))
-    pmax = [F.max(f"_p{i}").alias(f"_p{i}") for i in range(len(P.PUNCTUATION_CHARS))]
-    a = flags.groupBy(*keys).agg(
-        n.alias("n_posts"),
+PUNCT_FLAGS = [f"_p{i}" for i in range(len(P.PUNCTUATION_CHARS))]
+
+
+def style_aggregates() -> list[Column]:
+    """Aggregates of the per-post style flags: D11–D15, D18–D22 and the punctuation marks seen."""
+    return [
         F.avg("formal").alias("formality_score"),
         F.avg("slang").alias("slang_ratio"),
         F.avg("just_start").alias("just_starter_ratio"),
@@ -109,18 +107,26 @@ def style_ratios(flags: DataFrame, keys=KEYS) -> DataFrame:
         F.avg("mid_caps").alias("artificial_caps_ratio"),
         F.avg("generic_life").alias("generic_life_ratio"),
         F.avg("short_generic").alias("short_generic_ratio"),
-        F.avg("char_len").alias("len_mean"),
-        F.stddev_pop("char_len").alias("len_std"),
-        *pmax)
-    pdiv = sum((F.col(f"_p{i}") for i in range(len(P.PUNCTUATION_CHARS))), F.lit(0))
-    return a.select(
-        *keys, "n_posts", "formality_score", "slang_ratio", "just_starter_ratio",
-        "avg_sentence_completeness", "url_consistency", "ai_phrase_ratio",
-        "artificial_caps_ratio", "generic_life_ratio", "short_generic_ratio",
-        pdiv.cast("long").alias("punctuation_diversity"),
-        F.when(F.col("n_posts") >= 2, F.col("len_std") / F.greatest(F.col("len_mean"), F.lit(1.0)))
+        *[F.max(p).alias(p) for p in PUNCT_FLAGS],
+    ]
+
+
+def style_results(mean: Column, std: Column) -> list[Column]:
+    """What follows from the aggregates: punctuation diversity and the length moments (D16, for D17)."""
+    return [
+        sum((F.col(p) for p in PUNCT_FLAGS), F.lit(0)).cast("long").alias("punctuation_diversity"),
+        F.when(F.col("n_posts") >= 2, std / F.greatest(mean, F.lit(1.0)))
         .otherwise(F.lit(0.0)).alias("char_len_cv"),
-        "len_mean")
+        mean.alias("len_mean"),
+    ]
+
+
+def style_ratios(flags: DataFrame, keys=KEYS) -> DataFrame:
+    """D11–D15, D18–D22 and the length moments, one aggregation."""
+    a = flags.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_posts"), *style_aggregates(),
+                                 F.avg("char_len").alias("_mean"), F.stddev_pop("char_len").alias("_std"))
+    return (a.select("*", *style_results(F.col("_mean"), F.col("_std")))
+            .drop("_mean", "_std", *PUNCT_FLAGS))
 
 
 def length_uniformity(flags: DataFrame, means: DataFrame, keys=KEYS,
@@ -149,10 +155,19 @@ def first_word_diversity(flags: DataFrame, keys=KEYS) -> DataFrame:
                     .alias("unique_first_words")))
 
 
+def lower_tokens(text: Column) -> Column:
+    """Lower-cased whitespace tokens of a text, in order (NULL: none)."""
+    return tokens(F.lower(F.coalesce(text, F.lit(""))))
+
+
 def token_counts(posts: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
     """(keys, token, c): lower-cased whitespace tokens counted per author."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    return (posts.select(*keys, F.explode(tokens(low)).alias("token"))
+    return count_tokens(posts.select(*keys, lower_tokens(F.col(text)).alias("tokens")), keys)
+
+
+def count_tokens(token_lists: DataFrame, keys=KEYS) -> DataFrame:
+    """(keys, token, c) from one token list per post."""
+    return (token_lists.select(*keys, F.explode("tokens").alias("token"))
             .groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("c")))
 
 
@@ -212,22 +227,32 @@ def first_posts(posts: DataFrame, k: int, text: str = "text", keys=KEYS,
             .where(F.col("rn") <= k))
 
 
-def consecutive_jaccard(posts: DataFrame, text: str = "text", keys=KEYS,
-                        seq: str = "post_seq", pairs: int = P.JACCARD_PAIRS) -> DataFrame:
-    """Jaccard of token sets of posts (i, i+1) for the first pairs."""
-    fp = first_posts(posts, pairs + 1, text, keys, seq)
-    s = fp.select(*keys, "rn", F.array_distinct(tokens(F.lower(F.coalesce(F.col(text), F.lit("")))))
-                  .alias("ws"))
+def first_token_lists(posts: DataFrame, k: int, text: str = "text", keys=KEYS,
+                      seq: str = "post_seq") -> DataFrame:
+    """(keys, rn, tokens) of the first ``k`` posts of each author."""
+    return (first_posts(posts, k, text, keys, seq)
+            .select(*keys, "rn", lower_tokens(F.col(text)).alias("tokens")))
+
+
+def jaccard_of_lists(lists: DataFrame, keys=KEYS, pairs: int = P.JACCARD_PAIRS) -> DataFrame:
+    """D6–D7 of the authors that have a pair, from their numbered token lists."""
+    s = lists.select(*keys, "rn", F.array_distinct("tokens").alias("ws"))
     w = Window.partitionBy(*keys).orderBy("rn")
     pr = s.select(*keys, "rn", "ws", F.lead("ws").over(w).alias("nx"))
     u = F.size(F.array_union("ws", "nx"))
     jac = (pr.where((F.col("rn") <= pairs) & F.col("nx").isNotNull() & (u > 0))
            .select(*keys, (F.size(F.array_intersect("ws", "nx")) / u).alias("j")))
-    agg = jac.groupBy(*keys).agg(F.avg("j").alias("m"), F.stddev_pop("j").alias("s"))
+    return jac.groupBy(*keys).agg(F.avg("j").alias("content_jaccard_mean"),
+                                  F.stddev_pop("j").alias("content_jaccard_std"))
+
+
+def consecutive_jaccard(posts: DataFrame, text: str = "text", keys=KEYS,
+                        seq: str = "post_seq", pairs: int = P.JACCARD_PAIRS) -> DataFrame:
+    """Jaccard of token sets of posts (i, i+1) for the first pairs."""
+    agg = jaccard_of_lists(first_token_lists(posts, pairs + 1, text, keys, seq), keys, pairs)
     authors = posts.select(*keys).distinct()
-    return authors.join(agg, list(keys), "left").select(
-        *keys, F.coalesce(F.col("m"), F.lit(0.0)).alias("content_jaccard_mean"),
-        F.coalesce(F.col("s"), F.lit(0.0)).alias("content_jaccard_std"))
+    return authors.join(agg, list(keys), "left").na.fill(
+        0.0, ["content_jaccard_mean", "content_jaccard_std"])
 
 
 def bigram_set(tk: Column) -> Column:
@@ -241,13 +266,11 @@ def bigram_set(tk: Column) -> Column:
     return F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))
 
 
-def repeated_bigrams(posts: DataFrame, text: str = "text", keys=KEYS, seq: str = "post_seq",
-                     anchors: int = P.BIGRAM_ANCHORS,
+def bigrams_of_lists(lists: DataFrame, keys=KEYS, anchors: int = P.BIGRAM_ANCHORS,
                      lookahead: int = P.BIGRAM_LOOKAHEAD) -> DataFrame:
-    """Mean shared bigrams over pairs (i, i+1..i+4), i < min(n-1, 30)."""
-    fp = first_posts(posts, anchors + lookahead, text, keys, seq)
-    tk = fp.select(*keys, "rn", tokens(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("tk"))
-    s = tk.select(*keys, "rn", bigram_set(F.col("tk")).alias("bg"))
+    """D9 of the authors that have a post, from their numbered token lists."""
+    s = (lists.where(F.col("rn") <= anchors + lookahead)
+         .select(*keys, "rn", bigram_set(F.col("tokens")).alias("bg")))
     w = Window.partitionBy(*keys).orderBy("rn")
     leads = [F.lead("bg", k).over(w).alias(f"b{k}") for k in range(1, lookahead + 1)]
     pr = s.select(*keys, "rn", "bg", *leads).where(F.col("rn") <= anchors)
@@ -259,10 +282,25 @@ def repeated_bigrams(posts: DataFrame, text: str = "text", keys=KEYS, seq: str =
         over = over + F.when(ok, F.size(F.array_intersect("bg", b))).otherwise(F.lit(0))
         comps = comps + ok.cast("int")
     agg = pr.groupBy(*keys).agg(F.sum(over).alias("rep"), F.sum(comps).alias("cmp"))
-    authors = posts.select(*keys).distinct()
-    return authors.join(agg, list(keys), "left").select(
-        *keys, safe_div(F.coalesce(F.col("rep"), F.lit(0)), F.coalesce(F.col("cmp"), F.lit(0)))
-        .alias("repeated_phrase_ratio"))
+    return agg.select(*keys, safe_div(F.col("rep"), F.col("cmp")).alias("repeated_phrase_ratio"))
+
+
+def repeated_bigrams(posts: DataFrame, text: str = "text", keys=KEYS, seq: str = "post_seq",
+                     anchors: int = P.BIGRAM_ANCHORS,
+                     lookahead: int = P.BIGRAM_LOOKAHEAD) -> DataFrame:
+    """Mean shared bigrams over pairs (i, i+1..i+4), i < min(n-1, 30)."""
+    lists = first_token_lists(posts, anchors + lookahead, text, keys, seq)
+    return bigrams_of_lists(lists, keys, anchors, lookahead)
+
+
+def filled(name: str) -> Column:
+    """A feature with the value that authors without a basis for it have.
+
+    An author whose posts are all blank has no tokens: total words is
+    max(0, 1) = 1, so vocab_richness is 10000 * (0 - 1) / 1. Others are 0.
+    """
+    empty = {"vocab_richness": -10000.0, "punctuation_diversity": 0}.get(name, 0.0)
+    return F.coalesce(F.col(name), F.lit(empty)).alias(name)
 
 
 def lexical_features(posts: DataFrame, spark: SparkSession, text: str = "text", keys=KEYS,
@@ -279,10 +317,4 @@ def lexical_features(posts: DataFrame, spark: SparkSession, text: str = "text",
            .join(topic_coverage(tc, spark, keys), k, "left")
            .join(consecutive_jaccard(posts, text, keys, seq), k, "left")
            .join(repeated_bigrams(posts, text, keys, seq), k, "left"))
-    # An author whose posts are all blank has no tokens: total words is
-    # max(0, 1) = 1, so vocab_richness is 10000 * (0 - 1) / 1.
-    fill = {c: 0.0 for c in LEXICAL_COLUMNS}
-    fill["vocab_richness"] = -10000.0
-    fill["punctuation_diversity"] = 0
-    return out.select(*keys, *[F.coalesce(F.col(c), F.lit(fill[c])).alias(c)
-                               for c in LEXICAL_COLUMNS])
+    return out.select(*keys, *[filled(c) for c in LEXICAL_COLUMNS])

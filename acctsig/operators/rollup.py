@@ -46,18 +46,22 @@ def distinct_hashtags(post_feats: DataFrame, keys=KEYS) -> DataFrame:
 def hashtag_stats(post_feats: DataFrame, keys=KEYS) -> DataFrame:
     """H1–H6, one row per account with posts."""
     base = post_feats.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("hashtag_count").alias("total_hashtags"),
-        F.max("hashtag_count").alias("max_hashtags_per_tweet"),
-        F.sum("has_hashtag").alias("_with"))
-    u = distinct_hashtags(post_feats, keys)
-    j = base.join(u, list(keys), "left")
+        F.count(F.lit(1)).alias("n_posts"),
+        F.sum("hashtag_count").alias("hashtag_count_sum"),
+        F.max("hashtag_count").alias("hashtag_count_max"),
+        F.sum("has_hashtag").alias("has_hashtag_sum"))
+    return hashtag_ratios(base, post_feats, keys)
+
+
+def hashtag_ratios(rollup: DataFrame, post_feats: DataFrame, keys=KEYS) -> DataFrame:
+    """H1–H6 from an account rollup (its post count and hashtag sums) and the posts' hashtags."""
+    j = rollup.select(*keys, "n_posts", "hashtag_count_sum", "hashtag_count_max", "has_hashtag_sum") \
+        .join(distinct_hashtags(post_feats, keys), list(keys), "left")
     uniq = F.coalesce(F.col("unique_hashtags"), F.lit(0)).cast("long")
+    total = F.col("hashtag_count_sum")
     return j.select(
-        *keys,
-        F.col("total_hashtags").cast("long").alias("total_hashtags"),
-        uniq.alias("unique_hashtags"),
-        (uniq / F.greatest(F.col("total_hashtags"), F.lit(1))).alias("hashtag_diversity"),
-        (F.col("total_hashtags") / F.col("_n")).alias("hashtag_per_post"),
-        F.col("max_hashtags_per_tweet").cast("long").alias("max_hashtags_per_tweet"),
-        (F.col("_with") / F.col("_n")).alias("hashtag_post_ratio"))
+        *keys, total.cast("long").alias("total_hashtags"), uniq.alias("unique_hashtags"),
+        (uniq / F.greatest(total, F.lit(1))).alias("hashtag_diversity"),
+        (total / F.col("n_posts")).alias("hashtag_per_post"),
+        F.col("hashtag_count_max").cast("long").alias("max_hashtags_per_tweet"),
+        (F.col("has_hashtag_sum") / F.col("n_posts")).alias("hashtag_post_ratio"))

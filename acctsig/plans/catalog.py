@@ -59,6 +59,11 @@ def shape(df: DataFrame, digits: int = 6) -> DataFrame:
 # Fixture access
 # ---------------------------------------------------------------------------
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` persisted: small tables that several steps of a query read."""
+    return asm.reuse(df, "persist")
+
+
 def fixture_post_features(spark: SparkSession, sf: str) -> DataFrame:
     return post_ops.post_features(fx.posts(spark, sf))
 
@@ -122,11 +127,8 @@ SELECT dataset_id, author_id, count(*) AS n_posts,
   {_rollup_sql()}
 FROM pf GROUP BY dataset_id, author_id""")
 def q_author_post_rollup(spark, sf):
-    pf = fixture_post_features(spark, sf)
-    aggs = []
-    for k in post_ops.POST_NUMERIC:
-        aggs += [F.avg(k).alias(f"{k}_mean"), F.sum(k).alias(f"{k}_sum")]
-    return shape(pf.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_posts"), *aggs))
+    r = rollup_ops.account_rollup(fixture_post_features(spark, sf))
+    return shape(r.select(*KEYS, "n_posts", *(f"{k}_{x}" for k in post_ops.POST_NUMERIC for x in ("mean", "sum"))))
 
 
 @register("author_len_dispersion", O.with_fixture(_PF) + f"""
@@ -134,11 +136,8 @@ SELECT dataset_id, author_id,
   {_dispersion_sql()}
 FROM pf GROUP BY dataset_id, author_id""")
 def q_author_len_dispersion(spark, sf):
-    pf = fixture_post_features(spark, sf)
-    aggs = []
-    for k in rollup_ops.DISPERSION:
-        aggs += [F.stddev_pop(k).alias(f"{k}_std"), F.max(k).alias(f"{k}_max")]
-    return shape(pf.groupBy(*KEYS).agg(*aggs))
+    r = rollup_ops.account_rollup(fixture_post_features(spark, sf))
+    return shape(r.select(*KEYS, *(f"{k}_{x}" for k in rollup_ops.DISPERSION for x in ("std", "max"))))
 
 
 # ---------------------------------------------------------------------------
@@ -472,11 +471,13 @@ _TFIDF = O.tfidf_cte()
 
 
 def _tfidf_parts(spark, sf):
-    ep = fixture_eposts(spark, sf)
-    sizes = sim_ops.corpus_sizes(ep)
-    tc = sim_ops.term_counts(ep)
-    vocab = sim_ops.vocabulary(tc, sizes)
-    return ep, sizes, tc, vocab
+    """Accounts with posts, their number per dataset, (author, term) counts and the vocabulary, each kept."""
+    posts = fx.posts(spark, sf)
+    known = fx.accounts(spark, sf).select("dataset_id", F.col("id").alias("author_id"))
+    authors = kept(posts.select(*KEYS).distinct().join(known, KEYS, "left_semi"))
+    tc = kept(sim_ops.term_counts(posts).join(authors, KEYS, "left_semi"))
+    sizes = kept(authors.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n")))
+    return authors, sizes, tc, kept(sim_ops.vocabulary(tc, sizes))
 
 
 @register("tfidf_vocabulary", O.with_fixture(_EP, _TFIDF) + """
@@ -504,20 +505,19 @@ def q_tfidf_weights(spark, sf):
 @register("cross_sim_mean", O.with_fixture(_EP, _TFIDF) + """
 SELECT dataset_id, author_id, round(cross_user_sim_mean, 6) AS cross_user_sim_mean FROM xsim""")
 def q_cross_sim_mean(spark, sf):
-    ep, sizes, tc, vocab = _tfidf_parts(spark, sf)
-    units = sim_ops.unit_vectors(tc, vocab)
+    authors, sizes, tc, vocab = _tfidf_parts(spark, sf)
+    units = kept(sim_ops.unit_vectors(tc, vocab))
     m = sim_ops.similarity_mean(units, sizes)
-    return shape(ep.select(*KEYS).distinct().join(m, KEYS, "left").select(
+    return shape(authors.join(m, KEYS, "left").select(
         *KEYS, F.coalesce("cross_user_sim_mean", F.lit(0.0)).alias("cross_user_sim_mean")))
 
 
 @register("cross_sim_max", O.with_fixture(_EP, _TFIDF) + """
 SELECT dataset_id, author_id, round(cross_user_sim_max, 6) AS cross_user_sim_max FROM xsim""")
 def q_cross_sim_max(spark, sf):
-    ep, sizes, tc, vocab = _tfidf_parts(spark, sf)
-    units = sim_ops.unit_vectors(tc, vocab)
-    m = sim_ops.similarity_max(units, sizes)
-    return shape(ep.select(*KEYS).distinct().join(m, KEYS, "left").select(
+    authors, _, tc, vocab = _tfidf_parts(spark, sf)
+    m = sim_ops.similarity_max(sim_ops.unit_vectors(tc, vocab), reuse=kept)
+    return shape(authors.join(m, KEYS, "left").select(
         *KEYS, F.coalesce("cross_user_sim_max", F.lit(0.0)).alias("cross_user_sim_max")))
 
 
@@ -693,11 +693,7 @@ SELECT lang, CAST(count_if(label = 1) AS BIGINT) AS positives, CAST(count_if(lab
   round(CAST(count_if(label = 0) AS BIGINT) / greatest(CAST(count_if(label = 1) AS BIGINT), 1), 6) AS pos_weight
 FROM hscore GROUP BY ALL""")
 def q_class_weight(spark, sf):
-    s = fixture_scores(spark, sf)
-    return shape(s.groupBy("lang").agg(
-        F.count_if(F.col("label") == 1).alias("positives"),
-        F.count_if(F.col("label") == 0).alias("negatives")).select(
-        "*", (F.col("negatives") / F.greatest(F.col("positives"), F.lit(1))).alias("pos_weight")))
+    return shape(ml_ops.class_weights(fixture_scores(spark, sf), by=["lang"]))
 
 
 @register("blend", _EVAL + """
@@ -751,13 +747,16 @@ def q_confusion_score(spark, sf):
                CASE WHEN min(probability) = max(probability) THEN max(probability) + 0.5
                     ELSE max(probability) END AS hi
         FROM hscore GROUP BY ALL),
-hb AS (SELECT h.lang, h.label, s.n, s.lo, s.hi,
-              CAST(least(floor((h.probability - s.lo) * 30 / (s.hi - s.lo)), 29) AS INT) AS bin
-       FROM hscore h JOIN st s USING (lang, label))
-SELECT lang, CAST(label AS BIGINT) AS label, CAST(bin AS BIGINT) AS bin, count(*) AS count,
-  round(any_value(lo) + bin * (any_value(hi) - any_value(lo)) / 30, 6) AS bin_lo,
-  round(count(*) / (any_value(n) * (any_value(hi) - any_value(lo)) / 30), 6) AS density
-FROM hb GROUP BY lang, label, bin""")
+edges AS (SELECT st.*, i AS bin, lo + i * ((hi - lo) / 30) AS e0,
+                 CASE WHEN i = 29 THEN hi ELSE lo + (i + 1) * ((hi - lo) / 30) END AS e1
+          FROM st, range(30) r(i))
+SELECT e.lang, CAST(e.label AS BIGINT) AS label, CAST(e.bin AS BIGINT) AS bin,
+  CAST(count(h.probability) AS BIGINT) AS count, round(any_value(e.e0), 6) AS bin_lo,
+  round(count(h.probability) / (any_value(e.n) * ((any_value(e.hi) - any_value(e.lo)) / 30)), 6) AS density
+FROM edges e LEFT JOIN hscore h
+  ON h.lang = e.lang AND h.label = e.label AND h.probability >= e.e0
+ AND (h.probability < e.e1 OR (e.bin = 29 AND h.probability <= e.e1))
+GROUP BY e.lang, e.label, e.bin""")
 def q_score_histogram(spark, sf):
     h = ev_ops.score_histogram(fixture_scores(spark, sf), by=["lang"])
     return shape(h)
@@ -803,61 +802,107 @@ def q_detection_summary(spark, sf):
 
 
 # ---------------------------------------------------------------------------
-# M: the learned ensemble (rows-only: MLlib training is not SQL)
+# cleaning and vectors; W0: instants and hours from offset strings;
+# Detections written as id files and read as a label file
 # ---------------------------------------------------------------------------
 
-from acctsig.plans import job as job_ops  # noqa: E402
+_DIRTY = ["z", "gap", "inf", "ninf", "nan"]
+
+
+def _dirty(spark, sf):
+    k = F.col("c_custkey")
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(k, "c_acctbal")
+    num = F.col("c_acctbal").cast("double")
+    return c.select(
+        k.cast("long").alias("id"), num.alias("z"), F.when(k % 3 != 0, num).alias("gap"),
+        F.when(k % 4 == 0, F.lit(float("inf"))).otherwise(num).alias("inf"),
+        F.when(k % 5 == 0, F.lit(float("-inf"))).otherwise(num).alias("ninf"),
+        F.when(k % 7 == 0, F.lit(float("nan"))).otherwise(num).alias("nan"))
+
+
+_DIRTY_SQL = """
+WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_acctbal AS DOUBLE) AS b FROM customer),
+d AS (SELECT id, round(b, 6) AS z,
+             round(CASE WHEN id % 3 = 0 THEN 0.0 ELSE b END, 6) AS gap,
+             round(CASE WHEN id % 4 = 0 THEN 0.0 ELSE b END, 6) AS inf,
+             round(CASE WHEN id % 5 = 0 THEN 0.0 ELSE b END, 6) AS ninf,
+             round(CASE WHEN id % 7 = 0 THEN 0.0 ELSE b END, 6) AS nan FROM c)
+"""
 
-# Short boosting for the registered queries; the original lengths are the
-# ``learn.REFERENCE`` preset.
-QUERY_PRESET = {"iters": (10, 10, 8), "step": 0.1}
 
+@register("clean_features", _DIRTY_SQL + "SELECT * FROM d")
+def q_clean_features(spark, sf):
+    return shape(asm.clean_features(_dirty(spark, sf), _DIRTY))
 
-def _fixture_fm(spark, sf, with_rules=False):
-    """The labelled feature matrix, checkpointed: every fit then reads a
-    short lineage from the shared checkpoint folder."""
+
+@register("feature_vectors", _DIRTY_SQL + """
+SELECT id, CAST(5 AS BIGINT) AS size, array_to_string([z, gap, inf, ninf, nan], ' ') AS vector FROM d""")
+def q_feature_vectors(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    v = asm.vectorize(_dirty(spark, sf), _DIRTY).select("id", vector_to_array("features").alias("v"))
+    text = F.array_join(F.transform("v", lambda x: F.round(x, 6).cast("string")), " ")
+    return shape(v.select("id", F.size("v").alias("size"), text.alias("vector")))
+
+
+@register("offset_times", """
+WITH e AS (SELECT CAST(event_id AS BIGINT) AS event_id, ts, CAST(event_id % 5 AS INT) AS kind FROM events),
+o AS (SELECT *, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 120 WHEN 2 THEN -570 WHEN 3 THEN 345 ELSE 0 END AS minutes FROM e)
+SELECT event_id, CAST(epoch_us(ts) - (CAST(minutes AS BIGINT) * 60000000) AS BIGINT) AS us, CAST(hour(ts) AS BIGINT) AS hour
+FROM o""")
+def q_offset_times(spark, sf):
+    """The wall clock of every event with one of five offsets, as text, parsed as instants and local hours."""
+    ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts")
+    wall = F.regexp_replace(F.col("ts").cast("timestamp_ntz").cast("string"), " ", "T")
+    offsets = F.array(*(F.lit(x) for x in ("Z", "+02:00", "-09:30", "+05:45", "")))
+    text = F.concat(wall, F.element_at(offsets, (F.col("event_id") % 5 + 1).cast("int")))
+    ts, hour = src.parse_created_at(text)
+    posts = ev.select(F.col("event_id").cast("long").alias("event_id"), ts.alias("created_at"), hour.alias("hour_local"))
+    return shape(temp_ops.post_times(posts, hour="hour_local", keys=("event_id",)))
+
+
+@register("detection_files", O.with_fixture(_EP, _SCORE_SQL, _RULES_SQL) + """
+SELECT coalesce(r.dataset_id, m.dataset_id) AS dataset_id,
+  CAST(coalesce(r.author_id, m.author_id) AS VARCHAR) AS author_id
+FROM (SELECT dataset_id, author_id FROM rreason WHERE reason IS NOT NULL) r
+FULL OUTER JOIN (SELECT dataset_id, author_id FROM hpred WHERE prediction = 1) m
+  ON r.dataset_id = m.dataset_id AND r.author_id = m.author_id""")
+def q_detection_files(spark, sf):
+    """Detections written as id files per dataset and read again."""
+    import uuid
     from acctsig.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    acc, posts = fx.accounts(spark, sf), fx.posts(spark, sf)
-    fm = job_ops.features_with_lang(spark, acc, posts, fx.labels(spark, sf),
-                                    with_rules=with_rules)
-    return fm.checkpoint(eager=True)
-
-
-@register("ensemble_oof")
-def q_ensemble_oof(spark, sf):
-    fm = _fixture_fm(spark, sf)
-    out = None
-    for lg, (_, oof) in job_ops.train_by_language(spark, fm, QUERY_PRESET).items():
-        part = oof.select(*KEYS, F.lit(lg).alias("lang"), "fold", "label", "probability")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@register("ensemble_predict")
-def q_ensemble_predict(spark, sf):
-    fm = _fixture_fm(spark, sf, with_rules=True)
-    models = {lg: e for lg, (e, _) in job_ops.train_by_language(spark, fm, QUERY_PRESET).items()}
-    return job_ops.detect(spark, fm, models)
-
-
-@register("feature_importance")
-def q_feature_importance(spark, sf):
-    # importances come from the full-data fit alone (no out-of-fold pass)
-    fm = _fixture_fm(spark, sf)
-    langs = sorted(r["lang"] for r in fm.select("lang").distinct().collect())
-    ens = ml_ops._pmap(lambda lg: ml_ops.fit(ml_ops.sized(
-        asm.vectorize(fm.where(F.col("lang") == lg)).select("label", "features").cache()),
-        QUERY_PRESET, lg), langs)
-    out = None
-    for e in ens:
-        part = ml_ops.feature_importance(spark, e, P.TOP_FEATURES_PRINT)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@register("cross_dataset_report")
-def q_cross_dataset_report(spark, sf):
-    fm = _fixture_fm(spark, sf)
-    pairs = [(30, 32, "en"), (32, 30, "en"), (31, 33, "fr"), (33, 31, "fr")]
-    return job_ops.cross_dataset_report(spark, fm, pairs, QUERY_PRESET)
+    path = f"{ensure_checkpoint_dir(spark)}/detections-{uuid.uuid4().hex}"
+    rules = rule_ops.rule_hits(fx.accounts(spark, sf), fx.posts(spark, sf))
+    job_ops.write_detections(rule_ops.detection_union(rules, fixture_predictions(spark, sf)), path)
+    back = spark.read.text(path)
+    return shape(back.select(F.col("dataset_id").cast("long").alias("dataset_id"),
+                             F.col("value").alias("author_id")))
+
+
+@register("cross_report", _EVAL.rstrip() + """
+, tuned AS (SELECT * FROM best),
+rep AS (
+  SELECT h.lang, k.kind AS threshold_kind,
+    CASE k.kind WHEN 'test_tuned' THEN b.threshold ELSE 0.5 END AS threshold, h.label, h.probability
+  FROM hscore h JOIN tuned b USING (lang), (VALUES ('test_tuned'), ('train_oof')) k(kind)),
+c AS (
+  SELECT lang, threshold_kind, any_value(threshold) AS threshold,
+    CAST(count_if(probability >= threshold AND label = 1) AS BIGINT) AS tp,
+    CAST(count_if(probability < threshold AND label = 1) AS BIGINT) AS fn,
+    CAST(count_if(probability >= threshold AND label = 0) AS BIGINT) AS fp,
+    CAST(count_if(probability < threshold AND label = 0) AS BIGINT) AS tn
+  FROM rep GROUP BY lang, threshold_kind)
+SELECT CAST(30 AS BIGINT) AS train_ds, CAST(32 AS BIGINT) AS test_ds, lang, threshold_kind,
+  round(threshold, 6) AS threshold, CAST(4 * tp - fn - 2 * fp AS BIGINT) AS score,
+  CAST(4 * (tp + fn) AS BIGINT) AS max_score, tp, fn, fp, tn,
+  round((tp + tn) / greatest(tp + fn + fp + tn, 1), 6) AS accuracy,
+  round(tp / greatest(tp + fp, 1), 6) AS precision, round(tp / greatest(tp + fn, 1), 6) AS recall
+FROM c""")
+def q_cross_report(spark, sf):
+    """E4's table per language, with the stand-in score of the fixture and 0.5 as the training threshold."""
+    scored = kept(fixture_scores(spark, sf))
+    langs = [r["lang"] for r in scored.select("lang").distinct().orderBy("lang").collect()]
+    return shape(src.union_all([ml_ops.cross_report(spark, scored.where(F.col("lang") == lg), 0.5, 30, 32, lg)
+                                for lg in langs]))
+
+
+from acctsig.plans import job as job_ops  # noqa: E402

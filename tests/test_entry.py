@@ -7,9 +7,8 @@ def test_contract_keys():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 40
-    rows_only = set(q) - set(o)
-    assert rows_only == {"ensemble_oof", "ensemble_predict", "feature_importance",
-                         "cross_dataset_report"}
+    from acctsig.plans.catalog import ORACLES, QUERIES
+    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(q)
 
 
 def test_entry_smoke(spark):

@@ -26,7 +26,7 @@ def _features(spark, n=80, seed=5):
 
 def test_fit_predict_save_load(spark, tmp_path):
     fm = _features(spark)
-    ens, oof = ml.train(spark, fm, TINY, "en")
+    ens, oof = ml.train(spark, fm, TINY, "en", partitions=2)
     assert oof.count() == 80
     assert 0.10 <= ens.threshold <= 0.95
     pred = ml.predict(ens, vectorize(fm)).select("author_id", "probability", "prediction")
@@ -43,11 +43,19 @@ def test_fit_predict_save_load(spark, tmp_path):
     assert len(imp) == 5
 
 
+def test_the_default_length_is_the_original_one():
+    import inspect
+    assert ml.REFERENCE == {"iters": (800, 800, 500), "step": 0.03}
+    for f in (ml.fit, ml.train, ml.out_of_fold, ml.cross_dataset, job.train_by_language, job.train_job, job.detect_job,
+              job.cross_dataset_report):
+        assert inspect.signature(f).parameters["preset"].default is ml.REFERENCE
+
+
 def test_detection_sink_sorted(spark, tmp_path):
     det = spark.createDataFrame([(30, 3), (30, 1), (31, 2)], "dataset_id long, author_id long")
     job.write_detections(det, str(tmp_path / "out"))
     lines = (tmp_path / "out" / "dataset_id=30").glob("part-*")
-    got = [ln for f in lines for ln in f.read_text().splitlines()]
+    got = [ln for f in sorted(lines) for ln in f.read_text().splitlines()]
     assert got == ["1", "3"]
 
 
