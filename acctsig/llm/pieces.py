@@ -2,7 +2,7 @@
 
 A tokenizer encodes the parts that its pre-tokenizer makes one by one. Both
 public byte-pair tokenizers split before a run of blanks and line feeds that
-follows another character, between an ASCII letter and ASCII punctuation, and
+follows another character, between a letter or digit and ASCII punctuation, and
 after a line feed that stands before a word. Cut there, a text's pieces can be
 encoded by themselves with the same ids, so a worker encodes each part
 once and remembers it. What a tokenizer drops (blanks) or folds (case) before
@@ -21,11 +21,13 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import compress, repeat
+from operator import is_
 
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-# Between a letter and punctuation other than an apostrophe; after a single line feed.
-PART = re.compile(r"(?<=[A-Za-z])(?=[!-&(-/:-@\[-`{-~])|(?<=^\n)(?=[^ \n])")
+# Between a letter or digit and ASCII punctuation other than an apostrophe; after a single line feed.
+PART = re.compile(r"(?<=[^\W_])(?=[!-&(-/:-@\[-`{-~])|(?<=^\n)(?=[^ \n])")
 SPECIAL = "<|"
 # Remembered pieces and parts of one worker; beyond that it starts anew (results don't change).
 PIECES, PARTS = 500_000, 1_000_000
@@ -73,13 +75,13 @@ def folding(path: str) -> tuple[bool, bool]:
 
 
 class Pieces:
-    """Per-worker memo of a function of a part's ids; ``of(texts)`` gives each text's values.
+    """Per-worker memo of a function of a part's ids; ``of(texts)`` gives each text's value.
 
-    ``value`` maps a part's ids to what is kept, ``join`` a list of those to
-    that of the whole.
+    ``value`` maps a part's ids to what is kept, ``join`` those of the parts
+    to that of the whole.
     """
 
-    def __init__(self, path: str, value: Callable[[list[int]], object], join: Callable[[list], object]):
+    def __init__(self, path: str, value: Callable[[list[int]], object], join: Callable[[Iterable], object]):
         self.encode, self.value, self.join = encoder(path), value, join
         self.whole_only = path.endswith(".model")
         self.lower, self.drops = (False, False) if self.whole_only else folding(path)
@@ -94,32 +96,56 @@ class Pieces:
     def _folded(self, piece: str) -> list[str]:
         if SPECIAL in piece:
             return [piece]
-        return [p.lower() if self.lower and p.isascii() else p for p in PART.split(piece)]
+        split = PART.split(piece)
+        return [p.lower() if p.isascii() else p for p in split] if self.lower else split
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Remember pieces that are not known yet."""
+        known, parts, lower = self.pieces, self.parts, self.lower
+        whole, split, new = [], [], set()
+        for p in fresh:
+            if p.isalnum():  # one part
+                q = p.lower() if lower and p.isascii() else p
+                whole.append((p, q))
+                new.add(q)
+            else:
+                q = self._folded(p)
+                split.append((p, q))
+                new.update(q)
+        new = list(new.difference(parts))
+        for i in range(0, len(new), _BATCH):
+            part = new[i:i + _BATCH]
+            parts.update(zip(part, map(self.value, self.encode(part))))
+        for p, q in whole:
+            known[p] = parts[q]
+        for p, q in split:
+            known[p] = self.join([parts[x] for x in q])
 
-    def of(self, texts: list[str]) -> list[list[object]]:
+    def of(self, texts: list[str]) -> list[object]:
         if self.whole_only:
-            return [[self.value(ids)] for ids in self.encode(texts)]
-        cut = [self._cut(t) for t in texts]
+            return list(map(self.value, self.encode(texts)))
         if len(self.pieces) > PIECES:
             self.pieces.clear()
         if len(self.parts) > PARTS:
             self.parts.clear()
-        known, parts, join = self.pieces, self.parts, self.join
-        missing = {p: self._folded(p) for p in set().union(*filter(None, cut)).difference(known)}
-        fresh = list(set().union(*missing.values()).difference(parts))
-        for i in range(0, len(fresh), _BATCH):
-            part = fresh[i:i + _BATCH]
-            parts.update(zip(part, map(self.value, self.encode(part))))
-        for p, split in missing.items():
-            known[p] = parts[split[0]] if len(split) == 1 else join([parts[x] for x in split])
-        get = known.__getitem__
-        return [[self.value(self.encode([t])[0])] if row is None else list(map(get, row)) for t, row in zip(texts, cut)]
+        get, out = self.pieces.get, []
+        cut = [self._cut(t) for t in texts]
+        found = [None if row is None else list(map(get, row)) for row in cut]
+        gaps = [list(compress(row, map(is_, values, repeat(None)))) if row else [] for row, values in zip(cut, found)]
+        self._learn(set().union(*gaps))
+        for text, values, gap in zip(texts, found, gaps):
+            if values is None:
+                out.append(self.value(self.encode([text])[0]))
+            else:
+                rest = map(get, gap)
+                out.append(self.join([next(rest) if v is None else v for v in values] if gap else values))
+        return out
 
 
 _WORKERS: dict[tuple[str, str], Pieces] = {}
 
 
-def worker(path: str, kind: str, value: Callable[[list[int]], object], join: Callable[[list], object]) -> Pieces:
+def worker(path: str, kind: str, value: Callable[[list[int]], object], join: Callable[[Iterable], object]) -> Pieces:
     """The memo of this Python worker for a vocabulary file and kind of value."""
     if (path, kind) not in _WORKERS:
         _WORKERS[path, kind] = Pieces(path, value, join)

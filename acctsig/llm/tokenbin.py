@@ -36,7 +36,8 @@ from acctsig.llm import pieces
 from acctsig.llm.common import prepare, saved, slices
 
 MAGIC = b"PFR1"
-HEAD = struct.Struct("<4sIIIQIIQ")
+HEAD = struct.Struct("<4sIIIQIIQ")  # of a segment
+HEADER = struct.Struct("<IBH")  # of a block
 BLOCK = 1024
 PERCENTILE = 0.95
 SEGMENT_IDS = 262_144
@@ -78,25 +79,41 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
         for r, d in zip(rows, data):
             size = int(sizes[r])
             over = np.flatnonzero(need[r, :size] > w)
-            out[r] = (struct.pack("<IBH", least[r], w, len(over)) + d[:-(-size * int(w) // 8)].tobytes()
+            out[r] = (HEADER.pack(least[r], w, len(over)) + d[:-(-size * int(w) // 8)].tobytes()
                       + over.astype("<u2").tobytes() + padded[r, over].astype("<u4").tobytes())
     starts = np.concatenate([[0], np.cumsum([len(b) for b in out])]).astype(np.uint64)
     return b"".join(out), starts
 
 
-def unpack_block(buf: bytes, size: int) -> np.ndarray:
-    """The ids of one block of ``size`` ids."""
-    least, width, n_over = struct.unpack_from("<IBH", buf)
-    at = 7
+def unpack(payload: bytes | memoryview, starts: np.ndarray, first: int, last: int, total: int,
+           block: int = BLOCK) -> np.ndarray:
+    """The ids of blocks ``first`` to ``last`` (inclusive) of a sequence of ``total`` ids.
+
+    Blocks of equal width are unpacked together; the exceptions replace what
+    the low bits gave.
+    """
+    heads = [HEADER.unpack_from(payload, int(s)) for s in starts[first:last + 1]]
+    out = np.zeros((len(heads), block), np.uint32)
+    raw = np.frombuffer(payload, np.uint8)
+    width = np.array([h[1] for h in heads])
+    body = starts[first:last + 1].astype(np.int64) + HEADER.size
+    size = np.minimum(block, total - block * np.arange(first, last + 1))
     used = -(-size * width // 8)
-    bits = np.zeros((size, 16 if width <= 16 else 32), np.uint8)
-    bits[:, :width] = np.unpackbits(np.frombuffer(buf, np.uint8, used, at), bitorder="little",
-                                    count=size * width).reshape(size, width)
-    ids = np.packbits(bits, axis=1, bitorder="little").view(f"<u{bits.shape[1] // 8}").ravel().astype(np.uint32)
-    ids += np.uint32(least)
-    at += used
-    ids[np.frombuffer(buf, "<u2", n_over, at)] = np.frombuffer(buf, "<u4", n_over, at + 2 * n_over)
-    return ids
+    for w in np.unique(width[width > 0]):
+        rows = np.flatnonzero(width == w)
+        octets = np.zeros((len(rows), -(-block * int(w) // 8)), np.uint8)
+        for k, r in enumerate(rows):
+            octets[k, :used[r]] = raw[body[r]:body[r] + used[r]]
+        lanes = 16 if w <= 16 else 32
+        bits = np.zeros((len(rows), block, lanes), np.uint8)
+        bits[:, :, :w] = np.unpackbits(octets, axis=1, bitorder="little", count=block * int(w)).reshape(len(rows), block, w)
+        out[rows] = np.packbits(bits, axis=2, bitorder="little").view(f"<u{lanes // 8}")[:, :, 0]
+    out += np.array([h[0] for h in heads], np.uint32)[:, None]
+    for r, (_, _, n) in enumerate(heads):
+        if n:
+            at = int(body[r] + used[r])
+            out[r, np.frombuffer(payload, "<u2", n, at)] = np.frombuffer(payload, "<u4", n, at + 2 * n)
+    return out.ravel()[:int(size.sum())]
 
 
 # ---- segments -------------------------------------------------------------
@@ -129,9 +146,8 @@ class Segment:
         if stop <= start:
             return np.empty(0, np.uint32)
         total, first, last = int(self.counts.sum()), start // self.block, (stop - 1) // self.block
-        parts = [unpack_block(bytes(self.payload[int(self.starts[b]):int(self.starts[b + 1])]),
-                              min(self.block, total - b * self.block)) for b in range(first, last + 1)]
-        return np.concatenate(parts)[start - first * self.block:stop - first * self.block]
+        ids = unpack(self.payload, self.starts, first, last, total, self.block)
+        return ids[start - first * self.block:stop - first * self.block]
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """``(document id, ids)`` in file order."""
@@ -176,7 +192,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
     def run(batches):
         memo = pieces.worker(tokenizer, "ids", lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join)
-        end = np.uint32(end_id).tobytes()
+        end = struct.pack("<I", end_id)
         shard, number = TaskContext.get().partitionId(), 0
         doc_ids, ids, held = [], [], 0
 
@@ -188,10 +204,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             for a, b in slices(batch, "text"):
                 part = batch.slice(a, b - a)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                for d, row in zip(part.column(0).to_pylist(), memo.of(texts)):
-                    row.append(end)
+                for d, encoded in zip(part.column(0).to_pylist(), memo.of(texts)):
                     doc_ids.append(d)
-                    ids.append(np.frombuffer(b"".join(row), "<u4"))
+                    ids.append(np.frombuffer(encoded + end, "<u4"))
                     held += len(ids[-1])
                     if held >= segment_ids:
                         yield flushed()

@@ -27,7 +27,7 @@ def test_pieces_encode_like_whole_texts(name):
     glue = [" ", "  ", "\n", " \n ", "\t", " ", "'s ", "."]
     texts = ODD + ["".join(rng.choice(ODD[3:20]) + rng.choice(glue) for _ in range(rng.randint(1, 12))) for _ in range(300)]
     for _ in range(2):  # from the library, then remembered
-        assert [[i for p in row for i in p] for row in memo.of(texts)] == whole(texts)
+        assert memo.of(texts) == whole(texts)
 
 
 @given(st.lists(st.text(alphabet=st.characters(codec="utf-8"), max_size=40), max_size=5))
@@ -36,16 +36,17 @@ def test_pieces_on_any_text(texts):
     for name in NAMES[:2]:
         path = vocabulary(name)
         memo = pieces.worker(path, "test", list, flat)
-        assert [[i for p in row for i in p] for row in memo.of(texts)] == pieces.encoder(path)(texts)
+        assert memo.of(texts) == pieces.encoder(path)(texts)
 
 
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=700), st.sampled_from([1, 7, 64, 512]))
 @settings(max_examples=150, deadline=None)
 def test_blocks_round_trip(ids, block):
     payload, starts = tokenbin.pack(np.array(ids, np.uint32), block)
-    out = [tokenbin.unpack_block(payload[int(a):int(b)], min(block, len(ids) - k * block))
-           for k, (a, b) in enumerate(zip(starts, starts[1:]))]
-    assert (np.concatenate(out).tolist() if out else []) == ids
+    count = len(starts) - 1
+    assert (tokenbin.unpack(payload, starts, 0, count - 1, len(ids), block).tolist() if ids else []) == ids
+    for k in range(count):
+        assert tokenbin.unpack(payload, starts, k, k, len(ids), block).tolist() == ids[k * block:(k + 1) * block]
 
 
 def test_outliers_are_exceptions():
@@ -53,7 +54,8 @@ def test_outliers_are_exceptions():
     flat = len(tokenbin.pack(ids)[0])
     ids[[5, 99]] = 2**31
     assert len(tokenbin.pack(ids)[0]) == flat + 2 * 6
-    assert tokenbin.unpack_block(tokenbin.pack(ids)[0], 1024).tolist() == ids.tolist()
+    payload, starts = tokenbin.pack(ids)
+    assert tokenbin.unpack(payload, starts, 0, 0, 1024).tolist() == ids.tolist()
 
 
 def test_segment_reads_any_range():
