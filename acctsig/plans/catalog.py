@@ -515,8 +515,8 @@ def q_cross_sim_mean(spark, sf):
 @register("cross_sim_max", O.with_fixture(_EP, _TFIDF) + """
 SELECT dataset_id, author_id, round(cross_user_sim_max, 6) AS cross_user_sim_max FROM xsim""")
 def q_cross_sim_max(spark, sf):
-    authors, _, tc, vocab = _tfidf_parts(spark, sf)
-    m = sim_ops.similarity_max(sim_ops.unit_vectors(tc, vocab), reuse=kept)
+    authors, sizes, tc, vocab = _tfidf_parts(spark, sf)
+    m = sim_ops.similarity_max(sim_ops.unit_vectors(tc, vocab), sizes)
     return shape(authors.join(m, KEYS, "left").select(
         *KEYS, F.coalesce("cross_user_sim_max", F.lit(0.0)).alias("cross_user_sim_max")))
 

@@ -2,7 +2,6 @@
 
 import math
 import random
-import re
 import statistics
 from datetime import datetime, timedelta
 
@@ -10,7 +9,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from acctsig.operators import assemble as asm
 from acctsig.operators import lexical as lex
 from acctsig.operators import post as post_ops
 from acctsig.operators import similarity as sim
@@ -131,57 +129,6 @@ def test_text_diversity(spark):
             assert got[author][name] == pytest.approx(value, abs=1e-9), (author, name)
 
 
-def brute_similarity(spark, units):
-    """Mean over all accounts and maximum over the others, from a dense matrix."""
-    rows = units.collect()
-    ids = sorted({r["author_id"] for r in rows})
-    v = np.zeros((len(ids), 1 + max(r["idx"] for r in rows)))
-    for r in rows:
-        v[ids.index(r["author_id"]), r["idx"]] = r["u"]
-    s = v @ v.T
-    np.fill_diagonal(s, 0)
-    return {a: m for a, m in zip(ids, s.max(axis=1))}
-
-
-@pytest.mark.parametrize("kind", ["clustered", "uniform", "equal"])
-@pytest.mark.parametrize("block", [1024, 16, 3])
-def test_best_similarity_against_a_dense_product(spark, kind, block):
-    """Ids are UUID-like strings and the key columns have names of their own."""
-    rng = np.random.default_rng(4)
-    rows = []
-    for a in range(90):
-        if kind == "clustered":
-            idx, u = 10 * (a % 9) + rng.choice(10, 4, replace=False), rng.random(4) + 0.1
-        elif kind == "uniform":
-            idx, u = rng.choice(60, 12, replace=False), rng.random(12) + 0.1
-        else:
-            idx, u = np.arange(3), np.ones(3)
-        u = u / np.sqrt((u ** 2).sum())
-        rows += [("d", f"id-{a:03d}", int(i), float(x)) for i, x in zip(idx, u)]
-    units = spark.createDataFrame(rows, "dataset_id string, author_id string, idx int, u double")
-    want = brute_similarity(spark, units)
-    renamed = units.withColumnRenamed("author_id", "who").withColumnRenamed("dataset_id", "corpus")
-    got = {r["who"]: r["cross_user_sim_max"] for r in
-           sim.similarity_max(renamed, keys=("corpus", "who"), block=block).collect()}
-    assert got.keys() == want.keys()
-    for a in want:
-        assert got[a] == pytest.approx(want[a], abs=1e-12)
-
-
-def test_bounds_leave_block_pairs_out(spark):
-    rng = np.random.default_rng(4)
-    rows = []
-    for a in range(120):  # twelve groups without a common term
-        idx = 10 * (a % 12) + np.arange(10)
-        u = rng.random(10) * 0.01 + 1
-        rows += [(1, a, int(i), float(x)) for i, x in zip(idx, u / np.sqrt((u ** 2).sum()))]
-    units = spark.createDataFrame(rows, "dataset_id long, author_id long, idx int, u double")
-    blocked = sim.block_vectors(sim.account_vectors(units), block=10).cache()
-    k = blocked.select("blk").distinct().count()
-    pairs = sim.needed_pairs(blocked, sim.similarity_seeds(blocked)).count()
-    assert k >= 12 and pairs < k * (k + 1) / 4
-
-
 def test_similarity_of_short_documents(spark):
     rows = [("a", "cat dog"), ("a", "cat"), ("b", "dog cat cat"), ("c", "dog emu"), ("d", "x"), ("e", "emu emu")]
     got = {r["author_id"]: r for r in sim.cross_user_similarity(posts(spark, rows), block=2).collect()}
@@ -220,21 +167,3 @@ def test_radix_median_exact(spark):
     df = spark.createDataFrame(rows, "dataset_id long, author_id long, d long")
     got = {r["author_id"]: r["median"] for r in temp.radix_median(df).collect()}
     assert got == {g: statistics.median(float(r[2]) for r in rows if r[1] == g) for g in {r[1] for r in rows}}
-
-
-def test_matrix_reads_the_text_once(spark, tmp_path):
-    """One scan of the posts' text, and no exchange that carries a text."""
-    from acctsig.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    posts(spark, [("a", "cat dog"), ("a", "dog emu"), ("b", "dog cat"), ("c", "no account")]).write.parquet(str(tmp_path / "p"))
-    accounts = spark.createDataFrame([(30, x, "n", "u", "d", "l", None, 0.5) for x in "abz"],
-                                     "dataset_id long, id string, name string, username string, description string, "
-                                     "location string, tweet_count long, z_score double")
-    table = spark.read.parquet(str(tmp_path / "p"))
-    signals = asm.post_signals(table, keep=("created_at",))
-    plan = signals._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "text" not in signals.columns
-    fm = asm.feature_matrix(spark, accounts, table, reuse_mode="checkpoint")
-    final = fm._jdf.queryExecution().optimizedPlan().toString()
-    assert not re.search(r"\btext#", final) and str(tmp_path / "p") not in final
-    assert sorted(r["author_id"] for r in fm.collect()) == ["a", "b"]
