@@ -1,25 +1,28 @@
-"""N-gram language model as a weighted backoff automaton.
-
-The tokens of a text are its words and one end. The model's states are
-contexts: the root, and n-grams that were seen often enough to be followed
-further. A state has an arc, with a discounted log-probability and the next
-state, for each of its n-grams, and a failure arc with its backoff weight to
-the state of its next shorter suffix. The root has an arc for every word:
-(c + 1) / (N + V + 1), with one unit of mass for unknown words. A text is
-scored in one pass from left to right that carries the state.
-
-Which n-grams become arcs is set by their share of all training tokens
-(``word_share``, ``arc_share``), alike at every size of the corpus, and this
-bounds the automaton: at most 1 / word_share words and, for each order, at
-most 1 / arc_share arcs. So much is collected and broadcast. The root's arcs
-of all rarer words, whose number grows with the corpus, stay distributed: a
-rare word always fails to the root, so the pass adds the weights on the way
-there, and the word's own term is added by one shuffle that gathers each
-rare word's occurrences, counts those in training and scores them all. No
-rare word can be a hot key, by its share.
-
-Words are known by their 64-bit XXH64; among V of them two collide with a
-chance of about V * V / 2 ** 65.
+"""N-gram language model with absolute discounting and backoff, held in distributed tables.
+
+The tokens of a text are its words and one end. Every n-gram of the training
+texts up to ``ORDER`` is kept, so the model grows with the corpus, and no part
+of it is collected or broadcast. A context that was followed by something in
+training is a state; it has an arc of probability (c - discount) / c(context)
+for each word that followed it, and a failure arc, whose backoff weight gives
+the rest of its mass to the words without an arc, to its next shorter suffix.
+A word alone has (c + 1) / (N + V + 1), with one unit of mass for unknown words.
+
+One pass over the texts gives the n-grams of all orders, added up per task
+before the shuffle, those of held-out texts with count 0. Order by order, an
+n-gram is joined with its suffix (the shorter arc) and its context (the
+state), which gives it its log-probability, whether it has an arc or fails.
+The occurrences in each text are then joined with the n-grams of the highest
+order and added up. A text's first words have contexts that are filled up with
+a padding token; these are never states, so they fail to the start of the text.
+All joins are on hashes of n-grams, and no table is dealt out by text.
+
+``word_share`` and ``arc_share`` prune words and n-grams below a share of all
+training tokens; the default keeps all. ``learned`` builds the same model as
+an automaton on the driver, for pruned or small ones only.
+
+Words and n-grams are known by 64-bit hashes; among V of them two collide with
+a chance of about V * V / 2 ** 65.
 """
 
 from __future__ import annotations
@@ -27,22 +30,24 @@ from __future__ import annotations
 import itertools
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from acctsig.llm.common import field, prepare, saved, signed, slices, words
+from acctsig.llm.common import field, prepare, saved, scratch, signed, slices, words
 
 END = b"\n"  # no word holds a line feed
 ORDER = 3
-WORD_SHARE = 2e-5
-ARC_SHARE = 4e-6
+WORD_SHARE = 0.0
+ARC_SHARE = 0.0
 DISCOUNT = 0.75
+_PAD = 0x5BD1E9955BD1E995  # the hash of no word, as far as hashes go
+_TOKENS = 500_000
 _FLUSH = 300_000
 _MEMO = 400_000
 
@@ -256,7 +261,8 @@ def learned(texts: DataFrame, text_col: str = "text", order: int = ORDER, word_s
             arc_share: float = ARC_SHARE, discount: float = DISCOUNT) -> Automaton:
     """Count the training texts and build their automaton.
 
-    A null text counts as empty (one end). No text gives a root without arcs.
+    A null text counts as empty (one end). No text gives a root without arcs. All that the shares
+    keep is collected; ``scored`` does not use this.
     """
     prepare(texts)
     counts = saved(word_counts(texts, text_col))
@@ -278,7 +284,151 @@ def learned(texts: DataFrame, text_col: str = "text", order: int = ORDER, word_s
 
 # ---- scoring --------------------------------------------------------------
 
-def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", **model) -> DataFrame:
+class Hashing:
+    """Word hashes of texts' tokens. Bounded memo per task."""
+
+    def __init__(self):
+        self.memo: dict[bytes, int] = {}
+
+    def of(self, tokens: list[bytes]) -> list[int]:
+        memo = self.memo
+        if len(memo) > _MEMO:
+            memo.clear()
+        for w in set(tokens).difference(memo):
+            memo[w] = word_hash(w)
+        return list(map(memo.__getitem__, tokens))
+
+
+def _sequences(texts: list[str | None], number: Hashing, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, text)`` of the texts' tokens, each text's after ``order - 2`` paddings and an end."""
+    pad, (end,) = [_PAD] * max(0, order - 2), number.of([END])
+    ids: list[int] = []
+    length = []
+    for t in texts:
+        at = len(ids)
+        ids += [*pad, end, *number.of(words(t)), end]
+        length.append(len(ids) - at)
+    return np.array(ids, np.uint64), np.repeat(np.arange(len(texts)), length)
+
+
+def _extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    h = context * np.uint64(0x9E3779B97F4A7C15) + word
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _grams(ids: np.ndarray, text: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order the hash, context and suffix of the n-gram that ends at each position (order 1: zeros)."""
+    h, none = ids, np.zeros(len(ids), np.uint64)
+    yield h, none, none
+    for _ in range(1, order):
+        context = np.concatenate([none[:1], h[:-1]])
+        suffix, h = h, _extended(context, ids)
+        yield h, context, suffix
+
+
+def _positions(text: np.ndarray, order: int) -> np.ndarray:
+    """Each position's place in its text; the first token is at 1, the end before it at 0."""
+    first = np.searchsorted(text, text)
+    return np.arange(len(text)) - first - max(0, order - 2)
+
+
+def gram_counts(rows: DataFrame, order: int) -> DataFrame:
+    """``(k, key, ctx, suf, n)``: all n-grams of all texts, and how often the ``train`` texts have them.
+
+    Those with paddings have count 0.
+    """
+    names = ["k", "key", "ctx", "suf", "n"]
+
+    def run(batches):
+        number = Hashing()
+        for batch in batches:
+            for a, b in slices(batch, "text", 8 * _TOKENS):
+                part = batch.slice(a, b - a)
+                ids, text = _sequences(part.column(0).to_pylist(), number, order)
+                train = np.array(part.column(1).to_pylist(), object).astype(bool)[text]
+                place = _positions(text, order)
+                real = place >= 1
+                for k, (key, ctx, suf) in enumerate(_grams(ids, text, order), 1):
+                    seen = (train & (place >= k - 1))[real]
+                    key, first, of = np.unique(key[real], return_index=True, return_inverse=True)
+                    n = np.bincount(of, weights=seen, minlength=len(key)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(key), k, np.int32)), pa.array(signed(key)),
+                         pa.array(signed(ctx[real][first])), pa.array(signed(suf[real][first])), pa.array(n)], names=names)
+
+    return (rows.select("text", "train").mapInArrow(run, "k int, key long, ctx long, suf long, n long")
+            .groupBy("k", "key").agg(F.max("ctx").alias("ctx"), F.max("suf").alias("suf"), F.sum("n").alias("n")))
+
+
+def occurrences(rows: DataFrame, order: int) -> DataFrame:
+    """``(uid, key, tf)``: the n-grams of the highest order, with paddings, in each row."""
+
+    def run(batches):
+        number = Hashing()
+        for batch in batches:
+            for a, b in slices(batch, "text", 8 * _TOKENS):
+                part = batch.slice(a, b - a)
+                ids, text = _sequences(part.column(1).to_pylist(), number, order)
+                for h, _, _ in _grams(ids, text, order):
+                    key = h
+                real = _positions(text, order) >= 1
+                key, text = key[real], text[real]
+                by = np.lexsort((key, text))
+                key, text = key[by], text[by]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+                at = np.flatnonzero(new)
+                tf = np.diff(np.append(at, len(key)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(text[at])), pa.array(signed(key[at])), pa.array(tf.astype(np.int64))],
+                    names=["uid", "key", "tf"])
+
+    return rows.select("uid", "text").mapInArrow(run, "uid long, key long, tf long")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared checkpoint folder, which is smaller than a checkpoint."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def weighted(grams: DataFrame, order: int, train_tokens: int, mass: int, word_share: float, arc_share: float,
+             discount: float) -> DataFrame:
+    """``(key, n, arc, p, lp, c)`` of the n-grams of the highest order.
+
+    ``arc``: kept, with probability ``p``; ``lp``: log10 of the probability of the last word after the
+    others; ``c``: that word's count.
+    """
+    p = (F.col("n") + 1) / F.lit(float(mass))
+    v = grams.filter("k = 1").select(
+        "key", "n", (F.col("n") >= max(1, word_share * train_tokens)).alias("arc"), p.alias("p"),
+        F.log10(p).alias("lp"), F.col("n").alias("c"))
+    for k in range(2, order + 1):
+        v = _stored(v, f"grams-{k - 1}")
+        suffix = v.select(F.col("key").alias("suf"), F.col("arc").alias("s_arc"), F.col("p").alias("s_p"),
+                          F.col("lp").alias("s_lp"), "c")
+        g = (grams.filter(F.col("k") == k).join(suffix, "suf")
+             .withColumn("seen", (F.col("n") >= max(1, arc_share * train_tokens)) & F.col("s_arc")))
+        # A kept n-gram's suffix is kept, so the next shorter context has an arc for each of a state's words.
+        found = g.filter("seen").groupBy("ctx").agg(
+            F.sum("n").alias("followed"), F.count("*").alias("arcs"), F.sum("s_p").alias("lower"))
+        total, rest = F.col("total"), F.col("total") - F.col("followed") + discount * F.col("arcs")
+        states = (found.join(v.filter("arc").select(F.col("key").alias("ctx"), F.col("n").alias("total")), "ctx")
+                  .select("ctx", "total", F.log10(F.greatest(rest / total, F.lit(1e-12))
+                                                  / F.greatest(1 - F.col("lower"), F.lit(1e-12))).alias("backoff")))
+        p = (F.col("n") - discount) / total
+        arc = F.col("seen") & total.isNotNull()
+        v = g.join(states, "ctx", "left").select(
+            "key", "n", arc.alias("arc"), F.when(arc, p).alias("p"),
+            F.when(arc, F.log10(p)).otherwise(F.coalesce("backoff", F.lit(0.0)) + F.col("s_lp")).alias("lp"), "c")
+    return v
+
+
+def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
+           word_share: float = WORD_SHARE, arc_share: float = ARC_SHARE, discount: float = DISCOUNT) -> DataFrame:
     """Score every row of ``docs`` by the model of those where ``train`` holds.
 
     Returns id, ``train``, ``n_tokens``, ``n_known`` (tokens seen in training), ``train_tokens``,
@@ -286,60 +436,27 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     one token is the end. Repeated rows count as often in training and keep a row each. Without
     training texts every token is unknown and has probability one.
     """
-    spark = prepare(docs)
+    prepare(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
-    automaton = learned(rows.filter("train"), "text", **model)
-    sent = spark.sparkContext.broadcast(automaton)
-    doc_type = T.StructType([
-        T.StructField("id", field(rows, "id").dataType), T.StructField("n_tokens", T.LongType()),
-        T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()),
-        T.StructField("pass", T.DoubleType())])
-    schema = T.StructType([
-        T.StructField("uid", T.LongType()), T.StructField("train", T.BooleanType()),
-        T.StructField("word", T.LongType()), T.StructField("tf", T.IntegerType()),
-        T.StructField("doc", doc_type)])
-
-    def run(batches):
-        a = sent.value
-        number, score = Numbering(a.frequent), a.scorer()
-        root = np.array([a.arcs[w][0] for w in range(len(a.frequent))])
-        for batch in batches:
-            doc_arrow = pa.struct([("id", batch.schema.field("id").type), ("n_tokens", pa.int64()),
-                                   ("n_known", pa.int64()), ("base", pa.float64()), ("pass", pa.float64())])
-            for start, stop in slices(batch, "text"):
-                uid, trained, word, tf, doc = [], [], [], [], []
-                part = batch.slice(start, stop - start).to_pydict()
-                for i, t, held, u in zip(part["id"], part["text"], part["train"], part["uid"]):
-                    tokens = [*words(t), END]
-                    ids = number.of(tokens)
-                    known = np.array(ids, np.int64)
-                    known = known[known >= 0]
-                    rare = Counter(w for w, k in zip(tokens, ids) if k < 0)
-                    uid += [u] * (len(rare) + 1)
-                    trained += [held] * (len(rare) + 1)
-                    word += [u & (2**64 - 1), *map(word_hash, rare)]
-                    tf += [0, *rare.values()]
-                    doc += [{"id": i, "n_tokens": len(tokens), "n_known": len(known),
-                             "base": float(root[known].sum()), "pass": score(ids)}] + [None] * len(rare)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid, pa.int64()), pa.array(trained, pa.bool_()), pa.array(signed(word)),
-                     pa.array(tf, pa.int32()), pa.array(doc, doc_arrow)], names=schema.names)
-
-    passed = (rows.withColumn("uid", F.xxhash64("id", "text")).mapInArrow(run, schema))
-    # A document's own row lies at its hash, with no occurrence of a word.
-    c = F.sum(F.when(F.col("train"), F.col("tf")).otherwise(0)).over(Window.partitionBy("word"))
-    mass = math.log10(automaton.mass)
-    terms = passed.withColumn("c", c).select(
-        "uid", "train", "doc", F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("known"),
-        F.when(F.col("tf") > 0, F.col("tf") * (F.log10(F.col("c") + 1) - F.lit(mass))).otherwise(0.0).alias("term"))
-    per = terms.groupBy("uid").agg(
-        F.max("train").alias("train"), F.count("doc").alias("rows"), F.max("doc.id").alias("id"),
-        *(F.sum(f"doc.{x}").alias(x) for x in ("n_tokens", "n_known", "base", "pass")),
-        F.sum("known").alias("rare_known"), F.sum("term").alias("term"))
-    each = (per.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))))
+    grams = _stored(gram_counts(rows, order), "grams")
+    train_tokens, vocabulary = (grams.filter("k = 1 AND n > 0")
+                                .agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
+    mass = train_tokens + vocabulary + 1
+    v = weighted(grams, order, train_tokens, mass, word_share, arc_share, discount).select("key", "lp", "c")
+    rows = rows.withColumn("uid", F.xxhash64("id", "text"))
+    tf = F.col("tf")
+    sums = occurrences(rows, order).join(v, "key").select(
+        "uid", F.lit(None).cast(field(rows, "id").dataType).alias("id"), F.lit(None).cast("boolean").alias("train"),
+        F.lit(0).cast("long").alias("rows"), "tf", F.when(F.col("c") > 0, tf).otherwise(0).alias("known"),
+        (tf * (F.log10(F.col("c") + 1) - F.lit(math.log10(mass)))).alias("base"), (tf * F.col("lp")).alias("score"))
+    own = rows.select("uid", "id", "train", F.lit(1).cast("long").alias("rows"), F.lit(0).cast("long").alias("tf"),
+                      F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("score"))
+    per = sums.unionByName(own).groupBy("uid").agg(
+        F.max("train").alias("train"), F.max("id").alias("id"),
+        *(F.sum(x).alias(x) for x in ("rows", "tf", "known", "base", "score")))
+    each = per.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
     return each.select(
-        F.col("id").alias(id_col), "train", (F.col("n_tokens") / F.col("rows")).cast("long").alias("n_tokens"),
-        ((F.col("n_known") + F.col("rare_known")) / F.col("rows")).cast("long").alias("n_known"),
-        F.lit(automaton.train_tokens).cast("long").alias("train_tokens"),
-        ((F.col("base") + F.col("term")) / F.col("rows")).alias("base_score"),
-        ((F.col("pass") + F.col("term")) / F.col("rows")).alias("score"))
+        F.col("id").alias(id_col), "train", (F.col("tf") / F.col("rows")).cast("long").alias("n_tokens"),
+        (F.col("known") / F.col("rows")).cast("long").alias("n_known"),
+        F.lit(train_tokens).cast("long").alias("train_tokens"),
+        (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))

@@ -108,3 +108,14 @@ def test_model_beats_its_base_on_held_out_text(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     s = backoff.scored(df, fold("doc_id", 7) != 2).filter("not train").agg(F.sum("score"), F.sum("base_score")).first()
     assert s[0] > s[1]
+
+
+def test_every_ngram_counts_in_a_large_corpus(spark):
+    rows = [*corpus(), (300, "of the tree " * 100_000)]  # one occurrence is a share of about 3e-6
+    texts = [t for _, t in rows]
+    model = Plain(texts, 3, 0, 0, backoff.DISCOUNT)
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.score for r in backoff.scored(df, F.lit(True)).collect()}
+    for i, t in rows:
+        if i is not None and i < 20:
+            assert got[i] == pytest.approx(model.score(t, 3), rel=1e-9)
