@@ -2,8 +2,10 @@
 
 Both sides are lower-cased and runs of white space become one blank. An item
 is cut into patterns: itself if it is short, else windows of ``WINDOW``
-characters, ``STRIDE`` apart. A document has a leak if one of them occurs in
-it with at most k = ``RATE`` of its length in edits.
+characters, ``STRIDE`` apart; and passages of ``PASSAGE`` characters, ``STEP``
+apart. A document has a leak if one of them occurs in it with at most
+k = ``RATE`` of its length in edits. The shortest passage that counts is thus
+of ``PASSAGE + STEP - 1`` characters: any such part of an item holds a pattern.
 
 A region within k edits of a pattern of m characters shares at least
 m - q + 1 - k * q of its q-grams, and these lie on diagonals (position in the
@@ -19,7 +21,8 @@ of text:
 3. bands that meet their pattern's bound are aligned, within the band, by
    the edit recurrence. No other region is dropped, so the result is exact.
 
-The patterns of all items are broadcast; their size is checked against
+Windows and passages are sought apart, so that the bands of each are as narrow
+as its own edits allow. The patterns of all items are broadcast; their size is checked against
 ``BROADCAST_BYTES``, and a larger benchmark is matched in parts of that size.
 """
 
@@ -38,9 +41,11 @@ from acctsig.llm.common import codepoints, field, prepare, rolling, slices
 Q = 8
 WINDOW = 96
 STRIDE = 48
+PASSAGE = 45
+STEP = 12
 RATE = 0.08
 MIN_CHARS = 40
-BROADCAST_BYTES = 16_000_000
+BROADCAST_BYTES = 5_000_000  # each character is in some six patterns
 TEXT_SLICE = 600_000
 _ALIGNED = 512
 _TABLE_BITS = 20
@@ -51,8 +56,8 @@ def normalised(text: str | None) -> str:
     return " ".join(text.lower().split()) if text else ""
 
 
-def cut(text: str, window: int = WINDOW, stride: int = STRIDE, least: int = MIN_CHARS) -> list[str]:
-    """Patterns of one normalised item; none if it is shorter than ``least``."""
+def windows(text: str, window: int = WINDOW, stride: int = STRIDE, least: int = MIN_CHARS) -> list[str]:
+    """One normalised item, or its windows; none if it is shorter than ``least``."""
     if len(text) < least:
         return []
     if len(text) < window + stride:
@@ -61,13 +66,40 @@ def cut(text: str, window: int = WINDOW, stride: int = STRIDE, least: int = MIN_
     return [text[s:s + window] for s in starts]
 
 
+def passages(text: str, size: int = PASSAGE, step: int = STEP) -> list[str]:
+    """The passages of one normalised item that is longer than ``size``."""
+    last = len(text) - size
+    return [text[s:s + size] for s in [*range(0, last, step), last]] if last > 0 else []
+
+
+def cut(text: str) -> list[str]:
+    """Patterns of one normalised item."""
+    return [*windows(text), *passages(text)]
+
+
 class Patterns:
-    """The patterns of a set of items, indexed by q-gram."""
+    """The patterns of a set of items, by kind."""
+
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, q: int = Q):
+        self.q = q
+        texts = [(i, normalised(t)) for i, t in items]
+        self.kinds = [_Kind([(i, codepoints(p)) for i, t in texts for p in dict.fromkeys(f(t))], rate, q)
+                      for f in (windows, passages)]
+        self.reach = max(k.longest + 2 * k.band for k in self.kinds)
+
+    def matches(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """``(item, start, end, edits)`` of each verified region: the best alignment's place in ``text``."""
+        if len(text) < self.q:
+            return []
+        h = rolling(text, self.q)
+        return [(int(k.item[p]), *hit) for k in self.kinds for p, *hit in k.matches(text, h)]
+
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, q: int = Q,
-                 window: int = WINDOW, stride: int = STRIDE):
+class _Kind:
+    """Patterns of like length, indexed by q-gram."""
+
+    def __init__(self, found: list[tuple[int, np.ndarray]], rate: float, q: int):
         self.q = q
-        found = [(i, codepoints(p)) for i, t in items for p in cut(normalised(t), window, stride)]
         self.item = np.array([i for i, _ in found], np.int64)
         self.codes = [c for _, c in found]
         self.length = np.array([len(c) for c in self.codes], np.int64)
@@ -91,11 +123,10 @@ class Patterns:
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[(self.keys >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
-    def matches(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """``(pattern, start, end, edits)`` of each verified region: the best alignment's place in ``text``."""
-        if not len(self.keys) or len(text) < self.q:
+    def matches(self, text: np.ndarray, h: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """``(pattern, start, end, edits)`` of each verified region in ``text``, whose q-grams are ``h``."""
+        if not len(self.keys):
             return []
-        h = rolling(text, self.q)
         at = np.flatnonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
         key = np.searchsorted(self.keys, h[at])
         key[key == len(self.keys)] = 0
@@ -209,11 +240,11 @@ def _pieces(texts: list[str | None], reach: int) -> Iterator[tuple[list[tuple[in
 
 def leaks_of(texts: list[str | None], patterns: Patterns) -> Iterator[tuple[int, int, int, int]]:
     """``(row, item, edits, matched characters)`` of every verified region."""
-    for held, codes in _pieces(texts, patterns.longest + 2 * patterns.band):
+    for held, codes in _pieces(texts, patterns.reach):
         starts = np.array([s for _, s in held])
-        for p, a, b, edits in patterns.matches(codes):
+        for item, a, b, edits in patterns.matches(codes):
             row = held[int(np.searchsorted(starts, a, side="right")) - 1][0]
-            yield row, int(patterns.item[p]), edits, b - a
+            yield row, item, edits, b - a
 
 
 def _pattern_sets(benchmark: DataFrame, item_col: str, text_col: str, **how) -> Iterator[Patterns]:

@@ -135,3 +135,16 @@ def test_whole_passages_of_the_driver_tables(spark):
     passages = [(r.item_id, normalised(r.text)) for r in bench.collect()]
     whole = {(r.doc_id, i) for r in docs.collect() for i, p in passages if p in normalised(r.text)}
     assert whole and whole <= {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
+
+
+def test_every_passage_of_an_item_is_found():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abdegilmnorstuvé") for _ in range(rng.randint(1, 9)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((12, 16, 25, 40))] + [(4, "字" * 20 + "".join(map(chr, range(0x4E00, 0x4E80))))]
+    patterns = decontam.Patterns(items)
+    for i, t in items:
+        size = decontam.PASSAGE + decontam.STEP - 1
+        taken = [t[s:s + size] for s in range(len(t) - size + 1)]
+        assert taken
+        texts = ["xyz " * 20 + p + " zyx" * 20 for p in taken]
+        assert {row for row, item, *_ in decontam.leaks_of(texts, patterns) if item == i} == set(range(len(texts)))
