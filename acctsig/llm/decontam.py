@@ -6,6 +6,8 @@ characters, ``STRIDE`` apart; and passages of ``PASSAGE`` characters, ``STEP``
 apart. A document has a leak if one of them occurs in it with at most
 k = ``RATE`` of its length in edits. The shortest passage that counts is thus
 of ``PASSAGE + STEP - 1`` characters: any such part of an item holds a pattern.
+Items under ``MIN_CHARS`` characters, too short for the bound below, count if
+they occur without an edit and not within a longer word.
 
 A region within k edits of a pattern of m characters shares at least
 m - q + 1 - k * q of its q-grams, and these lie on diagonals (position in the
@@ -28,6 +30,7 @@ as its own edits allow. The patterns of all items are broadcast; their size is c
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,12 +88,11 @@ class Patterns:
         texts = [(i, normalised(t)) for i, t in items]
         self.kinds = [_Kind([(i, codepoints(p)) for i, t in texts for p in dict.fromkeys(f(t))], rate, q)
                       for f in (windows, passages)]
+        self.kinds.append(_Whole([(i, codepoints(t)) for i, t in texts if 0 < len(t) < MIN_CHARS], q))
         self.reach = max(k.longest + 2 * k.band for k in self.kinds)
 
     def matches(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
         """``(item, start, end, edits)`` of each verified region: the best alignment's place in ``text``."""
-        if len(text) < self.q:
-            return []
         h = rolling(text, self.q)
         return [(int(k.item[p]), *hit) for k in self.kinds for p, *hit in k.matches(text, h)]
 
@@ -170,6 +172,42 @@ class _Kind:
         return out
 
 
+class _Whole:
+    """Short items, sought without edits between word boundaries, by the hash of their first characters."""
+
+    def __init__(self, found: list[tuple[int, np.ndarray]], q: int):
+        self.item = [i for i, _ in found]
+        self.codes = [c for _, c in found]
+        self.longest = max(map(len, self.codes), default=0)
+        self.band = 0
+        self.heads: dict[int, dict[int, list[int]]] = {}
+        for p, c in enumerate(self.codes):
+            head = c[:q]
+            self.heads.setdefault(len(head), {}).setdefault(int(rolling(head, len(head))[0]), []).append(p)
+        self.tables = {}
+        for n, keys in self.heads.items():
+            self.tables[n] = np.zeros(1 << _TABLE_BITS, bool)
+            self.tables[n][[k >> (64 - _TABLE_BITS) for k in keys]] = True
+
+    def matches(self, text: np.ndarray, h: np.ndarray) -> list[tuple[int, int, int, int]]:
+        out = []
+        for n, keys in self.heads.items():
+            h = rolling(text, n)
+            at = np.flatnonzero(self.tables[n][(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
+            for a, key in zip(at.tolist(), h[at].tolist()):
+                for p in keys.get(key, ()):
+                    b = a + len(self.codes[p])
+                    if np.array_equal(text[a:b], self.codes[p]) and not _within(text, a) and not _within(text, b):
+                        out.append((p, a, b, 0))
+        return out
+
+
+def _within(text: np.ndarray, at: int) -> bool:
+    """Is the place before ``text[at]`` within a word?"""
+    return 0 < at < len(text) and all(
+        c < _SEPARATOR and unicodedata.category(chr(c))[0] in "LMN" for c in text[at - 1:at + 1])
+
+
 def banded(patterns: list[np.ndarray], text: np.ndarray, low: np.ndarray, width: int,
            most: np.ndarray) -> list[tuple[int, int, int] | None]:
     """Best occurrence of each pattern in ``text`` on diagonals ``low`` to ``low + width``, with a margin of its edits.
@@ -261,8 +299,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           item_col: str = "item_id", item_text_col: str = "text", **how) -> DataFrame:
     """``(id, item_id, edits, matched_chars)``: the best occurrence of each item in each row that has one.
 
-    Null and empty texts and items have none, and neither have items under
-    ``MIN_CHARS`` characters. Repeated rows that leak each have their rows.
+    Null and empty texts and items have none. Repeated rows that leak each have their rows.
     """
     spark = prepare(docs)
     out = None

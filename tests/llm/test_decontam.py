@@ -148,3 +148,14 @@ def test_every_passage_of_an_item_is_found():
         assert taken
         texts = ["xyz " * 20 + p + " zyx" * 20 for p in taken]
         assert {row for row, item, *_ in decontam.leaks_of(texts, patterns) if item == i} == set(range(len(texts)))
+
+
+def test_short_items_are_found_as_they_are(spark):
+    items = [(1, "42"), (2, "The  Answer"), (3, "naïve guess of a short test item"), (4, "!"), (5, "new york city"), (6, "the answer")]
+    docs = [(1, "it is 42."), (2, "it is 421 or 142"), (3, "(the\nanswer)"), (4, "the answers"), (5, "A Naïve guess of a short test item"),
+            (6, "a naïve guess of a long test item"), (7, "wow!!"), (8, "new york"), (9, None), (10, "42"), (11, "new york"), (12, "city")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in decontam.leaks(df, bench).collect())
+    assert got == [(1, 1, 0, 2), (3, 2, 0, 10), (3, 6, 0, 10), (5, 3, 0, 32), (7, 4, 0, 1), (10, 1, 0, 2)]
+    assert sorted(r.doc_id for r in decontam.without_leaks(df, bench).collect()) == [2, 4, 6, 8, 9, 11, 12]
