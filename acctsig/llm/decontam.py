@@ -83,18 +83,20 @@ def cut(text: str) -> list[str]:
 class Patterns:
     """The patterns of a set of items, by kind."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, q: int = Q):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE, q: int = Q):
         self.q = q
-        texts = [(i, normalised(t)) for i, t in items]
+        self.ids = list(dict.fromkeys(i for i, _ in items))
+        number = {i: n for n, i in enumerate(self.ids)}
+        texts = [(number[i], normalised(t)) for i, t in items]
         self.kinds = [_Kind([(i, codepoints(p)) for i, t in texts for p in dict.fromkeys(f(t))], rate, q)
                       for f in (windows, passages)]
         self.kinds.append(_Whole([(i, codepoints(t)) for i, t in texts if 0 < len(t) < MIN_CHARS], q))
         self.reach = max(k.longest + 2 * k.band for k in self.kinds)
 
-    def matches(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
+    def matches(self, text: np.ndarray) -> list[tuple[int | None, int, int, int]]:
         """``(item, start, end, edits)`` of each verified region: the best alignment's place in ``text``."""
         h = rolling(text, self.q)
-        return [(int(k.item[p]), *hit) for k in self.kinds for p, *hit in k.matches(text, h)]
+        return [(self.ids[k.item[p]], *hit) for k in self.kinds for p, *hit in k.matches(text, h)]
 
 
 class _Kind:
@@ -276,7 +278,7 @@ def _pieces(texts: list[str | None], reach: int) -> Iterator[tuple[list[tuple[in
         yield held, np.concatenate(parts)
 
 
-def leaks_of(texts: list[str | None], patterns: Patterns) -> Iterator[tuple[int, int, int, int]]:
+def leaks_of(texts: list[str | None], patterns: Patterns) -> Iterator[tuple[int, int | None, int, int]]:
     """``(row, item, edits, matched characters)`` of every verified region."""
     for held, codes in _pieces(texts, patterns.reach):
         starts = np.array([s for _, s in held])
@@ -285,21 +287,26 @@ def leaks_of(texts: list[str | None], patterns: Patterns) -> Iterator[tuple[int,
             yield row, item, edits, b - a
 
 
+def _id_order(item: int | None) -> tuple[bool, int]:
+    return item is None, item or 0
+
+
 def _pattern_sets(benchmark: DataFrame, item_col: str, text_col: str, **how) -> Iterator[Patterns]:
     """The benchmark's items as sets of patterns of bounded size, read to the driver one set at a time."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).dropna()
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).dropna(subset=["t"])
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     parts = max(1, -(-size // BROADCAST_BYTES))
     for k in range(parts):
         part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
-        yield Patterns(sorted({(r.i, r.t) for r in part.toLocalIterator()}), **how)
+        yield Patterns(sorted({(r.i, r.t) for r in part.toLocalIterator()}, key=lambda x: (_id_order(x[0]), x[1])), **how)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text", **how) -> DataFrame:
     """``(id, item_id, edits, matched_chars)``: the best occurrence of each item in each row that has one.
 
-    Null and empty texts and items have none. Repeated rows that leak each have their rows.
+    Null and empty texts and items have none. Texts of items with a null id
+    are one more item, with a null ``item_id``. Repeated rows that leak each have their rows.
     """
     spark = prepare(docs)
     out = None
@@ -312,10 +319,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             for batch in batches:
                 for a, b in slices(batch, "text", 2_000_000):
                     part = batch.slice(a, b - a)
-                    best: dict[tuple[int, int], tuple[int, int]] = {}
+                    best: dict[tuple[int, int | None], tuple[int, int]] = {}
                     for row, item, edits, n in leaks_of(part.column(1).to_pylist(), sent.value):
                         best[row, item] = min(best.get((row, item), (edits, -n)), (edits, -n))
-                    keys = sorted(best)
+                    keys = sorted(best, key=lambda k: (k[0], _id_order(k[1])))
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array([r for r, _ in keys], pa.int64())),
                          pa.array([i for _, i in keys], pa.int64()),

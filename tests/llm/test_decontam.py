@@ -159,3 +159,12 @@ def test_short_items_are_found_as_they_are(spark):
     got = sorted(tuple(r) for r in decontam.leaks(df, bench).collect())
     assert got == [(1, 1, 0, 2), (3, 2, 0, 10), (3, 6, 0, 10), (5, 3, 0, 32), (7, 4, 0, 1), (10, 1, 0, 2)]
     assert sorted(r.doc_id for r in decontam.without_leaks(df, bench).collect()) == [2, 4, 6, 8, 9, 11, 12]
+
+
+def test_items_without_an_id_are_sought(spark, data):
+    item = data[1][3][1]
+    bench = spark.createDataFrame([(None, item), (None, "forty two"), (7, item), (8, None)], "item_id long, text string")
+    df = spark.createDataFrame([(1, item), (2, "forty two"), (3, "neither")], "doc_id long, text string")
+    got = decontam.leaks(df, bench).collect()
+    assert sorted((r.doc_id, str(r.item_id)) for r in got) == [(1, "7"), (1, "None"), (2, "None")]
+    assert [r.doc_id for r in decontam.without_leaks(df, bench.filter("item_id IS NULL")).collect()] == [3]
