@@ -75,11 +75,32 @@ def feature_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 @dataclass
 class Model:
-    """Languages in order, log priors, and log-probabilities by language and bucket."""
+    """Languages in order, log priors, and log-probabilities by language and bucket.
+
+    ``typical`` and ``spread`` are the mean and standard deviation of the log-probability of an n-gram
+    of a language's own training texts.
+    """
 
     langs: list[str]
     prior: np.ndarray
     log_p: np.ndarray
+    typical: np.ndarray
+    spread: np.ndarray
+
+    def excess(self, texts: list[str | None]) -> np.ndarray:
+        """How far each text's mean log-probability of an n-gram lies above the likeliest language's typical one.
+
+        Three standard errors of a mean over the text's n-grams are added, so that short texts are not
+        judged by a few n-grams. The posterior cannot tell this: some learned language always is the likeliest.
+        """
+        score, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        for row, bucket in features([t or "" for t in texts]):
+            n += np.bincount(row, minlength=len(texts))
+            for k in range(len(self.langs)):
+                score[:, k] += np.bincount(row, weights=self.log_p[k][bucket], minlength=len(texts))
+        best = (score + self.prior).argmax(axis=1)
+        n = np.maximum(n, 1)
+        return score[np.arange(len(texts)), best] / n - self.typical[best] + 3 * self.spread[best] / np.sqrt(n)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each text and its posterior; ``und`` and 0 without letters or languages."""
@@ -106,8 +127,11 @@ def learned(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smo
     index = {x: i for i, x in enumerate(langs)}
     table[[index[x] for x in t["lang"]], np.array(t["bucket"], np.int64)] = t["n"]  # -1 is the last column
     documents, grams = table[:, BUCKETS], table[:, :BUCKETS] + smoothing
-    return Model(langs, np.log(documents / max(1, documents.sum())),
-                 np.log(grams / grams.sum(axis=1, keepdims=True)))
+    log_p = np.log(grams / grams.sum(axis=1, keepdims=True))
+    share = table[:, :BUCKETS] / np.maximum(table[:, :BUCKETS].sum(axis=1, keepdims=True), 1)
+    typical = (share * log_p).sum(axis=1)
+    spread = np.sqrt((share * (log_p - typical[:, None]) ** 2).sum(axis=1))
+    return Model(langs, np.log(documents / max(1, documents.sum())), log_p, typical, spread)
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred",
@@ -135,7 +159,31 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", lang_out: s
     return docs.mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language with a posterior of ``least`` or more; all columns are kept."""
-    return (predicted(docs, model, text_col, "__lang", "__score")
-            .filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).drop("__lang", "__score"))
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text",
+             below: float | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with a posterior of ``least`` or more; all columns are kept.
+
+    With ``below``, the text's n-grams must also be like that language's: their mean log-probability
+    not more than ``below`` under the typical one (``Model.excess``). A model without languages can
+    reject none, so then all texts with letters are kept.
+    """
+    spark = prepare(docs)
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = sent.value
+        for batch in batches:
+            for a, b in slices(batch, text_col):
+                part = batch.slice(a, b - a)
+                texts = part.column(text_col).to_pylist()
+                if m.langs:
+                    lang, score = m.predict(texts)
+                    keep = (np.array(lang, object) != UNKNOWN) & (score >= least)
+                    if below is not None:
+                        at = np.flatnonzero(keep)
+                        keep[at] = m.excess([texts[i] for i in at]) >= -below
+                else:
+                    keep = np.array([bool(t and LETTER.search(t)) for t in texts], bool)
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

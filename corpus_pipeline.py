@@ -15,12 +15,16 @@ from acctsig.llm.common import fold, scratch, table
 from acctsig.llm.queries import vocabulary
 
 LEAST_POSTERIOR = 0.5
+MOST_BELOW = 2.5  # log-probability of an n-gram under what is typical of the language
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts that have a language: letters, and a posterior of at least one half."""
+    """Keep texts that have a language: letters, a posterior of at least one half, and n-grams like the language's.
+
+    Without labelled texts, those with letters.
+    """
     model = langid.learned(docs.filter(fold("doc_id", 4) != 2))
-    return langid.accepted(docs, model, LEAST_POSTERIOR)
+    return langid.accepted(docs, model, LEAST_POSTERIOR, below=MOST_BELOW)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

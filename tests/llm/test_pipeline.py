@@ -53,3 +53,25 @@ def test_one_query_for_each_operator():
     names = [q.split("_")[0] for q in QUERIES if q != "pipeline"]
     assert names == [f"op{n}" for n in range(1, 11)] and "pipeline" in QUERIES
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_language_stage_drops_texts_in_no_learned_language(spark):
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = [
+        "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem",
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+        "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью",
+        "asdf jkl qwer uiop zxcv hjkl sdfg wert xcvb " * 5,
+        "dGhlIHF1aWNrIGJyb3duIGZveCBqdW1wcyBvdmVyIHRoZSBsYXp5IGRvZyAxMjM0NTY3ODkwIQ" * 4]
+    own = ["all human beings are born free and equal in dignity and rights they are endowed with reason", "the tree is"]
+    rows = [(-1 - i, t, None, None, None) for i, t in enumerate([*foreign, *own])]
+    docs = clean.unionByName(spark.createDataFrame(rows, clean.schema))
+    kept = {r.doc_id for r in P.language(spark, docs, SF).select("doc_id").collect()}
+    assert [i for i, *_ in rows if i in kept] == [-6, -7]
+    lettered = clean.filter("text RLIKE '[a-zA-Z]'").count()
+    assert len(kept) - 2 >= 0.995 * lettered
+
+
+def test_language_stage_without_labels(spark):
+    docs = spark.createDataFrame([(1, "the sea", None), (2, " 12 ", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in P.language(spark, docs, SF).collect()] == [1]
