@@ -79,3 +79,27 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     held = [r for r in got if r.held_out and r.lang_pred != "und"]
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held) > 0
+
+
+def test_many_languages_go_in_blocks(spark, monkeypatch):
+    rows = [(f"{x}{i % 3}" if x != "en" else x, f"{t} {i}") for i in range(6) for x, t in TRAIN]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["the", "über der", "sea", "é", "x1", " 12 ", None, ""])], "doc_id long, text string")
+    whole = langid.learned(df)
+    want = {r.doc_id: r for r in langid.predicted(texts, whole).collect()}
+    stays = {r.doc_id for r in langid.accepted(texts, whole, 0.3, below=1.0).collect()}
+    monkeypatch.setattr(langid, "MOST_LANGS", 3)
+    blocks = langid.learned(df)
+    assert len(whole.langs) == 7 and [len(b) for b in blocks.langs] == [3, 3, 1]
+    got = langid.predicted(texts, blocks).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r.lang_pred == want[r.doc_id].lang_pred and r.score == pytest.approx(want[r.doc_id].score, rel=1e-9)
+    assert {r.doc_id for r in langid.accepted(texts, blocks, 0.3, below=1.0).collect()} == stays
+
+
+def test_more_languages_than_one_matrix_holds(spark):
+    rows = [(f"l{i}", f"word{i} the sea") for i in range(langid.MOST_LANGS + 6)]
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(2)
+    got = langid.predicted(df, langid.learned(df)).collect()
+    assert len(got) == len(rows) and sum(r.lang == r.lang_pred for r in got) > 0.9 * len(rows)
