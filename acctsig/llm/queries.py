@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL where there is one."""
+"""The registered queries of the operators, and their SQL where there is one."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acctsig.llm import (backoff, decontam, langid, mixing, permindex, simhash, tokenbin, tokencount,
-                         urlfilter, warc)
+                         urlfilter, warc, whiten)
 from acctsig.llm.common import fold, scratch, table
 
 URL_RULES = [  # host, path, verdict
@@ -89,6 +89,11 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permindex.searched(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the 32 leading components, whitened."""
+    return whiten.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -96,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_urls, op4_tokens, op5_lm, op6_counts, op7_leaks,
-                                   op8_mix, op9_language, op10_neighbours, pipeline)}
+                                   op8_mix, op9_language, op10_neighbours, op11_whiten, pipeline)}
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
