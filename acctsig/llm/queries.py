@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acctsig.llm import (backoff, decontam, langid, mixing, permindex, simhash, tokenbin, tokencount,
+from acctsig.llm import (backoff, convtrie, decontam, langid, mixing, permindex, simhash, tokenbin, tokencount,
                          urlfilter, warc, whiten)
 from acctsig.llm.common import fold, scratch, table
 
@@ -94,6 +94,12 @@ def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of the conversations, with beginnings shared by hundreds of ids."""
+    turns = convtrie.digested(table(spark, sf_dir, "conversations"))
+    return convtrie.trie(turns, convtrie.shared_beginnings(turns))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -101,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_urls, op4_tokens, op5_lm, op6_counts, op7_leaks,
-                                   op8_mix, op9_language, op10_neighbours, op11_whiten, pipeline)}
+                                   op8_mix, op9_language, op10_neighbours, op11_whiten, op13_trie, pipeline)}
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
@@ -165,4 +171,43 @@ placed AS (
 SELECT doc_id, size, source_size, target,
        CAST((floor(offs + (nth + 1) * rate) - floor(offs + nth * rate)) * size AS BIGINT) AS taken
 FROM placed""",
+    "op13_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k,
+         length(coalesce(text, '')) AS len, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, k, len, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS p FROM t),
+ids AS (
+  SELECT c, c - c % 100 AS base, xor(list_reduce(
+           list_concat([4294967295::UBIGINT], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ord(x)::UBIGINT)),
+           lambda a, x: list_reduce(list_concat([xor(a, x)], [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+                                    lambda u, z: xor(u >> 1, (u & 1) * 3988292384::UBIGINT))),
+         4294967295::UBIGINT) % 6 AS h
+  FROM (SELECT DISTINCT c FROM o)),
+turns AS (
+  SELECT ids.c, 0 AS part, o.p, o.k, o.len FROM ids JOIN o ON o.c = base AND o.p <= h
+  UNION ALL SELECT o.c, 1, o.p, o.k, o.len FROM ids JOIN o ON o.c = ids.c AND o.p > h),
+paths AS (
+  SELECT ids.c, coalesce(list(k ORDER BY part, p) FILTER (k IS NOT NULL), []) AS ks,
+         coalesce(list(len ORDER BY part, p) FILTER (k IS NOT NULL), []) AS lens
+  FROM ids LEFT JOIN turns ON turns.c = ids.c GROUP BY ids.c),
+steps AS (
+  SELECT c, d, CAST(len(ks) AS BIGINT) AS whole, md5(array_to_string(ks[1:d], '')) AS node,
+         CASE WHEN d > 0 THEN md5(array_to_string(ks[1:d - 1], '')) END AS parent, ks,
+         CASE WHEN d > 0 THEN lens[d] ELSE 0 END AS last_len
+  FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM paths)),
+nodes AS (
+  SELECT node, any_value(parent) AS parent, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * any_value(last_len) AS own, any_value(ks) AS ks,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (whole = d), '')) AS ends_sha256
+  FROM steps GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+sums AS (
+  SELECT above AS node, sum(own) AS saved, count(*) FILTER (leaf) AS leaves
+  FROM (SELECT own, kids.n IS NULL AS leaf, unnest(list_transform(range(0, depth + 1), lambda e: md5(array_to_string(ks[1:e], '')))) AS above
+        FROM nodes LEFT JOIN kids ON kids.node = nodes.node)
+  GROUP BY above)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, x.n_convs, coalesce(kids.n, 0) AS n_children,
+       sums.leaves AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN sums ON sums.node = x.node LEFT JOIN kids ON kids.node = x.node LEFT JOIN nodes up ON up.node = x.parent""",
 }
