@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acctsig.llm import (backoff, convtrie, decontam, langid, mixing, permindex, simhash, tokenbin, tokencount,
+from acctsig.llm import (backoff, convtrie, decontam, langid, mixing, permindex, pii, simhash, tokenbin, tokencount,
                          urlfilter, warc, whiten)
 from acctsig.llm.common import fold, scratch, table
 
@@ -94,6 +94,15 @@ def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; the counts and the digest are those of the base spans."""
+    docs = table(spark, sf_dir, "documents")
+    spans = pii.found(docs, pii.learned(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return spans.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of the conversations, with beginnings shared by hundreds of ids."""
     turns = convtrie.digested(table(spark, sf_dir, "conversations"))
@@ -107,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_urls, op4_tokens, op5_lm, op6_counts, op7_leaks,
-                                   op8_mix, op9_language, op10_neighbours, op11_whiten, op13_trie, pipeline)}
+                                   op8_mix, op9_language, op10_neighbours, op11_whiten, op12_pii, op13_trie, pipeline)}
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
