@@ -427,6 +427,11 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def number(spans: Column, kind: str) -> Column:
+    """How many of the spans are of a kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def hidden(text: str, spans: list[tuple]) -> str:
     """The text with its spans replaced by their kinds; overlapping ones by that of the first."""
     out, at = [], 0

@@ -140,3 +140,14 @@ def test_trees_and_calibration():
     q = np.linspace(0.05, 0.95, 19)
     assert np.abs(boosted.calibrated(step, q * 9 - 3) - q ** 2).max() < 0.08
     assert (np.diff(step[1]) >= 0).all() and boosted.calibrated(step, np.array([-99.0]))[0] == 0
+
+
+def test_query(spark):
+    from acctsig.llm.queries import op12_pii
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = op12_pii(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        b = brute(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in b) for x in pii.KINDS]
+        assert r.base_sha256 == pii.digest(b) and {f"{k}:{s}:{e}" for k, s, e in b} <= set(r.spans.split(","))
