@@ -169,3 +169,5 @@ TOP_FEATURES_PLOT = 15
 
 # Score histogram bins per class.
 HISTOGRAM_BINS = 30
+# Cross-dataset validation: (training, test) datasets.
+CROSS_PAIRS = ((30, 32), (32, 30), (31, 33), (33, 31))

@@ -1,55 +1,51 @@
 """Weighted ensemble of three gradient-boosted-tree learners.
 
-MLlib has one boosted-tree learner, ``GBTClassifier``; the three original
-learners (two histogram boosters and a classic one) are mapped onto it with
-their depth, row/column sub-sampling, minimum leaf size, minimum gain,
-class weighting and seed. Leaf-wise growth and L1/L2 leaf penalties have no
-MLlib setting. The blend weights, the class weight (negatives / positives
-of the current training split), the stratified 5-fold out-of-fold scores
-and the threshold search follow the original.
-
-The boosting length is the original one, ``REFERENCE``: 800/800/500 trees at
-learning rate 0.03, which takes hours of MLlib jobs. A caller who wants
-another length passes it as ``preset``; nothing here shortens it.
-
-MLlib draws each tree's row sample per partition, so the training rows are
-dealt to ``TRAIN_PARTITIONS`` partitions by a hash of the account: the same
-rows give the same trees on any cluster.
+The learners are those of ``operators/boost``: a leaf-wise histogram booster
+with L1/L2 leaf penalties, a second-order level-wise one with gamma, and a
+residual booster with Newton leaves, at the original settings and length
+(800/800/500 trees at rate 0.03). All of an ensemble's models (three learners,
+each on all rows and without each of five folds) grow together, so training and
+its out-of-fold scores are one run over the rows.
+
+What the original leaves to its libraries is fixed here: quantile bins (64, of
+all rows that are trained on, the held-out folds' too), row and column draws by
+hashes, ties to the first feature and lowest bin. Only probabilities of the
+libraries themselves are not reproduced.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acctsig.functions import patterns as P
 from acctsig.functions.sizes import small
+from acctsig.operators import boost
 from acctsig.operators import evaluate as ev
 from acctsig.operators.assemble import FEATURE_COLUMNS, vectorize
-from acctsig.session import ensure_checkpoint_dir
+from acctsig.session import ensure_checkpoint_dir, ship_package
 
-# (name, GBT params, class-weighted) per learner; iterations/step per preset.
+# The original learners' settings.
 LEARNERS = [
-    ("a", dict(maxDepth=4, minInstancesPerNode=10, minInfoGain=0.01, subsamplingRate=0.7,
-               featureSubsetStrategy="0.7", seed=42), True),
-    ("b", dict(maxDepth=4, minInstancesPerNode=5, minInfoGain=0.0, subsamplingRate=0.7,
-               featureSubsetStrategy="0.7", seed=43), True),
-    ("c", dict(maxDepth=3, minInstancesPerNode=10, minInfoGain=0.0, subsamplingRate=0.7,
-               featureSubsetStrategy="all", seed=44), False),
+    boost.Learner("a", "leafwise", trees=800, rate=0.03, depth=4, leaves=15, l1=1.0, l2=5.0, gain=0.01,
+                  least_rows=10, least_hessian=1e-3, columns=0.7, seed=42),
+    boost.Learner("b", "gamma", trees=800, rate=0.03, depth=4, l1=1.0, l2=5.0, gain=0.1, least_hessian=5.0,
+                  rows=0.7, columns=0.7, prior=False, seed=42),
+    boost.Learner("c", "residual", trees=500, rate=0.03, depth=3, least_rows=10, rows=0.7, weighted=False, seed=42),
 ]
 REFERENCE = {"iters": (800, 800, 500), "step": 0.03}
+FOLDS = 5
 
 
 @dataclass
 class Ensemble:
     """Three fitted learners, the decision threshold and the feature order."""
-    models: list[GBTClassificationModel]
+    models: list[boost.Trees]
     threshold: float = P.DEFAULT_THRESHOLD
     features: list[str] = field(default_factory=lambda: list(FEATURE_COLUMNS))
     weights: tuple[float, ...] = P.BLEND_WEIGHTS
@@ -94,70 +90,42 @@ def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42, label: str = "la
             .drop("_h", "_b", "_r", "_o"))
 
 
-def _learners(weight: float, preset: dict):
-    out = []
-    for (name, params, weighted), iters in zip(LEARNERS, preset["iters"]):
-        kw = dict(params, maxIter=iters, stepSize=preset["step"], labelCol="label",
-                  featuresCol="features")
-        if weighted:
-            kw["weightCol"] = "w"
-        out.append(GBTClassifier(**kw))
-    return out
-
-
-# Independent MLlib fits can be submitted from driver threads (as
-# CrossValidator's ``parallelism`` does). Default 1 (sequential): on small
-# data the driver's scheduler, not the executors, is the bottleneck, and 30+
-# concurrent fits only add driver memory pressure.
-PARALLELISM = 1
-# Partitions of the training rows; part of the model's definition (see above).
-TRAIN_PARTITIONS = 32
-
+def learners(preset: dict = REFERENCE) -> list[boost.Learner]:
+    """The three learners at a preset's lengths and rate."""
+    return [replace(x, trees=n, rate=preset["step"]) for x, n in zip(LEARNERS, preset["iters"])]
 
-def _pmap(fn, items):
-    items = list(items)
-    with ThreadPoolExecutor(max_workers=max(1, min(PARALLELISM, len(items)))) as ex:
-        return list(ex.map(fn, items))
 
+def boosting_rows(df: DataFrame, features: str = "features") -> DataFrame:
+    """Rows as ``boost`` reads them; a label other than 1 is 0, rows without a fold are in none."""
+    fold = F.col("fold") if "fold" in df.columns else F.lit(-2)
+    return df.select(vector_to_array(features).alias("x"), (F.col("label") == 1).cast("int").alias("label"), fold.alias("fold"),
+                     boost.row_key("dataset_id", "author_id").alias("key"))
 
-def dealt(df: DataFrame, partitions: int = TRAIN_PARTITIONS,
-          id_cols: tuple[str, ...] = ("dataset_id", "author_id")) -> DataFrame:
-    """Training rows in a fixed layout: by a hash of the account, in order of the account."""
-    return df.repartition(partitions, *id_cols).sortWithinPartitions(*id_cols)
 
+def fit(train: DataFrame, preset: dict = REFERENCE, lang: str = "en", shards: int | None = None) -> Ensemble:
+    """M1–M3, M8: fit the three learners on a vectorised training frame."""
+    got = boost.boosted(boosting_rows(train.drop("fold")), learners(preset), shards=shards)
+    return Ensemble([got[(x.name, -1)] for x in LEARNERS], lang=lang)
 
-@contextmanager
-def held(df: DataFrame):
-    """``df`` cached for the block and released after it."""
-    kept = df.persist()
-    try:
-        yield kept
-    finally:
-        kept.unpersist()
 
+def _probabilities(models: list[boost.Trees]):
+    """An expression: the probabilities of all models, from an array of features."""
+    @F.pandas_udf("array<double>")
+    def scored(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        rows = np.stack(x.to_numpy()).astype(np.float64)
+        return pd.Series(list(np.stack([m.probabilities(rows) for m in models], axis=1)))
 
-def fit(train: DataFrame, preset: dict = REFERENCE, lang: str = "en",
-        partitions: int = TRAIN_PARTITIONS) -> Ensemble:
-    """M1–M3, M8: fit the three learners on a vectorised training frame."""
-    wt = class_weight(train)
-    data = train.withColumn("w", F.when(F.col("label") == 1, F.lit(wt)).otherwise(F.lit(1.0)))
-    with held(dealt(data, partitions)) as rows:
-        return Ensemble(_pmap(lambda m: m.fit(rows), _learners(wt, preset)), lang=lang)
+    return scored
 
 
 def blend(ens: Ensemble, df: DataFrame, out: str = "probability") -> DataFrame:
     """M7: weighted sum of the learners' P(bot)."""
-    cur = df
-    names = []
-    for i, m in enumerate(ens.models):
-        col = f"_p{i}"
-        cur = (m.setProbabilityCol(f"_prob{i}").setPredictionCol(f"_pred{i}")
-               .setRawPredictionCol(f"_raw{i}").transform(cur)
-               .withColumn(col, vector_to_array(F.col(f"_prob{i}")).getItem(1))
-               .drop(f"_prob{i}", f"_pred{i}", f"_raw{i}"))
-        names.append(col)
-    return cur.withColumn(out, blend_columns([F.col(c) for c in names], ens.weights)) \
-        .drop(*names)
+    ship_package(df.sparkSession)
+    name = "_" + "_".join(df.columns)  # in no column's way
+    scored = df.withColumn(name, _probabilities(ens.models)(vector_to_array("features")))
+    return scored.withColumn(out, blend_columns([F.col(name)[i] for i in range(len(ens.models))], ens.weights)).drop(name)
 
 
 def blend_columns(cols: list, weights: tuple[float, ...] = P.BLEND_WEIGHTS):
@@ -175,35 +143,39 @@ def predict(ens: Ensemble, df: DataFrame) -> DataFrame:
     return b.withColumn("prediction", (F.col("probability") >= F.lit(ens.threshold)).cast("int"))
 
 
-def out_of_fold(df: DataFrame, preset: dict = REFERENCE, k: int = 5, seed: int = 42,
-                lang: str = "en", partitions: int = TRAIN_PARTITIONS) -> DataFrame:
-    """M6: every row scored by learners fitted without its fold.
+def grown(data: DataFrame, preset: dict = REFERENCE, k: int = FOLDS, seed: int = 42, lang: str = "en",
+          shards: int | None = None) -> tuple[Ensemble, DataFrame]:
+    """M6 and M8 in one run: the ensemble of all rows, and every row scored by the models grown without its fold.
 
-    The scores (ids, label, fold, probability) are written to the checkpoint
-    folder, so that nothing stays cached.
+    The scores (the frame's columns but for the features, fold, probability) are written to the checkpoint folder.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    with held(stratified_folds(df, k, seed)) as folded:
-        fold_data = [(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)) for f in range(k)]
-        models = _pmap(lambda fd: fit(fd[0], preset, lang, partitions), fold_data)
-        out = None
-        for ens, (_, rest) in zip(models, fold_data):
-            part = blend(ens, rest).drop("features")
-            out = part if out is None else out.unionByName(part)
-        return out.checkpoint(eager=True)
+    ensure_checkpoint_dir(data.sparkSession)
+    folded = stratified_folds(data, k, seed).checkpoint(eager=True)
+    got = boost.boosted(boosting_rows(folded), learners(preset), k, shards=shards)
+    of = lambda out: Ensemble([got[(x.name, out)] for x in LEARNERS], lang=lang)
+    scores = [blend(of(f), folded.where(F.col("fold") == f)).drop("features") for f in range(k)]
+    oof = scores[0]
+    for s in scores[1:]:
+        oof = oof.unionByName(s)
+    return of(-1), oof.checkpoint(eager=True)
+
+
+def out_of_fold(df: DataFrame, preset: dict = REFERENCE, k: int = FOLDS, seed: int = 42, lang: str = "en",
+                shards: int | None = None) -> DataFrame:
+    """M6: every row scored by learners fitted without its fold."""
+    return grown(df, preset, k, seed, lang, shards)[1]
 
 
 def train(spark: SparkSession, features: DataFrame, preset: dict = REFERENCE, lang: str = "en",
-          partitions: int = TRAIN_PARTITIONS) -> tuple[Ensemble, DataFrame]:
+          shards: int | None = None) -> tuple[Ensemble, DataFrame]:
     """Full training: models on all rows, threshold from out-of-fold scores.
 
     Returns the ensemble and the out-of-fold scores.
     """
-    with held(vectorize(features).select("dataset_id", "author_id", "label", "features")) as data:
-        ens, oof = _pmap(lambda job: job(), [lambda: fit(data, preset, lang, partitions),
-                                             lambda: out_of_fold(data, preset, lang=lang, partitions=partitions)])
+    ens, oof = grown(vectorize(features).select("dataset_id", "author_id", "label", "features"), preset, lang=lang, shards=shards)
     best = ev.best_threshold(ev.threshold_sweep(oof)).first()
-    ens.threshold = float(best["threshold"])
+    if best is not None:  # no rows, no scores
+        ens.threshold = float(best["threshold"])
     return ens, oof
 
 
@@ -213,35 +185,36 @@ def training_report(ens: Ensemble, oof: DataFrame) -> DataFrame:
     return ev.confusion(pred).select(F.lit(ens.lang).alias("lang"), F.lit(ens.threshold).alias("threshold"), "*")
 
 
-def feature_importance(spark: SparkSession, ens: Ensemble, k: int = P.TOP_FEATURES_PRINT,
-                       learner: int = 0) -> DataFrame:
-    """Top-k features of learner A (MLlib importances are gain-based)."""
-    imp = ens.models[learner].featureImportances.toArray().tolist()
-    rows = [(ens.lang, n, float(v)) for n, v in zip(ens.features, imp)]
-    df = spark.createDataFrame(rows, "lang string, feature string, importance double")
-    w = Window.partitionBy("lang").orderBy(F.desc("importance"), F.asc("feature"))
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def feature_importance(spark: SparkSession, ens: Ensemble, k: int = P.TOP_FEATURES_PRINT, learner: int = 0) -> DataFrame:
+    """The k features that learner A splits on most often; ties in feature order, unused features last."""
+    name = LEARNERS[learner].name
+    counts = boost.split_counts(boost.node_table(spark, {(name, -1): ens.models[learner]}))
+    names = spark.createDataFrame(list(enumerate(ens.features)), "i int, name string")
+    ranked = names.join(counts, F.col("i") == F.col("feature"), "left").select(
+        F.lit(ens.lang).alias("lang"), F.col("name").alias("feature"), F.coalesce("splits", F.lit(0)).alias("splits"), "i")
+    w = Window.partitionBy("lang").orderBy(F.desc("splits"), F.asc("i"))
+    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("i")
 
 
 def cross_dataset(spark: SparkSession, features: DataFrame, train_ds: int, test_ds: int,
-                  preset: dict = REFERENCE, lang: str = "en", partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+                  preset: dict = REFERENCE, lang: str = "en", shards: int | None = None) -> DataFrame:
     """Train on one dataset, score another; report both the threshold
     re-optimised on the test labels (as originally reported) and the one
     learned from the training split's out-of-fold scores."""
-    ens, _ = train(spark, features.where(F.col("dataset_id") == train_ds), preset, lang, partitions)
-    with held(blend(ens, vectorize(features.where(F.col("dataset_id") == test_ds)))) as scored:
-        return cross_report(spark, scored, ens.threshold, train_ds, test_ds, lang)
+    ens, _ = train(spark, features.where(F.col("dataset_id") == train_ds), preset, lang, shards)
+    scored = blend(ens, vectorize(features.where(F.col("dataset_id") == test_ds))).drop("features").checkpoint(eager=True)
+    return cross_report(spark, scored, ens.threshold, train_ds, test_ds, lang)
 
 
-def cross_report(spark: SparkSession, scored: DataFrame, threshold: float, train_ds: int, test_ds: int,
-                 lang: str) -> DataFrame:
+def cross_report(spark: SparkSession, scored: DataFrame, threshold: float, train_ds: int | None,
+                 test_ds: int | None, lang: str) -> DataFrame:
     """E4 from scored test rows: a row for the threshold tuned on them and one for the given threshold."""
     tuned = ev.best_threshold(ev.threshold_sweep(scored)).first()
     rows = []
     for kind, t in (("test_tuned", float(tuned["threshold"])), ("train_oof", threshold)):
         c = ev.confusion(scored.withColumn("prediction",
                                            (F.col("probability") >= F.lit(t)).cast("int"))).first()
-        rows.append((int(train_ds), int(test_ds), lang, kind, t, int(c["score"]),
+        rows.append((train_ds, test_ds, lang, kind, t, int(c["score"]),
                      int(c["max_score"]), int(c["tp"]), int(c["fn"]), int(c["fp"]), int(c["tn"]),
                      float(c["accuracy"]), float(c["precision"]), float(c["recall"])))
     return spark.createDataFrame(rows, "train_ds long, test_ds long, lang string, threshold_kind string, "
@@ -251,9 +224,9 @@ def cross_report(spark: SparkSession, scored: DataFrame, threshold: float, train
 
 
 def save(ens: Ensemble, path: str, spark: SparkSession) -> None:
-    """MLlib model directories plus one metadata row (JSON)."""
-    for i, m in enumerate(ens.models):
-        m.write().overwrite().save(f"{path}/{ens.lang}/learner{i}")
+    """The learners' trees as a table of nodes plus one metadata row (JSON)."""
+    nodes = boost.node_table(spark, {(x.name, -1): m for x, m in zip(LEARNERS, ens.models)})
+    nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/{ens.lang}/trees")
     meta = spark.createDataFrame([(ens.lang, ens.threshold, list(ens.weights), ens.features)],
                                  "lang string, threshold double, weights array<double>, "
                                  "features array<string>")
@@ -262,6 +235,6 @@ def save(ens: Ensemble, path: str, spark: SparkSession) -> None:
 
 def load(path: str, lang: str, spark: SparkSession) -> Ensemble:
     meta = spark.read.json(f"{path}/{lang}/meta").first()
-    models = [GBTClassificationModel.load(f"{path}/{lang}/learner{i}") for i in range(3)]
-    return Ensemble(models, float(meta["threshold"]), list(meta["features"]),
+    models = boost.from_nodes(spark.read.parquet(f"{path}/{lang}/trees"))
+    return Ensemble([models[(x.name, -1)] for x in LEARNERS], float(meta["threshold"]), list(meta["features"]),
                     tuple(meta["weights"]), lang)

@@ -883,7 +883,7 @@ def q_detection_files(spark, sf):
 rep AS (
   SELECT h.lang, k.kind AS threshold_kind,
     CASE k.kind WHEN 'test_tuned' THEN b.threshold ELSE 0.5 END AS threshold, h.label, h.probability
-  FROM hscore h JOIN tuned b USING (lang), (VALUES ('test_tuned'), ('train_oof')) k(kind)),
+  FROM hscore h JOIN tuned b USING (lang), (VALUES ('test_tuned'), ('given')) k(kind)),
 c AS (
   SELECT lang, threshold_kind, any_value(threshold) AS threshold,
     CAST(count_if(probability >= threshold AND label = 1) AS BIGINT) AS tp,
@@ -891,18 +891,96 @@ c AS (
     CAST(count_if(probability >= threshold AND label = 0) AS BIGINT) AS fp,
     CAST(count_if(probability < threshold AND label = 0) AS BIGINT) AS tn
   FROM rep GROUP BY lang, threshold_kind)
-SELECT CAST(30 AS BIGINT) AS train_ds, CAST(32 AS BIGINT) AS test_ds, lang, threshold_kind,
+SELECT lang, threshold_kind,
   round(threshold, 6) AS threshold, CAST(4 * tp - fn - 2 * fp AS BIGINT) AS score,
   CAST(4 * (tp + fn) AS BIGINT) AS max_score, tp, fn, fp, tn,
   round((tp + tn) / greatest(tp + fn + fp + tn, 1), 6) AS accuracy,
   round(tp / greatest(tp + fp, 1), 6) AS precision, round(tp / greatest(tp + fn, 1), 6) AS recall
 FROM c""")
 def q_cross_report(spark, sf):
-    """E4's table per language, with the stand-in score of the fixture and 0.5 as the training threshold."""
+    """The arithmetic of E4's report per language: the stand-in score at the threshold tuned on its labels and at 0.5.
+
+    ``cross_dataset_report`` trains.
+    """
     scored = kept(fixture_scores(spark, sf))
     langs = [r["lang"] for r in scored.select("lang").distinct().orderBy("lang").collect()]
-    return shape(src.union_all([ml_ops.cross_report(spark, scored.where(F.col("lang") == lg), 0.5, 30, 32, lg)
-                                for lg in langs]))
+    parts = [ml_ops.cross_report(spark, scored.where(F.col("lang") == lg), 0.5, None, None, lg) for lg in langs]
+    return shape(src.union_all(parts).drop("train_ds", "test_ds")
+                 .withColumn("threshold_kind", F.regexp_replace("threshold_kind", "train_oof", "given")))
+
+
+# ---------------------------------------------------------------------------
+# The ensemble itself, at the original length. Its
+# queries share one training per language in a session.
+# ---------------------------------------------------------------------------
+
+_TRAINED: dict[tuple[str, str], tuple] = {}
+
+
+def trained(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
+    """The feature matrix with languages, in the checkpoint folder, and each language's ensemble and out-of-fold scores."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _TRAINED:
+        from acctsig.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        fm = job_ops.features_with_lang(spark, fx.accounts(spark, sf), fx.posts(spark, sf), fx.labels(spark, sf)).checkpoint(eager=True)
+        _TRAINED[key] = fm, job_ops.train_by_language(spark, fm)
+    return _TRAINED[key]
+
+
+@register("ensemble_oof", O.with_fixture(_EP, _SCORE_SQL).rstrip() + """
+, folded AS (
+  SELECT lang, label, (row_number() OVER (PARTITION BY lang, label
+         ORDER BY md5(concat_ws('|', '42', CAST(dataset_id AS VARCHAR), CAST(author_id AS VARCHAR))), dataset_id, author_id) - 1) % 5 AS fold
+  FROM hscore)
+SELECT lang, CAST(fold AS BIGINT) AS fold, CAST(label AS BIGINT) AS label, count(*) AS accounts, count(*) AS scored,
+  CAST(count(*) FILTER (label = 1) AS BIGINT) AS positives
+FROM folded GROUP BY ALL""")
+def q_ensemble_oof(spark, sf):
+    """M6: accounts per language, fold and label, and how many of them have an out-of-fold probability."""
+    parts = [o.withColumn("lang", F.lit(lg)) for lg, (_, o) in trained(spark, sf)[1].items()]
+    return shape(src.union_all(parts).groupBy("lang", "fold", "label").agg(
+        F.count("*").alias("accounts"), F.count_if(F.col("probability").between(0.0, 1.0)).alias("scored"),
+        F.count_if(F.col("label") == 1).alias("positives")))
+
+
+@register("ensemble_threshold", _EVAL + """
+SELECT lang, count(*) AS accounts, CAST(count_if(label = 1) AS BIGINT) AS positives, CAST(4 * count_if(label = 1) AS BIGINT) AS max_score,
+  CAST(1 AS BIGINT) AS adds_up, CAST(1 AS BIGINT) AS on_grid, CAST(1 AS BIGINT) AS first_best
+FROM hscore GROUP BY lang""")
+def q_ensemble_threshold(spark, sf):
+    """M8: the learned threshold is the first of the sweep with the best out-of-fold score, and its report adds up."""
+    parts = []
+    for lg, (ens, oof) in trained(spark, sf)[1].items():
+        best = ev_ops.threshold_sweep(oof).orderBy(F.desc("score"), "threshold").first()
+        parts.append(ml_ops.training_report(ens, oof).select(
+            "lang", (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")).alias("accounts"), (F.col("tp") + F.col("fn")).alias("positives"),
+            "max_score", (F.col("score") == 4 * F.col("tp") - F.col("fn") - 2 * F.col("fp")).alias("adds_up"),
+            F.lit(ens.threshold in ev_ops.sweep_thresholds()).alias("on_grid"),
+            ((F.col("threshold") == best["threshold"]) & (F.col("score") == best["score"])).alias("first_best")))
+    return shape(src.union_all(parts))
+
+
+@register("ensemble_predict")
+def q_ensemble_predict(spark, sf):
+    """M9: probability and prediction of every account by the ensemble of its language."""
+    fm, models = trained(spark, sf)
+    parts = [ml_ops.predict(e, asm.vectorize(fm.where(F.col("lang") == lg))) for lg, (e, _) in models.items()]
+    return shape(src.union_all([p.select(*KEYS, "lang", "probability", "prediction") for p in parts]))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    """Each language's 20 features with the most splits; the first 15 are those of the chart."""
+    parts = [ml_ops.feature_importance(spark, e) for e, _ in trained(spark, sf)[1].values()]
+    return shape(src.union_all(parts).withColumn("charted", F.col("rank") <= P.TOP_FEATURES_PLOT))
+
+
+@register("cross_dataset_report")
+def q_cross_dataset_report(spark, sf):
+    """Trained on one dataset, tested on another, for the four original pairs."""
+    fm = trained(spark, sf)[0]
+    return shape(job_ops.cross_dataset_report(spark, fm, job_ops.cross_pairs(fm)))
 
 
 from acctsig.plans import job as job_ops  # noqa: E402

@@ -26,7 +26,7 @@ def _features(spark, n=80, seed=5):
 
 def test_fit_predict_save_load(spark, tmp_path):
     fm = _features(spark)
-    ens, oof = ml.train(spark, fm, TINY, "en", partitions=2)
+    ens, oof = ml.train(spark, fm, TINY, "en", shards=2)
     assert oof.count() == 80
     assert 0.10 <= ens.threshold <= 0.95
     pred = ml.predict(ens, vectorize(fm)).select("author_id", "probability", "prediction")
