@@ -40,13 +40,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is set by the deployment (a shared filesystem),
-    and jobs insist on it (``require_checkpoint_dir``). Only when it is unset
-    (local tests) a private scratch folder is made.
+    and jobs insist on it (``require_checkpoint_dir``). Only a local session
+    (tests) gets a private scratch folder where it is unset; on a cluster that
+    is an error, as executors would not see the folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="acctsig-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

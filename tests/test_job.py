@@ -34,7 +34,7 @@ def test_detect_end_to_end(spark):
                                        "created_at timestamp_ntz, lang string, text string")
     L = spark.createDataFrame(labels, "dataset_id long, author_id long")
     fm = job.features_with_lang(spark, A, Pst, L).cache()
-    models = {lg: e for lg, (e, _) in job.train_by_language(spark, fm, TINY, shards=2).items()}
+    models = {lg: e for lg, (e, _) in job.train_by_language(spark, fm, TINY).items()}
     assert set(models) == {"en", "fr"}
     # an unknown language is routed to 'en' before feature extraction
     P2 = Pst.withColumn("lang", F.when(F.col("dataset_id") == 31, "de").otherwise(F.col("lang")))
@@ -75,7 +75,7 @@ def test_jobs_from_json_documents(spark, tmp_path):
     models, out = str(tmp_path / "models"), str(tmp_path / "out")
     with pytest.raises(ValueError, match="no model"):
         job.detect_job(spark, accounts, posts, models, out)
-    job.detect_job(spark, accounts, posts, models, out, str(tmp_path), TINY, shards=2)
+    job.detect_job(spark, accounts, posts, models, out, str(tmp_path), TINY)
     found = spark.read.text(f"{out}/ids")
     assert {r["dataset_id"] for r in found.collect()} == {30}
     assert ids[0] in {r["value"] for r in found.collect()}           # the garbled name
