@@ -5,7 +5,8 @@ public byte-pair tokenizers split before a run of blanks and line feeds that
 follows another character, between a letter or digit and ASCII punctuation, and
 after a line feed that stands before a word. Cut there, a text's pieces can be
 encoded by themselves with the same ids, so a worker encodes each part
-once and remembers it. What a tokenizer drops (blanks) or folds (case) before
+once and remembers it. What counts is the normalised text: a letter whose
+normalised form ends in a combining mark is no place to cut after. What a tokenizer drops (blanks) or folds (case) before
 it looks at a word is folded for ASCII parts here, too, so that more of them
 are alike.
 
@@ -25,6 +26,8 @@ from collections.abc import Callable, Iterable
 from itertools import compress, repeat
 from operator import is_
 
+import numpy as np
+
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 # Between a letter or digit and ASCII punctuation other than an apostrophe; after a single line feed.
 PART = re.compile(r"(?<=[^\W_])(?=[!-&(-/:-@\[-`{-~])|(?<=^\n)(?=[^ \n])")
@@ -32,6 +35,8 @@ SPECIAL = "<|"
 # Remembered pieces and parts of one worker; beyond that it starts anew (results don't change).
 PIECES, PARTS = 500_000, 1_000_000
 _BATCH = 8_192
+_JOINED = 512  # parts that are encoded as one text
+_ENDS = frozenset("!-.,:;?")
 
 
 def load(path: str):
@@ -85,9 +90,20 @@ class Pieces:
         self.encode, self.value, self.join = encoder(path), value, join
         self.whole_only = path.endswith(".model")
         self.lower, self.drops = (False, False) if self.whole_only else folding(path)
+        self.tok = load(path)
+        normalizer = None if self.whole_only else self.tok.normalizer
+        self.normalized = normalizer.normalize_str if normalizer else str
+        self.sound: dict[str, bool] = {}
         self.pieces: dict[str, object] = {}
         self.parts: dict[str, object] = {}
 
+    def _ends_well(self, c: str) -> bool:
+        """Whether the normalised form of a letter or digit ends in one, so that a cut may follow."""
+        if c not in self.sound:
+            form = self.normalized(c)
+            self.sound[c] = bool(form) and form[-1].isalnum()
+        return self.sound[c]
+
     def _cut(self, text: str) -> list[str] | None:
         if not text.replace("\n", " ").isprintable():
             return None
@@ -97,8 +113,18 @@ class Pieces:
         if SPECIAL in piece:
             return [piece]
         split = PART.split(piece)
+        if not piece.isascii() and not all(p[-1].isascii() or self._ends_well(p[-1]) for p in split[:-1]):
+            return [piece]
         return [p.lower() if p.isascii() else p for p in split] if self.lower else split
 
+    def _of_words(self, words: list[str]) -> list[list[int]]:
+        """The ids of letters-and-digits words, encoded as one text with blanks, which are dropped, between them."""
+        found = self.tok.encode(" ".join(words), add_special_tokens=False)
+        ids, at = found.ids, np.array([o[0] for o in found.offsets], dtype=np.int64)
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        cuts = np.searchsorted(at, starts).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def _learn(self, fresh: set[str]) -> None:
         """Remember pieces that are not known yet."""
         known, parts, lower = self.pieces, self.parts, self.lower
@@ -108,13 +134,22 @@ class Pieces:
                 q = p.lower() if lower and p.isascii() else p
                 whole.append((p, q))
                 new.add(q)
+            elif p[-1] in _ENDS and (head := p[:-1]).isalnum() and (head[-1].isascii() or self._ends_well(head[-1])):
+                q = [head.lower() if lower and head.isascii() else head, p[-1]]
+                split.append((p, q))
+                new.update(q)
             else:
                 q = self._folded(p)
                 split.append((p, q))
                 new.update(q)
-        new = list(new.difference(parts))
-        for i in range(0, len(new), _BATCH):
-            part = new[i:i + _BATCH]
+        new = new.difference(parts)
+        words = [p for p in new if p.isalnum()] if self.drops else []
+        alone = list(new.difference(words)) if words else list(new)
+        for i in range(0, len(words), _JOINED):
+            part = words[i:i + _JOINED]
+            parts.update(zip(part, map(self.value, self._of_words(part))))
+        for i in range(0, len(alone), _BATCH):
+            part = alone[i:i + _BATCH]
             parts.update(zip(part, map(self.value, self.encode(part))))
         for p, q in whole:
             known[p] = parts[q]
@@ -131,7 +166,7 @@ class Pieces:
         get, out = self.pieces.get, []
         cut = [self._cut(t) for t in texts]
         found = [None if row is None else list(map(get, row)) for row in cut]
-        gaps = [list(compress(row, map(is_, values, repeat(None)))) if row else [] for row, values in zip(cut, found)]
+        gaps = [list(compress(row, map(is_, values, repeat(None)))) if row and None in values else [] for row, values in zip(cut, found)]
         self._learn(set().union(*gaps))
         for text, values, gap in zip(texts, found, gaps):
             if values is None:

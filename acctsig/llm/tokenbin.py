@@ -41,6 +41,7 @@ HEADER = struct.Struct("<IBH")  # of a block
 BLOCK = 1024
 PERCENTILE = 0.95
 SEGMENT_IDS = 262_144
+FILE_SEGMENTS = 128  # of a file at most: some 100 MB
 END_ID = 1
 
 
@@ -218,7 +219,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
      .repartitionByRange(F.col("id"), h).sortWithinPartitions(F.col("id"), h)
      .mapInArrow(run, "value binary")
-     .select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path))
+     .select(F.col("value").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_SEGMENTS).text(path))
 
 
 DECODED = T.StructType([

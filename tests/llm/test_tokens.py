@@ -30,6 +30,22 @@ def test_pieces_encode_like_whole_texts(name):
         assert memo.of(texts) == whole(texts)
 
 
+def test_letters_that_normalise_to_a_mark():
+    """No cut after a letter whose normalised form ends in a combining mark."""
+    import unicodedata
+    letters = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalnum()]
+    marked = [c for c in letters if not unicodedata.normalize("NFC", c.lower())[-1].isalnum()]
+    assert "\u095c" in marked and "İ" in marked and "\ufb2a" in marked
+    rng = random.Random(1)
+    texts = [f"x{c}{p}y {c}. {c}" for c in marked for p in ".,-("]
+    for _ in range(2000):
+        texts.append("".join(rng.choice(["a", "Ab", "1", " ", "\n", ".", ",", "'", "-", "ß", rng.choice(letters), rng.choice(marked),
+                                         chr(rng.randrange(0x300, 0x370))]) for _ in range(rng.randint(1, 14))))
+    for name in NAMES:
+        path = vocabulary(name)
+        assert pieces.Pieces(path, list, flat).of(texts) == pieces.encoder(path)(texts)
+
+
 @given(st.lists(st.text(alphabet=st.characters(codec="utf-8"), max_size=40), max_size=5))
 @settings(max_examples=150, deadline=None)
 def test_pieces_on_any_text(texts):
