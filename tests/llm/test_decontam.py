@@ -168,3 +168,13 @@ def test_items_without_an_id_are_sought(spark, data):
     got = decontam.leaks(df, bench).collect()
     assert sorted((r.doc_id, str(r.item_id)) for r in got) == [(1, "7"), (1, "None"), (2, "None")]
     assert [r.doc_id for r in decontam.without_leaks(df, bench.filter("item_id IS NULL")).collect()] == [3]
+
+
+def test_an_item_of_several_texts_over_many_sets(spark, monkeypatch):
+    """However many sets the benchmark is cut into, a document has one row per item, the best."""
+    one, two = ("the quick brown fox jumps over the lazy dog near the river bank " * 2, "pack my box with five dozen liquor jugs and sail away at dawn now " * 2)
+    bench = spark.createDataFrame([(1, one), (1, two), (2, two.upper())], "item_id long, text string")
+    docs = spark.createDataFrame([(7, one + " ... " + two.replace("jugs", "jxgs")), (8, "none of it")], "doc_id long, text string")
+    whole = sorted(map(tuple, decontam.leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 60)
+    assert sorted(map(tuple, decontam.leaks(docs, bench).collect())) == whole and [r[:2] for r in whole] == [(7, 1), (7, 2)]
