@@ -33,7 +33,11 @@ SMOOTHING = 0.1
 UNKNOWN = "und"
 BROADCAST_BYTES = 64_000_000
 MOST_LANGS = BROADCAST_BYTES // (BUCKETS * 8)
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # and some other signs, such as fractions
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(m.group().isalpha() for m in LETTER.finditer(text))
 
 
 def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -124,7 +128,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each text and its posterior; ``und`` and 0 without letters or languages."""
         score = self.scores(texts)
-        known = np.array([bool(self.langs and t and LETTER.search(t)) for t in texts], bool)
+        known = np.array([bool(self.langs) and has_letter(t) for t in texts], bool)
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         best = score.argmax(axis=1)
@@ -181,7 +185,7 @@ class Blocks:
 
         def last(batches):
             for batch in batches:
-                known = [bool(t and LETTER.search(t)) for t in batch.column(text_col).to_pylist()]
+                known = [has_letter(t) for t in batch.column(text_col).to_pylist()]
                 score = np.exp(batch.column("__top").to_numpy() - batch.column("__sum").to_numpy())
                 names = [x if ok else UNKNOWN for x, ok in zip(batch.column("__lang").to_pylist(), known)]
                 yield pa.RecordBatch.from_arrays(
@@ -212,11 +216,14 @@ def learned(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 def _model(counts: DataFrame, smoothing: float, total: int | None = None) -> Model:
     """The model of ``feature_counts``; ``total``: documents of all languages, if these are not all."""
-    t = counts.toArrow().to_pydict()
-    langs = sorted(set(t["lang"]))
+    t = counts.toArrow()
+    coded = pa.concat_arrays([pa.array([], pa.string()), *t.column("lang").chunks]).dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    langs = sorted(names)
     table = np.zeros((len(langs), BUCKETS + 1))
-    index = {x: i for i, x in enumerate(langs)}
-    table[[index[x] for x in t["lang"]], np.array(t["bucket"], np.int64)] = t["n"]  # -1 is the last column
+    place = np.array([langs.index(x) for x in names], dtype=np.int64)
+    if len(coded):
+        table[place[coded.indices.to_numpy()], t.column("bucket").to_numpy()] = t.column("n").to_numpy()  # -1 is the last column
     documents, grams = table[:, BUCKETS], table[:, :BUCKETS] + smoothing
     log_p = np.log(grams / grams.sum(axis=1, keepdims=True))
     share = table[:, :BUCKETS] / np.maximum(table[:, :BUCKETS].sum(axis=1, keepdims=True), 1)
@@ -280,7 +287,7 @@ def accepted(docs: DataFrame, model: Model | Blocks, least: float = 0.5, text_co
                         at = np.flatnonzero(keep)
                         keep[at] = m.excess([texts[i] for i in at]) >= -below
                 else:
-                    keep = np.array([bool(t and LETTER.search(t)) for t in texts], bool)
+                    keep = np.array([has_letter(t) for t in texts], bool)
                 yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

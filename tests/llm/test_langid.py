@@ -103,3 +103,11 @@ def test_more_languages_than_one_matrix_holds(spark):
     df = spark.createDataFrame(rows, "lang string, text string").coalesce(2)
     got = langid.predicted(df, langid.learned(df)).collect()
     assert len(got) == len(rows) and sum(r.lang == r.lang_pred for r in got) > 0.9 * len(rows)
+
+
+def test_signs_that_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["²", "½ ①", "12 _", "x²", "Ⅷ", "the end"])], "doc_id long, text string, lang string")
+    model = langid.learned(docs.filter("doc_id = 5"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predicted(docs, model).collect()}
+    assert all(got[i] == ("und", 0.0) for i in (0, 1, 2, 4)) and got[3][0] == got[5][0] == "en"
+    assert {r.doc_id for r in langid.accepted(docs, model).collect()} == {3, 5}
