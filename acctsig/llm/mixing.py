@@ -104,15 +104,19 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def resampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs``, with all columns, each as often as the mix takes it."""
-    m = (mixed(docs, id_col, text_col, source_col, **how).groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"))
-         .agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")))
-    own = docs.withColumn("__own", F.xxhash64(F.col(text_col)))
-    joined = own.join(m, own[id_col].eqNullSafe(m["__id"]) & (own["__own"] == m["__hash"]))
-    # Equal rows share their copies out; a row that stands alone has no other in its window.
-    nth = F.row_number().over(Window.partitionBy(F.col(id_col), F.col("__own")).orderBy(F.lit(1)))
-    share = (F.floor(F.col("__copies") / F.col("__rows"))
-             + F.when(nth <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)).cast("int")
-    return (joined.withColumn("__n", share)
-            .withColumn("__take", F.explode(F.when(F.col("__n") > 0, F.sequence(F.lit(1), F.col("__n")))))
-            .select(*docs.columns))
+    """The rows of ``docs``, with all columns whatever their names, each as often as the mix takes it.
+
+    Repeated rows (equal id and text) share their copies out; only they are numbered in a window.
+    """
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    m = (mixed(plain, "id", "text", "source", **how).groupBy(F.col("id").alias("m_id"), F.col("text_hash").alias("m_hash"))
+         .agg(F.sum("copies").alias("copies"), F.count("*").alias("n_rows")))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"),
+                      F.xxhash64(F.col(text_col)).alias("hash"))
+    joined = own.join(m, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("hash") == F.col("m_hash"))).filter("copies > 0")
+    nth = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(1)))
+    share = F.floor(F.col("copies") / F.col("n_rows")) + F.when(nth <= F.col("copies") % F.col("n_rows"), 1).otherwise(0)
+    once = joined.filter("n_rows = 1").select("row", F.col("copies").cast("int").alias("n"))
+    often = joined.filter("n_rows > 1").select("row", share.cast("int").alias("n"))
+    return (once.unionByName(often).select("row", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n")))).alias("take"))
+            .select("row.*"))

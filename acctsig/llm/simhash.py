@@ -147,16 +147,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group, that with the smallest id.
 
-    All columns are kept. Rows with a null id come last; of rows that share
+    All columns are kept, whatever their names. Rows with a null id come last; of rows that share
     that id, the one with the smallest text hash, and one of repeated rows.
     """
-    g = groups(docs, id_col, text_col, size, max_bits)
-    first = (g.groupBy("root").agg(F.min(F.struct(
-        F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_hash"))).alias("s"))
-        .select(F.col("s.id").alias("__id"), F.col("s.text_hash").alias("__hash")))
-    named = docs.withColumn("__own", text_hash(text_col))
-    w = Window.partitionBy(F.col(id_col), F.col("__own")).orderBy(F.lit(1))
-    kept = named.join(first, named[id_col].eqNullSafe(first["__id"])
-                      & (named["__own"] == first["__hash"]), "left_semi")
-    return (kept.withColumn("__nth", F.row_number().over(w)).filter("__nth = 1")
-            .drop("__own", "__nth"))
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    g = groups(plain, "id", "text", size, max_bits)
+    first = (g.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("s"), F.count("*").alias("n"))
+             .select(F.col("s.id").alias("f_id"), F.col("s.text_hash").alias("f_hash"), "n"))
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"),
+                        text_hash(text_col).alias("hash"))
+    kept = named.join(first, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("hash") == F.col("f_hash")))
+    # A group of one row has no repeated rows to choose from.
+    nth = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(1)))
+    several = kept.filter("n > 1").withColumn("nth", nth).filter("nth = 1")
+    return kept.filter("n = 1").select("row").unionByName(several.select("row")).select("row.*")

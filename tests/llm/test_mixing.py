@@ -96,3 +96,14 @@ def test_degenerate_tables(spark):
         assert (r.target, r.copies, r.source_size) == (0.0, 0, 0)
     one = mixing.mixed(frame(spark, [(1, "a b c", "s"), (2, "d", "s")])).collect()
     assert {(r.doc_id, r.copies, r.target) for r in one} == {(1, 1, 4.0), (2, 1, 4.0)}
+
+
+def test_columns_of_any_name_and_repeated_rows(spark):
+    """Names that the work itself uses stay the user's."""
+    names = ["doc_id", "text", "source", "__id", "__own", "id", "hash", "row", "n", "copies", "a.b"]
+    data = [(i, "x y z", "s", *("keep",) * 8) for i in [1, 2, 3, 3, 3, 3]] + [(None, None, None, *("keep",) * 8)]
+    df = spark.createDataFrame(data, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    out = mixing.resampled(df).collect()
+    assert out and all(list(r.asDict()) == names and set(r[3:]) == {"keep"} for r in out)
+    taken = sum(r.copies * r.size for r in mixing.mixed(df).collect())
+    assert 3 * len(out) == taken

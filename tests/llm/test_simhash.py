@@ -124,3 +124,12 @@ def test_empty_table(spark):
     df = frame(spark, [])
     assert simhash.groups(df).count() == 0
     assert simhash.deduplicated(df).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["doc_id", "text", "__own", "__nth", "id", "hash", "row", "n", "a.b"]
+    data = [(i, "one two three four", *("keep",) * 7) for i in [5, 5, 7]] + [(9, None, *("keep",) * 7)]
+    df = spark.createDataFrame(data, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    out = simhash.deduplicated(df).collect()
+    assert sorted(r.doc_id for r in out) == [5, 9]
+    assert all(list(r.asDict()) == names and set(r[2:]) == {"keep"} for r in out)
