@@ -1,462 +1,420 @@
-"""N-gram language model with absolute discounting and backoff, held in distributed tables.
-
-The tokens of a text are its words and one end. Every n-gram of the training
-texts up to ``ORDER`` is kept, so the model grows with the corpus, and no part
-of it is collected or broadcast. A context that was followed by something in
-training is a state; it has an arc of probability (c - discount) / c(context)
-for each word that followed it, and a failure arc, whose backoff weight gives
-the rest of its mass to the words without an arc, to its next shorter suffix.
-A word alone has (c + 1) / (N + V + 1), with one unit of mass for unknown words.
-
-One pass over the texts gives the n-grams of all orders, added up per task
-before the shuffle, those of held-out texts with count 0. Order by order, an
-n-gram is joined with its suffix (the shorter arc) and its context (the
-state), which gives it its log-probability, whether it has an arc or fails.
-The occurrences in each text are then joined with the n-grams of the highest
-order and added up. A text's first words have contexts that are filled up with
-a padding token; these are never states, so they fail to the start of the text.
-All joins are on hashes of n-grams, and no table is dealt out by text.
-
-``word_share`` and ``arc_share`` prune words and n-grams below a share of all
-training tokens; the default keeps all. ``learned`` builds the same model as
-an automaton on the driver, for pruned or small ones only.
-
-Words and n-grams are known by 64-bit hashes; among V of them two collide with
-a chance of about V * V / 2 ** 65.
+"""Weighted backoff automaton of an n-gram model, walked once over every text.
+
+The tokens of a text are its words and one end; before its first word stands an
+end as context. Every n-gram of the training texts up to ``ORDER`` is kept, so the
+model grows with the corpus. A context that was followed by something is a
+state. It has an arc for each word that followed it, of the interpolated
+probability (c - D) / total + g p, p being that of the word after the next shorter
+context, and a failure arc of weight g = D arcs / total to that context. The root
+has an arc for every word, of probability (c + 1) / (N + V + 1).
+
+No machine holds the automaton. The texts lie in batches, each with the part of it
+that they can reach: the n-grams that occur in them. A batch's distinct words, then
+its n-grams, go with their training counts to shards by context, where they are
+added up, and the shards answer in the order asked: counts, totals, arcs. Then each
+batch builds its states, arcs and failure arcs and walks its texts from left to
+right, carrying the state. Requests and answers are sorted, packed arrays (words
+are known by small numbers), so what is shuffled is a few bytes per n-gram.
+
+A context of words that each make up more than one token in ``HOT`` (at most
+``HOT`` ** (ORDER - 1) contexts) may hold any share of the n-grams; its n-grams are
+dealt by their last word too, and its totals, added up over the shards, are sent to
+all batches. Words are known by 64-bit hashes before they have numbers; among V of
+them two collide with a chance of about V * V / 2 ** 65.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from acctsig.llm.common import field, prepare, saved, scratch, signed, slices, words
+from acctsig.llm.common import field, prepare, scratch, slices, words
 
 END = b"\n"  # no word holds a line feed
 ORDER = 3
-WORD_SHARE = 0.0
-ARC_SHARE = 0.0
 DISCOUNT = 0.75
-_PAD = 0x5BD1E9955BD1E995  # the hash of no word, as far as hashes go
-_TOKENS = 500_000
-_FLUSH = 300_000
-_MEMO = 400_000
+HOT = 1_000
+BATCH_TOKENS = 1_000_000  # of a batch, or one text
+SHARD_GRAMS = 1_500_000
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 0)
+# -- packed arrays -------------------------------------------------------------
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """Integer columns of one length, compressed; small numbers take 32 bits."""
+    wide = any(len(c) and (c.max() > 2**31 - 1 or c.min() < -(2**31)) for c in columns)
+    body = np.concatenate([np.asarray(c, np.int64 if wide else np.int32) for c in columns]).tobytes() if columns else b""
+    return bytes([wide]) + zstandard.compress(body, 3)
 
-# ---- counting -------------------------------------------------------------
 
-def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """``(word, n)``: occurrences of every token (as a signed hash)."""
+def _unpack(body: bytes, n: int) -> list[np.ndarray]:
+    flat = np.frombuffer(zstandard.decompress(body[1:]), np.int64 if body[0] else np.int32).astype(np.int64)
+    return list(flat.reshape(n, -1))
 
-    def rows(counts):
-        h = signed(list(map(word_hash, counts)))
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(counts.values()), pa.int64())],
-                                          names=["word", "n"])
-
-    def run(batches):
-        counts = Counter()
-        for batch in batches:
-            for a, b in slices(batch, "text"):
-                for t in batch.slice(a, b - a).column(0).to_pylist():
-                    counts.update(words(t))
-                    counts[END] += 1
-                if len(counts) > _FLUSH:
-                    yield rows(counts)
-                    counts = Counter()
-        if counts:
-            yield rows(counts)
-
-    return (texts.select(F.col(text_col).alias("text")).mapInArrow(run, "word long, n long")
-            .groupBy("word").agg(F.sum("n").alias("n")))
-
-
-class Numbering:
-    """Frequent words by number; -1 for the others. Bounded memo per task."""
-
-    def __init__(self, frequent: np.ndarray):
-        self.by_hash = {int(h) & (2**64 - 1): i for i, h in enumerate(frequent)}
-        self.memo: dict[bytes, int] = {}
-        self.end = self.by_hash.get(word_hash(END), -1)
-
-    def of(self, tokens: list[bytes]) -> list[int]:
-        memo = self.memo
-        if len(memo) > _MEMO:
-            memo.clear()
-        for w in set(tokens).difference(memo):
-            memo[w] = self.by_hash.get(word_hash(w), -1)
-        return list(map(memo.__getitem__, tokens))
-
-
-def _nodes(ids: np.ndarray, starts: np.ndarray, arcs: list[np.ndarray], v: int) -> np.ndarray:
-    """For each position, the kept n-gram of order ``len(arcs) + 1`` that ends there, or -1."""
-    node = ids
-    for keys in arcs:
-        key, ok = _grown(node, ids, starts, v)
-        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-        found = ok & (keys[at] == key) if len(keys) else np.zeros(len(ids), bool)
-        node = np.where(found, at, -1)
-    return node
-
-
-def _grown(node: np.ndarray, ids: np.ndarray, starts: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-grams that extend the kept one before each position, and where there is one."""
-    before = np.concatenate([[-1], node[:-1]])
-    before[starts] = -1
-    return before * v + ids, (before >= 0) & (ids >= 0)
-
-
-def ngram_counts(texts: DataFrame, text_col: str, frequent: np.ndarray, arcs: list[np.ndarray]) -> DataFrame:
-    """``(key, n)`` of the n-grams one order above ``arcs`` whose words are frequent and whose parts are kept.
-
-    An n-gram is no more frequent than its parts, so this loses none that reaches the share.
-    """
-    v = len(frequent)
-    sent = texts.sparkSession.sparkContext.broadcast((frequent, arcs))
-
-    def run(batches):
-        number, kept = Numbering(sent.value[0]), sent.value[1]
-        for batch in batches:
-            for a, b in slices(batch, "text", 2_000_000):
-                ids, starts, at = [], [], 0
-                for t in batch.slice(a, b - a).column(0).to_pylist():
-                    starts.append(at)
-                    row = number.of(words(t))
-                    ids += [number.end, *row, number.end]
-                    at += len(row) + 2
-                ids, starts = np.array(ids, np.int64), np.array(starts, np.int64)
-                nodes = _nodes(ids, starts, kept, v)
-                key, ok = _grown(nodes, ids, starts, v)
-                ok &= nodes >= 0  # its last words are a kept n-gram too
-                key, n = np.unique(key[ok], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-    return (texts.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, n long")
-            .groupBy("key").agg(F.sum("n").alias("n")))
-
-
-# ---- the automaton --------------------------------------------------------
-
-@dataclass
-class Automaton:
-    """``arcs[state * words + word] = (log10 p, next state)``; state 0 is the root."""
-
-    frequent: np.ndarray
-    train_tokens: int
-    vocabulary: int
-    arcs: dict[int, tuple[float, int]]
-    backoff: list[float]
-    failure: list[int]
-    start: int
-
-    @property
-    def mass(self) -> int:
-        return self.train_tokens + self.vocabulary + 1
-
-    def down(self) -> list[float]:
-        """Log weight of the way from each state to the root."""
-        out = [0.0] * len(self.backoff)
-        for s in range(1, len(out)):  # a failure state has a smaller number
-            out[s] = self.backoff[s] + out[self.failure[s]]
-        return out
-
-    def scorer(self):
-        """A function of a text's numbered tokens: the log10 weight of its pass, without the rare words' own terms."""
-        arcs, backoff, failure, down, v = self.arcs, self.backoff, self.failure, self.down(), len(self.frequent)
-
-        def score(ids: list[int]) -> float:
-            s, total = self.start, 0.0
-            for w in ids:
-                if w < 0:
-                    total += down[s]
-                    s = 0
-                    continue
-                while (arc := arcs.get(s * v + w)) is None:
-                    total += backoff[s]
-                    s = failure[s]
-                total += arc[0]
-                s = arc[1]
-            return total
-
-        return score
-
-
-def build(frequent: np.ndarray, counts: np.ndarray, train_tokens: int, vocabulary: int, end: int,
-          orders: list[tuple[np.ndarray, np.ndarray]], discount: float = DISCOUNT) -> Automaton:
-    """The automaton of the frequent words' counts and, for each order from 2, sorted keys and counts.
-
-    Absolute discounting: p(w | context) = (c(context w) - discount) / c(context) on arcs, and the
-    backoff weight makes the rest of the context's mass meet the words without an arc, so that each
-    state's probabilities sum to one.
-    """
-    v, mass = len(frequent), train_tokens + vocabulary + 1
-    unigram = (counts + 1) / mass
-    arcs = {w: [float(unigram[w]), 0] for w in range(v)}
-    state_of: list[dict[int, int]] = [{} for _ in orders]  # per context length: n-gram number -> state
-    backoff, failure = [0.0], [0]
-    context_counts = counts
-    tails: list[np.ndarray] = []  # for each kept n-gram, the number of its last (n - 1)-gram
-
-    def probability(state: int, w: int) -> float:
-        weight = 1.0
-        while state * v + w not in arcs:
-            weight *= 10 ** backoff[state]
-            state = failure[state]
-        return weight * arcs[state * v + w][0]
-
-    for k, (keys, n) in enumerate(orders):
-        context, last = np.divmod(keys, max(v, 1))
-        if k == 0:
-            tails.append(last)
-        else:  # the suffix of context + last is (suffix of context) + last
-            tails.append(np.searchsorted(orders[k - 1][0], tails[k - 1][context] * v + last))
-        for c, group in itertools.groupby(range(len(keys)), key=context.__getitem__):
-            state = len(backoff)
-            fail = 0 if k == 0 else state_of[k - 1].get(int(tails[k - 1][c]), 0)
-            rows = list(group)
-            p = [(float(n[i]) - discount) / float(context_counts[c]) for i in rows]
-            lower = [probability(fail, int(last[i])) for i in rows]
-            weight = max(1e-12, 1 - sum(p)) / max(1e-12, 1 - sum(lower))
-            state_of[k][int(c)] = state
-            failure.append(fail)
-            backoff.append(math.log10(weight))
-            for i, x in zip(rows, p):
-                arcs[state * v + int(last[i])] = [x, 0]
-        context_counts = n
-
-    # The next state of an arc is its longest suffix that is a state.
-    def target(k: int, number: int) -> int:
-        while k >= 0:
-            if k < len(orders) and number in state_of[k]:
-                return state_of[k][number]
-            if k == 0:
-                return 0
-            number, k = int(tails[k - 1][number]), k - 1
-        return 0
-
-    for w in range(v):
-        arcs[w][1] = target(0, w)
-    for k, (keys, _) in enumerate(orders):
-        for i, key in enumerate(keys.tolist()):
-            c, w = divmod(key, v)
-            arcs[state_of[k][c] * v + w][1] = target(k + 1, i)
-    return Automaton(frequent, train_tokens, vocabulary,
-                     {key: (math.log10(p), s) for key, (p, s) in arcs.items()},
-                     backoff, failure, target(0, end) if end >= 0 else 0)
-
-
-def learned(texts: DataFrame, text_col: str = "text", order: int = ORDER, word_share: float = WORD_SHARE,
-            arc_share: float = ARC_SHARE, discount: float = DISCOUNT) -> Automaton:
-    """Count the training texts and build their automaton.
-
-    A null text counts as empty (one end). No text gives a root without arcs. All that the shares
-    keep is collected; ``scored`` does not use this.
-    """
-    prepare(texts)
-    counts = saved(word_counts(texts, text_col))
-    train_tokens, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-
-    def collected(df, key, share):
-        t = df.filter(F.col("n") >= share * train_tokens).toArrow().sort_by(key)
-        return t.column(key).to_numpy(), t.column("n").to_numpy()
-
-    frequent, n = collected(counts, "word", word_share)
-    end = np.flatnonzero(frequent == signed([word_hash(END)])[0])
-    orders: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(2, order + 1):
-        if not len(frequent):
-            break
-        orders.append(collected(ngram_counts(texts, text_col, frequent, [k for k, _ in orders]), "key", arc_share))
-    return build(frequent, n, train_tokens, vocabulary, int(end[0]) if len(end) else -1, orders, discount)
-
-
-# ---- scoring --------------------------------------------------------------
-
-class Hashing:
-    """Word hashes of texts' tokens. Bounded memo per task."""
-
-    def __init__(self):
-        self.memo: dict[bytes, int] = {}
-
-    def of(self, tokens: list[bytes]) -> list[int]:
-        memo = self.memo
-        if len(memo) > _MEMO:
-            memo.clear()
-        for w in set(tokens).difference(memo):
-            memo[w] = word_hash(w)
-        return list(map(memo.__getitem__, tokens))
-
-
-def _sequences(texts: list[str | None], number: Hashing, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, text)`` of the texts' tokens, each text's after ``order - 2`` paddings and an end."""
-    pad, (end,) = [_PAD] * max(0, order - 2), number.of([END])
-    ids: list[int] = []
-    length = []
-    for t in texts:
-        at = len(ids)
-        ids += [*pad, end, *number.of(words(t)), end]
-        length.append(len(ids) - at)
-    return np.array(ids, np.uint64), np.repeat(np.arange(len(texts)), length)
 
+def _mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of rows of integers."""
+    h = np.full(len(columns[0]) if columns else 0, 0x9E3779B97F4A7C15, np.uint64)
+    with np.errstate(over="ignore"):
+        for c in columns:
+            h = (h ^ c.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(32)
+    return h
 
-def _extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    h = context * np.uint64(0x9E3779B97F4A7C15) + word
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
 
+# -- batches -------------------------------------------------------------------
 
-def _grams(ids: np.ndarray, text: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order the hash, context and suffix of the n-gram that ends at each position (order 1: zeros)."""
-    h, none = ids, np.zeros(len(ids), np.uint64)
-    yield h, none, none
-    for _ in range(1, order):
-        context = np.concatenate([none[:1], h[:-1]])
-        suffix, h = h, _extended(context, ids)
-        yield h, context, suffix
+def _batches(rows: DataFrame, id_type) -> DataFrame:
+    """Texts as sequences of word numbers of their batch: ids, train flags, lengths and numbers, and the words' hashes."""
+    schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(id_type)),
+                           T.StructField("train", T.ArrayType(T.BooleanType())), T.StructField("lengths", T.BinaryType()),
+                           T.StructField("numbers", T.BinaryType()), T.StructField("hashes", T.BinaryType()),
+                           T.StructField("tokens", T.LongType())])
 
+    def run(batches):
+        task, nth, held = TaskContext.get().partitionId(), 0, 0
+        ids, train, lengths, numbers, local = [], [], [], [], {END: 0}
 
-def _positions(text: np.ndarray, order: int) -> np.ndarray:
-    """Each position's place in its text; the first token is at 1, the end before it at 0."""
-    first = np.searchsorted(text, text)
-    return np.arange(len(text)) - first - max(0, order - 2)
-
-
-def gram_counts(rows: DataFrame, order: int) -> DataFrame:
-    """``(k, key, ctx, suf, n)``: all n-grams of all texts, and how often the ``train`` texts have them.
-
-    Those with paddings have count 0.
-    """
-    names = ["k", "key", "ctx", "suf", "n"]
+        def flushed():
+            h = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in local), np.uint64, len(local))
+            row = [pa.array([(task << 32) + nth]), pa.array([ids], pa.list_(_arrow(id_type))), pa.array([train], pa.list_(pa.bool_())),
+                   pa.array([_pack(np.array(lengths))]), pa.array([_pack(np.concatenate(numbers))]),
+                   pa.array([h.tobytes()]), pa.array([sum(lengths)])]
+            return pa.RecordBatch.from_arrays(row, names=schema.names)
 
-    def run(batches):
-        number = Hashing()
         for batch in batches:
-            for a, b in slices(batch, "text", 8 * _TOKENS):
+            for a, b in slices(batch, "text"):
                 part = batch.slice(a, b - a)
-                ids, text = _sequences(part.column(0).to_pylist(), number, order)
-                train = np.array(part.column(1).to_pylist(), object).astype(bool)[text]
-                place = _positions(text, order)
-                real = place >= 1
-                for k, (key, ctx, suf) in enumerate(_grams(ids, text, order), 1):
-                    seen = (train & (place >= k - 1))[real]
-                    key, first, of = np.unique(key[real], return_index=True, return_inverse=True)
-                    n = np.bincount(of, weights=seen, minlength=len(key)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(key), k, np.int32)), pa.array(signed(key)),
-                         pa.array(signed(ctx[real][first])), pa.array(signed(suf[real][first])), pa.array(n)], names=names)
+                for i, text, is_train in zip(*(part.column(c).to_pylist() for c in ("id", "text", "train"))):
+                    seq = [END, *words(text), END]
+                    for w in set(seq).difference(local):
+                        local[w] = len(local)
+                    ids.append(i)
+                    train.append(bool(is_train))
+                    lengths.append(len(seq))
+                    numbers.append(np.fromiter(map(local.__getitem__, seq), np.int64, len(seq)))
+                    held += len(seq)
+                    if held >= BATCH_TOKENS:
+                        yield flushed()
+                        nth, held = nth + 1, 0
+                        ids, train, lengths, numbers, local = [], [], [], [], {END: 0}
+        if ids:
+            yield flushed()
+
+    return rows.mapInArrow(run, schema)
+
+
+class Batch:
+    """A batch's n-grams: per order the distinct ones by context, last word and suffix, and their training counts.
+
+    Within an order they are numbered by (context, last word), so every pass numbers them alike.
+    """
 
-    return (rows.select("text", "train").mapInArrow(run, "k int, key long, ctx long, suf long, n long")
-            .groupBy("k", "key").agg(F.max("ctx").alias("ctx"), F.max("suf").alias("suf"), F.sum("n").alias("n")))
+    def __init__(self, row: dict, order: int):
+        self.row = row
+        self.lengths, self.numbers = _unpack(row["lengths"], 1)[0], _unpack(row["numbers"], 1)[0]
+        self.hashes = np.frombuffer(row["hashes"], np.uint64)
+        text = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        seen = np.array(row["train"], bool)[text]
+        size, real = len(self.hashes), place >= 1
+        self.counts = [np.bincount(self.numbers[real], seen[real], size).astype(np.int64)]
+        self.context, self.word, self.suffix = [None], [np.arange(size)], [None]
+        at = self.numbers
+        for k in range(2, order + 1):
+            use = np.flatnonzero(place >= k - 1)
+            key, first, of = np.unique(at[use - 1] * size + self.numbers[use], return_index=True, return_inverse=True)
+            self.context.append(key // size)
+            self.word.append(key % size)
+            self.suffix.append(at[use][first])
+            self.counts.append(np.bincount(of, seen[use], len(key)).astype(np.int64))
+            at = np.full(len(text), -1)
+            at[use] = of
+
+
+def _words_by_shard(batch: Batch, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, numbers of its words, by hash)."""
+    shard = (batch.hashes % np.uint64(shards)).astype(np.int64)
+    by = np.lexsort((batch.hashes, shard))
+    cuts = np.searchsorted(shard[by], np.arange(shards + 1))
+    for s in range(shards):
+        if cuts[s] < cuts[s + 1]:
+            yield s, by[cuts[s]:cuts[s + 1]]
+
+
+class Numbered:
+    """A batch with its words' global numbers and counts, and how its n-grams are dealt to shards."""
+
+    def __init__(self, batch: Batch, answers: list[dict], word_shards: int, tokens: int, shards: int, hot_share: int):
+        self.batch = batch
+        self.gid, self.total = np.zeros(len(batch.hashes), np.int64), np.zeros(len(batch.hashes), np.int64)
+        at = dict(_words_by_shard(batch, word_shards))
+        for a in answers:
+            self.gid[at[a["shard"]]], self.total[at[a["shard"]]] = _unpack(a["body"], 2)
+        self.columns, hot = [[self.gid]], [self.total * hot_share > tokens]
+        self.hot, self.context_hash, self.dealt = [None], [None], [None]
+        for k in range(1, len(batch.word)):
+            context, word = batch.context[k], batch.word[k]
+            columns = [c[context] for c in self.columns[k - 1]]
+            h = _mixed(columns)
+            is_hot = hot[k - 1][context]
+            where = np.where(is_hot, _mixed([h.view(np.int64), self.gid[word]]), h) % np.uint64(shards)
+            self.columns.append([*columns, self.gid[word]])
+            hot.append(is_hot & hot[0][word])
+            self.hot.append(is_hot)
+            self.context_hash.append(h.view(np.int64))
+            # Hot contexts have shards of their own.
+            shard = where.astype(np.int64) + shards * is_hot
+            by = np.lexsort((*reversed(self.columns[k]), shard))
+            cuts = np.flatnonzero(np.concatenate([[True], shard[by][1:] != shard[by][:-1], [True]])) if len(by) else np.array([0])
+            self.dealt.append([(int(shard[by[i]]), by[i:j]) for i, j in zip(cuts, cuts[1:])])
+
+
+# -- shards ----------------------------------------------------------------------
+
+ANSWER = ("batch long, k int, shard int, body binary, context long, total long, arcs long")
+
+
+def _answer(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                                      names=["batch", "k", "shard", "body", "context", "total", "arcs"])
+
+
+def _grouped(batches, keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Runs of rows with equal keys, of rows that arrive in their order."""
+    now, held = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            key = tuple(r[k] for k in keys)
+            if key != now and held:
+                yield now, held
+                held = []
+            now = key
+            held.append(r)
+    if held:
+        yield now, held
+
+
+def _numbered_words(shards: int):
+    """Per shard of words: numbers and counts for each batch, and N and V."""
+    def run(batches):
+        for (_, shard), asked in _grouped(batches, ["k", "shard"]):
+            hashes = [np.frombuffer(r["hashes"], np.uint64) for r in asked]
+            every, of = np.unique(np.concatenate(hashes), return_inverse=True)
+            n = np.bincount(of, np.concatenate([_unpack(r["body"], 1)[0] for r in asked]), len(every)).astype(np.int64)
+            out = [(-1, 1, shard, None, None, int(n.sum()), int((n > 0).sum()))]
+            ends = np.cumsum([len(h) for h in hashes])
+            for r, h, end in zip(asked, hashes, ends):
+                at = of[end - len(h):end]
+                out.append((r["batch"], 1, shard, _pack(at * shards + shard, n[at]), None, None, None))
+            yield _answer(out)
+    return run
+
+
+def _counted(shards: int):
+    """Per shard of contexts: count of each n-gram, total and arcs of its context, for each batch; parts of hot contexts' totals."""
+    def run(batches):
+        for (k, shard), asked in _grouped(batches, ["k", "shard"]):
+            parts = [_unpack(r["body"], k + 1) for r in asked]
+            columns = [np.concatenate([p[i] for p in parts]) for i in range(k + 1)]
+            by = np.lexsort(columns[:k][::-1])
+            differs = lambda cols: np.concatenate([[True], np.any([c[by][1:] != c[by][:-1] for c in cols], axis=0)])
+            new, fresh = differs(columns[:k]), differs(columns[:k - 1])
+            gram, context = np.cumsum(new) - 1, np.cumsum(fresh) - 1
+            n = np.bincount(gram, columns[k][by]).astype(np.int64)
+            of = context[new]
+            total = np.bincount(of, n).astype(np.int64)
+            arcs = np.bincount(of, n > 0).astype(np.int64)
+            back = np.empty(len(by), np.int64)
+            back[by] = np.arange(len(by))
+            out = []
+            if shard >= shards:
+                h = _mixed([c[by][fresh] for c in columns[:k - 1]]).view(np.int64)
+                out += [(-2, k, shard, None, a, b, c) for a, b, c in zip(h.tolist(), total.tolist(), arcs.tolist())]
+            ends = np.cumsum([len(p[0]) for p in parts])
+            for r, p, end in zip(asked, parts, ends):
+                at = back[end - len(p[0]):end]
+                out.append((r["batch"], k, shard, _pack(n[gram[at]], total[context[at]], arcs[context[at]]), None, None, None))
+            yield _answer(out)
+    return run
+
+
+# -- the walk --------------------------------------------------------------------
 
+class Automaton:
+    """The part of the automaton that a batch's texts can reach.
 
-def occurrences(rows: DataFrame, order: int) -> DataFrame:
-    """``(uid, key, tf)``: the n-grams of the highest order, with paddings, in each row."""
+    States are numbered: 0 is the root, then the contexts of each order. ``arcs``
+    maps state * words + word to an arc; an arc has a log10 probability and the state it leads to.
+    """
 
-    def run(batches):
-        number = Hashing()
-        for batch in batches:
-            for a, b in slices(batch, "text", 8 * _TOKENS):
-                part = batch.slice(a, b - a)
-                ids, text = _sequences(part.column(1).to_pylist(), number, order)
-                for h, _, _ in _grams(ids, text, order):
-                    key = h
-                real = _positions(text, order) >= 1
-                key, text = key[real], text[real]
-                by = np.lexsort((key, text))
-                key, text = key[by], text[by]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-                at = np.flatnonzero(new)
-                tf = np.diff(np.append(at, len(key)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(text[at])), pa.array(signed(key[at])), pa.array(tf.astype(np.int64))],
-                    names=["uid", "key", "tf"])
-
-    return rows.select("uid", "text").mapInArrow(run, "uid long, key long, tf long")
+    def __init__(self, numbered: Numbered, answers: list[dict], hot: dict[int, tuple], tokens: int, vocabulary: int, discount: float):
+        b = numbered.batch
+        self.words, order = len(b.hashes), len(b.word)
+        p = [(numbered.total + 1) / (tokens + vocabulary + 1)]
+        counts, totals, arcs = [numbered.total], [None], [None]
+        for k in range(1, order):
+            c, t, a = (np.zeros(len(b.word[k]), np.int64) for _ in range(3))
+            place = dict(numbered.dealt[k])
+            for r in answers:
+                if r["k"] == k + 1:
+                    c[place[r["shard"]]], t[place[r["shard"]]], a[place[r["shard"]]] = _unpack(r["body"], 3)
+            if numbered.hot[k].any():
+                keys, t_hot, a_hot = hot[k + 1]
+                at = np.searchsorted(keys, numbered.context_hash[k][numbered.hot[k]])
+                t[numbered.hot[k]], a[numbered.hot[k]] = t_hot[at], a_hot[at]
+            safe = np.maximum(t, 1)
+            p.append(np.maximum(c - discount, 0) / safe + discount * a / safe * p[k - 1][b.suffix[k]])
+            counts.append(c)
+            totals.append(t)
+            arcs.append(a)
+        # A k-gram is a state if something followed it, which the (k+1)-grams that begin with it tell.
+        state_of, fail, weight, first = [], [0], [0.0], 1
+        for k in range(1, order):
+            n = len(b.word[k - 1])
+            t, a = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            t[b.context[k]], a[b.context[k]] = totals[k], arcs[k]
+            is_state = t > 0
+            state = np.where(is_state, first + np.cumsum(is_state) - 1, -1)
+            first += int(is_state.sum())
+            shorter = state_of[k - 2][b.suffix[k - 1]] if k > 1 else np.zeros(n, np.int64)
+            # Failing goes to the longest suffix that is a state.
+            state_of.append(np.where(is_state, state, shorter))
+            fail += shorter[is_state].tolist()
+            weight += np.log10(discount * a[is_state] / t[is_state]).tolist()
+        self.fail, self.weight = fail, weight
+        self.arcs: dict[int, int] = {}
+        log_p, to, at = [], [], 0
+        for k in range(order):
+            use = np.flatnonzero(counts[k] > 0) if k else np.arange(self.words)
+            origin = state_of[k - 1][b.context[k][use]] if k else np.zeros(len(use), np.int64)
+            keys = origin * self.words + b.word[k][use]
+            self.arcs.update(zip(keys.tolist(), range(at, at + len(use))))
+            at += len(use)
+            log_p.append(np.log10(p[k][use]))
+            # The longest context that the arc's words make up is the state it leads to.
+            target = state_of[k][use] if k < len(state_of) else (state_of[k - 1][b.suffix[k][use]] if k else np.zeros(len(use), np.int64))
+            to.append(target)
+        self.log_p, self.to = np.concatenate(log_p).tolist(), np.concatenate(to).tolist()
+        self.start = int(state_of[0][0]) if state_of else 0  # after an end
+
+    def score(self, tokens: list[int]) -> float:
+        """Log10 probability of a text's tokens, walked from the state after an end."""
+        arcs, fail, weight, log_p, to, n = self.arcs.get, self.fail, self.weight, self.log_p, self.to, self.words
+        state, total = self.start, 0.0
+        for w in tokens:
+            arc = arcs(state * n + w)
+            while arc is None:
+                total += weight[state]
+                state = fail[state]
+                arc = arcs(state * n + w)
+            total += log_p[arc]
+            state = to[arc]
+        return total
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in the shared checkpoint folder, which is smaller than a checkpoint."""
+    """``df`` as Parquet in the shared checkpoint folder."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def weighted(grams: DataFrame, order: int, train_tokens: int, mass: int, word_share: float, arc_share: float,
-             discount: float) -> DataFrame:
-    """``(key, n, arc, p, lp, c)`` of the n-grams of the highest order.
-
-    ``arc``: kept, with probability ``p``; ``lp``: log10 of the probability of the last word after the
-    others; ``c``: that word's count.
-    """
-    p = (F.col("n") + 1) / F.lit(float(mass))
-    v = grams.filter("k = 1").select(
-        "key", "n", (F.col("n") >= max(1, word_share * train_tokens)).alias("arc"), p.alias("p"),
-        F.log10(p).alias("lp"), F.col("n").alias("c"))
-    for k in range(2, order + 1):
-        v = _stored(v, f"grams-{k - 1}")
-        suffix = v.select(F.col("key").alias("suf"), F.col("arc").alias("s_arc"), F.col("p").alias("s_p"),
-                          F.col("lp").alias("s_lp"), "c")
-        g = (grams.filter(F.col("k") == k).join(suffix, "suf")
-             .withColumn("seen", (F.col("n") >= max(1, arc_share * train_tokens)) & F.col("s_arc")))
-        # A kept n-gram's suffix is kept, so the next shorter context has an arc for each of a state's words.
-        found = g.filter("seen").groupBy("ctx").agg(
-            F.sum("n").alias("followed"), F.count("*").alias("arcs"), F.sum("s_p").alias("lower"))
-        total, rest = F.col("total"), F.col("total") - F.col("followed") + discount * F.col("arcs")
-        states = (found.join(v.filter("arc").select(F.col("key").alias("ctx"), F.col("n").alias("total")), "ctx")
-                  .select("ctx", "total", F.log10(F.greatest(rest / total, F.lit(1e-12))
-                                                  / F.greatest(1 - F.col("lower"), F.lit(1e-12))).alias("backoff")))
-        p = (F.col("n") - discount) / total
-        arc = F.col("seen") & total.isNotNull()
-        v = g.join(states, "ctx", "left").select(
-            "key", "n", arc.alias("arc"), F.when(arc, p).alias("p"),
-            F.when(arc, F.log10(p)).otherwise(F.coalesce("backoff", F.lit(0.0)) + F.col("s_lp")).alias("lp"), "c")
-    return v
-
-
 def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
-           word_share: float = WORD_SHARE, arc_share: float = ARC_SHARE, discount: float = DISCOUNT) -> DataFrame:
+           discount: float = DISCOUNT, hot_share: int = HOT) -> DataFrame:
     """Score every row of ``docs`` by the model of those where ``train`` holds.
 
     Returns id, ``train``, ``n_tokens``, ``n_known`` (tokens seen in training), ``train_tokens``,
     ``base_score`` (the sum of log10((c + 1) / (N + V + 1))) and ``score``. A null text is empty: its
-    one token is the end. Repeated rows count as often in training and keep a row each. Without
-    training texts every token is unknown and has probability one.
+    one token is the end. Repeated rows count as often in training and keep a row each; other columns
+    are not looked at. Without training texts every token is unknown and has probability one.
     """
-    prepare(docs)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
-    grams = _stored(gram_counts(rows, order), "grams")
-    train_tokens, vocabulary = (grams.filter("k = 1 AND n > 0")
-                                .agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
-    mass = train_tokens + vocabulary + 1
-    v = weighted(grams, order, train_tokens, mass, word_share, arc_share, discount).select("key", "lp", "c")
-    rows = rows.withColumn("uid", F.xxhash64("id", "text"))
-    tf = F.col("tf")
-    sums = occurrences(rows, order).join(v, "key").select(
-        "uid", F.lit(None).cast(field(rows, "id").dataType).alias("id"), F.lit(None).cast("boolean").alias("train"),
-        F.lit(0).cast("long").alias("rows"), "tf", F.when(F.col("c") > 0, tf).otherwise(0).alias("known"),
-        (tf * (F.log10(F.col("c") + 1) - F.lit(math.log10(mass)))).alias("base"), (tf * F.col("lp")).alias("score"))
-    own = rows.select("uid", "id", "train", F.lit(1).cast("long").alias("rows"), F.lit(0).cast("long").alias("tf"),
-                      F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("score"))
-    per = sums.unionByName(own).groupBy("uid").agg(
-        F.max("train").alias("train"), F.max("id").alias("id"),
-        *(F.sum(x).alias(x) for x in ("rows", "tf", "known", "base", "score")))
-    each = per.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
-    return each.select(
-        F.col("id").alias(id_col), "train", (F.col("tf") / F.col("rows")).cast("long").alias("n_tokens"),
-        (F.col("known") / F.col("rows")).cast("long").alias("n_known"),
-        F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))
+    spark = prepare(docs)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    id_type = field(rows, "id").dataType
+    batches = _stored(_batches(rows, id_type), "batches")
+    all_tokens = batches.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    shards = max(1, -(-all_tokens * max(1, order - 1) // SHARD_GRAMS))
+    word_shards = max(1, shards // 4)
+
+    def ask_words(parts):
+        for b in parts:
+            for r in b.to_pylist():
+                batch, out = Batch(r, 1), []
+                for s, at in _words_by_shard(batch, word_shards):
+                    out.append((r["batch"], 1, s, _pack(batch.counts[0][at]), batch.hashes[at].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
+                    pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["batch", "k", "shard", "body", "hashes"])
+
+    numbers = _stored(batches.mapInArrow(ask_words, "batch long, k int, shard int, body binary, hashes binary")
+                      .repartition(word_shards, "shard").sortWithinPartitions("k", "shard", "batch")
+                      .mapInArrow(_numbered_words(word_shards), ANSWER), "numbers")
+    tokens, vocabulary = numbers.filter("batch = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "arcs"))).first()
+
+    def with_answers(*answers: DataFrame) -> DataFrame:
+        """Every batch's own row and its answers, next to each other."""
+        out = batches.withColumns({"k": F.lit(0), "shard": F.lit(0), "body": F.lit(None).cast("binary")})
+        for a in answers:
+            a = a.filter("batch >= 0").select("batch", "k", "shard", "body")
+            out = out.unionByName(a, allowMissingColumns=True)
+        return out.repartition(max(1, -(-all_tokens // BATCH_TOKENS)), "batch").sortWithinPartitions("batch", "k", "shard")
+
+    def numbered(found: list[dict]) -> Numbered:
+        return Numbered(Batch(found[0], order), [r for r in found if r["k"] == 1], word_shards, tokens, shards, hot_share)
+
+    def ask_grams(parts):
+        for _, found in _grouped(parts, ["batch"]):
+            n = numbered(found)
+            for k in range(1, order):
+                counts = n.batch.counts[k]
+                out = [(found[0]["batch"], k + 1, s, _pack(*(c[at] for c in n.columns[k]), counts[at])) for s, at in n.dealt[k]]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
+                        pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["batch", "k", "shard", "body"])
+
+    grams = _stored(with_answers(numbers).mapInArrow(ask_grams, "batch long, k int, shard int, body binary")
+                    .repartition(shards, "k", "shard").sortWithinPartitions("k", "shard", "batch")
+                    .mapInArrow(_counted(shards), ANSWER), "grams")
+    # At most HOT ** (order - 1) contexts.
+    t = grams.filter("batch = -2").groupBy("k", "context").agg(F.sum("total").alias("total"), F.sum("arcs").alias("arcs")).orderBy("k", "context").toArrow()
+    of = t.column("k").to_numpy()
+    hot = spark.sparkContext.broadcast({k: tuple(t.column(c).to_numpy()[of == k] for c in ("context", "total", "arcs")) for k in range(2, order + 1)})
+    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("train", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
+                           T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    mass = math.log10(tokens + vocabulary + 1)
+
+    def walk(parts):
+        for _, found in _grouped(parts, ["batch"]):
+            n = numbered(found)
+            automaton = Automaton(n, [r for r in found if r["k"] > 1], hot.value, tokens, vocabulary, discount)
+            base, known = np.log10(n.total + 1) - mass, n.total > 0
+            out, at = [], 0
+            for size in n.batch.lengths.tolist():
+                text = n.batch.numbers[at + 1:at + size]
+                out.append((size - 1, int(known[text].sum()), float(base[text].sum()), automaton.score(text.tolist())))
+                at += size
+            row = found[0]
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], _arrow(id_type)), pa.array(row["train"], pa.bool_()),
+                                              *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.float64())))],
+                                             names=schema.names)
+
+    return (with_answers(numbers, grams).mapInArrow(walk, schema)
+            .withColumn("train_tokens", F.lit(tokens).cast("long"))
+            .select(id_col, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+    return to_arrow_type(kind)

@@ -21,32 +21,24 @@ def tokens(t):
 class Plain:
     """Counts and probabilities with dictionaries, by recursion over contexts."""
 
-    def __init__(self, texts, order, word_share, arc_share, discount):
+    def __init__(self, texts, order, discount):
         seqs = [[END, *tokens(t)] for t in texts]
         self.uni = Counter(w for s in seqs for w in s[1:])
-        self.n, self.v = sum(self.uni.values()), len(self.uni)
-        frequent = {w for w, c in self.uni.items() if c >= word_share * self.n}
-        self.kept = {(w,): c for w, c in self.uni.items() if w in frequent}
-        for k in range(2, order + 1):
-            counts = Counter(tuple(s[i:i + k]) for s in seqs for i in range(len(s) - k + 1) if frequent.issuperset(s[i:i + k]))
-            self.kept |= {g: c for g, c in counts.items() if c >= arc_share * self.n}
-        self.followers = {}
-        for g in self.kept:
-            if len(g) > 1:
-                self.followers.setdefault(g[:-1], []).append(g[-1])
-        self.discount = discount
+        self.n, self.v, self.discount = sum(self.uni.values()), len(self.uni), discount
+        self.after = {}
+        for s in seqs:
+            for k in range(2, order + 1):
+                for i in range(len(s) - k + 1):
+                    self.after.setdefault(tuple(s[i:i + k - 1]), Counter())[s[i + k - 1]] += 1
 
     def p(self, context, w):
-        while context and context not in self.followers:
-            context = context[1:]
         if not context:
             return (self.uni[w] + 1) / (self.n + self.v + 1)
-        count = self.kept[context]
-        if (*context, w) in self.kept:
-            return (self.kept[*context, w] - self.discount) / count
-        seen = self.followers[context]
-        rest = 1 - sum((self.kept[*context, x] - self.discount) / count for x in seen)
-        return rest / (1 - sum(self.p(context[1:], x) for x in seen)) * self.p(context[1:], w)
+        if context not in self.after:
+            return self.p(context[1:], w)
+        c = self.after[context]
+        total = sum(c.values())
+        return max(c[w] - self.discount, 0) / total + self.discount * len(c) / total * self.p(context[1:], w)
 
     def score(self, text, order):
         s, total = [END, *tokens(text)], 0.0
@@ -66,12 +58,12 @@ def corpus():
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_scores_match_the_definition(spark, order):
     rows = corpus()
-    how = {"order": order, "word_share": 5e-3, "arc_share": 2e-3, "discount": 0.6}
+    how = {"order": order, "discount": 0.6}
     df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, base double").repartition(5)
     got = backoff.scored(df, fold("doc_id", 7) != 2, **how).collect()
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
     assert any(held(i) for i, _ in rows)
-    model = Plain([t for i, t in rows if not held(i)], order, 5e-3, 2e-3, 0.6)
+    model = Plain([t for i, t in rows if not held(i)], order, 0.6)
     want = []
     for i, t in rows:
         tk = tokens(t)
@@ -85,16 +77,31 @@ def test_scores_match_the_definition(spark, order):
         assert a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-9)
 
 
-def test_states_sum_to_one(spark):
+def test_states_sum_to_one():
+    model = Plain([t for _, t in corpus()], 3, backoff.DISCOUNT)
+    for c in [(), *list(model.after)[::7]]:
+        assert sum(model.p(c, w) for w in model.uni) + model.p(c, b"never seen") == pytest.approx(1)
+
+
+@pytest.mark.parametrize("hot", [1_000, 20, 1])
+def test_many_batches_and_shards(spark, monkeypatch, hot):
+    """Small batches and shards, contexts dealt by their last word or not: the same scores."""
     rows = corpus()
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    a = backoff.learned(df, word_share=5e-3, arc_share=2e-3)
-    model = Plain([t for _, t in rows], 3, 5e-3, 2e-3, backoff.DISCOUNT)
-    assert any(len(c) == 2 for c in model.followers)
-    for c in model.followers:
-        unknown = model.p(c, b"never seen")
-        assert sum(model.p(c, w) for w in model.uni) + unknown == pytest.approx(1)
-    assert len(a.backoff) == 1 + len(model.followers) and a.train_tokens == model.n and a.vocabulary == model.v
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = Plain([t for i, t in rows if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2], 3, backoff.DISCOUNT)
+    monkeypatch.setattr(backoff, "BATCH_TOKENS", 700)
+    monkeypatch.setattr(backoff, "SHARD_GRAMS", 2_000)
+    got = sorted((len(tokens_of), r.score) for r in backoff.scored(df, fold("doc_id", 7) != 2, hot_share=hot).collect() for tokens_of in [range(r.n_tokens)])
+    want = sorted((len(tokens(t)), model.score(t, 3)) for _, t in rows)
+    for a, b in zip(got, want):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-9)
+
+
+def test_packing():
+    import numpy as np
+    for cols in ([[1, 2, 3], [4, -5, 6]], [[2**40, 0], [1, -2**50]], [[], []]):
+        back = backoff._unpack(backoff._pack(*(np.array(c, dtype=np.int64) for c in cols)), len(cols))
+        assert [c.tolist() for c in back] == cols
 
 
 def test_no_training_text(spark):
@@ -113,7 +120,7 @@ def test_model_beats_its_base_on_held_out_text(spark):
 def test_every_ngram_counts_in_a_large_corpus(spark):
     rows = [*corpus(), (300, "of the tree " * 100_000)]  # one occurrence is a share of about 3e-6
     texts = [t for _, t in rows]
-    model = Plain(texts, 3, 0, 0, backoff.DISCOUNT)
+    model = Plain(texts, 3, backoff.DISCOUNT)
     df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").repartition(5)
     got = {r.doc_id: r.score for r in backoff.scored(df, F.lit(True)).collect()}
     for i, t in rows:
