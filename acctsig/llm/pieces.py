@@ -18,6 +18,7 @@ compare both ways.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -32,8 +33,8 @@ PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 # Between a letter or digit and ASCII punctuation other than an apostrophe; after a single line feed.
 PART = re.compile(r"(?<=[^\W_])(?=[!-&(-/:-@\[-`{-~])|(?<=^\n)(?=[^ \n])")
 SPECIAL = "<|"
-# Remembered pieces and parts of one worker; beyond that it starts anew (results don't change).
-PIECES, PARTS = 500_000, 1_000_000
+# Remembered strings of one worker; beyond that it starts anew (results don't change).
+REMEMBERED = 1_200_000
 _BATCH = 8_192
 _JOINED = 512  # parts that are encoded as one text
 _ENDS = frozenset("!-.,:;?")
@@ -94,8 +95,7 @@ class Pieces:
         normalizer = None if self.whole_only else self.tok.normalizer
         self.normalized = normalizer.normalize_str if normalizer else str
         self.sound: dict[str, bool] = {}
-        self.pieces: dict[str, object] = {}
-        self.parts: dict[str, object] = {}
+        self.known: dict[str, object] = {}  # pieces and parts alike: the value of a string's own ids
 
     def _ends_well(self, c: str) -> bool:
         """Whether the normalised form of a letter or digit ends in one, so that a cut may follow."""
@@ -127,43 +127,53 @@ class Pieces:
 
     def _learn(self, fresh: set[str]) -> None:
         """Remember pieces that are not known yet."""
-        known, parts, lower = self.pieces, self.parts, self.lower
+        known, lower = self.known, self.lower
         whole, split, new = [], [], set()
         for p in fresh:
             if p.isalnum():  # one part
-                q = p.lower() if lower and p.isascii() else p
-                whole.append((p, q))
-                new.add(q)
+                if lower and p.isascii() and (q := p.lower()) != p:
+                    whole.append((p, q))
+                    new.add(q)
+                else:
+                    new.add(p)
             elif p[-1] in _ENDS and (head := p[:-1]).isalnum() and (head[-1].isascii() or self._ends_well(head[-1])):
                 q = [head.lower() if lower and head.isascii() else head, p[-1]]
                 split.append((p, q))
                 new.update(q)
             else:
                 q = self._folded(p)
-                split.append((p, q))
+                if q != [p]:
+                    split.append((p, q))
                 new.update(q)
-        new = new.difference(parts)
+        new.difference_update(known)
         words = [p for p in new if p.isalnum()] if self.drops else []
         alone = list(new.difference(words)) if words else list(new)
         for i in range(0, len(words), _JOINED):
             part = words[i:i + _JOINED]
-            parts.update(zip(part, map(self.value, self._of_words(part))))
+            known.update(zip(part, map(self.value, self._of_words(part))))
         for i in range(0, len(alone), _BATCH):
             part = alone[i:i + _BATCH]
-            parts.update(zip(part, map(self.value, self.encode(part))))
+            known.update(zip(part, map(self.value, self.encode(part))))
         for p, q in whole:
-            known[p] = parts[q]
+            known[p] = known[q]
         for p, q in split:
-            known[p] = self.join([parts[x] for x in q])
+            known[p] = self.join([known[x] for x in q])
 
     def of(self, texts: list[str]) -> list[object]:
         if self.whole_only:
             return list(map(self.value, self.encode(texts)))
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        if len(self.parts) > PARTS:
-            self.parts.clear()
-        get, out = self.pieces.get, []
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the memo is large to look through
+        try:
+            return self._of(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _of(self, texts: list[str]) -> list[object]:
+        get, out = self.known.get, []
         cut = [self._cut(t) for t in texts]
         found = [None if row is None else list(map(get, row)) for row in cut]
         gaps = [list(compress(row, map(is_, values, repeat(None)))) if row and None in values else [] for row, values in zip(cut, found)]
