@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acctsig.functions import patterns as P
+from acctsig.functions import wordcounts as wc
 from acctsig.operators import lexical as lex
 from acctsig.operators import post as post_ops
 from acctsig.operators import profile as prof
@@ -113,13 +114,14 @@ def feature_matrix(spark: SparkSession, accounts: DataFrame, posts: DataFrame,
     hashtag = _hashtag_block(sig, agg, keys)
     uni = lex.length_uniformity(sig, agg, keys)
     first = lex.first_word_diversity(sig, keys)
-    tc = lex.token_counts(eposts, text, keys)
+    counts = reuse(wc.word_counts(eposts, text, keys), reuse_mode)
+    tc = wc.of_kind(counts, wc.TOKEN, "token", "c")
     rich = lex.richness(tc, keys)
     topic = lex.topic_coverage(tc, spark, keys)
     jac = lex.consecutive_jaccard(eposts, text, keys, seq)
     rep = lex.repeated_bigrams(eposts, text, keys, seq)
     tmp = temp.temporal_features(eposts, ts, hour, keys, median)
-    cross = sim.cross_user_similarity(eposts, text, keys, block)
+    cross = sim.cross_user_similarity(eposts, text, keys, block, wc.of_kind(counts, wc.TERM, "term", "tf"))
     acc = accounts.select(F.col(keys[0]), F.col(id_col).alias(keys[1]), "name", "username",
                           "description", "location", "tweet_count", "z_score")
     j = (agg.join(acc, k).join(hashtag, k, "left").join(uni, k, "left")

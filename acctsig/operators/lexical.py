@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from acctsig.functions import wordcounts as wc
 from acctsig.functions import patterns as P
 from acctsig.functions.charstats import char_stats
 from acctsig.functions.text import (NOT_WS, WS, WS_CHARS, gated_any, safe_div, tokens,
@@ -162,13 +163,7 @@ def lower_tokens(text: Column) -> Column:
 
 def token_counts(posts: DataFrame, text: str = "text", keys=KEYS) -> DataFrame:
     """(keys, token, c): lower-cased whitespace tokens counted per author."""
-    return count_tokens(posts.select(*keys, lower_tokens(F.col(text)).alias("tokens")), keys)
-
-
-def count_tokens(token_lists: DataFrame, keys=KEYS) -> DataFrame:
-    """(keys, token, c) from one token list per post."""
-    return (token_lists.select(*keys, F.explode("tokens").alias("token"))
-            .groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("c")))
+    return wc.of_kind(wc.word_counts(posts, text, keys, (wc.TOKEN,)), wc.TOKEN, "token", "c")
 
 
 def richness(tc: DataFrame, keys=KEYS, long_len: int = P.LONG_WORD_LEN) -> DataFrame:
