@@ -43,8 +43,8 @@ END = b"\n"  # no word holds a line feed
 ORDER = 3
 DISCOUNT = 0.75
 HOT = 1_000
-BATCH_TOKENS = 1_000_000  # of a batch, or one text
-SHARD_GRAMS = 1_500_000
+BATCH_TOKENS = 250_000  # of a batch, or one text; its automaton takes some 100 MB
+SHARD_GRAMS = 1_000_000
 
 
 # -- packed arrays -------------------------------------------------------------
