@@ -45,6 +45,7 @@ DISCOUNT = 0.75
 HOT = 1_000
 BATCH_TOKENS = 250_000  # of a batch, or one text; its automaton takes some 100 MB
 SHARD_GRAMS = 1_000_000
+MOST_TASKS = 20_000  # beyond it a task takes several batches or shards, one after the other
 
 
 # -- packed arrays -------------------------------------------------------------
@@ -359,7 +360,7 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                     pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["batch", "k", "shard", "body", "hashes"])
 
     numbers = _stored(batches.mapInArrow(ask_words, "batch long, k int, shard int, body binary, hashes binary")
-                      .repartition(word_shards, "shard").sortWithinPartitions("k", "shard", "batch")
+                      .repartition(min(word_shards, MOST_TASKS), "shard").sortWithinPartitions("k", "shard", "batch")
                       .mapInArrow(_numbered_words(word_shards), ANSWER), "numbers")
     tokens, vocabulary = numbers.filter("batch = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "arcs"))).first()
 
@@ -369,7 +370,7 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         for a in answers:
             a = a.filter("batch >= 0").select("batch", "k", "shard", "body")
             out = out.unionByName(a, allowMissingColumns=True)
-        return out.repartition(max(1, -(-all_tokens // BATCH_TOKENS)), "batch").sortWithinPartitions("batch", "k", "shard")
+        return out.repartition(max(1, min(MOST_TASKS, -(-all_tokens // (2 * BATCH_TOKENS)))), "batch").sortWithinPartitions("batch", "k", "shard")
 
     def numbered(found: list[dict]) -> Numbered:
         return Numbered(Batch(found[0], order), [r for r in found if r["k"] == 1], word_shards, tokens, shards, hot_share)
@@ -385,7 +386,7 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                         pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["batch", "k", "shard", "body"])
 
     grams = _stored(with_answers(numbers).mapInArrow(ask_grams, "batch long, k int, shard int, body binary")
-                    .repartition(shards, "k", "shard").sortWithinPartitions("k", "shard", "batch")
+                    .repartition(min(shards, MOST_TASKS), "k", "shard").sortWithinPartitions("k", "shard", "batch")
                     .mapInArrow(_counted(shards), ANSWER), "grams")
     # At most HOT ** (order - 1) contexts.
     t = grams.filter("batch = -2").groupBy("k", "context").agg(F.sum("total").alias("total"), F.sum("arcs").alias("arcs")).orderBy("k", "context").toArrow()
