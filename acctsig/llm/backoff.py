@@ -44,22 +44,25 @@ ORDER = 3
 DISCOUNT = 0.75
 HOT = 1_000
 BATCH_TOKENS = 250_000  # of a batch, or one text; its automaton takes some 100 MB
-SHARD_GRAMS = 1_000_000
+SHARD_GRAMS = 2_000_000
 MOST_TASKS = 20_000  # beyond it a task takes several batches or shards, one after the other
 
 
 # -- packed arrays -------------------------------------------------------------
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Integer columns of one length, compressed; small numbers take 32 bits."""
+    """Integer columns of one length, byte by byte, compressed; small numbers take 32 bits before that."""
     wide = any(len(c) and (c.max() > 2**31 - 1 or c.min() < -(2**31)) for c in columns)
-    body = np.concatenate([np.asarray(c, np.int64 if wide else np.int32) for c in columns]).tobytes() if columns else b""
-    return bytes([wide]) + zstandard.compress(body, 3)
+    flat = np.concatenate([np.asarray(c, "<i8" if wide else "<i4") for c in columns])
+    planes = flat.view(np.uint8).reshape(len(columns), -1, 8 if wide else 4).transpose(0, 2, 1)
+    return bytes([wide]) + zstandard.compress(planes.tobytes(), 3)
 
 
 def _unpack(body: bytes, n: int) -> list[np.ndarray]:
-    flat = np.frombuffer(zstandard.decompress(body[1:]), np.int64 if body[0] else np.int32).astype(np.int64)
-    return list(flat.reshape(n, -1))
+    width = 8 if body[0] else 4
+    planes = np.frombuffer(zstandard.decompress(body[1:]), np.uint8).reshape(n, width, -1).transpose(0, 2, 1)
+    flat = np.ascontiguousarray(planes).view("<i8" if body[0] else "<i4")
+    return list(flat.reshape(n, -1).astype(np.int64))
 
 
 def _mixed(columns: list[np.ndarray]) -> np.ndarray:
@@ -77,7 +80,7 @@ def _mixed(columns: list[np.ndarray]) -> np.ndarray:
 # -- batches -------------------------------------------------------------------
 
 def _batches(rows: DataFrame, id_type) -> DataFrame:
-    """Texts as sequences of word numbers of their batch: ids, train flags, lengths and numbers, and the words' hashes."""
+    """Texts as sequences of word numbers of their batch, in order of the words' hashes: ids, train flags, lengths, numbers, hashes."""
     schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(id_type)),
                            T.StructField("train", T.ArrayType(T.BooleanType())), T.StructField("lengths", T.BinaryType()),
                            T.StructField("numbers", T.BinaryType()), T.StructField("hashes", T.BinaryType()),
@@ -89,9 +92,12 @@ def _batches(rows: DataFrame, id_type) -> DataFrame:
 
         def flushed():
             h = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in local), np.uint64, len(local))
+            order = np.argsort(h)
+            rank = np.empty(len(h), np.int64)
+            rank[order] = np.arange(len(h))
             row = [pa.array([(task << 32) + nth]), pa.array([ids], pa.list_(_arrow(id_type))), pa.array([train], pa.list_(pa.bool_())),
-                   pa.array([_pack(np.array(lengths))]), pa.array([_pack(np.concatenate(numbers))]),
-                   pa.array([h.tobytes()]), pa.array([sum(lengths)])]
+                   pa.array([_pack(np.array(lengths))]), pa.array([_pack(rank[np.concatenate(numbers)])]),
+                   pa.array([h[order].tobytes()]), pa.array([sum(lengths)])]
             return pa.RecordBatch.from_arrays(row, names=schema.names)
 
         for batch in batches:
@@ -125,11 +131,10 @@ class Batch:
     def __init__(self, row: dict, order: int):
         self.row = row
         self.lengths, self.numbers = _unpack(row["lengths"], 1)[0], _unpack(row["numbers"], 1)[0]
-        self.hashes = np.frombuffer(row["hashes"], np.uint64)
         text = np.repeat(np.arange(len(self.lengths)), self.lengths)
         place = np.arange(len(text)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         seen = np.array(row["train"], bool)[text]
-        size, real = len(self.hashes), place >= 1
+        size, real = int(self.numbers.max(initial=-1)) + 1, place >= 1  # every word occurs
         self.counts = [np.bincount(self.numbers[real], seen[real], size).astype(np.int64)]
         self.context, self.word, self.suffix = [None], [np.arange(size)], [None]
         at = self.numbers
@@ -144,25 +149,24 @@ class Batch:
             at[use] = of
 
 
-def _words_by_shard(batch: Batch, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, numbers of its words, by hash)."""
-    shard = (batch.hashes % np.uint64(shards)).astype(np.int64)
-    by = np.lexsort((batch.hashes, shard))
-    cuts = np.searchsorted(shard[by], np.arange(shards + 1))
-    for s in range(shards):
-        if cuts[s] < cuts[s + 1]:
-            yield s, by[cuts[s]:cuts[s + 1]]
+def _cuts(hashes: np.ndarray, shards: int) -> list[int]:
+    """Where the words of each shard begin: shards are ranges of hashes."""
+    shard = ((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    return np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64)).tolist()
+
+
+def _rising(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Sorted columns with the first one as differences."""
+    return [np.diff(columns[0], prepend=0), *columns[1:]]
 
 
 class Numbered:
     """A batch with its words' global numbers and counts, and how its n-grams are dealt to shards."""
 
-    def __init__(self, batch: Batch, answers: list[dict], word_shards: int, tokens: int, shards: int, hot_share: int):
+    def __init__(self, batch: Batch, answers: list[dict], tokens: int, shards: int, hot_share: int):
         self.batch = batch
-        self.gid, self.total = np.zeros(len(batch.hashes), np.int64), np.zeros(len(batch.hashes), np.int64)
-        at = dict(_words_by_shard(batch, word_shards))
-        for a in answers:
-            self.gid[at[a["shard"]]], self.total[at[a["shard"]]] = _unpack(a["body"], 2)
+        # The answers of the word shards, in their order, are those of the words in order of their hashes.
+        self.gid, self.total = (np.concatenate(c) for c in zip(*(_unpack(a["body"], 2) for a in answers)))
         self.columns, hot = [[self.gid]], [self.total * hot_share > tokens]
         self.hot, self.context_hash, self.dealt = [None], [None], [None]
         for k in range(1, len(batch.word)):
@@ -229,6 +233,8 @@ def _counted(shards: int):
     def run(batches):
         for (k, shard), asked in _grouped(batches, ["k", "shard"]):
             parts = [_unpack(r["body"], k + 1) for r in asked]
+            for p in parts:
+                p[0] = np.cumsum(p[0])
             columns = [np.concatenate([p[i] for p in parts]) for i in range(k + 1)]
             by = np.lexsort(columns[:k][::-1])
             differs = lambda cols: np.concatenate([[True], np.any([c[by][1:] != c[by][:-1] for c in cols], axis=0)])
@@ -263,7 +269,7 @@ class Automaton:
 
     def __init__(self, numbered: Numbered, answers: list[dict], hot: dict[int, tuple], tokens: int, vocabulary: int, discount: float):
         b = numbered.batch
-        self.words, order = len(b.hashes), len(b.word)
+        self.words, order = len(b.word[0]), len(b.word)
         p = [(numbered.total + 1) / (tokens + vocabulary + 1)]
         counts, totals, arcs = [numbered.total], [None], [None]
         for k in range(1, order):
@@ -309,7 +315,7 @@ class Automaton:
             target = state_of[k][use] if k < len(state_of) else (state_of[k - 1][b.suffix[k][use]] if k else np.zeros(len(use), np.int64))
             to.append(target)
         self.log_p, self.to = np.concatenate(log_p).tolist(), np.concatenate(to).tolist()
-        self.start = int(state_of[0][0]) if state_of else 0  # after an end
+        self.start = int(state_of[0][b.numbers[0]]) if state_of else 0  # after an end, which each text starts with
 
     def score(self, tokens: list[int]) -> float:
         """Log10 probability of a text's tokens, walked from the state after an end."""
@@ -353,9 +359,11 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     def ask_words(parts):
         for b in parts:
             for r in b.to_pylist():
-                batch, out = Batch(r, 1), []
-                for s, at in _words_by_shard(batch, word_shards):
-                    out.append((r["batch"], 1, s, _pack(batch.counts[0][at]), batch.hashes[at].tobytes()))
+                batch, hashes, out = Batch(r, 1), np.frombuffer(r["hashes"], np.uint64), []
+                cuts = _cuts(hashes, word_shards)
+                for s, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                    if i < j:
+                        out.append((r["batch"], 1, s, _pack(batch.counts[0][i:j]), hashes[i:j].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
                     pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["batch", "k", "shard", "body", "hashes"])
 
@@ -366,21 +374,21 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def with_answers(*answers: DataFrame) -> DataFrame:
         """Every batch's own row and its answers, next to each other."""
-        out = batches.withColumns({"k": F.lit(0), "shard": F.lit(0), "body": F.lit(None).cast("binary")})
+        out = batches.drop("hashes").withColumns({"k": F.lit(0), "shard": F.lit(0), "body": F.lit(None).cast("binary")})
         for a in answers:
             a = a.filter("batch >= 0").select("batch", "k", "shard", "body")
             out = out.unionByName(a, allowMissingColumns=True)
         return out.repartition(max(1, min(MOST_TASKS, -(-all_tokens // (2 * BATCH_TOKENS)))), "batch").sortWithinPartitions("batch", "k", "shard")
 
     def numbered(found: list[dict]) -> Numbered:
-        return Numbered(Batch(found[0], order), [r for r in found if r["k"] == 1], word_shards, tokens, shards, hot_share)
+        return Numbered(Batch(found[0], order), [r for r in found if r["k"] == 1], tokens, shards, hot_share)
 
     def ask_grams(parts):
         for _, found in _grouped(parts, ["batch"]):
             n = numbered(found)
             for k in range(1, order):
                 counts = n.batch.counts[k]
-                out = [(found[0]["batch"], k + 1, s, _pack(*(c[at] for c in n.columns[k]), counts[at])) for s, at in n.dealt[k]]
+                out = [(found[0]["batch"], k + 1, s, _pack(*_rising([c[at] for c in n.columns[k]]), counts[at])) for s, at in n.dealt[k]]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
                         pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["batch", "k", "shard", "body"])
