@@ -84,6 +84,11 @@ def hour_profile(times: DataFrame, keys=KEYS,
     a = times.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
                                  F.min("us").alias("first_us"), F.max("us").alias("last_us"),
                                  *cnt)
+    return hour_features(a, keys, night_last_hour)
+
+
+def hour_features(a: DataFrame, keys=KEYS, night_last_hour: int = P.NIGHT_LAST_HOUR) -> DataFrame:
+    """The hour-of-day features from n and the counts of the hours, ``_h0`` to ``_h23``."""
     n = F.col("n").cast("double")
     ent = F.lit(0.0)
     active = F.lit(0)

@@ -867,15 +867,14 @@ FROM (SELECT dataset_id, author_id FROM rreason WHERE reason IS NOT NULL) r
 FULL OUTER JOIN (SELECT dataset_id, author_id FROM hpred WHERE prediction = 1) m
   ON r.dataset_id = m.dataset_id AND r.author_id = m.author_id""")
 def q_detection_files(spark, sf):
-    """Detections written as id files per dataset and read again."""
+    """Detections written as id files per dataset and read again as label files."""
     import uuid
     from acctsig.session import ensure_checkpoint_dir
     path = f"{ensure_checkpoint_dir(spark)}/detections-{uuid.uuid4().hex}"
     rules = rule_ops.rule_hits(fx.accounts(spark, sf), fx.posts(spark, sf))
     job_ops.write_detections(rule_ops.detection_union(rules, fixture_predictions(spark, sf)), path)
-    back = spark.read.text(path)
-    return shape(back.select(F.col("dataset_id").cast("long").alias("dataset_id"),
-                             F.col("value").alias("author_id")))
+    found = [d for d in sorted(P.PRACTICE_LANG) if src.exists(spark, f"{path}/dataset_id={d}")]
+    return shape(src.union_all([src.read_labels(spark, f"{path}/dataset_id={d}", d) for d in found]))
 
 
 @register("cross_report", _EVAL.rstrip() + """
@@ -909,6 +908,42 @@ def q_cross_report(spark, sf):
                  .withColumn("threshold_kind", F.regexp_replace("threshold_kind", "train_oof", "given")))
 
 
+# ---------------------------------------------------------------------------
+# A1-A4, W2-W4 from mergeable state: posts arrive in three parts
+# ---------------------------------------------------------------------------
+
+from acctsig.operators import state as state_ops  # noqa: E402
+
+
+def arrived_state(spark: SparkSession, posts: DataFrame) -> DataFrame:
+    """The posts' state, written in three arrivals and merged."""
+    import uuid
+    from acctsig.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark)}/state-{uuid.uuid4().hex}"
+    feats = post_ops.post_features(posts)
+    for part in range(3):
+        state_ops.arrive(state_ops.daily_state(feats.where(F.pmod(F.xxhash64("author_id", "post_seq"), F.lit(3)) == part)), path)
+    return state_ops.merged(spark.read.parquet(path))
+
+
+@register("state_rollup", ORACLES["author_post_rollup"])
+def q_state_rollup(spark, sf):
+    r = state_ops.rollup(arrived_state(spark, fx.posts(spark, sf)))
+    return shape(r.select(*KEYS, "n_posts", *(f"{k}_{x}" for k in post_ops.POST_NUMERIC for x in ("mean", "sum"))))
+
+
+@register("state_dispersion", ORACLES["author_len_dispersion"])
+def q_state_dispersion(spark, sf):
+    r = state_ops.rollup(arrived_state(spark, fx.posts(spark, sf)))
+    return shape(r.select(*KEYS, *(f"{k}_{x}" for k in rollup_ops.DISPERSION for x in ("std", "max"))))
+
+
+@register("state_hours", ORACLES["temporal_hours"])
+def q_state_hours(spark, sf):
+    h = state_ops.hours(arrived_state(spark, fixture_eposts(spark, sf)))
+    return shape(h.select(*KEYS, "hour_entropy", "night_ratio", "active_hours"))
+
+
 # ---------------------------------------------------------------------------
 # The ensemble itself, at the original length. Its
 # queries share one training per language in a session.
@@ -961,6 +996,45 @@ def q_ensemble_threshold(spark, sf):
     return shape(src.union_all(parts))
 
 
+@register("ensemble_reloaded", O.with_fixture(_EP, _SCORE_SQL) + """
+SELECT lang, count(*) AS accounts, CAST(0 AS BIGINT) AS differ FROM hscore GROUP BY lang""")
+def q_ensemble_reloaded(spark, sf):
+    """Ensembles saved and loaded again score every account alike."""
+    import uuid
+    from acctsig.session import ensure_checkpoint_dir
+    fm, models = trained(spark, sf)
+    path, parts = f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex}", []
+    for lg, (ens, _) in models.items():
+        ml_ops.save(ens, path, spark)
+        rows = asm.vectorize(fm.where(F.col("lang") == lg))
+        both = ml_ops.blend(job_ops.load_models(spark, path)[lg], ml_ops.blend(ens, rows, "kept"), "loaded")
+        parts.append(both.select("lang", "kept", "loaded"))
+    return shape(src.union_all(parts).groupBy("lang").agg(
+        F.count("*").alias("accounts"), F.count_if(F.col("kept") != F.col("loaded")).alias("differ")))
+
+
+@register("duplicate_accounts", """
+SELECT CAST(30 + o_custkey % 4 AS BIGINT) AS dataset_id, CAST(o_custkey AS BIGINT) AS id, CAST(max(o_orderkey) AS BIGINT) AS pos,
+  round(CAST(arg_max(o_totalprice, o_orderkey) AS DOUBLE), 6) AS price
+FROM orders GROUP BY o_custkey""")
+def q_duplicate_accounts(spark, sf):
+    """Of the rows that share an account id (here a customer's orders) the last one stays."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    rows = o.select((F.lit(30) + F.col("o_custkey") % 4).alias("dataset_id"), F.col("o_custkey").alias("id"),
+                    F.col("o_orderkey").alias("pos"), F.col("o_totalprice").cast("double").alias("price"))
+    return shape(src.dedupe_accounts(rows))
+
+
+@register("routed_languages", """
+SELECT lang, CASE WHEN lang IN ('en', 'fr') THEN lang ELSE 'en' END AS model_lang, count(*) AS documents
+FROM documents GROUP BY ALL""")
+def q_routed_languages(spark, sf):
+    """The language whose model scores each document's language."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return shape(d.select("lang", src.route_language(F.col("lang"), ["en", "fr"]).alias("model_lang"))
+                 .groupBy("lang", "model_lang").agg(F.count("*").alias("documents")))
+
+
 @register("ensemble_predict")
 def q_ensemble_predict(spark, sf):
     """M9: probability and prediction of every account by the ensemble of its language."""

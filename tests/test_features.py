@@ -167,3 +167,31 @@ def test_radix_median_exact(spark):
     df = spark.createDataFrame(rows, "dataset_id long, author_id long, d long")
     got = {r["author_id"]: r["median"] for r in temp.radix_median(df).collect()}
     assert got == {g: statistics.median(float(r[2]) for r in rows if r[1] == g) for g in {r[1] for r in rows}}
+
+
+@pytest.mark.parametrize("kind", ["clustered", "uniform", "equal"])
+def test_best_similarity_equals_a_dense_product(spark, kind):
+    """String ids, blocks of a few accounts, two datasets."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    want, rows, sizes = {}, [], []
+    for ds, n in ((30, 25), (31, 9)):
+        x = rng.random((n, 12)) * (rng.random((n, 12)) < 0.5)
+        if kind == "clustered":
+            x = rng.random((4, 12))[rng.integers(0, 4, n)] + 0.05 * rng.random((n, 12))
+        if kind == "equal":
+            x = np.tile(rng.random(12), (n, 1))
+        x[:, 0] += 0.01  # no empty vector
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        s = x @ x.T
+        np.fill_diagonal(s, 0)
+        sizes.append((ds, n))
+        for i in range(n):
+            want[ds, f"id-{i}"] = s[i].max()
+            rows += [(ds, f"id-{i}", int(t), "t", float(x[i, t])) for t in np.flatnonzero(x[i])]
+    units = spark.createDataFrame(rows, "dataset_id long, author_id string, idx int, term string, u double").repartition(4)
+    n = spark.createDataFrame(sizes, "dataset_id long, n long")
+    for block in (4, 100):
+        got = {(r.dataset_id, r.author_id): r.cross_user_sim_max for r in sim.similarity_max(units, n, block=block).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
