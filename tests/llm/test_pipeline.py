@@ -51,7 +51,7 @@ def test_odd_documents_pass(spark):
 
 def test_one_query_for_each_operator():
     names = [q.split("_")[0] for q in QUERIES if q != "pipeline"]
-    assert names == [f"op{n}" for n in range(1, 11)] and "pipeline" in QUERIES
+    assert names == [f"op{n}" for n in range(1, 14)] and "pipeline" in QUERIES
     assert set(ORACLES) <= set(QUERIES)
 
 
