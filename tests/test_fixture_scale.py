@@ -44,3 +44,51 @@ def test_unknown_authors_are_dropped_before_texts_are_joined(spark, tables):
     outer = next(i for i, x in enumerate(lines) if "Join LeftOuter" in x and "doc_id" in x)
     semi = next(i for i, x in enumerate(lines) if "Join LeftSemi" in x)
     assert semi > outer, "\n".join(lines)
+
+
+def test_word_counts_exchange_a_row_per_account_and_batch(spark):
+    from collections import Counter
+
+    from acctsig.functions import wordcounts as wc
+    rows = [(1, None, "A b, a\tÉté"), (1, None, None), (1, 7, "x " * 300 + "yy"), (1, 7, "YY x"), (2, 7, ""), (2, 8, "Σας ΑΣ\nb")] * 3
+    posts = spark.createDataFrame(rows, "dataset_id long, author_id long, text string").repartition(4)
+    df = wc.word_counts(posts, "text", ("dataset_id", "author_id"))
+    want = Counter()
+    for d, a, t in rows:
+        want.update((d, a, wc.TOKEN, w) for w in (t or "").lower().split())
+        want.update((d, a, wc.TERM, w) for w in wc._TERMS.findall((t or "").lower()))
+    got = df.collect()
+    assert len(got) == len(want) and {tuple(r)[:4]: r["n"] for r in got} == dict(want)
+    assert "counts" in plan(df) and "Aggregate" not in plan(df)
+
+
+def test_tfidf_terms_are_counted_again_and_not_kept(spark):
+    """The vocabulary's readers get one row of arrays per account, and the length of its weights is 1."""
+    from acctsig.operators import similarity as sim
+    rows = [(1, "a", "one two two"), (1, "b", "two three one"), (1, "c", "three four"), (1, "a", "three"), (2, "d", "one")]
+    posts = spark.createDataFrame(rows, "dataset_id long, author_id string, text string")
+    vocab = sim.vocabulary(sim.term_counts(posts), sim.corpus_sizes(posts))
+    units = sim.unit_arrays(posts, vocab).collect()
+    assert len(units) == len({(r.dataset_id, r.author_id) for r in units}) > 0
+    assert all(abs(sum(x * x for x in r.u) - 1) < 1e-12 and len(set(r.idx)) == len(r.idx) for r in units)
+
+
+def test_first_posts_are_told_before_they_have_texts(spark, tables):
+    rows = catalog.fixture_first_eposts(spark, tables, 3).collect()
+    every = catalog.fixture_eposts(spark, tables).collect()
+    want = {a: sorted(r.post_seq for r in every if r.author_id == a)[:3] for a in {r.author_id for r in every}}
+    assert {a: sorted(r.post_seq for r in rows if r.author_id == a) for a in want} == want
+
+
+def test_character_statistics_look_each_character_up_once():
+    import pandas as pd
+
+    from acctsig.functions import charstats as cs
+    texts = [None, "", "iPhone NaSAx a\nB!? ÉtÉ 🤖", "  THe lol", "aBcBd eFg"]
+    got = cs.stats_frame(pd.Series(texts, dtype=object))
+    assert cs.tables()["bits"].dtype.itemsize == 1
+    for t, r in zip(texts, got.to_dict("records")):
+        t = t or ""
+        assert (r["char_len"], r["words"], r["upper"], r["alpha"], r["newline"]) == (
+            len(t), len(t.split()), sum(map(str.isupper, t)), sum(map(str.isalpha, t)), t.count("\n"))
+    assert got["mid_caps_tokens"].tolist() == [0, 0, 2, 1, 2]
