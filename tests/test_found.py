@@ -110,3 +110,44 @@ def test_arrivals_keep_signals_without_texts(spark, monkeypatch):
     monkeypatch.setattr(catalog, "kept", lambda df: kept.append(df.columns) or df.persist())
     catalog.QUERIES["state_rollup"](spark, "/root/testdata/sf0.001")
     assert len(kept) == 3 and not any("text" in c for c in kept)
+
+
+def test_packed_counts_give_what_rows_per_word_give(spark):
+    """Richness, topics, vocabulary and weights from packed counts, without a row per account and word."""
+    from acctsig.functions import wordcounts as wc
+    from acctsig.operators import similarity as sim
+    r = random.Random(9)
+    rows = [(30 + i % 2, i % 11, r.choice([None, " ", " ".join(r.choices(["Game", "a1", "É", "día", "longwordhere", "x_y", "song", "b"], k=9))]))
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "dataset_id long, author_id long, text string").repartition(5)
+    k = ["dataset_id", "author_id"]
+    packed = wc.packed_counts(df, "text", k).persist()
+    tokens, terms = (packed.where(F.col("kind") == x) for x in (wc.TOKEN, wc.TERM))
+    tc = lex.token_counts(df)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+    assert same(lex.word_features(tokens), lex.richness(tc).join(lex.topic_coverage(tc, spark), k))
+    sizes = sim.corpus_sizes(df)
+    vocab = sim.vocabulary(sim.term_counts(df), sizes)
+    assert vocab.count() and same(vocab, sim.vocabulary_of(wc.corpus_sums(terms, k).withColumnRenamed("word", "term"), sizes))
+    units = lambda u: {(x["dataset_id"], x["author_id"]): dict(zip(x["idx"], np.round(x["u"], 9))) for x in u.collect()}
+    assert units(sim.unit_arrays(df, vocab)) == units(sim.unit_arrays(df, vocab, packed=terms)) != {}
+
+
+def test_matrix_joins_texts_to_posts_of_known_authors_only(spark):
+    """The rows that texts are added to are those of known authors, once all and once the first posts."""
+    from acctsig.operators import assemble as asm
+    acc = spark.createDataFrame([(30, 1, "n", "u", None, None, None, 0.5)],
+                                "dataset_id long, id long, name string, username string, description string, location string, tweet_count long, z_score double")
+    posts = spark.createDataFrame([(30, a, i, datetime(2024, 1, 1, i % 24), "en") for i, a in enumerate([1] * 50 + [2] * 20)],
+                                  "dataset_id long, author_id long, post_seq long, created_at timestamp, lang string")
+    given = []
+
+    def texts(keyed):
+        given.append(keyed.count())
+        return keyed.withColumn("text", F.concat(F.lit("Word lol "), (F.col("post_seq") % 3).cast("string")))
+
+    whole = texts(posts)
+    given.clear()
+    got = asm.feature_matrix(spark, acc, posts, texts=texts).collect()
+    assert given == [50, lex.FIRST_POSTS]
+    assert got == asm.feature_matrix(spark, acc, whole).collect() and len(got) == 1
