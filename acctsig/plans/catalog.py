@@ -154,7 +154,7 @@ from acctsig.sources import tables as src  # noqa: E402
 
 def fixture_ekeys(spark: SparkSession, sf: str) -> DataFrame:
     """The keys of the posts of known accounts."""
-    return src.eligible_posts(fx.post_keys(spark, sf), fx.accounts(spark, sf))
+    return src.eligible_posts(fx.post_keys(spark, sf), fx.account_keys(spark, sf))
 
 
 def fixture_eposts(spark: SparkSession, sf: str) -> DataFrame:
@@ -485,7 +485,7 @@ _TFIDF = O.tfidf_cte()
 def _tfidf_parts(spark, sf):
     """Accounts with posts, their number per dataset, their posts and the vocabulary; all but the posts kept."""
     posts = fixture_eposts(spark, sf)
-    authors = kept(src.eligible_posts(fx.post_keys(spark, sf), fx.accounts(spark, sf)).select(*KEYS).distinct())
+    authors = kept(fixture_ekeys(spark, sf).select(*KEYS).distinct())
     sizes = kept(authors.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n")))
     return authors, sizes, posts, kept(sim_ops.vocabulary(sim_ops.term_counts(posts), sizes))
 
@@ -928,17 +928,19 @@ from acctsig.operators import state as state_ops  # noqa: E402
 def arrived_state(spark: SparkSession, sf: str, keyed: DataFrame) -> DataFrame:
     """The state of the posts with these keys, written in three arrivals and merged.
 
-    An arrival's posts are told by their keys. Their signals, without texts, are kept until the arrival
-    is written, as its two aggregations both read them.
+    An arrival's posts are told by their keys, which are kept for all arrivals. Their signals, without texts,
+    are kept until the arrival is written, as its two aggregations both read them.
     """
     import uuid
     from acctsig.session import ensure_checkpoint_dir
     path = f"{ensure_checkpoint_dir(spark)}/state-{uuid.uuid4().hex}"
+    keyed = asm.reuse(keyed, "persist")
     for part in range(3):
         mine = keyed.where(F.pmod(F.xxhash64("author_id", "post_seq"), F.lit(3)) == part)
         feats = kept(post_ops.post_features(fx.with_text(spark, sf, mine)).drop("text", "lang"))
         state_ops.arrive(state_ops.daily_state(feats), path)
         feats.unpersist()
+    keyed.unpersist()
     return state_ops.merged(spark.read.parquet(path))
 
 

@@ -61,6 +61,12 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("c_acctbal") / 1000.0).alias("z_score")))
 
 
+def account_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of ``accounts`` alone, for what only asks whether an account is known."""
+    k = F.col("c_custkey")
+    return _read(spark, sf_dir, "customer").select((F.lit(30) + k % 4).cast("long").alias("dataset_id"), k.cast("long").alias("id"))
+
+
 # Planted post suffixes by kind (fixture constants).
 _SUFFIX = {
     "click": " Click https://t.co/x1",

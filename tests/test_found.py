@@ -151,3 +151,14 @@ def test_matrix_joins_texts_to_posts_of_known_authors_only(spark):
     got = asm.feature_matrix(spark, acc, posts, texts=texts).collect()
     assert given == [50, lex.FIRST_POSTS]
     assert got == asm.feature_matrix(spark, acc, whole).collect() and len(got) == 1
+
+
+def test_known_authors_are_told_without_orders(spark):
+    """Whether an author is known needs the customers only."""
+    d = "/root/testdata/sf0.001"
+    keyed = catalog.fixture_ekeys(spark, d)
+    assert "orders" not in " ".join(keyed.inputFiles())
+    from acctsig.sources import fixture as fx
+    from acctsig.sources import tables as src
+    want = src.eligible_posts(fx.post_keys(spark, d), fx.accounts(spark, d))
+    assert keyed.count() == want.count() and keyed.exceptAll(want).isEmpty()
