@@ -5,7 +5,9 @@ public byte-pair tokenizers split before a run of blanks and line feeds that
 follows another character, between a letter or digit and ASCII punctuation, and
 after a line feed that stands before a word. Cut there, a text's pieces can be
 encoded by themselves with the same ids, so a worker encodes each part
-once and remembers it. What counts is the normalised text: a letter whose
+once and remembers it. Where a tokenizer drops what lies between matches of a
+pattern, a text of ASCII and Latin letters is cut by that pattern itself, once it is
+folded as the tokenizer does. What counts is the normalised text: a letter whose
 normalised form ends in a combining mark is no place to cut after. What a tokenizer drops (blanks) or folds (case) before
 it looks at a word is folded for ASCII parts here, too, so that more of them
 are alike.
@@ -23,6 +25,7 @@ import hashlib
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Callable, Iterable
 from itertools import compress, repeat
 from operator import is_
@@ -32,6 +35,9 @@ import numpy as np
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 # Between a letter or digit and ASCII punctuation other than an apostrophe; after a single line feed.
 PART = re.compile(r"(?<=[^\W_])(?=[!-&(-/:-@\[-`{-~])|(?<=^\n)(?=[^ \n])")
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Printable ASCII, line feeds, and Latin letters, signs and digits that have a lower case of one character.
+PLAIN = re.compile(r"[\n\x20-\x7E\xA1-\xAC\xAE-\u012F\u0131-\u017F]*")
 SPECIAL = "<|"
 # Remembered strings of one worker; beyond that it starts anew (results don't change).
 REMEMBERED = 1_200_000
@@ -80,6 +86,35 @@ def folding(path: str) -> tuple[bool, bool]:
     return lower, drops
 
 
+def matcher(path: str) -> re.Pattern | None:
+    """The pattern whose matches are all that the tokenizer keeps of a lower-cased text of ``PLAIN`` characters, if it has one.
+
+    A match encoded by itself is matched as a whole. NFC leaves these characters as they are.
+    """
+    config = json.loads(load(path).to_str())
+    steps = _steps(config["pre_tokenizer"], "pretokenizers")
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if (not steps or steps[0]["type"] != "Split" or steps[0]["pattern"].get("Regex") != SPLIT
+            or any(s["type"] != "ByteLevel" or s["add_prefix_space"] or s["use_regex"] for s in steps[1:])
+            or any(s["type"] not in ("NFC", "Lowercase") and s != spaces for s in _steps(config["normalizer"], "normalizers"))
+            or any(SPECIAL not in t["content"] for t in config["added_tokens"])):
+        return None
+    kinds = {k: "".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == k and PLAIN.fullmatch(c)) for k in "LN"}
+    # Letters first, which most matches are of: no other alternative begins with one.
+    ordered = "|".join([r"[\p{L}]+", *(a for a in SPLIT.split("|") if a != r"[\p{L}]+")])
+    return re.compile(ordered.replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"]))
+
+
+def word_ends(path: str) -> np.ndarray | None:
+    """Per id whether its token ends a word, for a byte-pair vocabulary that marks the last token of each."""
+    model = json.loads(load(path).to_str())["model"]
+    if model["type"] != "BPE" or not (mark := model["end_of_word_suffix"]):
+        return None
+    ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+    ends[[i for t, i in model["vocab"].items() if t.endswith(mark)]] = True
+    return ends
+
+
 class Pieces:
     """Per-worker memo of a function of a part's ids; ``of(texts)`` gives each text's value.
 
@@ -92,6 +127,8 @@ class Pieces:
         self.whole_only = path.endswith(".model")
         self.lower, self.drops = (False, False) if self.whole_only else folding(path)
         self.tok = load(path)
+        self.matches = matcher(path) if self.lower and self.drops else None
+        self.ends = word_ends(path) if self.drops else None
         normalizer = None if self.whole_only else self.tok.normalizer
         self.normalized = normalizer.normalize_str if normalizer else str
         self.sound: dict[str, bool] = {}
@@ -119,16 +156,22 @@ class Pieces:
 
     def _of_words(self, words: list[str]) -> list[list[int]]:
         """The ids of letters-and-digits words, encoded as one text with blanks, which are dropped, between them."""
-        found = self.tok.encode(" ".join(words), add_special_tokens=False)
+        text = " ".join(words)
+        if self.ends is not None:
+            ids = self.encode([text])[0]
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(words) and "".join(words).isalpha():  # as many as words, each with one part
+                return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+        found = self.tok.encode(text, add_special_tokens=False)
         ids, at = found.ids, np.array([o[0] for o in found.offsets], dtype=np.int64)
         starts = np.cumsum([0, *(len(w) + 1 for w in words)])
         cuts = np.searchsorted(at, starts).tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _learn(self, fresh: set[str]) -> None:
-        """Remember pieces that are not known yet."""
+    def _learn(self, fresh: set[str], parts: set[str]) -> None:
+        """Remember pieces, and parts that need no cutting, that are not known yet."""
         known, lower = self.known, self.lower
-        whole, split, new = [], [], set()
+        whole, split, new = [], [], parts
         for p in fresh:
             if p.isalnum():  # one part
                 if lower and p.isascii() and (q := p.lower()) != p:
@@ -145,9 +188,9 @@ class Pieces:
                 if q != [p]:
                     split.append((p, q))
                 new.update(q)
-        new.difference_update(known)
+        new = [p for p in new if p not in known]  # not a set difference, which would look through all that is known
         words = [p for p in new if p.isalnum()] if self.drops else []
-        alone = list(new.difference(words)) if words else list(new)
+        alone = [p for p in new if not p.isalnum()] if self.drops else new
         for i in range(0, len(words), _JOINED):
             part = words[i:i + _JOINED]
             known.update(zip(part, map(self.value, self._of_words(part))))
@@ -174,10 +217,12 @@ class Pieces:
 
     def _of(self, texts: list[str]) -> list[object]:
         get, out = self.known.get, []
-        cut = [self._cut(t) for t in texts]
+        matches, plain = self.matches, PLAIN.fullmatch
+        by_match = [matches is not None and SPECIAL not in t and plain(t) is not None for t in texts]
+        cut = [matches.findall(t.lower()) if m else self._cut(t) for m, t in zip(by_match, texts)]
         found = [None if row is None else list(map(get, row)) for row in cut]
         gaps = [list(compress(row, map(is_, values, repeat(None)))) if row and None in values else [] for row, values in zip(cut, found)]
-        self._learn(set().union(*gaps))
+        self._learn(set().union(*(g for m, g in zip(by_match, gaps) if not m)), set().union(*compress(gaps, by_match)))
         for text, values, gap in zip(texts, found, gaps):
             if values is None:
                 out.append(self.value(self.encode([text])[0]))

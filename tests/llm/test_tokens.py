@@ -46,6 +46,31 @@ def test_letters_that_normalise_to_a_mark():
         assert pieces.Pieces(path, list, flat).of(texts) == pieces.encoder(path)(texts)
 
 
+def test_new_words_do_not_look_through_the_memo():
+    """What a slice of texts costs does not grow with what the worker remembers."""
+    class Held(dict):
+        def __iter__(self):
+            raise AssertionError("walked through all remembered strings")
+
+    for name in NAMES[:2]:
+        path = vocabulary(name)
+        memo, whole = pieces.Pieces(path, list, flat), pieces.encoder(path)
+        memo.known = Held(memo.known)
+        for text in ("Some new words, it's 12 of them.", "some Thinéß words\nÉtait 34² 'S l'été µ ǅ"):
+            assert memo.of([text, text]) == whole([text, text])
+
+
+def test_latin_texts_are_cut_by_the_pattern():
+    path = vocabulary("word_bpe_49k.json")
+    memo, whole = pieces.Pieces(path, list, flat), pieces.encoder(path)
+    plain = [c for c in map(chr, range(0x180)) if pieces.PLAIN.fullmatch(c)]
+    assert memo.matches and len(plain) > 300 and not pieces.PLAIN.fullmatch("İ")
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(plain if rng.random() < 0.5 else "aA'sStlLrRvVeE1. \n") for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    texts += [f"x{c}'{d}{c}" for c in plain for d in "sStTdDm"]
+    assert memo.of(texts) == whole(texts)
+
+
 @given(st.lists(st.text(alphabet=st.characters(codec="utf-8"), max_size=40), max_size=5))
 @settings(max_examples=150, deadline=None)
 def test_pieces_on_any_text(texts):
