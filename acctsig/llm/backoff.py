@@ -13,8 +13,9 @@ that they can reach: the n-grams that occur in them. A batch's distinct words, t
 its n-grams, go with their training counts to shards by context, where they are
 added up, and the shards answer in the order asked: counts, totals, arcs. Then each
 batch builds its states, arcs and failure arcs and walks its texts from left to
-right, carrying the state. Requests and answers are sorted, packed arrays (words
-are known by small numbers), so what is shuffled is a few bytes per n-gram.
+right, carrying the state. Requests and answers are sorted, packed arrays of
+differences (words are known by numbers, small ones for frequent words), so what is
+shuffled is a few bytes per n-gram.
 
 A context of words that each make up more than one token in ``HOT`` (at most
 ``HOT`` ** (ORDER - 1) contexts) may hold any share of the n-grams; its n-grams are
@@ -65,6 +66,35 @@ def _unpack(body: bytes, n: int) -> list[np.ndarray]:
     return list(flat.reshape(n, -1).astype(np.int64))
 
 
+def _pack_rising(hashes: np.ndarray) -> bytes:
+    """Rising unsigned 64-bit numbers."""
+    return _pack(np.diff(hashes, prepend=np.uint64(0)).view(np.int64))
+
+
+def _unpack_rising(body: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(body, 1)[0].view(np.uint64), dtype=np.uint64)
+
+
+def _runs(columns: list[np.ndarray], size: int) -> np.ndarray:
+    """Where a row differs from the one before; the first row does."""
+    fresh = np.arange(size) == 0
+    for c in columns:
+        fresh[1:] |= c[1:] != c[:-1]
+    return fresh
+
+
+def _in_order(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows of numbers from 0; columns that fit into one 64-bit number together are sorted together."""
+    keys = [columns[0]]
+    for c in columns[1:]:
+        size = int(c.max(initial=0)) + 1
+        if (int(keys[-1].max(initial=0)) + 1) * size < 2**63:
+            keys[-1] = keys[-1] * size + c
+        else:
+            keys.append(c)
+    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+
+
 def _mixed(columns: list[np.ndarray]) -> np.ndarray:
     """A 64-bit hash of rows of integers."""
     h = np.full(len(columns[0]) if columns else 0, 0x9E3779B97F4A7C15, np.uint64)
@@ -97,7 +127,7 @@ def _batches(rows: DataFrame, id_type) -> DataFrame:
             rank[order] = np.arange(len(h))
             row = [pa.array([(task << 32) + nth]), pa.array([ids], pa.list_(_arrow(id_type))), pa.array([train], pa.list_(pa.bool_())),
                    pa.array([_pack(np.array(lengths))]), pa.array([_pack(rank[np.concatenate(numbers)])]),
-                   pa.array([h[order].tobytes()]), pa.array([sum(lengths)])]
+                   pa.array([_pack_rising(h[order])]), pa.array([sum(lengths)])]
             return pa.RecordBatch.from_arrays(row, names=schema.names)
 
         for batch in batches:
@@ -156,8 +186,29 @@ def _cuts(hashes: np.ndarray, shards: int) -> list[int]:
 
 
 def _rising(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Sorted columns with the first one as differences."""
-    return [np.diff(columns[0], prepend=0), *columns[1:]]
+    """Columns of sorted rows as differences from the row before, each as long as those before it stay."""
+    out = []
+    for i, c in enumerate(columns):
+        d = np.diff(c, prepend=0)
+        fresh = _runs(columns[:i], len(c))
+        d[fresh] = c[fresh]
+        out.append(d)
+    return out
+
+
+def _risen(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The columns that ``_rising`` was given."""
+    out: list[np.ndarray] = []
+    for d in columns:
+        total, at = np.cumsum(d), np.flatnonzero(_runs(out, len(d)))
+        out.append(total - np.repeat(total[at] - d[at], np.diff(np.append(at, len(d)))))
+    return out
+
+
+def _inverse(order: np.ndarray) -> np.ndarray:
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
 
 
 class Numbered:
@@ -166,7 +217,12 @@ class Numbered:
     def __init__(self, batch: Batch, answers: list[dict], tokens: int, shards: int, hot_share: int):
         self.batch = batch
         # The answers of the word shards, in their order, are those of the words in order of their hashes.
-        self.gid, self.total = (np.concatenate(c) for c in zip(*(_unpack(a["body"], 2) for a in answers)))
+        parts = [_unpack(a["body"], 2) for a in answers]
+        for p in parts:
+            gid, p[1] = p[0], np.empty_like(falls := p[1])
+            p[1][np.argsort(gid)] = np.cumsum(falls)
+        self.gid, self.total = (np.concatenate(c) for c in zip(*parts))
+        rank = place = _inverse(np.argsort(self.gid))
         self.columns, hot = [[self.gid]], [self.total * hot_share > tokens]
         self.hot, self.context_hash, self.dealt = [None], [None], [None]
         for k in range(1, len(batch.word)):
@@ -181,7 +237,9 @@ class Numbered:
             self.context_hash.append(h.view(np.int64))
             # Hot contexts have shards of their own.
             shard = where.astype(np.int64) + shards * is_hot
-            by = np.lexsort((*reversed(self.columns[k]), shard))
+            by = np.argsort(place[context] * len(rank) + rank[word])
+            place = _inverse(by)  # by the numbers of their words
+            by = by[np.argsort(shard[by].astype(np.min_scalar_type(2 * shards)), kind="stable")]
             cuts = np.flatnonzero(np.concatenate([[True], shard[by][1:] != shard[by][:-1], [True]])) if len(by) else np.array([0])
             self.dealt.append([(int(shard[by[i]]), by[i:j]) for i, j in zip(cuts, cuts[1:])])
 
@@ -213,47 +271,49 @@ def _grouped(batches, keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
 
 
 def _numbered_words(shards: int):
-    """Per shard of words: numbers and counts for each batch, and N and V."""
+    """Per shard of words: numbers, by falling count, and counts, in their order as differences, for each batch, and N and V."""
     def run(batches):
         for (_, shard), asked in _grouped(batches, ["k", "shard"]):
-            hashes = [np.frombuffer(r["hashes"], np.uint64) for r in asked]
+            hashes = [_unpack_rising(r["hashes"]) for r in asked]
             every, of = np.unique(np.concatenate(hashes), return_inverse=True)
             n = np.bincount(of, np.concatenate([_unpack(r["body"], 1)[0] for r in asked]), len(every)).astype(np.int64)
             out = [(-1, 1, shard, None, None, int(n.sum()), int((n > 0).sum()))]
+            number = _inverse(np.argsort(-n, kind="stable")) * shards + shard
             ends = np.cumsum([len(h) for h in hashes])
             for r, h, end in zip(asked, hashes, ends):
                 at = of[end - len(h):end]
-                out.append((r["batch"], 1, shard, _pack(at * shards + shard, n[at]), None, None, None))
+                gid = number[at]
+                out.append((r["batch"], 1, shard, _pack(gid, np.diff(n[at][np.argsort(gid)], prepend=0)), None, None, None))
             yield _answer(out)
     return run
 
 
 def _counted(shards: int):
-    """Per shard of contexts: count of each n-gram, total and arcs of its context, for each batch; parts of hot contexts' totals."""
+    """Per shard of contexts: count of each n-gram, total and arcs of its context (where that begins), for each batch; parts of hot contexts' totals."""
     def run(batches):
         for (k, shard), asked in _grouped(batches, ["k", "shard"]):
             parts = [_unpack(r["body"], k + 1) for r in asked]
-            for p in parts:
-                p[0] = np.cumsum(p[0])
+            parts = [[*_risen(p[:k]), p[k]] for p in parts]
             columns = [np.concatenate([p[i] for p in parts]) for i in range(k + 1)]
-            by = np.lexsort(columns[:k][::-1])
-            differs = lambda cols: np.concatenate([[True], np.any([c[by][1:] != c[by][:-1] for c in cols], axis=0)])
-            new, fresh = differs(columns[:k]), differs(columns[:k - 1])
+            by = _in_order(columns[:k])
+            in_order = [c[by] for c in columns[:k]]
+            new, fresh = _runs(in_order, len(by)), _runs(in_order[:-1], len(by))
             gram, context = np.cumsum(new) - 1, np.cumsum(fresh) - 1
             n = np.bincount(gram, columns[k][by]).astype(np.int64)
             of = context[new]
             total = np.bincount(of, n).astype(np.int64)
             arcs = np.bincount(of, n > 0).astype(np.int64)
-            back = np.empty(len(by), np.int64)
-            back[by] = np.arange(len(by))
+            back = _inverse(by)
             out = []
             if shard >= shards:
-                h = _mixed([c[by][fresh] for c in columns[:k - 1]]).view(np.int64)
+                h = _mixed([c[fresh] for c in in_order[:-1]]).view(np.int64)
                 out += [(-2, k, shard, None, a, b, c) for a, b, c in zip(h.tolist(), total.tolist(), arcs.tolist())]
             ends = np.cumsum([len(p[0]) for p in parts])
             for r, p, end in zip(asked, parts, ends):
                 at = back[end - len(p[0]):end]
-                out.append((r["batch"], k, shard, _pack(n[gram[at]], total[context[at]], arcs[context[at]]), None, None, None))
+                of = context[at]
+                first = _runs([of], len(of))
+                out.append((r["batch"], k, shard, _pack(n[gram[at]], total[of] * first, arcs[of] * first), None, None, None))
             yield _answer(out)
     return run
 
@@ -277,7 +337,11 @@ class Automaton:
             place = dict(numbered.dealt[k])
             for r in answers:
                 if r["k"] == k + 1:
-                    c[place[r["shard"]]], t[place[r["shard"]]], a[place[r["shard"]]] = _unpack(r["body"], 3)
+                    at = place[r["shard"]]
+                    c[at], t_first, a_first = _unpack(r["body"], 3)
+                    fresh = _runs([b.context[k][at]], len(at))
+                    of = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+                    t[at], a[at] = t_first[of], a_first[of]
             if numbered.hot[k].any():
                 keys, t_hot, a_hot = hot[k + 1]
                 at = np.searchsorted(keys, numbered.context_hash[k][numbered.hot[k]])
@@ -359,11 +423,11 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     def ask_words(parts):
         for b in parts:
             for r in b.to_pylist():
-                batch, hashes, out = Batch(r, 1), np.frombuffer(r["hashes"], np.uint64), []
+                batch, hashes, out = Batch(r, 1), _unpack_rising(r["hashes"]), []
                 cuts = _cuts(hashes, word_shards)
                 for s, (i, j) in enumerate(zip(cuts, cuts[1:])):
                     if i < j:
-                        out.append((r["batch"], 1, s, _pack(batch.counts[0][i:j]), hashes[i:j].tobytes()))
+                        out.append((r["batch"], 1, s, _pack(batch.counts[0][i:j]), _pack_rising(hashes[i:j])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
                     pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["batch", "k", "shard", "body", "hashes"])
 

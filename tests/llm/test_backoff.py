@@ -104,6 +104,32 @@ def test_packing():
         assert [c.tolist() for c in back] == cols
 
 
+def test_sorted_rows_as_differences():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    for n in (1, 500):
+        rows = np.unique(rng.integers(0, 9, (n, 3)), axis=0)
+        cols = list(rows.T)
+        assert [c.tolist() for c in backoff._risen(backoff._rising(cols))] == rows.T.tolist()
+        shuffled = rng.permutation(rows)
+        for big in (1, 2**40):  # sorted as one number, or column by column
+            by = backoff._in_order(list(shuffled.T * big))
+            assert shuffled[by].tolist() == rows.tolist()
+        h = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert backoff._unpack_rising(backoff._pack_rising(h)).tolist() == h.tolist()
+
+
+def test_frequent_words_have_small_numbers():
+    """Word numbers go by falling count, so that n-grams of frequent words pack into few bytes."""
+    import numpy as np
+    import pyarrow as pa
+    h, n = np.arange(1, 6, dtype=np.uint64), np.array([1, 7, 0, 30, 7])
+    asked = pa.RecordBatch.from_pylist([{"batch": 4, "k": 1, "shard": 0, "body": backoff._pack(n), "hashes": backoff._pack_rising(h)}])
+    (answer,) = backoff._numbered_words(1)([asked])
+    numbers, falls = backoff._unpack(answer.to_pylist()[1]["body"], 2)
+    assert numbers.tolist() == [3, 1, 4, 0, 2] and np.cumsum(falls).tolist() == [30, 7, 7, 1, 0]
+
+
 def test_no_training_text(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = backoff.scored(df, F.lit(False)).orderBy("doc_id").collect()
