@@ -27,6 +27,7 @@ them two collide with a chance of about V * V / 2 ** 65.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,23 +46,26 @@ ORDER = 3
 DISCOUNT = 0.75
 HOT = 1_000
 BATCH_TOKENS = 250_000  # of a batch, or one text; its automaton takes some 100 MB
-SHARD_GRAMS = 2_000_000
+SHARD_GRAMS = 1_000_000
 MOST_TASKS = 20_000  # beyond it a task takes several batches or shards, one after the other
 
 
 # -- packed arrays -------------------------------------------------------------
 
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def _pack(*columns: np.ndarray) -> bytes:
     """Integer columns of one length, byte by byte, compressed; small numbers take 32 bits before that."""
     wide = any(len(c) and (c.max() > 2**31 - 1 or c.min() < -(2**31)) for c in columns)
     flat = np.concatenate([np.asarray(c, "<i8" if wide else "<i4") for c in columns])
     planes = flat.view(np.uint8).reshape(len(columns), -1, 8 if wide else 4).transpose(0, 2, 1)
-    return bytes([wide]) + zstandard.compress(planes.tobytes(), 3)
+    return bytes([wide]) + _ZIP.compress(planes.tobytes())
 
 
 def _unpack(body: bytes, n: int) -> list[np.ndarray]:
     width = 8 if body[0] else 4
-    planes = np.frombuffer(zstandard.decompress(body[1:]), np.uint8).reshape(n, width, -1).transpose(0, 2, 1)
+    planes = np.frombuffer(_UNZIP.decompress(body[1:]), np.uint8).reshape(n, width, -1).transpose(0, 2, 1)
     flat = np.ascontiguousarray(planes).view("<i8" if body[0] else "<i4")
     return list(flat.reshape(n, -1).astype(np.int64))
 
@@ -109,6 +113,13 @@ def _mixed(columns: list[np.ndarray]) -> np.ndarray:
 
 # -- batches -------------------------------------------------------------------
 
+def _numbering() -> defaultdict:
+    """Numbers new words from 0 as they come."""
+    out: defaultdict = defaultdict()
+    out.default_factory = out.__len__
+    return out
+
+
 def _batches(rows: DataFrame, id_type) -> DataFrame:
     """Texts as sequences of word numbers of their batch, in order of the words' hashes: ids, train flags, lengths, numbers, hashes."""
     schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(id_type)),
@@ -118,7 +129,7 @@ def _batches(rows: DataFrame, id_type) -> DataFrame:
 
     def run(batches):
         task, nth, held = TaskContext.get().partitionId(), 0, 0
-        ids, train, lengths, numbers, local = [], [], [], [], {END: 0}
+        ids, train, lengths, numbers, local = [], [], [], [], _numbering()
 
         def flushed():
             h = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in local), np.uint64, len(local))
@@ -135,8 +146,6 @@ def _batches(rows: DataFrame, id_type) -> DataFrame:
                 part = batch.slice(a, b - a)
                 for i, text, is_train in zip(*(part.column(c).to_pylist() for c in ("id", "text", "train"))):
                     seq = [END, *words(text), END]
-                    for w in set(seq).difference(local):
-                        local[w] = len(local)
                     ids.append(i)
                     train.append(bool(is_train))
                     lengths.append(len(seq))
@@ -145,7 +154,7 @@ def _batches(rows: DataFrame, id_type) -> DataFrame:
                     if held >= BATCH_TOKENS:
                         yield flushed()
                         nth, held = nth + 1, 0
-                        ids, train, lengths, numbers, local = [], [], [], [], {END: 0}
+                        ids, train, lengths, numbers, local = [], [], [], [], _numbering()
         if ids:
             yield flushed()
 
@@ -167,16 +176,24 @@ class Batch:
         size, real = int(self.numbers.max(initial=-1)) + 1, place >= 1  # every word occurs
         self.counts = [np.bincount(self.numbers[real], seen[real], size).astype(np.int64)]
         self.context, self.word, self.suffix = [None], [np.arange(size)], [None]
+        self.end = int(self.numbers[0])  # which stands before each text
         at = self.numbers
+        self.at = [at]  # the number of the n-gram that ends at each place (-1: the text begins later)
         for k in range(2, order + 1):
             use = np.flatnonzero(place >= k - 1)
-            key, first, of = np.unique(at[use - 1] * size + self.numbers[use], return_index=True, return_inverse=True)
-            self.context.append(key // size)
-            self.word.append(key % size)
-            self.suffix.append(at[use][first])
-            self.counts.append(np.bincount(of, seen[use], len(key)).astype(np.int64))
+            key = at[use - 1] * size + self.numbers[use]
+            by = np.argsort(key)
+            key = key[by]
+            fresh = _runs([key], len(key))
+            of = np.empty(len(by), np.int64)
+            of[by] = np.cumsum(fresh) - 1
+            self.context.append(key[fresh] // size)
+            self.word.append(key[fresh] % size)
+            self.suffix.append(at[use[by[fresh]]])
+            self.counts.append(np.bincount(of, seen[use], int(fresh.sum())).astype(np.int64))
             at = np.full(len(text), -1)
             at[use] = of
+            self.at.append(at)
 
 
 def _cuts(hashes: np.ndarray, shards: int) -> list[int]:
@@ -185,74 +202,146 @@ def _cuts(hashes: np.ndarray, shards: int) -> list[int]:
     return np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64)).tolist()
 
 
-def _rising(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Columns of sorted rows as differences from the row before, each as long as those before it stay."""
+def _rising(columns: list[np.ndarray], starts: np.ndarray | bool = False) -> list[np.ndarray]:
+    """Columns of sorted rows as differences from the row before, each as long as those before it stay; anew at ``starts``."""
     out = []
     for i, c in enumerate(columns):
         d = np.diff(c, prepend=0)
-        fresh = _runs(columns[:i], len(c))
+        fresh = _runs(columns[:i], len(c)) | starts
         d[fresh] = c[fresh]
         out.append(d)
     return out
 
 
-def _risen(columns: list[np.ndarray]) -> list[np.ndarray]:
+def _risen(columns: list[np.ndarray], starts: np.ndarray | bool = False) -> list[np.ndarray]:
     """The columns that ``_rising`` was given."""
     out: list[np.ndarray] = []
     for d in columns:
-        total, at = np.cumsum(d), np.flatnonzero(_runs(out, len(d)))
+        total, at = np.cumsum(d), np.flatnonzero(_runs(out, len(d)) | starts)
         out.append(total - np.repeat(total[at] - d[at], np.diff(np.append(at, len(d)))))
     return out
 
 
+def _starts(ends: np.ndarray) -> np.ndarray:
+    """Marks the first row of each of the parts that end before these rows."""
+    out = np.zeros(int(ends[-1]), bool)
+    out[0] = True
+    out[ends[:-1]] = True
+    return out
+
+
 def _inverse(order: np.ndarray) -> np.ndarray:
     out = np.empty(len(order), np.int64)
     out[order] = np.arange(len(order))
     return out
 
 
-class Numbered:
-    """A batch with its words' global numbers and counts, and how its n-grams are dealt to shards."""
-
-    def __init__(self, batch: Batch, answers: list[dict], tokens: int, shards: int, hot_share: int):
-        self.batch = batch
-        # The answers of the word shards, in their order, are those of the words in order of their hashes.
-        parts = [_unpack(a["body"], 2) for a in answers]
-        for p in parts:
-            gid, p[1] = p[0], np.empty_like(falls := p[1])
-            p[1][np.argsort(gid)] = np.cumsum(falls)
-        self.gid, self.total = (np.concatenate(c) for c in zip(*parts))
-        rank = place = _inverse(np.argsort(self.gid))
-        self.columns, hot = [[self.gid]], [self.total * hot_share > tokens]
-        self.hot, self.context_hash, self.dealt = [None], [None], [None]
-        for k in range(1, len(batch.word)):
-            context, word = batch.context[k], batch.word[k]
-            columns = [c[context] for c in self.columns[k - 1]]
-            h = _mixed(columns)
-            is_hot = hot[k - 1][context]
-            where = np.where(is_hot, _mixed([h.view(np.int64), self.gid[word]]), h) % np.uint64(shards)
-            self.columns.append([*columns, self.gid[word]])
-            hot.append(is_hot & hot[0][word])
-            self.hot.append(is_hot)
-            self.context_hash.append(h.view(np.int64))
-            # Hot contexts have shards of their own.
-            shard = where.astype(np.int64) + shards * is_hot
-            by = np.argsort(place[context] * len(rank) + rank[word])
-            place = _inverse(by)  # by the numbers of their words
-            by = by[np.argsort(shard[by].astype(np.min_scalar_type(2 * shards)), kind="stable")]
-            cuts = np.flatnonzero(np.concatenate([[True], shard[by][1:] != shard[by][:-1], [True]])) if len(by) else np.array([0])
-            self.dealt.append([(int(shard[by[i]]), by[i:j]) for i, j in zip(cuts, cuts[1:])])
+def _renumbered(found: list[dict]) -> dict:
+    """A batch with its words in order of their global numbers, and those and their counts beside it."""
+    # The answers of the word shards, in their order, are those of the words in order of their hashes.
+    parts = [_unpack(r["body"], 2) for r in found[1:]]
+    for p in parts:
+        gid, p[1] = p[0], np.empty_like(falls := p[1])
+        p[1][np.argsort(gid)] = np.cumsum(falls)
+    gid, total = (np.concatenate(c) for c in zip(*parts))
+    by = np.argsort(gid)
+    row = {c: found[0][c] for c in ("batch", "ids", "train", "lengths")}
+    return row | {"numbers": _pack(_inverse(by)[_unpack(found[0]["numbers"], 1)[0]]),
+                  "words": _pack(np.diff(gid[by], prepend=0), total[by])}
+
+
+class Dealt:
+    """How a batch's n-grams are dealt to shards.
+
+    Only the longest are sent: rows of ``order`` words by number from 1, those that begin at a text's last
+    words filled up with 0. What begins alike, up to the first word that is not hot, goes to one shard, so
+    a context is whole there unless all its words are hot. ``hot`` is the number of hot words that a row
+    begins with, ``order - 1`` at most. Rows lie by shard, ``hot`` and words; ``node`` has the number of
+    the n-gram that each row's first 1, 2, ... words are (-1: filled up).
+    """
+
+    def __init__(self, batch: Batch, tokens: int, shards: int, hot_share: int):
+        self.batch, order = batch, len(batch.word)
+        gid, self.total = _unpack(batch.row["words"], 2)
+        gid, frequent = np.append(0, np.cumsum(gid) + 1), np.append(False, self.total * hot_share > tokens)
+        nodes = []
+        for k in range(2, order + 1):
+            at = np.arange(len(batch.word[k - 1])) if k == order else np.flatnonzero(batch.word[k - 1] == batch.end)
+            chain = [np.full(len(at), -1)] * (order - k) + [at]
+            for d in range(k - 1, 0, -1):
+                chain.append(batch.context[d][chain[-1]])
+            nodes.append(chain[::-1])
+        self.node = [np.concatenate(c) for c in zip(*nodes)]
+        local = [np.append(w + 1, 0)[n] for n, w in zip(self.node, batch.word)]
+        by = _in_order(local)
+        local = [c[by] for c in local]
+        self.columns = [gid[c] for c in local]
+        self.hot, lead = np.zeros(len(by), np.int64), np.ones(len(by), bool)
+        for c in local[:-1]:
+            lead = lead & frequent[c]
+            self.hot += lead
+        h = _mixed(self.columns[:1])
+        for d in range(1, order):
+            on = np.flatnonzero(self.hot >= d)
+            h[on] = _mixed([h[on].view(np.int64), self.columns[d][on]])
+        shard = (h % np.uint64(shards)).astype(np.int64)
+        last = np.argsort((shard * order + self.hot).astype(np.min_scalar_type(shards * order)), kind="stable")
+        self.node, self.columns = [n[by[last]] for n in self.node], [c[last] for c in self.columns]
+        self.hot, shard = self.hot[last], shard[last]
+        self.starts = _runs([shard], len(shard))
+        self.cuts = np.append(np.flatnonzero(self.starts), len(shard)).tolist()
+        self.shards = shard[self.cuts[:-1]].tolist()
+
+    def asked(self) -> Iterator[tuple[int, bytes]]:
+        """Each shard's rows."""
+        n = np.append(self.batch.counts[-1], 0)[self.node[-1]]
+        for k in range(2, len(self.node)):  # the filled-up rows are the n-grams that end a text
+            filled = (self.node[k] < 0) & (self.node[k - 1] >= 0)
+            n[filled] = self.batch.counts[k - 1][self.node[k - 1][filled]]
+        columns = [*_rising([self.hot, *self.columns], self.starts), n]
+        for s, i, j in zip(self.shards, self.cuts, self.cuts[1:]):
+            yield s, _pack(*(c[i:j] for c in columns))
+
+    def counted(self, answers: list[dict], hot: dict[int, tuple]) -> tuple[list, list]:
+        """Of the n-grams of each order: how often they occur, and by how many words they are followed (not of the longest)."""
+        order, b = len(self.node), self.batch
+        values, arcs = [self.total, *(c.copy() for c in b.counts[1:])], [np.zeros(len(w), np.int64) for w in b.word[:-1]]
+        begins = [_runs(self.columns[:d + 1], len(self.starts)) | self.starts for d in range(order - 1)]  # a context's first row in its shard
+        whole = [f & (self.hot <= d) for d, f in enumerate(begins)]
+        sizes = [np.diff(np.cumsum(f)[np.array(self.cuts[1:]) - 1], prepend=0).tolist() for f in whole]
+        more: list[list] = [[] for _ in range(2 * order)]
+        for nth, r in enumerate(answers):
+            flat, at = _unpack(r["body"], 1)[0], 0
+            for part, size in [(0, self.cuts[nth + 1] - self.cuts[nth]),
+                               *((2 * d + i, sizes[d][nth]) for d in range(order - 1) for i in ((1, 2) if d else (2,)))]:
+                more[part].append(flat[at:at + size])
+                at += size
+        real = self.node[-1] >= 0
+        values[-1][self.node[-1][real]] += np.concatenate(more[0])[real]
+        for d, f in enumerate(whole):
+            real = self.node[d][f] >= 0
+            at = self.node[d][f][real]
+            if d:
+                values[d][at] += np.concatenate(more[2 * d + 1])[real]
+            arcs[d][at] = values[d][at] - np.concatenate(more[2 * d + 2])[real]
+            split = begins[d] & (self.hot > d)
+            if split.any():
+                at = self.node[d][split]
+                keys, n, a = hot[d + 1]
+                place = np.searchsorted(keys, _mixed([c[split] for c in self.columns[:d + 1]]).view(np.int64))
+                values[d][at], arcs[d][at] = n[place], a[place]
+        return values, arcs
 
 
 # -- shards ----------------------------------------------------------------------
 
-ANSWER = ("batch long, k int, shard int, body binary, context long, total long, arcs long")
+ANSWER = ("batch long, k int, shard int, body binary, context long, above long, total long, arcs long")
 
 
 def _answer(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                                      names=["batch", "k", "shard", "body", "context", "total", "arcs"])
+                                      names=["batch", "k", "shard", "body", "context", "above", "total", "arcs"])
 
 
 def _grouped(batches, keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
@@ -277,130 +366,149 @@ def _numbered_words(shards: int):
             hashes = [_unpack_rising(r["hashes"]) for r in asked]
             every, of = np.unique(np.concatenate(hashes), return_inverse=True)
             n = np.bincount(of, np.concatenate([_unpack(r["body"], 1)[0] for r in asked]), len(every)).astype(np.int64)
-            out = [(-1, 1, shard, None, None, int(n.sum()), int((n > 0).sum()))]
+            out = [(-1, 1, shard, None, None, None, int(n.sum()), int((n > 0).sum()))]
             number = _inverse(np.argsort(-n, kind="stable")) * shards + shard
             ends = np.cumsum([len(h) for h in hashes])
             for r, h, end in zip(asked, hashes, ends):
                 at = of[end - len(h):end]
                 gid = number[at]
-                out.append((r["batch"], 1, shard, _pack(gid, np.diff(n[at][np.argsort(gid)], prepend=0)), None, None, None))
+                out.append((r["batch"], 1, shard, _pack(gid, np.diff(n[at][np.argsort(gid)], prepend=0)), None, None, None, None))
             yield _answer(out)
     return run
 
 
-def _counted(shards: int):
-    """Per shard of contexts: count of each n-gram, total and arcs of its context (where that begins), for each batch; parts of hot contexts' totals."""
+def _counted(order: int):
+    """Per shard: for each batch how much oftener than in it its n-grams and its whole contexts occur, and how much
+    oftener than by different words those are followed; parts of the numbers of hot contexts.
+    """
     def run(batches):
-        for (k, shard), asked in _grouped(batches, ["k", "shard"]):
-            parts = [_unpack(r["body"], k + 1) for r in asked]
-            parts = [[*_risen(p[:k]), p[k]] for p in parts]
-            columns = [np.concatenate([p[i] for p in parts]) for i in range(k + 1)]
-            by = _in_order(columns[:k])
-            in_order = [c[by] for c in columns[:k]]
-            new, fresh = _runs(in_order, len(by)), _runs(in_order[:-1], len(by))
-            gram, context = np.cumsum(new) - 1, np.cumsum(fresh) - 1
-            n = np.bincount(gram, columns[k][by]).astype(np.int64)
-            of = context[new]
-            total = np.bincount(of, n).astype(np.int64)
-            arcs = np.bincount(of, n > 0).astype(np.int64)
-            back = _inverse(by)
-            out = []
-            if shard >= shards:
-                h = _mixed([c[fresh] for c in in_order[:-1]]).view(np.int64)
-                out += [(-2, k, shard, None, a, b, c) for a, b, c in zip(h.tolist(), total.tolist(), arcs.tolist())]
+        for (shard,), asked in _grouped(batches, ["shard"]):
+            parts = [_unpack(r["body"], order + 2) for r in asked]
             ends = np.cumsum([len(p[0]) for p in parts])
-            for r, p, end in zip(asked, parts, ends):
-                at = back[end - len(p[0]):end]
-                of = context[at]
-                first = _runs([of], len(of))
-                out.append((r["batch"], k, shard, _pack(n[gram[at]], total[of] * first, arcs[of] * first), None, None, None))
+            starts = _starts(ends)
+            columns = [np.concatenate(c) for c in zip(*parts)]
+            del parts
+            n = columns.pop()
+            lead, *columns = _risen(columns, starts)
+            by = _in_order(columns)
+            back, in_order, lead_of = _inverse(by), [c[by] for c in columns], lead[by]
+            firsts = [_runs(in_order[:d + 1], len(by)) for d in range(order)]
+            of = [np.cumsum(f) - 1 for f in firsts]
+            values = [np.bincount(o, n[by]).astype(np.int64) for o in of]
+            arcs, out = [], []
+            for d in range(order - 1):
+                next_ = firsts[d + 1]
+                # A next context that is split as well is counted when its parts are put together.
+                follows = (values[d + 1] > 0) & (in_order[d + 1][next_] > 0) & (lead_of[next_] <= d + 1)
+                arcs.append(np.bincount(of[d][next_], follows, len(values[d])).astype(np.int64))
+                split = lead_of[firsts[d]] > d
+                heads = [c[firsts[d]][split] for c in in_order[:d + 1]]
+                above = _mixed(heads[:-1]) if d else np.zeros(int(split.sum()), np.uint64)
+                out += [(-2, d + 1, shard, None, *r) for r in zip(*(c.tolist() for c in (
+                    _mixed(heads).view(np.int64), above.view(np.int64), values[d][split], arcs[d][split])))]
+            sections = [(values[-1][of[-1][back]] - n, ends)]
+            for d in range(order - 1):
+                begins = _runs(columns[:d + 1], len(n)) | starts
+                whole = lead[begins] <= d
+                at = of[d][back[begins]][whole]
+                until = np.cumsum(begins & (lead <= d))[ends - 1]
+                if d:
+                    sections.append((values[d][at] - np.bincount(np.cumsum(begins) - 1, n).astype(np.int64)[whole], until))
+                sections.append((values[d][at] - arcs[d][at], until))
+            cut = [np.split(c, until[:-1]) for c, until in sections]
+            out += [(r["batch"], order, shard, _pack(np.concatenate(c)), None, None, None, None) for r, *c in zip(asked, *cut)]
             yield _answer(out)
     return run
 
 
+def _hot_contexts(t: pa.Table, order: int) -> dict[int, tuple]:
+    """Per length the hot contexts: hash (rising), how often they occur, and by how many words they are followed."""
+    of, columns = t.column("k").to_numpy(), [t.column(c).to_numpy() for c in ("context", "total", "arcs", "above")]
+    out = {k: tuple(c[of == k].copy() for c in columns) for k in range(1, order)}
+    for k in range(2, order):
+        np.add.at(out[k - 1][2], np.searchsorted(out[k - 1][0], out[k][3][out[k][1] > 0]), 1)
+    return {k: v[:3] for k, v in out.items()}
+
+
 # -- the walk --------------------------------------------------------------------
 
 class Automaton:
     """The part of the automaton that a batch's texts can reach.
 
-    States are numbered: 0 is the root, then the contexts of each order. ``arcs``
-    maps state * words + word to an arc; an arc has a log10 probability and the state it leads to.
+    A state is an n-gram that was followed by something, or the root, of no words. Before a word stands in the
+    texts the n-gram that a state is, and the arc for that word is the n-gram of both, so arcs, failure arcs and
+    where they lead lie by place and by the words of the state: ``log_p`` (above 0: no arc) and ``to``, ``weight``
+    and ``fail``; the walk carries the number of words of the state it is in.
     """
 
-    def __init__(self, numbered: Numbered, answers: list[dict], hot: dict[int, tuple], tokens: int, vocabulary: int, discount: float):
-        b = numbered.batch
-        self.words, order = len(b.word[0]), len(b.word)
-        p = [(numbered.total + 1) / (tokens + vocabulary + 1)]
-        counts, totals, arcs = [numbered.total], [None], [None]
+    def __init__(self, b: Batch, counts: list, arcs: list, tokens: int, vocabulary: int, discount: float):
+        order = len(b.word)
+        # A context that nothing followed ends a text.
+        totals = [c * (a > 0) for c, a in zip(counts, arcs)]
+        p = [(counts[0] + 1) / (tokens + vocabulary + 1)]
         for k in range(1, order):
-            c, t, a = (np.zeros(len(b.word[k]), np.int64) for _ in range(3))
-            place = dict(numbered.dealt[k])
-            for r in answers:
-                if r["k"] == k + 1:
-                    at = place[r["shard"]]
-                    c[at], t_first, a_first = _unpack(r["body"], 3)
-                    fresh = _runs([b.context[k][at]], len(at))
-                    of = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-                    t[at], a[at] = t_first[of], a_first[of]
-            if numbered.hot[k].any():
-                keys, t_hot, a_hot = hot[k + 1]
-                at = np.searchsorted(keys, numbered.context_hash[k][numbered.hot[k]])
-                t[numbered.hot[k]], a[numbered.hot[k]] = t_hot[at], a_hot[at]
+            t, a = totals[k - 1][b.context[k]], arcs[k - 1][b.context[k]]
             safe = np.maximum(t, 1)
-            p.append(np.maximum(c - discount, 0) / safe + discount * a / safe * p[k - 1][b.suffix[k]])
-            counts.append(c)
-            totals.append(t)
-            arcs.append(a)
-        # A k-gram is a state if something followed it, which the (k+1)-grams that begin with it tell.
-        state_of, fail, weight, first = [], [0], [0.0], 1
+            p.append(np.maximum(counts[k] - discount, 0) / safe + discount * a / safe * p[k - 1][b.suffix[k]])
+        # A k-gram is a state if something followed it; failing goes to the longest suffix that is one.
+        longest = [None]  # words of the longest suffix of a k-gram, itself included, that is a state
+        self.weight, self.fail, self.log_p, self.to = [[]], [[]], [], []
         for k in range(1, order):
-            n = len(b.word[k - 1])
-            t, a = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            t[b.context[k]], a[b.context[k]] = totals[k], arcs[k]
-            is_state = t > 0
-            state = np.where(is_state, first + np.cumsum(is_state) - 1, -1)
-            first += int(is_state.sum())
-            shorter = state_of[k - 2][b.suffix[k - 1]] if k > 1 else np.zeros(n, np.int64)
-            # Failing goes to the longest suffix that is a state.
-            state_of.append(np.where(is_state, state, shorter))
-            fail += shorter[is_state].tolist()
-            weight += np.log10(discount * a[is_state] / t[is_state]).tolist()
-        self.fail, self.weight = fail, weight
-        self.arcs: dict[int, int] = {}
-        log_p, to, at = [], [], 0
+            shorter = longest[k - 1][b.suffix[k - 1]] if k > 1 else np.zeros(len(totals[0]), np.int64)
+            is_state = totals[k - 1] > 0
+            longest.append(np.where(is_state, k, shorter))
+            weight = np.log10(discount * arcs[k - 1] / np.maximum(totals[k - 1], 1), out=np.zeros(len(shorter)), where=is_state)
+            before = np.append(-1, b.at[k - 1][:-1])
+            self.weight.append(np.append(weight, 0.0)[before].tolist())
+            self.fail.append(np.append(shorter, 0)[before].tolist())
         for k in range(order):
-            use = np.flatnonzero(counts[k] > 0) if k else np.arange(self.words)
-            origin = state_of[k - 1][b.context[k][use]] if k else np.zeros(len(use), np.int64)
-            keys = origin * self.words + b.word[k][use]
-            self.arcs.update(zip(keys.tolist(), range(at, at + len(use))))
-            at += len(use)
-            log_p.append(np.log10(p[k][use]))
-            # The longest context that the arc's words make up is the state it leads to.
-            target = state_of[k][use] if k < len(state_of) else (state_of[k - 1][b.suffix[k][use]] if k else np.zeros(len(use), np.int64))
-            to.append(target)
-        self.log_p, self.to = np.concatenate(log_p).tolist(), np.concatenate(to).tolist()
-        self.start = int(state_of[0][b.numbers[0]]) if state_of else 0  # after an end, which each text starts with
-
-    def score(self, tokens: list[int]) -> float:
-        """Log10 probability of a text's tokens, walked from the state after an end."""
-        arcs, fail, weight, log_p, to, n = self.arcs.get, self.fail, self.weight, self.log_p, self.to, self.words
+            has_arc = counts[k] > 0 if k else np.ones(len(p[0]), bool)  # the root has one for every word
+            log_p = np.log10(p[k], out=np.ones(len(p[k])), where=has_arc)
+            # The longest state that the arc's words end in is where it leads.
+            to = longest[k + 1] if k + 1 < order else longest[k][b.suffix[k]] if k else np.zeros(len(log_p), np.int64)
+            self.log_p.append(np.append(log_p, 1.0)[b.at[k]].tolist())
+            self.to.append(np.append(to, 0)[b.at[k]].tolist())
+        self.start = int(longest[1][b.end]) if order > 1 else 0  # after an end, which each text starts with
+
+    def score(self, begin: int, end: int) -> float:
+        """Log10 probability of the tokens from one place to another, walked from the state after an end."""
+        log_p, to, weight, fail = self.log_p, self.to, self.weight, self.fail
         state, total = self.start, 0.0
-        for w in tokens:
-            arc = arcs(state * n + w)
-            while arc is None:
-                total += weight[state]
-                state = fail[state]
-                arc = arcs(state * n + w)
-            total += log_p[arc]
-            state = to[arc]
+        for i in range(begin, end):
+            p = log_p[state][i]
+            while p > 0:
+                total += weight[state][i]
+                state = fail[state][i]
+                p = log_p[state][i]
+            total += p
+            state = to[state][i]
         return total
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in the shared checkpoint folder."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as Parquet in the shared checkpoint folder; the shuffle files that made it go when it is written."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _dropped(spark, *paths: str) -> None:
+    """Remove tables of ``_stored`` that a later one holds all of."""
+    sc = spark.sparkContext
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
@@ -415,9 +523,9 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     spark = prepare(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     id_type = field(rows, "id").dataType
-    batches = _stored(_batches(rows, id_type), "batches")
+    batches, batches_path = _stored(_batches(rows, id_type), "batches")
     all_tokens = batches.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    shards = max(1, -(-all_tokens * max(1, order - 1) // SHARD_GRAMS))
+    shards = max(1, -(-all_tokens // SHARD_GRAMS))
     word_shards = max(1, shards // 4)
 
     def ask_words(parts):
@@ -431,59 +539,68 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
                     pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["batch", "k", "shard", "body", "hashes"])
 
-    numbers = _stored(batches.mapInArrow(ask_words, "batch long, k int, shard int, body binary, hashes binary")
-                      .repartition(min(word_shards, MOST_TASKS), "shard").sortWithinPartitions("k", "shard", "batch")
-                      .mapInArrow(_numbered_words(word_shards), ANSWER), "numbers")
+    numbers, numbers_path = _stored(
+        batches.mapInArrow(ask_words, "batch long, k int, shard int, body binary, hashes binary")
+        .repartition(min(word_shards, MOST_TASKS), "shard").sortWithinPartitions("k", "shard", "batch")
+        .mapInArrow(_numbered_words(word_shards), ANSWER), "numbers")
     tokens, vocabulary = numbers.filter("batch = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "arcs"))).first()
 
-    def with_answers(*answers: DataFrame) -> DataFrame:
+    def with_answers(own: DataFrame, answers: DataFrame) -> DataFrame:
         """Every batch's own row and its answers, next to each other."""
-        out = batches.drop("hashes").withColumns({"k": F.lit(0), "shard": F.lit(0), "body": F.lit(None).cast("binary")})
-        for a in answers:
-            a = a.filter("batch >= 0").select("batch", "k", "shard", "body")
-            out = out.unionByName(a, allowMissingColumns=True)
+        out = own.withColumns({"k": F.lit(0), "shard": F.lit(0), "body": F.lit(None).cast("binary")})
+        out = out.unionByName(answers.filter("batch >= 0").select("batch", "k", "shard", "body"), allowMissingColumns=True)
         return out.repartition(max(1, min(MOST_TASKS, -(-all_tokens // (2 * BATCH_TOKENS)))), "batch").sortWithinPartitions("batch", "k", "shard")
 
-    def numbered(found: list[dict]) -> Numbered:
-        return Numbered(Batch(found[0], order), [r for r in found if r["k"] == 1], tokens, shards, hot_share)
+    kept = T.StructType([batches.schema[c] for c in ("batch", "ids", "train", "lengths", "numbers")] + [T.StructField("words", T.BinaryType())])
 
-    def ask_grams(parts):
+    def renumber(parts):
         for _, found in _grouped(parts, ["batch"]):
-            n = numbered(found)
-            for k in range(1, order):
-                counts = n.batch.counts[k]
-                out = [(found[0]["batch"], k + 1, s, _pack(*_rising([c[at] for c in n.columns[k]]), counts[at])) for s, at in n.dealt[k]]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
-                        pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["batch", "k", "shard", "body"])
-
-    grams = _stored(with_answers(numbers).mapInArrow(ask_grams, "batch long, k int, shard int, body binary")
-                    .repartition(min(shards, MOST_TASKS), "k", "shard").sortWithinPartitions("k", "shard", "batch")
-                    .mapInArrow(_counted(shards), ANSWER), "grams")
-    # At most HOT ** (order - 1) contexts.
-    t = grams.filter("batch = -2").groupBy("k", "context").agg(F.sum("total").alias("total"), F.sum("arcs").alias("arcs")).orderBy("k", "context").toArrow()
-    of = t.column("k").to_numpy()
-    hot = spark.sparkContext.broadcast({k: tuple(t.column(c).to_numpy()[of == k] for c in ("context", "total", "arcs")) for k in range(2, order + 1)})
+            row = _renumbered(found)
+            yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], _arrow(f.dataType)) for f in kept], names=kept.names)
+
+    known, _ = _stored(with_answers(batches.drop("hashes", "tokens"), numbers).mapInArrow(renumber, kept), "known")
+    _dropped(spark, batches_path, numbers_path)
+
+    def ask_grams(parts):
+        for b in parts:
+            for r in b.to_pylist():
+                dealt = Dealt(Batch(r, order), tokens, shards, hot_share)
+                s, body = zip(*dealt.asked())
+                yield pa.RecordBatch.from_arrays([pa.array([r["batch"]] * len(s), pa.int64()), pa.array(s, pa.int32()), pa.array(body, pa.binary())],
+                                                 names=["batch", "shard", "body"])
+
+    grams, hot = None, None
+    if order > 1:
+        grams, _ = _stored(known.mapInArrow(ask_grams, "batch long, shard int, body binary")
+                           .repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "batch")
+                           .mapInArrow(_counted(order), ANSWER), "grams")
+        # At most HOT ** (order - 1) contexts.
+        t = (grams.filter("batch = -2").groupBy("k", "context", "above").agg(F.sum("total").alias("total"), F.sum("arcs").alias("arcs"))
+             .orderBy("k", "context").toArrow())
+        hot = spark.sparkContext.broadcast(_hot_contexts(t, order))
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("train", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
                            T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     mass = math.log10(tokens + vocabulary + 1)
 
     def walk(parts):
         for _, found in _grouped(parts, ["batch"]):
-            n = numbered(found)
-            automaton = Automaton(n, [r for r in found if r["k"] > 1], hot.value, tokens, vocabulary, discount)
-            base, known = np.log10(n.total + 1) - mass, n.total > 0
+            row, b = found[0], Batch(found[0], order)
+            if order > 1:
+                counts, arcs = Dealt(b, tokens, shards, hot_share).counted(found[1:], hot.value)
+            else:
+                counts, arcs = [_unpack(row["words"], 2)[1]], []
+            automaton = Automaton(b, counts, arcs, tokens, vocabulary, discount)
+            base, found_word = np.log10(counts[0] + 1) - mass, counts[0] > 0
             out, at = [], 0
-            for size in n.batch.lengths.tolist():
-                text = n.batch.numbers[at + 1:at + size]
-                out.append((size - 1, int(known[text].sum()), float(base[text].sum()), automaton.score(text.tolist())))
+            for size in b.lengths.tolist():
+                text = b.numbers[at + 1:at + size]
+                out.append((size - 1, int(found_word[text].sum()), float(base[text].sum()), automaton.score(at + 1, at + size)))
                 at += size
-            row = found[0]
             yield pa.RecordBatch.from_arrays([pa.array(row["ids"], _arrow(id_type)), pa.array(row["train"], pa.bool_()),
                                               *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.float64())))],
                                              names=schema.names)
 
-    return (with_answers(numbers, grams).mapInArrow(walk, schema)
+    return ((with_answers(known, grams) if order > 1 else known).mapInArrow(walk, schema)
             .withColumn("train_tokens", F.lit(tokens).cast("long"))
             .select(id_col, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
 
