@@ -9,17 +9,18 @@ context, and a failure arc of weight g = D arcs / total to that context. The roo
 has an arc for every word, of probability (c + 1) / (N + V + 1).
 
 No machine holds the automaton. The texts lie in batches, each with the part of it
-that they can reach: the n-grams that occur in them. A batch's distinct words, then
-its n-grams, go with their training counts to shards by context, where they are
-added up, and the shards answer in the order asked: counts, totals, arcs. Then each
-batch builds its states, arcs and failure arcs and walks its texts from left to
-right, carrying the state. Requests and answers are sorted, packed arrays of
-differences (words are known by numbers, small ones for frequent words), so what is
-shuffled is a few bytes per n-gram.
+that they can reach: the n-grams that occur in them. A batch's distinct words go with
+their training counts to shards by hash, which add them up and number them by falling
+count. Then its distinct longest n-grams go to shards by how they begin, so a shard has
+a context with all that follows it and can tell its count and arcs as well; the shards
+answer in the order asked. Then each batch builds its arcs and failure arcs and walks
+its texts from left to right, carrying the state. Requests are sorted, packed arrays of
+differences, answers tell by how much counts exceed the batch's own, so what is shuffled
+is a few bytes per n-gram. Each step is stored, and what only led to it is removed.
 
 A context of words that each make up more than one token in ``HOT`` (at most
 ``HOT`` ** (ORDER - 1) contexts) may hold any share of the n-grams; its n-grams are
-dealt by their last word too, and its totals, added up over the shards, are sent to
+dealt by their next word too, and its counts, added up over the shards, are sent to
 all batches. Words are known by 64-bit hashes before they have numbers; among V of
 them two collide with a chance of about V * V / 2 ** 65.
 """
@@ -27,6 +28,7 @@ them two collide with a chance of about V * V / 2 ** 65.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -46,7 +48,7 @@ ORDER = 3
 DISCOUNT = 0.75
 HOT = 1_000
 BATCH_TOKENS = 250_000  # of a batch, or one text; its automaton takes some 100 MB
-SHARD_GRAMS = 1_000_000
+SHARD_GRAMS = 500_000
 MOST_TASKS = 20_000  # beyond it a task takes several batches or shards, one after the other
 
 
@@ -393,7 +395,7 @@ def _counted(order: int):
             by = _in_order(columns)
             back, in_order, lead_of = _inverse(by), [c[by] for c in columns], lead[by]
             firsts = [_runs(in_order[:d + 1], len(by)) for d in range(order)]
-            of = [np.cumsum(f) - 1 for f in firsts]
+            of = [np.cumsum(f, dtype=np.int32) - 1 for f in firsts]
             values = [np.bincount(o, n[by]).astype(np.int64) for o in of]
             arcs, out = [], []
             for d in range(order - 1):
@@ -459,15 +461,15 @@ class Automaton:
             longest.append(np.where(is_state, k, shorter))
             weight = np.log10(discount * arcs[k - 1] / np.maximum(totals[k - 1], 1), out=np.zeros(len(shorter)), where=is_state)
             before = np.append(-1, b.at[k - 1][:-1])
-            self.weight.append(np.append(weight, 0.0)[before].tolist())
-            self.fail.append(np.append(shorter, 0)[before].tolist())
+            self.weight.append(array("d", np.append(weight, 0.0)[before].tobytes()))
+            self.fail.append(np.append(shorter, 0).astype(np.uint8)[before].tobytes())
         for k in range(order):
             has_arc = counts[k] > 0 if k else np.ones(len(p[0]), bool)  # the root has one for every word
             log_p = np.log10(p[k], out=np.ones(len(p[k])), where=has_arc)
             # The longest state that the arc's words end in is where it leads.
             to = longest[k + 1] if k + 1 < order else longest[k][b.suffix[k]] if k else np.zeros(len(log_p), np.int64)
-            self.log_p.append(np.append(log_p, 1.0)[b.at[k]].tolist())
-            self.to.append(np.append(to, 0)[b.at[k]].tolist())
+            self.log_p.append(array("d", np.append(log_p, 1.0)[b.at[k]].tobytes()))
+            self.to.append(np.append(to, 0).astype(np.uint8)[b.at[k]].tobytes())
         self.start = int(longest[1][b.end]) if order > 1 else 0  # after an end, which each text starts with
 
     def score(self, begin: int, end: int) -> float:
@@ -526,7 +528,7 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     batches, batches_path = _stored(_batches(rows, id_type), "batches")
     all_tokens = batches.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     shards = max(1, -(-all_tokens // SHARD_GRAMS))
-    word_shards = max(1, shards // 4)
+    word_shards = max(1, shards // 8)
 
     def ask_words(parts):
         for b in parts:

@@ -152,3 +152,54 @@ def test_every_ngram_counts_in_a_large_corpus(spark):
     for i, t in rows:
         if i is not None and i < 20:
             assert got[i] == pytest.approx(model.score(t, 3), rel=1e-9)
+
+
+def test_only_the_longest_ngrams_are_sent():
+    """Shorter ones are told by those that begin with them: one row per distinct trigram or text end, each in one shard."""
+    import numpy as np
+    texts = [[0, 2, 3, 2, 3, 0], [0, 2, 3, 1, 0], [0, 0]]
+    row = {"train": [True, False, True], "lengths": backoff._pack(np.array([len(t) for t in texts])),
+           "numbers": backoff._pack(np.array(sum(texts, []))), "words": backoff._pack(np.array([4, 1, 1, 1]), np.array([900, 5, 4, 3]))}
+    dealt = backoff.Dealt(backoff.Batch(row, 3), 1_000, 5, 10)
+    got = {}
+    for shard, body in dealt.asked():
+        hot, *words, n = backoff._unpack(body, 5)
+        hot, *words = backoff._risen([hot, *words])
+        for *gram, h, m in zip(*(w.tolist() for w in words), hot.tolist(), n.tolist()):
+            assert tuple(gram) not in got and h == (2 if gram[:2] == [5, 5] else int(gram[0] == 5))
+            got[tuple(gram)] = m
+    gid = [5, 6, 7, 8]
+    want = Counter()
+    for t, train in zip(texts, row["train"]):
+        t = [gid[w] for w in t]
+        for i in range(len(t) - 1):
+            want[tuple([*t[i:i + 3], 0][:3])] += train
+    assert got == dict(want)
+
+
+def test_steps_leave_no_shuffle_files_nor_old_tables(spark):
+    import time
+    from pathlib import Path
+
+    from acctsig.session import ensure_checkpoint_dir
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    jvm = spark.sparkContext._jvm
+
+    def files():
+        every = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {every.apply(i).getName() for i in range(every.size())}
+
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    shuffled = files()
+    stored, _ = backoff._stored(df.repartition(3, "doc_id"), "trial")
+    for _ in range(50):  # they go in the background
+        left = [f for f in files() - shuffled if f.startswith("shuffle_") and f.endswith(".data")]
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and stored.count() == len(corpus())
+    assert spark.conf.get(backoff.SHUFFLE_CLEANUP) == "false"  # as it was
+    tables = set(folder.iterdir())
+    scores = backoff.scored(df, fold("doc_id", 7) != 2)
+    assert sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - tables) == ["grams", "known"]
+    assert scores.count() == len(corpus())
